@@ -4,9 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from terravela.llm.bpe import bpe_decode, bpe_encode, digests
 from terravela.llm.exact_dedup import exact_dedup
+from terravela.llm.language_id import fit_language_model, label_languages
 from terravela.llm.ngram_join import jaccard_components
 
 
@@ -22,9 +26,26 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_table(spark, sf_dir, "documents"), keep="max")
 
 
+def _held_out(parts: int, part: int):
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % parts == part, F.lit(False))
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = fit_language_model(docs.where(~_held_out(5, 0)))
+    return label_languages(docs, model).select("doc_id", _held_out(5, 0).alias("held_out"), "lang_pred", "score", F.size("spans").alias("n_spans"))
+
+
+def op10_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
+    return digests(bpe_decode(bpe_encode(_table(spark, sf_dir, "documents"), path, pattern), path, pattern))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
     "op3_exact_dedup": op3_exact_dedup,
+    "op7_language_id": op7_language_id,
+    "op10_byte_level_bpe": op10_byte_level_bpe,
 }
 
 ORACLE_SQL = {
