@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 from terravela.llm.bpe import bpe_decode, bpe_encode, digests
 from terravela.llm.exact_dedup import exact_dedup
 from terravela.llm.language_id import fit_language_model, label_languages
+from terravela.llm.license_scan import scan_licenses, summarise
 from terravela.llm.ngram_join import jaccard_components
+from terravela.llm.toxicity import fit_lexicon, score_toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,6 +32,17 @@ def _held_out(parts: int, part: int):
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % parts == part, F.lit(False))
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    labels = _table(spark, sf_dir, "labels").where(~_held_out(3, 1)).select("doc_id", "toxic")
+    lexicon = fit_lexicon(docs.select("doc_id", "text").join(labels, "doc_id"))
+    return score_toxicity(docs, lexicon).select("doc_id", _held_out(3, 1).alias("held_out"), "score", "predicted", "n_matches")
+
+
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return summarise(scan_licenses(_table(spark, sf_dir, "documents")))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     model = fit_language_model(docs.where(~_held_out(5, 0)))
@@ -42,8 +55,10 @@ def op10_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity": op1_toxicity,
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
     "op3_exact_dedup": op3_exact_dedup,
+    "op5_license_scan": op5_license_scan,
     "op7_language_id": op7_language_id,
     "op10_byte_level_bpe": op10_byte_level_bpe,
 }
