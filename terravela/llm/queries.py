@@ -9,10 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terravela.llm.bpe import bpe_decode, bpe_encode, digests
+from terravela.llm.decontaminate import contaminated
 from terravela.llm.exact_dedup import exact_dedup
 from terravela.llm.language_id import fit_language_model, label_languages
 from terravela.llm.license_scan import scan_licenses, summarise
 from terravela.llm.ngram_join import jaccard_components
+from terravela.llm.pii import find_pii
+from terravela.llm.pii import summarise as summarise_pii
 from terravela.llm.toxicity import fit_lexicon, score_toxicity
 
 
@@ -49,6 +52,14 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return label_languages(docs, model).select("doc_id", _held_out(5, 0).alias("held_out"), "lang_pred", "score", F.size("spans").alias("n_spans"))
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return summarise_pii(find_pii(_table(spark, sf_dir, "documents")))
+
+
+def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op10_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
     return digests(bpe_decode(bpe_encode(_table(spark, sf_dir, "documents"), path, pattern), path, pattern))
@@ -60,6 +71,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_exact_dedup": op3_exact_dedup,
     "op5_license_scan": op5_license_scan,
     "op7_language_id": op7_language_id,
+    "op8_pii": op8_pii,
+    "op9_benchmark_decontamination": op9_benchmark_decontamination,
     "op10_byte_level_bpe": op10_byte_level_bpe,
 }
 
