@@ -48,5 +48,6 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "min") -> DataFrame:
     """docs without the rows that exact_dedup does not keep; all columns stay. Rows without an id stay."""
-    gone = exact_dedup(docs, id_col, text_col, keep).where("NOT kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(broadcast_below(cut(gone), BROADCAST_ROWS), docs[id_col] == F.col("_gone"), "left_anti")
+    gone = exact_dedup(docs, id_col, text_col, keep).where("NOT kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_gone"), F.unhex("text_sha256").alias("_digest")).distinct()
+    same = (docs[id_col] == F.col("_gone")) & (F.unhex(F.sha2(F.coalesce(docs[text_col], F.lit("")), 256)) == F.col("_digest"))
+    return docs.join(broadcast_below(cut(gone), BROADCAST_ROWS), same, "left_anti")

@@ -210,6 +210,21 @@ def label_languages(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, out)
 
 
-def accepted(labels: DataFrame, least_share: float = 0.4) -> DataFrame:
-    """Rows of label_languages worth keeping: some language was found, and it holds least_share of the words."""
-    return labels.where((F.col("lang_pred") != "und") & (F.col("score") >= least_share))
+def filter_languages(docs: DataFrame, model: LanguageModel, text_col: str = "text", least_share: float = 0.4) -> DataFrame:
+    """docs of which some language holds least_share of the words or more; all columns stay.
+
+    Rejects texts that are null, empty or without a letter, and patchworks without a main language.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    place = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = pa.RecordBatch.from_arrays([pa.array(range(batch.num_rows), pa.int64()), batch.column(place)], ["row", "text"])
+            keep = []
+            for part in tb.slices(texts, "text"):
+                found = _label(shared.value, part)
+                keep += [lang != "und" and share >= least_share for lang, share in zip(found.column(1).to_pylist(), found.column(2).to_pylist())]
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

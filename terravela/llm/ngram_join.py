@@ -237,3 +237,9 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return signatures.join(named, "node", "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), (F.col("component_id").isNotNull()).alias("linked")
     )
+
+
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """docs with one document of each component, that with the smallest id; all columns stay. Rows without an id stay."""
+    gone = jaccard_components(docs, id_col, text_col, **options).where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
+    return docs.join(broadcast_below(cut(gone), BROADCAST_ROWS), docs[id_col] == F.col("_gone"), "left_anti")

@@ -13,10 +13,12 @@ from terravela.llm.decontaminate import contaminated
 from terravela.llm.exact_dedup import exact_dedup
 from terravela.llm.language_id import fit_language_model, label_languages
 from terravela.llm.license_scan import scan_licenses, summarise
+from terravela.llm.line_dedup import line_classes
 from terravela.llm.ngram_join import jaccard_components
 from terravela.llm.pii import find_pii
 from terravela.llm.pii import summarise as summarise_pii
 from terravela.llm.toxicity import fit_lexicon, score_toxicity
+from terravela.llm.warc import round_trip
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,10 +44,18 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(docs, lexicon).select("doc_id", _held_out(3, 1).alias("held_out"), "score", "predicted", "n_matches")
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_classes(_table(spark, sf_dir, "documents"))
+
+
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return summarise(scan_licenses(_table(spark, sf_dir, "documents")))
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trip(_table(spark, sf_dir, "pages")).where("damage IS NULL").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     model = fit_language_model(docs.where(~_held_out(5, 0)))
@@ -69,7 +79,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
     "op3_exact_dedup": op3_exact_dedup,
+    "op4_line_dedup": op4_line_dedup,
     "op5_license_scan": op5_license_scan,
+    "op6_warc": op6_warc,
     "op7_language_id": op7_language_id,
     "op8_pii": op8_pii,
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
