@@ -8,8 +8,9 @@ bound excludes are never accumulated, in four steps that all keep every link:
    overlap that a link needs). One pass over those columns, combined per slice of rows before it is
    shuffled, keeps the rows with enough shared columns. Most rows end here.
 3. For the rows kept, columns are ordered by frequency. Only entries that share one of the first n - t + 1
-   columns of both rows can reach the bound. Of each such column and size class, first the entries with its
-   smallest row are accumulated; that alone joins a large group of near copies with as many entries as it has rows.
+   columns of both rows can reach the bound, t now the overlap that the two sizes need and columns of one row
+   left out. Of each such column and size class, first the entries with its most central row are accumulated;
+   that joins a large group of near copies with about as many entries as it has rows.
 4. Then all entries between rows that step 3 left in different components are accumulated.
 
 Overlaps are counted exactly, over whole n-gram sets. Hashes have 64 bits: among n distinct n-grams of two
@@ -202,32 +203,32 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     entries = sets.mapInArrow(_entries, "hash long, node long, n long")
     frequent = entries.groupBy("hash").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     by_node = Window.partitionBy("node")
-    ranked = entries.join(frequent, "hash").withColumns({"rank": F.row_number().over(by_node.orderBy("df", "hash")), "m": F.count(F.lit(1)).over(by_node)})
-    prefix = ranked.where(F.col("rank") <= F.col("m") - need + 1).select("hash", "node", "n", F.floor(F.log("n") / F.log(F.lit(100 / percent)) + 1e-9).cast("int").alias("size"))
-    prefix = cut(prefix)
+    ranked = entries.join(frequent, "hash").withColumns({"rank": F.row_number().over(by_node.orderBy("df", "hash")), "m": F.count(F.lit(1)).over(by_node), "centre": F.sum(F.log2("df")).over(by_node) / F.col("n")})
+    prefix = cut(ranked.where(F.col("rank") <= F.col("m") - need + 1).select("hash", "node", "n", "m", "rank", "centre"))
 
-    fits = F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent
+    # The first common column of a linked pair is among the first m - overlap + 1 shared columns of either.
+    overlap = F.ceil((F.col("na") + F.col("nb")) * percent / F.lit(100 + percent) - 1e-9)
+    fits = (F.col("rank_a") + overlap <= F.col("ma") + 1) & (F.col("rank_b") + overlap <= F.col("mb") + 1) & (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
+
+    def side(df: DataFrame, x: str) -> DataFrame:
+        return df.select("hash", *[c for c in ("size", "root") if c in df.columns], F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("m").alias(f"m{x}"), F.col("rank").alias(f"rank_{x}")).withColumnsRenamed({"root": f"r{x}"})
 
     def linked(pairs: DataFrame) -> DataFrame:
         a = sets.select(F.col("node").alias("a"), F.col("grams").alias("ga"))
         b = sets.select(F.col("node").alias("b"), F.col("grams").alias("gb"))
         return cut(pairs.join(a, "a").join(b, "b").select("a", "b", "na", "nb", "ga", "gb").mapInArrow(_overlaps(percent), "a long, b long"))
 
-    head = prefix.groupBy("hash", "size").agg(F.min(F.struct("n", "node")).alias("h"))
-    head = head.select("hash", F.explode(F.array("size", F.col("size") + 1)).alias("size"), F.col("h.node").alias("a"), F.col("h.n").alias("na"))
-    star = prefix.select("hash", "size", F.col("node").alias("b"), F.col("n").alias("nb")).join(head, ["hash", "size"]).where((F.col("a") != F.col("b")) & fits)
+    sized = prefix.withColumn("size", F.floor(F.log("n") / F.log(F.lit(100 / percent)) + 1e-9).cast("int"))
+    head = sized.groupBy("hash", "size").agg(F.max(F.struct("centre", "node", "n", "m", "rank")).alias("h")).select("hash", F.explode(F.array(F.col("size") - 1, F.col("size"), F.col("size") + 1)).alias("size"), "h.*")
+    star = side(sized, "b").join(side(head, "a"), ["hash", "size"]).where((F.col("a") != F.col("b")) & fits)
     near = linked(star.select("a", "b", "na", "nb").distinct())
     roots = connected_components(near)
 
-    placed = cut(prefix.join(roots, "node", "left").select("hash", "node", "n", F.coalesce("root", "node").alias("root")))
-    cells = placed.select("hash", "root").distinct()
-    mixed = cells.groupBy("hash").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("hash")
-    cells = cells.join(mixed, "hash", "left_semi")
-    across = cells.select("hash", F.col("root").alias("ra")).join(cells.select("hash", F.col("root").alias("rb")), "hash").where("ra < rb")
-    left = placed.select("hash", F.col("root").alias("ra"), F.col("node").alias("a"), F.col("n").alias("na"))
-    right = placed.select("hash", F.col("root").alias("rb"), F.col("node").alias("b"), F.col("n").alias("nb"))
-    rest = across.join(left, ["hash", "ra"]).join(right, ["hash", "rb"]).where(fits).select("a", "b", "na", "nb").distinct()
-    bridges = linked(rest)
+    placed = cut(prefix.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
+    top = placed.groupBy("hash", "root").agg(F.count(F.lit(1)).alias("held")).groupBy("hash").agg(F.max(F.struct("held", "root")).alias("top"), F.count(F.lit(1)).alias("roots")).where("roots > 1")
+    outside = placed.join(top.select("hash", F.col("top.root").alias("top")), "hash").where("root <> top")
+    rest = side(outside, "a").join(side(placed, "b"), "hash").where((F.col("ra") != F.col("rb")) & fits)
+    bridges = linked(rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.when(F.col("a") < F.col("b"), F.col("na")).otherwise(F.col("nb")).alias("na"), F.when(F.col("a") < F.col("b"), F.col("nb")).otherwise(F.col("na")).alias("nb")).distinct())
     if bridges.limit(1).count():
         roots = connected_components(near.unionByName(bridges))
 
