@@ -1 +1 @@
-"""Part of terravela; see the README for what each module holds."""
+"""Scalar functions as Column expressions: geodesy, geometry, encodings, text."""

@@ -1 +1 @@
-"""Part of terravela; see the README for what each module holds."""
+"""Operators on grids, flow networks, vectors and the catalogue; all take and return DataFrames."""

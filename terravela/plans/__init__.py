@@ -1 +1 @@
-"""Part of terravela; see the README for what each module holds."""
+"""Lineage, graph loops, inputs derived from the test tables, and the registered queries with their SQL."""

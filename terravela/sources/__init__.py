@@ -1 +1 @@
-"""Part of terravela; see the README for what each module holds."""
+"""Binary and text formats: Python data sources for reading, DataFrames of lines or bytes for writing."""

@@ -1 +1 @@
-"""Part of terravela; see the README for what each module holds."""
+"""Stateful operators on access events, as streams and as batch folds."""
