@@ -96,7 +96,7 @@ def safe_filename(name: Column) -> Column:
 
 def client_ip(forwarded: Column) -> Column:
     """The last hop that isn't empty of a comma-separated list, null if there is none."""
-    hops = F.filter(F.transform(F.split(forwarded, ","), F.trim), lambda h: h != "")
+    hops = F.filter(F.transform(F.split(forwarded, ","), lambda h: F.trim(h)), lambda h: h != "")
     return F.when(F.size(hops) > 0, F.element_at(hops, -1))
 
 
