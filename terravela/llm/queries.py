@@ -40,7 +40,7 @@ def _held_out(parts: int, part: int):
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     labels = _table(spark, sf_dir, "labels").where(~_held_out(3, 1)).select("doc_id", "toxic")
-    lexicon = fit_lexicon(docs.select("doc_id", "text").join(labels, "doc_id"))
+    lexicon = fit_lexicon(docs, labels)
     return score_toxicity(docs, lexicon).select("doc_id", _held_out(3, 1).alias("held_out"), "score", "predicted", "n_matches")
 
 

@@ -18,14 +18,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from terravela.plans.lineage import cut
+
 #: Letters of other scripts, signs and digits that stand in for Latin letters.
 LOOKALIKES = {
     "а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "у": "y", "х": "x", "і": "i", "ј": "j", "ѕ": "s", "к": "k", "м": "m", "т": "t", "в": "b", "н": "h", "д": "d", "ԁ": "d", "ɡ": "g",
     "А": "a", "Е": "e", "О": "o", "Р": "p", "С": "c", "У": "y", "Х": "x", "І": "i", "Ј": "j", "Ѕ": "s", "К": "k", "М": "m", "Т": "t", "В": "b", "Н": "h",
     "α": "a", "β": "b", "ε": "e", "η": "n", "ι": "i", "κ": "k", "ν": "v", "ο": "o", "ρ": "p", "τ": "t", "υ": "u", "χ": "x", "ω": "w",
     "Α": "a", "Β": "b", "Ε": "e", "Η": "h", "Ι": "i", "Κ": "k", "Μ": "m", "Ν": "n", "Ο": "o", "Ρ": "p", "Τ": "t", "Υ": "y", "Χ": "x", "Ζ": "z",
-    "0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "@": "a", "$": "s", "!": "i", "|": "i",
+    "0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b",
 }
+#: Signs that stand in for letters, but only before a letter or digit (! and | only between two).
+SIGNS = {"@": "a", "$": "s", "!": "i", "|": "i"}
 #: Zero-width characters and the soft hyphen, which split words invisibly.
 INVISIBLE = "­​‌‍⁠﻿"
 #: Phrases in which a word that may be in the lexicon is harmless.
@@ -33,12 +37,13 @@ EXCEPTIONS = ("trash can", "trash bin", "clown fish", "pond scum", "soap scum",
 
 _FULLWIDTH = {0xFF01 + i: 0x21 + i for i in range(94)}
 _FOLD = {k: ord(LOOKALIKES.get(chr(v), chr(v).lower())) for k, v in _FULLWIDTH.items()} | {ord(c): ord(c) + 32 for c in map(chr, range(0x41, 0x5B))} | {ord(k): ord(v) for k, v in LOOKALIKES.items()} | dict.fromkeys(map(ord, INVISIBLE))
+_SIGN = re.compile(r"[@$](?=\w)|(?<=\w)[!|](?=\w)")
 _WORD = re.compile(r"[^\W\d_]+")
 
 
 def fold(text: str) -> str:
     """Lower case, without look-alikes: digits and signs count as the letters they stand for."""
-    return text.translate(_FOLD).lower()
+    return _SIGN.sub(lambda m: SIGNS[m[0]], text.translate(_FOLD).lower())
 
 
 @dataclass
@@ -109,20 +114,22 @@ def _count_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([toxic[x] for x in names], pa.int64()), pa.array([clean[x] for x in names], pa.int64())], ["feature", "toxic", "clean"])
 
 
-def fit_lexicon(labelled: DataFrame, max_docs: int = 6000, min_docs: int = 4, max_entries: int = 5000) -> Lexicon:
-    """From rows (text, toxic 0/1), a hash-chosen sample of about max_docs of each label at most.
+def fit_lexicon(docs: DataFrame, labels: DataFrame, max_docs: int = 6000, min_docs: int = 4, max_entries: int = 5000) -> Lexicon:
+    """From docs(doc_id, text) and labels(doc_id, toxic 0/1), a hash-chosen sample of about max_docs of each label at most.
 
-    An entry occurs in min_docs toxic texts or more and is at least 20 times likelier there; its weight is the
-    log of that ratio. The scale is the normalised weight that best parts the sample's labels. Rows with a
-    null text or label are left out; without both labels the lexicon is empty and every score 0.
+    The sample is drawn from the labels, so that only its few ids (2 * max_docs) meet the documents. An entry occurs
+    in min_docs toxic texts or more and is at least 20 times likelier there; its weight is the log of that ratio. The
+    scale is the normalised weight that best parts the sample's labels. Rows with a null id, text or label are
+    left out; without both labels the lexicon is empty and every score 0.
     """
-    labelled = labelled.where("text IS NOT NULL AND toxic IS NOT NULL").select("text", F.col("toxic").cast("int").alias("toxic"))
-    counts = {r["toxic"]: r["count"] for r in labelled.groupBy("toxic").count().collect()}
+    labels = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").select("doc_id", F.col("toxic").cast("int").alias("toxic"))
+    counts = {r["toxic"]: r["count"] for r in labels.groupBy("toxic").count().collect()}
     n_toxic, n_clean = counts.get(1, 0), counts.get(0, 0)
     if not n_toxic or not n_clean:
         return Lexicon({})
     share = F.when(F.col("toxic") == 1, min(1.0, max_docs / n_toxic)).otherwise(min(1.0, max_docs / n_clean))
-    sample = labelled.where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < share * (1 << 20))
+    chosen_ids = cut(labels.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < share * (1 << 20)).limit(3 * max_docs))
+    sample = cut(docs.where("text IS NOT NULL").select("doc_id", "text").join(F.broadcast(chosen_ids), "doc_id").select("text", "toxic"))
     n_toxic, n_clean = min(n_toxic, max_docs), min(n_clean, max_docs)
     found = sample.repartition(8).mapInArrow(_count_features, "feature string, toxic long, clean long").groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     ratio = (F.col("toxic") + 0.1) / n_toxic / ((F.col("clean") + 0.5) / n_clean)
