@@ -1,8 +1,8 @@
 """Benchmark decontamination in DataFrame functions: spaced-seed hashes, then substitution-tolerant overlaps.
 
 A seed hashes the words of a window that a mask selects, so that a substituted word in an ignored place
-changes nothing. Test items are hashed at every place, documents at every `stride`-th one: a shared passage
-shows up wherever it lies. Around each hit the diagonal is scored, +1 for an equal word and -2 for a
+changes nothing. Test items are hashed at every place, documents at every `stride`-th one (1: at every place, so that
+an item of as many words as a mask spans can't be missed). Around each hit the diagonal is scored, +1 for an equal word and -2 for a
 substituted one, and the best stretch decides.
 """
 
@@ -51,7 +51,7 @@ def _best_stretch(w: Column, item: Column, shift: Column) -> Column:
     return F.aggregate(F.sequence(low, high), start, step)
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", masks: tuple[str, ...] = MASKS, stride: int = 2, least_score: int = 12) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", masks: tuple[str, ...] = MASKS, stride: int = 1, least_score: int = 12) -> DataFrame:
     """(doc_id, item_id, score, first_word, end_word, same_words): documents that hold a passage of a test item.
 
     A row for each pair whose best stretch scores least_score, or 0.8 of the item's words if that is less. Items of
@@ -79,4 +79,5 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """docs without the rows that hold a passage of a test item; all columns stay. Rows without an id stay."""
     gone = cut(contaminated(docs, benchmark, id_col, text_col, **options).where("doc_id IS NOT NULL").select(F.col("doc_id").alias("_gone")).distinct())
-    return docs.join(broadcast_below(gone, 250_000), docs[id_col] == F.col("_gone"), "left_anti")
+    gone = broadcast_below(gone, 250_000)
+    return docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")

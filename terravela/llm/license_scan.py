@@ -48,7 +48,7 @@ class Scanner:
     def __init__(self, notices: tuple[Notice, ...]):
         self.notices = notices
         self.exact = [f" {n.phrase} ".encode() for n in notices]
-        self.fuzzy = [(i, n, [(at, s.encode()) for at, s in seeds(n.phrase, n.errors)], regex.compile(rf"(?b)(?<![^ ])(?:{regex.escape(n.phrase)}){{e<={n.errors}}}(?![^ ])")) for i, n in enumerate(notices) if n.errors]
+        self.fuzzy = [(i, n, [(at, s.encode()) for at, s in seeds(n.phrase, n.errors)], regex.compile(rf"(?e)(?:{regex.escape(n.phrase)}){{e<={n.errors}}}")) for i, n in enumerate(notices) if n.errors]
 
     def scan(self, text: bytes) -> list[tuple[int, int, int, int]]:
         """(first byte, end byte, notice, errors) in normalised text: words parted, led and followed by one space."""
@@ -64,7 +64,8 @@ class Scanner:
             for offset, piece in pieces:
                 at = text.find(piece)
                 while at >= 0:
-                    windows.append((max(0, at - offset - notice.errors - 1), at - offset + len(notice.phrase) + notice.errors + 1))
+                    # An added character has up to four bytes; the search needs a character before the match.
+                    windows.append((max(0, at - offset - 4 * notice.errors - 2), at - offset + len(notice.phrase) + 4 * notice.errors + 2))
                     at = text.find(piece, at + 1)
             windows.sort()
             merged: list[list[int]] = []
@@ -78,17 +79,30 @@ class Scanner:
                     a -= 1
                 while b < len(text) and text[b] & 0xC0 == 0x80:
                     b += 1
-                window = text[a:b].decode("utf-8", "replace")
-                for m in pattern.finditer(window):
-                    if not (errors := sum(m.fuzzy_counts)) or m[0] != m[0].strip(" "):
-                        continue
-                    start = a + len(window[: m.start()].encode())
-                    end = start + len(m[0].encode())
-                    if (not start or text[start - 1] == 32) and (end == len(text) or text[end] == 32) and not any((s, i) in exact for s in range(start, end)):
-                        found.append((start, end, i, errors))
+                found += [(s, e, i, n) for s, e, n in self._verify(text, a, b, notice, pattern) if not any((k, i) in exact for k in range(s, e))]
         return sorted(set(found))
 
 
+    @staticmethod
+    def _verify(text: bytes, a: int, b: int, notice: Notice, pattern: regex.Pattern) -> list[tuple[int, int, int]]:
+        """The best runs of whole words in a window that match with errors, none overlapping another."""
+        starts = [k for k in range(max(a, 1), min(b, len(text))) if text[k] != 32 and text[k - 1] == 32]
+        ends = [k for k in range(a + 1, min(b, len(text) - 1) + 1) if text[k] == 32 and text[k - 1] != 32]
+        runs = []
+        for s in starts:
+            for e in (k for k in ends if k > s):
+                run = text[s:e].decode("utf-8", "replace")
+                if len(run) > len(notice.phrase) + notice.errors:
+                    break
+                if len(run) >= len(notice.phrase) - notice.errors and (m := pattern.fullmatch(run)):
+                    runs.append((sum(m.fuzzy_counts), s, e))
+        best: list[tuple[int, int, int]] = []
+        for n, s, e in sorted(runs):
+            if n and all(e <= s2 or s >= e2 for s2, e2, _ in best):
+                best.append((s, e, n))
+        return best
+
+
 def _normalise(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Each row's words led, parted and followed by one space, the rows' offsets, and the rows' word counts."""
     start, end, row = tb.words(data, offsets, _SEPARATOR)

@@ -68,6 +68,8 @@ def parse_record(data: bytes, at: int = 0) -> tuple[dict[str, str], bytes, int]:
         if not colon:
             raise Damaged("a header without a colon")
         headers[name.strip().lower()] = value.strip()
+    if missing := [x for x in ("warc-type", "warc-record-id", "warc-date") if x not in headers]:
+        raise Damaged("without " + ", ".join(missing))
     length = headers.get("content-length", "")
     if not length.isdigit():
         raise Damaged("no length")
