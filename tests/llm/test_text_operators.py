@@ -1,0 +1,290 @@
+import base64
+import hashlib
+import random
+import re
+
+import pytest
+import regex
+from pyspark.sql import functions as F
+
+from terravela.llm import bpe, license_scan, pii
+from terravela.llm.bpe import bpe_decode, bpe_encode, digests
+from terravela.llm.decontaminate import contaminated, drop_contaminated
+from terravela.llm.language_id import LanguageModel, filter_languages, fit_language_model, label_languages
+from terravela.llm.license_scan import Notice, scan_licenses, summarise
+from terravela.llm.toxicity import Lexicon, fit_lexicon, fold, score_toxicity
+
+tokenizers = pytest.importorskip("public_tokenizers")
+tiktoken = pytest.importorskip("tiktoken")
+
+
+def encoding():
+    path = tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
+    return path, tiktoken.Encoding("own", pat_str=tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
+def test_bpe_equals_tiktoken_and_comes_back(spark, odd, empty):
+    path, own = encoding()
+    rng = random.Random(1)
+    more = ["".join(rng.choice("abcdeé 你\U0001f600\n\t'sr9.!") for _ in range(rng.randint(0, 80))) for _ in range(300)] + ["a" * 5000 + " " * 4500, "<|endoftext|>"]
+    docs = odd.select("doc_id", "text").union(spark.createDataFrame(list(enumerate(more)), "doc_id long, text string"))
+    got = bpe_decode(bpe_encode(docs, path, tokenizers.PATTERN), path, tokenizers.PATTERN).collect()
+    expected = sorted(((r["doc_id"], own.encode_ordinary(r["text"] or ""), (r["text"] or "").encode()) for r in docs.collect()), key=str)
+    assert sorted(((r["doc_id"], r["ids"], bytes(r["decoded"])) for r in got), key=str) == expected
+    row = digests(bpe_decode(bpe_encode(docs.where("doc_id = 8").limit(1), path, tokenizers.PATTERN), path, tokenizers.PATTERN)).first()
+    ids = next(i for d, i, _ in expected if d == 8)
+    assert row["n_tokens"] == len(ids) and row["ids_sha256"] == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
+    assert bpe_encode(empty, path, tokenizers.PATTERN).count() == 0
+
+
+def test_pair_table_finds_all_pairs_and_no_others():
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    keys = np.unique(rng.integers(0, 1 << 40, 5000))
+    table = bpe.PairTable(keys, np.arange(len(keys)))
+    left, right = keys >> 32, keys & 0xFFFFFFFF
+    assert (table.find(left, right) == np.arange(len(keys))).all()
+    assert (table.find(left, right + 1)[~np.isin((left << 32) | (right + 1), keys)] == bpe._NONE).all()
+    assert (table.find(np.full(3, -1), np.arange(3)) == bpe._NONE).all()
+
+
+WORDS = {"en": "the of and to in that is was for with house water green little".split(), "de": "der die und das nicht haus wasser grün kleine ich bin schön zurück".split(), "ru": "и в не на что дом вода зеленый маленький она был".split()}
+
+
+def prose(rng, lang, n):
+    return " ".join(rng.choice(WORDS[lang]) for _ in range(n))
+
+
+def brute_viterbi(model, text):
+    """The best path over a text's words, by the textbook recursion."""
+    import numpy as np
+    import pyarrow as pa
+
+    from terravela.llm import language_id as li
+
+    scores = []
+    for word in re.findall(r"[A-Za-z\u0080-\U0010ffff]+", text):
+        if not any(c.isalpha() for c in word):
+            continue
+        data = li.tb.lower_ascii(li.tb.utf8(pa.array([word]))[0])
+        tri, _ = li._trigrams(data, np.array([0]), np.array([len(data)]))
+        s = model.weights[tri].sum(0)
+        allowed = model.scripts[li._letters(data, np.array([0]), np.array([len(data)]))[1][0]]
+        s = np.where(allowed | ~allowed.any(), s, -np.inf)
+        scores.append(np.maximum(s - s.max(), -model.clip))
+    best, back = np.zeros(len(model.langs)), []
+    for s in scores:
+        jump = best.max() - model.penalty
+        back.append(np.where(best >= jump, np.arange(len(best)), best.argmax()))
+        best = s + np.maximum(best, jump)
+    state, path = int(best.argmax()), []
+    for b in reversed(back):
+        path.append(model.langs[state])
+        state = int(b[state])
+    return path[::-1]
+
+
+def test_language_spans_equal_a_plain_viterbi(spark, odd, empty):
+    rng = random.Random(4)
+    train = [(i, prose(rng, lang, 40), lang) for i, lang in enumerate(["en", "de", "ru"] * 30)] + [(900, None, "en"), (901, "x", None)]
+    model = fit_language_model(spark.createDataFrame(train, "doc_id long, text string, lang string"))
+    assert model.langs == ["de", "en", "ru"]
+    texts = [prose(rng, lang, n) for lang in WORDS for n in (1, 5, 127, 128, 129, 700)] + [prose(rng, "en", 300) + " " + prose(rng, "de", 280) + " " + prose(rng, "ru", 20), "123 !!", "", "。。。"]
+    got = {r["doc_id"]: r for r in label_languages(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).collect()}
+    for i, text in enumerate(texts):
+        path = brute_viterbi(model, text)
+        spans = [s["lang"] for s in got[i]["spans"] for _ in range(s["first_word"], s["end_word"])]
+        assert spans == path
+        assert got[i]["lang_pred"] == (max(model.langs, key=path.count) if path else "und")
+    assert [s["lang"] for s in got[18]["spans"]] == ["en", "de", "ru"]
+    assert {r["lang_pred"] for r in label_languages(odd.where("text IS NULL OR trim(text) = ''"), model).collect()} == {"und"}
+    assert label_languages(empty, model).count() == 0
+    kept = filter_languages(odd, model)
+    assert kept.columns == odd.columns and kept.count() == label_languages(odd, model).where("lang_pred <> 'und' AND score >= 0.4").count()
+    none = fit_language_model(empty)
+    assert none.langs == [] and {r["lang_pred"] for r in label_languages(odd, none).collect()} == {"und"}
+
+
+def test_held_out_language_accuracy(spark):
+    rng = random.Random(9)
+    rows = [(i, prose(rng, lang, rng.randint(3, 30)), lang) for i, lang in enumerate(list(WORDS) * 100)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = fit_language_model(docs.where("doc_id % 5 <> 0"), per_lang=60)
+    tested = label_languages(docs.where("doc_id % 5 = 0"), model).join(docs.select("doc_id", "lang"), "doc_id")
+    assert tested.where("lang = lang_pred").count() >= 0.97 * tested.count()
+    assert isinstance(model, LanguageModel)
+
+
+def test_fold():
+    assert fold("1D10T") == "idiot" and fold("іdіоt") == "idiot" and fold("ＩＤＩＯＴ") == "idiot" and fold("id​iot") == "idiot" and fold("$tup!d") == "stupid"
+
+
+def test_lexicon_matches_words_beginnings_and_exceptions():
+    lexicon = Lexicon({"trash": 2.0, "idio*": 3.0}, exceptions=("trash can",))
+    assert [w for _, _, w in lexicon.weigh("Trash! 1d10tic, ultraidiot trashy tr4sh")[1]] == [2.0, 3.0, 2.0]
+    assert lexicon.weigh("a trash can and trash")[0] == 2.0
+    assert lexicon.weigh("")[0] == 0 and Lexicon({}).weigh("anything")[0] == 0
+    assert lexicon.score("trash") > lexicon.score("trash " + "fine " * 20_000) > 0
+
+
+def test_toxicity_of_held_out_documents(spark, odd, empty):
+    rng = random.Random(6)
+    rows = []
+    for i in range(600):
+        toxic = i % 4 == 0
+        words = [rng.choice(WORDS["en"]) for _ in range(rng.randint(5, 60))]
+        if toxic:
+            words[rng.randrange(len(words))] = rng.choice(["scum", "m0ron", "pathetic"])
+        rows.append((i, " ".join(words), int(toxic)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    labels = docs.where("doc_id % 3 <> 1").select("doc_id", "toxic").union(spark.createDataFrame([(None, 1), (5, None), (10**6, 1)], "doc_id long, toxic int"))
+    lexicon = fit_lexicon(docs.drop("toxic"), labels)
+    got = score_toxicity(docs.where("doc_id % 3 = 1"), lexicon).join(docs.select("doc_id", "toxic"), "doc_id").collect()
+    assert all(r["predicted"] == r["toxic"] and 0 <= r["score"] < 1 for r in got)
+    assert score_toxicity(odd, lexicon).count() == odd.count() and score_toxicity(empty, lexicon).count() == 0
+    assert fit_lexicon(empty, empty).weights == {}
+    assert {r["score"] for r in score_toxicity(odd, Lexicon({})).collect()} == {0.0}
+
+
+PHRASES = {n.phrase: n.label for n in license_scan.NOTICES}
+
+
+def licenses(text):
+    words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    hits = [(i, label) for p, label in PHRASES.items() for i in range(len(words)) if words[i : i + len(p.split())] == p.split()]
+    return len(words), len(hits), min((i for i, _ in hits), default=None), max((i for i, _ in hits), default=None), ",".join(sorted({x for _, x in hits}))
+
+
+def test_license_base_equals_brute_force(spark, odd, empty):
+    rng = random.Random(8)
+    parts = ["MIT", "License", "mit-license", "Apache\nlicense", "CC", "by", "é", "gnu general", "public", "license", "x9", "GNU General Public License", "--"]
+    texts = [" ".join(rng.choice(parts) for _ in range(rng.randint(0, 25))) for _ in range(300)]
+    docs = odd.select("doc_id", "text").union(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    got = summarise(scan_licenses(docs)).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels").collect()
+    assert sorted(map(tuple, got), key=str) == sorted(((r["doc_id"], *licenses(r["text"])) for r in docs.collect()), key=str)
+    assert scan_licenses(empty).count() == 0
+
+
+def test_fuzzy_licenses_equal_a_search_of_whole_texts(spark):
+    rng = random.Random(12)
+    notices = (Notice("apache license", "apache", 2), Notice("mit license", "mit", 1))
+    texts = []
+    for _ in range(300):
+        text = rng.choice([n.phrase for n in notices])
+        for _ in range(rng.randint(0, 3)):
+            at = rng.randrange(len(text))
+            text = text[:at] + rng.choice(["", "z", "é", " "]) + text[at + rng.randint(0, 1) :]
+        texts.append(f"under {text.strip()} terms")
+    got = {r["doc_id"]: {s["label"] for s in r["spans"]} for r in scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), notices).collect()}
+    for i, text in enumerate(texts):
+        spaced = " ".join(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", text))
+        expected = set()
+        for n in notices:
+            words = spaced.split()
+            runs = (" ".join(words[a:b]) for a in range(len(words)) for b in range(a + 1, min(len(words), a + 6) + 1))
+            if any(regex.fullmatch(rf"(?:{n.phrase}){{e<={n.errors}}}", run) for run in runs):
+                expected.add(n.label)
+        assert got[i] == expected, text
+
+
+def luhn(digits):
+    return sum(sum(divmod(int(c) * (1 + k % 2), 10)) for k, c in enumerate(reversed(digits))) % 10 == 0
+
+
+def digits_of(text):
+    return re.sub("[^0-9]", "", text)
+
+
+KINDS = [
+    ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda m: True),
+    ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda m: all(int(p) <= 255 for p in m.split("."))),
+    ("card", r"[0-9]([\x20-]?[0-9])+", lambda m: 12 <= len(digits_of(m)) <= 19 and luhn(digits_of(m))),
+    ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", lambda m: 9 <= len(digits_of(m)) <= 15),
+]
+
+
+def identifiers(text):
+    found = [(m.start(), k, m.end(), kind) for k, (kind, p, ok) in enumerate(KINDS) for m in re.finditer(p, text or "") if ok(m[0])]
+    return ",".join(f"{kind}:{a}:{b}" for a, _, b, kind in sorted(found))
+
+
+def test_pii_base_equals_brute_force(spark, odd, empty):
+    rng = random.Random(13)
+    parts = ["a.b@c-d.e", "x@y", "@", "é\U0001f600", "4111 1111 1111 1111", "4111-1111-1111-1112", "+1 (377) 555-0271", "192.168.0.1", "1.2.3.4.5.6.7.8", "300.1.1.1", "00255.0.0.0", "+", "5500005555555559", "\n", "\u0001", "12", "a", "..", "- ", "a%b@c.d.e%f@g.h"]
+    texts = ["".join(rng.choice(parts) + rng.choice(["", " ", "", "-"]) for _ in range(rng.randint(0, 14))) for _ in range(600)] + ["1 " * 20_000, "a." * 20_000 + "b@c.d", "x" * 50_000 + "@y." + "z." * 9_000 + "z"]
+    docs = odd.select("doc_id", "text").union(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    got = pii.summarise(pii.find_pii(docs)).collect()
+    expected = sorted(((r["doc_id"], identifiers(r["text"])) for r in docs.collect()), key=str)
+    assert sorted(((r["doc_id"], r["spans"]) for r in got), key=str) == expected
+    assert sorted((r["base_sha256"] for r in got)) == sorted(hashlib.sha256(e.encode()).hexdigest() for _, e in expected)
+    assert pii.find_pii(empty).count() == 0
+
+
+def test_terms_that_disclose_an_entity(spark):
+    rng = random.Random(14)
+    filler = ["market", "garden", "window", "yellow", "number", "silver"]
+    line = lambda *extra: " ".join([*(rng.choice(filler) for _ in range(8)), *extra])
+    rows = [(i, line("Zebulon", "zeb@corp.example") + "\n" + line()) for i in range(6)]
+    rows += [(100 + i, line() + "\n" + line()) for i in range(60)] + [(200, line("Zebulon")), (201, None), (None, line("mail", "once@x.example"))]
+    rows += [(300 + k, rows[0][1]) for k in range(5)]  # copies are no evidence by themselves
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    terms = pii.disclosing_terms(docs).collect()
+    assert [(r["term"], r["entity"], r["action"]) for r in terms] == [("zebulon", "email:zeb@corp.example", "remove")]
+    assert terms[0]["p"] == pytest.approx(11 / 12)
+    found = {r["doc_id"]: r for r in pii.find_pii(docs).collect()}
+    assert [s["kind"] for s in found[200]["spans"]] == ["term"] and [s["kind"] for s in found[0]["spans"]] == ["term", "email"] and found[100]["spans"] == []
+    clean = {r["doc_id"]: r["sanitised"] for r in pii.sanitise(pii.find_pii(docs)).collect()}
+    assert clean[200].endswith("[TERM]") and "[EMAIL]" in clean[0] and clean[100] == dict(rows)[100]
+
+
+def overlap(doc, item):
+    """The best score of any diagonal: +1 for an equal word, -2 for another."""
+    a, b = (re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").lower()) for t in (doc, item))
+    best = 0
+    for shift in range(-len(b), len(a) + 1):
+        now = 0
+        for k in range(len(b)):
+            if 0 <= k + shift < len(a):
+                now = max(now, 0) + (1 if a[k + shift] == b[k] else -2)
+                best = max(best, now)
+    return best, len(b)
+
+
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_decontamination_finds_substituted_passages_only(spark, odd, empty, monkeypatch, broadcast):
+    from terravela.llm import decontaminate
+
+    if not broadcast:
+        monkeypatch.setattr(decontaminate, "BROADCAST_WORDS", -1)
+    rng = random.Random(15)
+    word = lambda: f"v{rng.randrange(400)}"
+    items = [(i, " ".join(word() for _ in range(rng.choice([4, 9, 15, 40])))) for i in range(12)] + [(90, None), (91, "")]
+    docs = []
+    for i in range(60):
+        text = [word() for _ in range(rng.randint(0, 80))]
+        if i % 2:
+            part = rng.choice(items[:12])[1].split()
+            part = [word() if rng.random() < 0.06 else w for w in part[rng.randint(0, 3) :]]
+            at = rng.randint(0, len(text))
+            text[at:at] = part
+        docs.append((i, " ".join(text)))
+    frame = odd.select("doc_id", "text").union(spark.createDataFrame(docs, "doc_id long, text string"))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): r["score"] for r in contaminated(frame, bench).collect()}
+    expected = {}
+    for r in frame.collect():
+        for j, item in items:
+            score, n = overlap(r["text"], item)
+            if n >= 9 and score >= min(12, int(n * 0.8)):
+                expected[r["doc_id"], j] = max(score, expected.get((r["doc_id"], j), 0))
+    assert set(got) <= set(expected) and all(got[k] == expected[k] for k in got)
+    runs = lambda t: {tuple(w[k : k + 9]) for w in [(t or "").lower().split()] for k in range(len(w) - 8)}
+    texts = {r["doc_id"]: r["text"] for r in frame.collect()}
+    exact = {(d, j) for d, j in expected if runs(texts[d]) & runs(dict(items)[j])}
+    long = {k for k, v in expected.items() if v >= 12}
+    assert exact <= set(got) and len(long & set(got)) >= 0.9 * len(long) > 3
+    kept = drop_contaminated(odd.union(odd.sparkSession.createDataFrame([(77, items[3][1] + " " + items[11][1] + " " + items[5][1], None, 1, 1, "a", None)], odd.schema)), bench)
+    assert kept.columns == odd.columns and kept.where("doc_id = 77").count() == 0 and kept.count() == odd.count()
+    assert contaminated(empty, bench).count() == 0 and contaminated(odd, bench.limit(0)).count() == 0
