@@ -115,7 +115,7 @@ def parse_coordinates(text: Column) -> Column:
     """Points from "E,N E,N" or "E,N;E,N"; fails on a pair that isn't two numbers."""
 
     def pair(token):
-        x, y = F.split(token, ",")[0].try_cast("double"), F.split(token, ",")[1].try_cast("double")
+        x, y = F.get(F.split(token, ","), F.lit(0)).try_cast("double"), F.get(F.split(token, ","), F.lit(1)).try_cast("double")
         return F.struct(F.coalesce(x, F.raise_error("not a coordinate pair").cast("double")).alias("x"), F.coalesce(y, F.raise_error("not a coordinate pair").cast("double")).alias("y"))
 
     return F.transform(F.filter(F.split(F.trim(text), r"[;\s]+"), lambda t: t != ""), pair)
