@@ -11,6 +11,8 @@ from terravela.plans.lineage import broadcast_below, cut
 
 #: Hashes of repeated texts that may be broadcast, about 32 MB; beyond that the join shuffles.
 BROADCAST_ROWS = 400_000
+#: Rows of a group that meet one copy of the text that stays; larger groups are salted.
+SALT_ROWS = 256
 
 
 def content_hash(text: Column) -> Column:
@@ -31,14 +33,16 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     pick = {"min": F.min, "max": F.max}[keep]
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     docs = docs.withColumn("hash", hashed(F.col("text")))
-    repeated = cut(docs.groupBy("hash").agg(pick("doc_id").alias("model_id"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"))
+    repeated = cut(docs.groupBy("hash").agg(pick("doc_id").alias("model_id"), F.count(F.lit(1)).alias("n")).where("n > 1"))
     small = broadcast_below(repeated, BROADCAST_ROWS)
 
     singles = docs.join(small, "hash", "left_anti").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.sha2("text", 256).alias("text_sha256"))
 
-    members = docs.join(small, "hash")
-    models = members.where(F.col("doc_id").eqNullSafe(F.col("model_id"))).groupBy("hash").agg(F.min("text").alias("model"))
-    compared = members.join(models, "hash").select("doc_id", "hash", F.sha2("text", 256).alias("text_sha256"), F.when(F.col("text") != F.col("model"), F.col("text")).alias("other"))
+    members = docs.join(small, "hash").withColumn("salts", F.floor(F.col("n") / SALT_ROWS).cast("int"))
+    models = members.where(F.col("doc_id").eqNullSafe(F.col("model_id"))).dropDuplicates(["hash"])
+    models = models.select("hash", F.explode(F.sequence(F.lit(0), F.col("salts"))).alias("salt"), F.col("text").alias("model"))
+    salted = members.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.col("salts") + 1).cast("int"))
+    compared = salted.join(models, ["hash", "salt"]).select("doc_id", "hash", F.sha2("text", 256).alias("text_sha256"), F.when(F.col("text") != F.col("model"), F.col("text")).alias("other"))
     compared = cut(compared)
     groups = compared.groupBy("hash", "other").agg(pick("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
     same = (compared["hash"] == groups["hash"]) & compared["other"].eqNullSafe(groups["other"])
@@ -49,5 +53,6 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "min") -> DataFrame:
     """docs without the rows that exact_dedup does not keep; all columns stay. Rows without an id stay."""
     gone = exact_dedup(docs, id_col, text_col, keep).where("NOT kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_gone"), F.unhex("text_sha256").alias("_digest")).distinct()
-    same = (docs[id_col] == F.col("_gone")) & (F.unhex(F.sha2(F.coalesce(docs[text_col], F.lit("")), 256)) == F.col("_digest"))
-    return docs.join(broadcast_below(cut(gone), BROADCAST_ROWS), same, "left_anti")
+    gone = broadcast_below(cut(gone), BROADCAST_ROWS)
+    same = (docs[id_col] == gone["_gone"]) & (F.unhex(F.sha2(F.coalesce(docs[text_col], F.lit("")), 256)) == gone["_digest"])
+    return docs.join(gone, same, "left_anti")
