@@ -24,33 +24,38 @@ from terravela.plans.lineage import broadcast_below, cut
 BROADCAST_ROWS = 500_000
 #: Groups of a seed beyond this size are compared by equal parts of their signatures instead of all against all.
 DENSE = 2048
+#: Cells of the matrices in which a batch of pairs is compared.
+BLOCK_CELLS = 1 << 19
 _U = np.uint64
 
 
 def line_key(line: str) -> int:
     """The 64-bit key of a line, equal to Spark's xxhash64 of it."""
-    return int(np.uint64(xxhash.xxh64_intdigest(line.encode(), seed=42)).astype(np.int64))
+    return _signed(xxhash.xxh64_intdigest(line.encode(), seed=42))
 
 
-def segments(length: int, edits: int) -> list[tuple[int, int]]:
-    """Start and size of the edits + 1 segments of a line; sizes differ by one at most, longer ones last."""
-    size, longer = divmod(length, edits + 1)
-    sizes = [size + (i >= edits + 1 - longer) for i in range(edits + 1)]
-    return [(sum(sizes[:i]), sizes[i]) for i in range(edits + 1)]
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
 
 
-def probes(length: int, shorter: int, edits: int) -> list[tuple[int, int, int]]:
-    """(segment, start, size) of the substrings of a line of `length` that may equal a segment of one of `shorter`.
+def placements(length: np.ndarray, edits: int, min_chars: int = 0) -> Iterator[tuple[np.ndarray, np.ndarray, int, np.ndarray, np.ndarray, int]]:
+    """For lines of these lengths, which substrings to put out: (lines, indexed length, segment, start, size, role).
 
-    With i segments to the left and edits - i to the right, no more than that many edits fall on each side;
-    otherwise another segment finds the pair.
+    A line of n characters has edits + 1 segments whose sizes differ by one at most, longer ones last. It is indexed
+    (role 2) by its own, and probes (role 1; 3 for both) for lines of n - edits to n characters. A segment with i
+    segments to its left and edits - i to its right needs looking for only where at most that many edits fall on
+    each side; otherwise another segment finds the pair.
     """
-    gap, out = length - shorter, []
-    for i, (at, size) in enumerate(segments(shorter, edits)):
-        low = max(0, at - i, at + gap - (edits - i))
-        high = min(length - size, at + i, at + gap + (edits - i))
-        out += [(i, start, size) for start in range(low, high + 1)]
-    return out
+    for gap in range(edits + 1):
+        shorter = length - gap
+        base, longer = np.divmod(shorter, edits + 1)
+        for i in range(edits + 1):
+            size = base + (i >= edits + 1 - longer)
+            at = i * base + np.maximum(0, i - (edits + 1 - longer))
+            for shift in range(max(-i, gap - (edits - i)), min(i, gap + (edits - i)) + 1):
+                start = at + shift
+                fit = np.flatnonzero((start >= 0) & (start + size <= length) & (shorter >= max(min_chars, edits + 1)))
+                yield fit, shorter[fit], i, start[fit], size[fit], 3 if not gap and not shift else 1
 
 
 def _seeds(edits: int, min_chars: int):
@@ -58,8 +63,8 @@ def _seeds(edits: int, min_chars: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in tb.slices(batch, "text", 2 << 20):
-                lines = list({line for text in part.column(1).to_pylist() if text for line in text.split("\n") if len(line) >= min_chars and line.strip()})
+            for part in tb.slices(batch, "text"):
+                lines = [x for x in {line for text in part.column(1).to_pylist() if text for line in text.split("\n")} if len(x) >= min_chars and not x.isspace()]
                 if not lines:
                     continue
                 key = np.array([line_key(x) for x in lines], np.int64)
@@ -67,27 +72,17 @@ def _seeds(edits: int, min_chars: int):
                 length = np.array([len(x) for x in lines])
                 begin = np.cumsum(length) - length
                 # A parity bit for each class of characters: an edit flips two bits at most.
-                bit = _U(1) << (tb.mix(codes.astype(_U)) & _U(63))
+                bit = _U(1) << ((codes * np.uint32(0x9E3779B1)) >> np.uint32(26)).astype(_U)
                 signature = np.bitwise_xor.reduceat(bit, begin).view(np.int64)
                 spans = tb.SpanHash(codes)
                 out: list[list[np.ndarray]] = [[], [], [], []]
-                order = np.argsort(length, kind="stable")
-                cuts = np.flatnonzero(np.diff(length[order])) + 1
-                for rows in np.split(order, cuts):
-                    n = int(length[rows[0]])
-                    wanted: dict[tuple[int, int, int, int], int] = {}
-                    for shorter in range(max(min_chars, n - edits), n + 1):
-                        for i, start, size in probes(n, shorter, edits):
-                            wanted[shorter, i, start, size] = 1
-                    for i, (start, size) in enumerate(segments(n, edits)):
-                        wanted[n, i, start, size] = wanted.get((n, i, start, size), 0) | 2
-                    for (shorter, i, start, size), role in wanted.items():
-                        first = begin[rows] + start
-                        salt = tb.mix(np.array([shorter * 64 + i], _U))[0]
-                        out[0].append(tb.mix(spans.of(first, first + size) + salt).view(np.int64))
-                        out[1].append(key[rows])
-                        out[2].append(signature[rows])
-                        out[3].append(np.full(len(rows), role, np.int8))
+                for rows, shorter, i, start, size, role in placements(length, edits, min_chars):
+                    first = begin[rows] + start
+                    seed = tb.mix(spans.of(first, first + size) ^ tb.mix((shorter * 64 + i).astype(_U)))
+                    out[0].append(seed.view(np.int64))
+                    out[1].append(key[rows])
+                    out[2].append(signature[rows])
+                    out[3].append(np.full(len(rows), role, np.int8))
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], ["seed", "key", "signature", "role"])
 
     return run
@@ -164,27 +159,41 @@ def _pairs(edits: int):
     return run
 
 
+def _trimmed(x: str, y: str) -> tuple[np.ndarray, np.ndarray]:
+    """The code points of two lines without the beginning and then the end that they share; the distance stays."""
+    a, b = (np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32) for t in (x, y))
+    n = min(len(a), len(b))
+    differs = np.flatnonzero(a[:n] != b[:n])
+    head = int(differs[0]) if len(differs) else n
+    a, b = a[head:], b[head:]
+    n -= head
+    differs = np.flatnonzero(a[len(a) - n :][::-1] != b[len(b) - n :][::-1])
+    tail = int(differs[0]) if len(differs) else n
+    return a[: len(a) - tail], b[: len(b) - tail]
+
+
 def banded_distance(left: list[str], right: list[str], edits: int) -> np.ndarray:
     """Edit distances of the pairs, exact up to `edits` and greater beyond, a column of all pairs at a time.
 
     Bit k of a pair's vectors stands for the row that lies k - edits below the diagonal; a step to the next
     column moves the band down a row. The distance is carried along the band's lowest diagonal.
     """
-    n = len(left)
-    la, lb = np.array([len(x) for x in left]), np.array([len(x) for x in right])
-    out = np.full(n, edits + 1)
-    todo = np.flatnonzero(abs(la - lb) <= edits)
+    codes = [_trimmed(x, y) for x, y in zip(left, right)]
+    la, lb = np.array([len(x) for x, _ in codes], np.int64), np.array([len(y) for _, y in codes], np.int64)
+    out = np.full(len(left), edits + 1)
     width = 2 * edits + 1
     mask = _U((1 << width) - 1)
-    for some in np.array_split(todo[np.argsort(lb[todo], kind="stable")], max(1, -(-int(lb[todo].sum()) // (1 << 20)))):
-        if not len(some):
-            continue
-        columns = int(lb[some].max())
+    todo = np.flatnonzero(abs(la - lb) <= edits)
+    todo = todo[np.argsort(lb[todo], kind="stable")]
+    while len(todo):
+        # The longest pairs first, as many as fill a block of cells together.
+        columns = int(lb[todo[-1]])
+        some = todo[-max(1, BLOCK_CELLS // (columns + 3 * edits + 2)) :]
+        todo = todo[: len(todo) - len(some)]
         a = np.full((len(some), columns + 3 * edits + 2), -1, np.int64)
         b = np.full((len(some), columns), -2, np.int64)
         for i, k in enumerate(some.tolist()):
-            a[i, edits : edits + la[k]] = np.frombuffer(left[k].encode("utf-32-le", "surrogatepass"), np.uint32)
-            b[i, : lb[k]] = np.frombuffer(right[k].encode("utf-32-le", "surrogatepass"), np.uint32)
+            a[i, edits : edits + la[k]], b[i, : lb[k]] = codes[k]
         vp = np.full(len(some), _U(((1 << width) - 1) ^ ((1 << edits) - 1)))
         vn = np.zeros(len(some), _U)
         low = np.full(len(some), edits)
@@ -256,6 +265,8 @@ def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """docs with each text reduced to its blank lines and the lines that line_classes keeps; ids must be unique and not null."""
     gone = line_classes(docs, id_col, text_col, **options).where("NOT kept").groupBy("doc_id").agg(F.collect_set("line_no").alias("_gone"))
-    joined = docs.join(gone.withColumnRenamed("doc_id", "_id"), docs[id_col] == F.col("_id"), "left")
-    text = F.array_join(F.filter(F.split(text_col, "\n"), lambda line, i: ~F.array_contains("_gone", i)), "\n")
-    return joined.withColumn(text_col, F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(text)).select(*docs.columns)
+    gone = cut(gone)
+    joined = docs.join(gone, docs[id_col] == gone["doc_id"], "left")
+    kept = F.array_join(F.filter(F.split(docs[text_col], "\n"), lambda line, i: ~F.array_contains(gone["_gone"], i)), "\n")
+    text = F.when(gone["_gone"].isNull(), docs[text_col]).otherwise(kept)
+    return joined.select(*[text.alias(c) if c == text_col else docs[c] for c in docs.columns])
