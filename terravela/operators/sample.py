@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from terravela.functions.geometry import point_in_polygon, points
 from terravela.operators.grid import GridMeta
+from terravela.plans.lineage import cut
 
 
 def spot_levels(places: DataFrame, cells: DataFrame, meta: GridMeta) -> DataFrame:
@@ -95,9 +96,16 @@ def densify(spark: SparkSession, line: list[tuple[float, float]], spacing: float
 
 
 def gaps(values: DataFrame, column: str, digits: int) -> DataFrame:
-    """(gap): rounded differences of consecutive distinct values. The values of a range meet in one sort partition each."""
+    """(v, gap): rounded differences of consecutive distinct values.
+
+    Values are dealt out by ranges; only the last value of each range crosses to the next, so that no task sees all.
+    """
     distinct = values.where(F.col(column).isNotNull()).select(F.col(column).cast("double").alias("v")).distinct()
-    return distinct.withColumn("gap", F.round(F.col("v") - F.lag("v").over(Window.orderBy("v")), digits)).where("gap IS NOT NULL").select("v", "gap")
+    dealt = cut(distinct.repartitionByRange("v").withColumn("part", F.spark_partition_id()))
+    last = dealt.groupBy("part").agg(F.max("v").alias("last"))  # a row for each partition
+    entry = last.withColumn("entry", F.lag("last").over(Window.orderBy("part"))).drop("last")
+    before = F.coalesce(F.lag("v").over(Window.partitionBy("part").orderBy("v")), F.col("entry"))
+    return dealt.join(F.broadcast(entry), "part").withColumn("gap", F.round(F.col("v") - before, digits)).where("gap IS NOT NULL").select("v", "gap")
 
 
 def modal_gap(values: DataFrame, column: str, digits: int = 3) -> DataFrame:

@@ -250,6 +250,13 @@ def test_coordinates_come_back(spark):
     assert all(r[0] == pytest.approx(r[1]) for r in places.select(lat, "lat").collect())
 
 
+def test_gaps_cross_partitions(spark):
+    got = sample.gaps(spark.range(0, 3000, 3).selectExpr("cast(id as double) AS z").repartition(7), "z", 2).collect()
+    assert len(got) == 999 and {r["gap"] for r in got} == {3.0}
+    assert sample.modal_gap(spark.createDataFrame([(1.0,), (2.0,), (4.0,), (None,)], "z double"), "z").first()["gap"] == 1.0
+    assert sample.modal_gap(spark.createDataFrame([(1.0,)], "z double"), "z").count() == 0
+
+
 def test_texts(spark):
     one = spark.range(1)
     pick = lambda c: one.select(c.alias("x")).first()["x"]
