@@ -1,7 +1,7 @@
 """PII in DataFrame functions: patterned identifiers, and terms that reveal them by corpus co-occurrence.
 
 The second part is information-theoretic sanitisation. The protected entities are the identifiers found. Over
-the distinct lines of the whole corpus, a term discloses an entity by p = P(entity | term), at a gain of
+the lines of the whole corpus, a term discloses an entity by p = P(entity | term), at a gain of
 log2(p / P(entity)) bits over knowing nothing. A term beyond both thresholds is removed, one beyond
 the lower p generalised.
 """
@@ -54,10 +54,22 @@ def luhn(digits: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.length(digits)), F.lit(0), step) % 10 == 0
 
 
-def base_spans(text: Column) -> Column:
+#: What a text must hold for a kind to be looked for.
+_GUARDS = {"email": "@", "ip": r"[0-9]\.[0-9]++\.[0-9]", "card": "[0-9]" + r"[\x20-]?[0-9]" * 11, "phone": r"\+[0-9]"}
+
+
+def may_hold(text: Column) -> Column:
+    """False for most texts without an identifier, at the cost of a look."""
+    out = F.lit(False)
+    for pattern in _GUARDS.values():
+        out = out | text.rlike(pattern)
+    return out
+
+
+def base_spans(text: Column, extra: Column | None = None) -> Column:
     """Emails, IPv4 addresses, card and phone numbers of a non-null text, in order of start and kind.
 
-    Matches are leftmost and don't overlap within a kind; one that fails its check is dropped without another try.
+    extra: more spans, listed among them. Matches are leftmost and don't overlap within a kind; one that fails its check is dropped without another try.
     The patterns are written without repeated groups, so that no long run of matches can exhaust the stack.
     """
     plain = F.translate(text, _JOIN, "\u0002")
@@ -70,15 +82,10 @@ def base_spans(text: Column) -> Column:
     card = F.filter(matches(chained, r"(?<![0-9\x01])[0-9][0-9\x01]{11,}+", text), lambda m: F.length(_digits(m["value"])).between(12, 19) & luhn(_digits(m["value"])))
     phone = F.filter(matches(text, r"\+[0-9][\x20().0-9-]+[0-9]"), lambda m: F.length(_digits(m["value"])).between(9, 15))
     none = F.array().cast(_SPANS)
-    guards = {
-        "email": (F.instr(text, "@") > 0, email),
-        "ip": (text.rlike(r"[0-9]\.[0-9]++\.[0-9]"), ip),
-        "card": (text.rlike("[0-9]" + r"[\x20-]?[0-9]" * 11), card),
-        "phone": (text.rlike(r"\+[0-9]"), phone),
-    }
-    listed = []
-    for rank, (kind, (guard, found)) in enumerate(guards.items()):
-        listed.append(F.when(guard, F.transform(found, _named(kind, rank))).otherwise(none))
+    found = {"email": email, "ip": ip, "card": card, "phone": phone}
+    listed = [F.when(text.rlike(_GUARDS[kind]), F.transform(x, _named(kind, rank))).otherwise(none) for rank, (kind, x) in enumerate(found.items())]
+    if extra is not None:
+        listed.append(F.coalesce(extra, none))
     return F.array_sort(F.concat(*listed))
 
 
@@ -97,28 +104,29 @@ def _terms(line: Column) -> Column:
 
 
 def disclosing_terms(docs: DataFrame, support: int = 3, least_p: float = 0.5, remove_p: float = 0.8, bits: float = 2.0) -> DataFrame:
-    """(term, entity, p, gain_bits, action) over the distinct lines of docs(text): terms that reveal an entity.
+    """(term, entity, p, gain_bits, action) over all lines of docs(text): terms that reveal an entity.
 
-    A term counts once a distinct line, so that copied documents are no evidence. It needs `support` distinct
-    lines together with the entity. action is "remove" from remove_p on, else "generalise". Counts are exact and
+    A term counts once a line. It needs `support` different lines together with the entity, so that copied
+    documents are no evidence; p and the gain are shares of all lines, copies included. action is "remove" from remove_p on, else "generalise". Counts are exact and
     cover all lines; no list of a term's or an entity's lines is ever gathered.
     """
-    lines = docs.where(F.size(base_spans(F.col("text"))) > 0).select(F.explode(F.split("text", "\n")).alias("line")).distinct()
-    lines = lines.select("line", base_spans(F.col("line")).alias("spans")).where(F.size("spans") > 0)
+    lines = docs.where(may_hold(F.col("text"))).select(F.explode(F.split("text", "\n")).alias("line")).where(may_hold(F.col("line"))).groupBy("line").agg(F.count(F.lit(1)).alias("copies"))
+    lines = lines.select("line", "copies", base_spans(F.col("line")).alias("spans")).where(F.size("spans") > 0)
     blanked = F.aggregate("spans", F.col("line"), lambda text, s: F.replace(text, s["value"], F.lit(" ")))
-    lines = cut(lines.select(F.transform("spans", lambda s: F.concat_ws(":", s["kind"], s["value"])).alias("entities"), _terms(blanked).alias("terms")))
-    seen = lines.select(F.explode(F.array_distinct("entities")).alias("entity"), "terms")
-    frequent = cut(seen.groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity")).where(F.col("n_entity") >= support))
+    lines = cut(lines.select(F.transform("spans", lambda s: F.concat_ws(":", s["kind"], s["value"])).alias("entities"), _terms(blanked).alias("terms"), "copies"))
+    seen = lines.select(F.explode(F.array_distinct("entities")).alias("entity"), "terms", "copies")
+    counts = F.count(F.lit(1)).alias("n_lines"), F.sum("copies").alias("n")
+    frequent = cut(seen.groupBy("entity").agg(*counts).where(F.col("n_lines") >= support).select("entity", F.col("n").alias("n_entity")))
     none = docs.sparkSession.createDataFrame([], "term string, entity string, p double, gain_bits double, action string")
     if not frequent.limit(1).count():
         return none
-    both = seen.join(broadcast_below(frequent.select("entity"), BROADCAST_ROWS), "entity", "left_semi").select("entity", F.explode("terms").alias("term")).groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_both")).where(F.col("n_both") >= support)
+    both = seen.join(broadcast_below(frequent.select("entity"), BROADCAST_ROWS), "entity", "left_semi").select("entity", F.explode("terms").alias("term"), "copies").groupBy("entity", "term").agg(*counts).where(F.col("n_lines") >= support).select("entity", "term", F.col("n").alias("n_both"))
     both = cut(both)
     if not both.limit(1).count():
         return none
-    every = docs.select(F.explode(F.split("text", "\n")).alias("line")).select(F.xxhash64("line").alias("line_hash"), F.explode(_terms(F.col("line"))).alias("term"))
+    every = docs.select(F.explode(F.split("text", "\n")).alias("line")).select(F.explode(_terms(F.col("line"))).alias("term"))
     wanted = broadcast_below(both.select("term").distinct(), BROADCAST_ROWS)
-    n_term = every.join(wanted, "term", "left_semi").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
+    n_term = every.join(wanted, "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
     total = docs.agg(F.sum(F.size(F.split("text", "\n")))).first()[0] or 1
     p = F.col("n_both") / F.col("n_term")
     scored = both.join(n_term, "term").join(frequent, "entity").withColumns({"p": p, "gain_bits": F.log2(p * total / F.col("n_entity"))})
@@ -133,17 +141,15 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     terms = disclosing_terms(docs, **thresholds).select("term").distinct()
-    spans = base_spans(F.col("text"))
     if not terms.limit(1).count():
-        return docs.select("doc_id", "text", spans.alias("spans"))
+        return docs.select("doc_id", "text", base_spans(F.col("text")).alias("spans"))
     held = docs.select("doc_id", F.xxhash64("text").alias("key"), F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}]+"))).alias("term"))
     held = held.join(broadcast_below(terms, BROADCAST_ROWS), "term", "left_semi").groupBy("doc_id", "key").agg(F.concat_ws("|", F.sort_array(F.collect_set("term"))).alias("alternatives"))
     held = cut(held.select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), "alternatives"))
     joined = docs.join(broadcast_below(held, BROADCAST_ROWS), docs["doc_id"].eqNullSafe(F.col("_id")) & (F.xxhash64(docs["text"]) == F.col("_key")), "left")
     pattern = F.concat(F.lit(r"(?iu)(?<!\p{L})(?:"), F.col("alternatives"), F.lit(r")(?!\p{L})"))
     extra = F.transform(matches(F.col("text"), pattern), _named("term", KINDS.index("term")))
-    found = F.when(F.col("alternatives").isNull(), spans).otherwise(F.array_sort(F.concat(spans, extra)))
-    return joined.select("doc_id", "text", found.alias("spans"))
+    return joined.select("doc_id", "text", base_spans(F.col("text"), F.when(F.col("alternatives").isNotNull(), extra)).alias("spans"))
 
 
 def sanitise(found: DataFrame) -> DataFrame:
