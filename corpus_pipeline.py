@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terravela.llm.bpe import bpe_decode, bpe_encode, digests
+from terravela.llm.bpe import bpe_round_trip, digests
 from terravela.llm.decontaminate import drop_contaminated
 from terravela.llm.exact_dedup import drop_copies
 from terravela.llm.language_id import filter_languages, fit_language_model
@@ -38,7 +38,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts and digests of the ids and of the decoded bytes."""
     path, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
-    return digests(bpe_decode(bpe_encode(docs, path, pattern), path, pattern))
+    return digests(bpe_round_trip(docs, path, pattern))
 
 
 STAGES = [("language_id", language_id), ("exact_dedup", exact_copies), ("ngram_jaccard_join", near_copies), ("benchmark_decontamination", decontaminate), ("byte_level_bpe", encode)]

@@ -24,7 +24,7 @@ _NONE = np.int64(1) << 40
 #: Pieces beyond this many bytes (unbroken runs) are merged with a heap instead of a matrix row.
 MATRIX_BYTES = 4096
 #: Distinct pieces that a worker remembers; a larger memory is emptied, which changes no result.
-REMEMBERED = 250_000
+REMEMBERED = 100_000
 
 
 class PairTable:
@@ -46,6 +46,15 @@ class PairTable:
     def _slot(self, keys: np.ndarray) -> np.ndarray:
         return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
 
+    def find_one(self, left: int, right: int) -> int | None:
+        key = (left << 32) | right
+        slot = (key * 0x9E3779B97F4A7C15 % (1 << 64)) >> (64 - self.bits)
+        while (seen := int(self.keys[slot])) != -1:
+            if seen == key:
+                return int(self.values[slot])
+            slot = (slot + 1) & (len(self.keys) - 1)
+        return None
+
     def find(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Ranks, _NONE where there is no such pair; negative ids are padding."""
         keys = np.where((left >= 0) & (right >= 0), (left << 32) | right, -2)
@@ -60,21 +69,26 @@ class PairTable:
         return out
 
 
+def read_ranks(rank_file: bytes) -> dict[bytes, int]:
+    return {base64.b64decode(a): int(b) for a, b in (line.split() for line in rank_file.splitlines() if line)}
+
+
 class Encoder:
     def __init__(self, rank_file: bytes, pattern: str):
-        self.ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in rank_file.splitlines() if line)}
+        self.ranks = read_ranks(rank_file)
         self.split = regex.compile(pattern).findall
-        pairs = {(a, b): r for token, r in self.ranks.items() for i in range(1, len(token)) if (a := self.ranks.get(token[:i])) is not None and (b := self.ranks.get(token[i:])) is not None}
-        left = np.fromiter((a for a, _ in pairs), np.int64, len(pairs))
-        right = np.fromiter((b for _, b in pairs), np.int64, len(pairs))
-        self.pairs, self.table = pairs, PairTable((left << 32) | right, np.fromiter(pairs.values(), np.int64, len(pairs)))
         self.byte = np.array([self.ranks[bytes([i])] for i in range(256)], np.int64)
         self.known: dict[str, tuple[int, ...]] = {}
-        by_id = dict(zip(self.ranks.values(), self.ranks))
-        tokens = [by_id.get(i, b"") for i in range(max(by_id) + 1)]
-        self.bytes = np.frombuffer(b"".join(tokens), np.uint8)
-        self.length = np.array([len(t) for t in tokens], np.int64)
-        self.begin = np.cumsum(self.length) - self.length
+        merges = np.fromiter(chain.from_iterable(self._merges()), np.int64).reshape(-1, 3)
+        self.table = PairTable((merges[:, 0] << 32) | merges[:, 1], merges[:, 2].copy())
+
+    def _merges(self) -> Iterator[tuple[int, int, int]]:
+        """(left, right, rank) for each way to make a token of two others."""
+        for token, rank in self.ranks.items():
+            for i in range(1, len(token)):
+                left, right = self.ranks.get(token[:i]), self.ranks.get(token[i:])
+                if left is not None and right is not None:
+                    yield left, right, rank
 
     def encode(self, texts: list[str]) -> list[list[int]]:
         pieces = [self.split(t) for t in texts]
@@ -133,7 +147,8 @@ class Encoder:
         ids = self.byte[np.frombuffer(piece, np.uint8)].tolist()
         n = len(ids)
         after, before, alive = list(range(1, n + 1)), list(range(-1, n - 1)), [True] * n
-        heap = [(r, i, ids[i], ids[i + 1]) for i in range(n - 1) if (r := self.pairs.get((ids[i], ids[i + 1]))) is not None]
+        first = self.table.find(np.array(ids[:-1]), np.array(ids[1:])).tolist()
+        heap = [(r, i, ids[i], ids[i + 1]) for i, r in enumerate(first) if r != _NONE]
         heapq.heapify(heap)
         while heap:
             rank, i, a, b = heapq.heappop(heap)
@@ -144,10 +159,19 @@ class Encoder:
             if after[j] < n:
                 before[after[j]] = i
             for x, y in ((before[i], i), (i, after[i])):
-                if x >= 0 and y < n and (r := self.pairs.get((ids[x], ids[y]))) is not None:
+                if x >= 0 and y < n and (r := self.table.find_one(ids[x], ids[y])) is not None:
                     heapq.heappush(heap, (r, x, ids[x], ids[y]))
         return tuple(x for x, there in zip(ids, alive) if there)
 
+
+class Decoder:
+    def __init__(self, rank_file: bytes):
+        by_id = {rank: token for token, rank in read_ranks(rank_file).items()}
+        tokens = [by_id.get(i, b"") for i in range(max(by_id) + 1)]
+        self.bytes = np.frombuffer(b"".join(tokens), np.uint8)
+        self.length = np.array([len(t) for t in tokens], np.int64)
+        self.begin = np.cumsum(self.length) - self.length
+
     def decode(self, ids: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Bytes of all rows' ids one after another, and the rows' offsets in them."""
         length = self.length[ids]
@@ -156,15 +180,24 @@ class Encoder:
         return self.bytes[shift + np.arange(ends[-1])], ends[offsets]
 
 
-_encoders: dict[tuple[bytes, str], Encoder] = {}
+#: By maker: the value and what was made of it.
+_held: dict = {}
+
+
+def _once(shared, make):
+    """What make builds of a broadcast's value, built once in a process; another value takes its place."""
+    value = shared.value
+    if make not in _held or _held[make][0] != value:
+        _held[make] = value, make(value)
+    return _held[make][1]
+
 
+def _new_encoder(value: tuple[bytes, str]) -> Encoder:
+    return Encoder(*value)
 
-def _encoder(shared) -> Encoder:
-    rank_file, pattern = shared.value
-    key = rank_file[:64] + len(rank_file).to_bytes(4), pattern
-    if key not in _encoders:
-        _encoders[key] = Encoder(rank_file, pattern)
-    return _encoders[key]
+
+def _new_decoder(value: tuple[bytes, str]) -> Decoder:
+    return Decoder(value[0])
 
 
 def _share(df: DataFrame, path: str, pattern: str):
@@ -173,6 +206,26 @@ def _share(df: DataFrame, path: str, pattern: str):
         return df.sparkSession.sparkContext.broadcast((f.read(), pattern))
 
 
+def _encoded(encoder: Encoder, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All rows' ids one after another, and the rows' offsets in them."""
+    ids = encoder.encode([t or "" for t in texts.to_pylist()])
+    offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int64)
+    return np.fromiter(chain.from_iterable(ids), np.int32, int(offsets[-1])), offsets
+
+
+def _listed(ids: np.ndarray, offsets: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids))
+
+
+def _decoded(decoder: Decoder, ids: np.ndarray, offsets: np.ndarray) -> pa.Array:
+    data, at = decoder.decode(ids.astype(np.int64), offsets)
+    return pa.Array.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(at.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data))]).cast(pa.binary())
+
+
+def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return tb.short_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+
+
 def bpe_encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, ids array<int>): each match of pattern encoded separately; no special tokens.
 
@@ -181,15 +234,13 @@ def bpe_encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
     shared = _share(docs, path, pattern)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(shared)
+        encoder = _once(shared, _new_encoder)
         for batch in batches:
-            for part in tb.slices(batch, "text", 2 << 20):
-                ids = encoder.encode([t or "" for t in part.column(1).to_pylist()])
-                offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
-                flat = np.fromiter(chain.from_iterable(ids), np.int32, int(offsets[-1]))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], ["doc_id", "ids"])
+            for part in tb.slices(batch, "text"):
+                yield pa.RecordBatch.from_arrays([part.column(0), _listed(*_encoded(encoder, part.column(1)))], ["doc_id", "ids"])
+        encoder.known.clear()
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, ids array<int>")
+    return _texts(docs, id_col, text_col).mapInArrow(run, "doc_id long, ids array<int>")
 
 
 def bpe_decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -197,20 +248,32 @@ def bpe_decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
     shared = _share(encoded, path, pattern)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(shared)
+        decoder = _once(shared, _new_decoder)
         for batch in batches:
-            for i in range(0, batch.num_rows, 500):
-                part = batch.slice(i, 500)
+            for i in range(0, batch.num_rows, 200):
+                part = batch.slice(i, 200)
                 ids = part.column(1)
-                counts = np.asarray(pa.compute.list_value_length(ids).fill_null(0), np.int64)
-                offsets = np.concatenate([[0], np.cumsum(counts)])
-                data, at = encoder.decode(ids.flatten().to_numpy(zero_copy_only=False).astype(np.int64), offsets)
-                out = pa.Array.from_buffers(pa.large_binary(), len(ids), [None, pa.py_buffer(at.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data))])
-                yield pa.RecordBatch.from_arrays([part.column(0), ids, out.cast(pa.binary())], ["doc_id", "ids", "decoded"])
+                offsets = np.concatenate([[0], np.cumsum(np.asarray(pa.compute.list_value_length(ids).fill_null(0), np.int64))])
+                yield pa.RecordBatch.from_arrays([part.column(0), ids, _decoded(decoder, ids.flatten().to_numpy(zero_copy_only=False), offsets)], ["doc_id", "ids", "decoded"])
 
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids array<int>, decoded binary")
 
 
+def bpe_round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """bpe_decode of bpe_encode in one pass of one worker: (doc_id, ids, decoded)."""
+    shared = _share(docs, path, pattern)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder, decoder = _once(shared, _new_encoder), _once(shared, _new_decoder)
+        for batch in batches:
+            for part in tb.slices(batch, "text"):
+                ids, offsets = _encoded(encoder, part.column(1))
+                yield pa.RecordBatch.from_arrays([part.column(0), _listed(ids, offsets), _decoded(decoder, ids, offsets)], ["doc_id", "ids", "decoded"])
+        encoder.known.clear()
+
+    return _texts(docs, id_col, text_col).mapInArrow(run, "doc_id long, ids array<int>, decoded binary")
+
+
 def digests(decoded: DataFrame) -> DataFrame:
     """Per document: doc_id, n_tokens, and SHA-256 of the decimal ids joined by commas and of the decoded bytes."""
     ids = F.coalesce(F.col("ids"), F.array().cast("array<int>"))

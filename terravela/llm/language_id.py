@@ -29,6 +29,8 @@ BUCKETS = 1 << 17
 #: Documents per language that fit_language_model reads at most, about.
 SAMPLE_PER_LANG = 600
 BLOCK = 128
+#: Bytes of text that are labelled at a time.
+LABEL_BYTES = 1 << 20
 
 _SEPARATOR = np.ones(256, bool)
 _SEPARATOR[0x80:] = False
@@ -203,11 +205,11 @@ def label_languages(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in tb.slices(batch, "text"):
+            for part in tb.slices(batch, "text", LABEL_BYTES):
                 yield _label(shared.value, part)
 
     out = "doc_id long, lang_pred string, score double, spans array<struct<first_word:int,end_word:int,lang:string>>"
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, out)
+    return tb.short_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, out)
 
 
 def filter_languages(docs: DataFrame, model: LanguageModel, text_col: str = "text", least_share: float = 0.4) -> DataFrame:
@@ -221,10 +223,11 @@ def filter_languages(docs: DataFrame, model: LanguageModel, text_col: str = "tex
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = pa.RecordBatch.from_arrays([pa.array(range(batch.num_rows), pa.int64()), batch.column(place)], ["row", "text"])
-            keep = []
-            for part in tb.slices(texts, "text"):
+            at = 0
+            for part in tb.slices(texts, "text", LABEL_BYTES):
                 found = _label(shared.value, part)
-                keep += [lang != "und" and share >= least_share for lang, share in zip(found.column(1).to_pylist(), found.column(2).to_pylist())]
-            yield batch.filter(pa.array(keep, pa.bool_()))
+                keep = [lang != "und" and share >= least_share for lang, share in zip(found.column(1).to_pylist(), found.column(2).to_pylist())]
+                yield batch.slice(at, part.num_rows).filter(pa.array(keep, pa.bool_()))
+                at += part.num_rows
 
-    return docs.mapInArrow(run, docs.schema)
+    return tb.short_batches(docs).mapInArrow(run, docs.schema)

@@ -184,7 +184,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     reachable, null only where no document of the component has an id. Repeated ids are separate
     documents that happen to share an id. Other columns of docs are ignored, whatever their names.
     """
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    docs = tb.short_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     signatures = cut(docs.mapInArrow(_signatures(words), "doc_id long, n long, node long"))
 
     postings = docs.mapInArrow(_prefix_postings(words, percent), "hash long, node long, n long, shared long")

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terravela.llm.bpe import bpe_decode, bpe_encode, digests
+from terravela.llm.bpe import bpe_round_trip, digests
 from terravela.llm.decontaminate import contaminated
 from terravela.llm.exact_dedup import exact_dedup
 from terravela.llm.language_id import fit_language_model, label_languages
@@ -72,7 +72,7 @@ def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
 def op10_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
-    return digests(bpe_decode(bpe_encode(_table(spark, sf_dir, "documents"), path, pattern), path, pattern))
+    return digests(bpe_round_trip(_table(spark, sf_dir, "documents"), path, pattern))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

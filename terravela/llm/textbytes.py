@@ -10,9 +10,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 
 #: Bytes of text that one numpy pass works on (a single longer text makes a slice of its own).
-SLICE_BYTES = 3 << 20
+SLICE_BYTES = 1 << 20
 
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -23,6 +24,14 @@ _LOWER[0x41:0x5B] += 32
 _powers: dict[str, np.ndarray] = {}
 
 
+def short_batches(df: DataFrame, rows: int = 2000) -> DataFrame:
+    """df, with the session's Arrow batches held to so many rows, so that batches of long texts stay small on both sides."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(df.sparkSession.conf.get(name)) <= rows:
+        df.sparkSession.conf.set(name, str(rows))
+    return df
+
+
 def slices(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut a batch into runs of rows whose texts have about `most` bytes together."""
     if not batch.num_rows:
@@ -76,7 +85,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 def _power(name: str, base: int, n: int) -> np.ndarray:
     have = _powers.get(name)
     if have is None or len(have) < n:
-        size = 1 << max(22, (n - 1).bit_length())
+        size = 1 << max(21, (n - 1).bit_length())
         have = np.full(size, _U(base), _U)
         have[0] = 1
         have = _powers[name] = np.multiply.accumulate(have)

@@ -35,6 +35,8 @@ def test_bpe_equals_tiktoken_and_comes_back(spark, odd, empty):
     row = digests(bpe_decode(bpe_encode(docs.where("doc_id = 8").limit(1), path, tokenizers.PATTERN), path, tokenizers.PATTERN)).first()
     ids = next(i for d, i, _ in expected if d == 8)
     assert row["n_tokens"] == len(ids) and row["ids_sha256"] == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
+    once = bpe.bpe_round_trip(docs, path, tokenizers.PATTERN).collect()
+    assert sorted(((r["doc_id"], r["ids"], bytes(r["decoded"])) for r in once), key=str) == expected
     assert bpe_encode(empty, path, tokenizers.PATTERN).count() == 0
 
 
