@@ -360,7 +360,7 @@ def boundary_enrichment(spark, sf_dir):
 
 @query()
 def rasterize_lines(spark, sf_dir):
-    points = table(spark, sf_dir, "lineitem").where("l_orderkey % 40 = 0").selectExpr("l_orderkey AS line", "l_linenumber AS seq", "l_partkey % 700 / 10.0D - 3 AS x", "l_suppkey % 700 / 10.0D - 3 AS y")
+    points = table(spark, sf_dir, "lineitem").selectExpr("l_orderkey AS line", "l_linenumber AS seq", "l_partkey % 700 / 10.0D - 3 AS x", "l_suppkey % 700 / 10.0D - 3 AS y")
     return vector.rasterize_lines(points, META)
 
 
@@ -486,7 +486,7 @@ def tile_summary(spark, sf_dir):
 @query()
 def dem_sampler(spark, sf_dir):
     _, pixels = _pixels(spark, sf_dir)
-    places = ragged(dem(spark, sf_dir)).where("(row + col) % 9 = 0").select(PLACED.cell_id().alias("id"), PLACED.x(F.col("col")).alias("e"), PLACED.y(F.col("row")).alias("n"))
+    places = ragged(dem(spark, sf_dir)).select(PLACED.cell_id().alias("id"), PLACED.x(F.col("col")).alias("e"), PLACED.y(F.col("row")).alias("n"))
     lon, lat = geodesy.utm_to_lon_lat(F.col("e"), F.col("n"), F.lit(43), F.lit(True))
     return rounded(tiles.elevation_at(places.select("id", lon.alias("lon"), lat.alias("lat")), pixels, 15).select("id", "elevation"), 3)
 
