@@ -3,7 +3,8 @@
 A seed hashes the words of a window that a mask selects, so that a substituted word in an ignored place
 changes nothing. Test items are hashed at every place, documents at every `stride`-th one (1: at every place, so that
 an item of as many words as a mask spans can't be missed). Around each hit the diagonal is scored, +1 for an equal word and -2 for a
-substituted one, and the best stretch decides.
+substituted one, and the best stretch decides, or the share of the item's words that the diagonal holds. For that share an item of
+which s words may differ is cut into s + 1 parts, of which one is unchanged; the first words of each part are seeds too.
 """
 
 from __future__ import annotations
@@ -25,19 +26,34 @@ def word_array(text: Column) -> Column:
     return F.transform(words, lambda w: F.xxhash64(w))
 
 
-def _seeds(words: DataFrame, stride: int, masks: tuple[str, ...]) -> DataFrame:
-    """words(..., w array<long>) -> a row for each window and mask: (..., at, seed)."""
+def _may_differ(n: int) -> int:
+    """Words of n that may differ when 0.8 of them are equal."""
+    return n // 5
+
+
+def _gram(span: int) -> int:
+    """Words that each part of an item of span words or more has."""
+    return min(n // (_may_differ(n) + 1) for n in range(span, span + 50))
+
+
+def _seeds(words: DataFrame, stride: int, masks: tuple[str, ...], parts: bool = False) -> DataFrame:
+    """words(..., w array<long>) -> a row for each window and mask, and for each place (parts: each part's beginning): (..., at, seed)."""
     span = len(masks[0])
-    last = F.size("w") - span
-    windows = words.where(last >= 0).withColumn("at", F.explode(F.sequence(F.lit(0), last, F.lit(stride))))
-    hashes = [F.xxhash64(F.lit(k), *[F.get("w", F.col("at") + i) for i, bit in enumerate(mask) if bit == "1"]) for k, mask in enumerate(masks)]
-    return windows.withColumn("seed", F.explode(F.array(*hashes)))
+    gram = _gram(span)
+    at = F.col("at")
+    windows = words.where(F.size("w") >= gram).withColumn("at", F.explode(F.sequence(F.lit(0), F.size("w") - gram)))
+    hashes = [F.when((at % stride == 0) & (at <= F.size("w") - span), F.xxhash64(F.lit(k), *[F.get("w", at + i) for i, bit in enumerate(mask) if bit == "1"])) for k, mask in enumerate(masks)]
+    part = F.xxhash64(F.lit(len(masks)), *[F.get("w", at + i) for i in range(gram)])
+    if parts:
+        n = F.floor(F.size("w") / 5) + 1
+        part = F.when(F.array_contains(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.floor(i * F.size("w") / n)), at.cast("long")), part)
+    return windows.withColumn("seed", F.explode(F.array(*hashes, part))).where("seed IS NOT NULL")
 
 
 def _best_stretch(w: Column, item: Column, shift: Column) -> Column:
-    """Best-scoring stretch of the diagonal on which item[k] meets w[k + shift]: score, first and end (in the document), equal words."""
+    """Best-scoring stretch of the diagonal on which item[k] meets w[k + shift]: score, first and end (in the document), equal words; all equal words of the diagonal."""
     low, high = F.greatest(F.lit(0), -shift), F.least(F.size(item), F.size(w) - shift) - 1
-    start = F.struct(*[F.lit(0).alias(x) for x in ("now", "since", "equal", "score", "first", "end", "same")])
+    start = F.struct(*[F.lit(0).alias(x) for x in ("now", "since", "equal", "score", "first", "end", "same", "all")])
 
     def step(a, k):
         equal = F.get(item, k) == F.get(w, k + shift)
@@ -46,7 +62,7 @@ def _best_stretch(w: Column, item: Column, shift: Column) -> Column:
         since = F.when(fresh, k + shift).otherwise(a["since"])
         n = F.when(fresh, 0).otherwise(a["equal"]) + equal.cast("int")
         better = now > a["score"]
-        return F.struct(now.alias("now"), since.alias("since"), n.alias("equal"), F.when(better, now).otherwise(a["score"]).alias("score"), F.when(better, since).otherwise(a["first"]).alias("first"), F.when(better, k + shift + 1).otherwise(a["end"]).alias("end"), F.when(better, n).otherwise(a["same"]).alias("same"))
+        return F.struct(now.alias("now"), since.alias("since"), n.alias("equal"), F.when(better, now).otherwise(a["score"]).alias("score"), F.when(better, since).otherwise(a["first"]).alias("first"), F.when(better, k + shift + 1).otherwise(a["end"]).alias("end"), F.when(better, n).otherwise(a["same"]).alias("same"), (a["all"] + equal.cast("int")).alias("all"))
 
     return F.aggregate(F.sequence(low, high), start, step)
 
@@ -54,24 +70,28 @@ def _best_stretch(w: Column, item: Column, shift: Column) -> Column:
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", masks: tuple[str, ...] = MASKS, stride: int = 1, least_score: int = 12) -> DataFrame:
     """(doc_id, item_id, score, first_word, end_word, same_words): documents that hold a passage of a test item.
 
-    A row for each pair whose best stretch scores least_score, or 0.8 of the item's words if that is less. Items of
-    fewer words than a mask spans are too short to tell and match nothing, as do null and empty texts. Rows
-    of docs with equal ids are judged one by one and reported once. Other columns are ignored.
+    A row for each pair whose best stretch scores least_score, or 0.8 of the item's words if that is less, and for
+    each pair of which 0.8 of the item's words are equal at their places, whatever they score; the columns tell of
+    the best stretch. Items of fewer words than a mask spans are too short to tell and match nothing, as do null and
+    empty texts. Rows of docs or benchmark with equal or null ids are judged one by one and reported once. Other
+    columns are ignored.
     """
-    items = cut(benchmark.select(F.col(item_col).alias("item_id"), word_array(F.col(item_text_col)).alias("item")).where(F.size("item") >= len(masks[0])))
-    index = _seeds(items.withColumnRenamed("item", "w"), 1, masks).groupBy("seed", "item_id", "at").agg(F.lit(1).alias("one")).select("seed", "item_id", F.col("at").alias("item_at"))
+    items = benchmark.select(F.col(item_col).alias("item_id"), word_array(F.col(item_text_col)).alias("item")).where(F.size("item") >= len(masks[0]))
+    items = cut(items.withColumn("item_key", F.monotonically_increasing_id()))
+    index = _seeds(items.withColumnRenamed("item", "w"), 1, masks, parts=True).select("seed", "item_key", F.col("at").alias("item_at"))
     words = docs.select(F.col(id_col).cast("long").alias("doc_id"), word_array(F.col(text_col)).alias("w"))
     if (items.agg(F.sum(F.size("item"))).first()[0] or 0) <= BROADCAST_WORDS:
-        hits = _seeds(words, stride, masks).join(F.broadcast(index), "seed").join(F.broadcast(items), "item_id")
+        hits = _seeds(words, stride, masks).join(F.broadcast(index), "seed").join(F.broadcast(items), "item_key")
     else:
         keyed = words.withColumn("key", F.xxhash64("w"))
-        found = _seeds(keyed, stride, masks).select("doc_id", "key", "at", "seed").join(index, "seed").select("doc_id", "key", "item_id", (F.col("at") - F.col("item_at")).alias("shift")).distinct()
+        found = _seeds(keyed, stride, masks).select("doc_id", "key", "at", "seed").join(index, "seed").select("doc_id", "key", "item_key", (F.col("at") - F.col("item_at")).alias("shift")).distinct()
         same = keyed["doc_id"].eqNullSafe(F.col("_id")) & (keyed["key"] == F.col("_key"))
-        found = found.select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), "item_id", "shift")
-        hits = found.join(keyed.dropDuplicates(["doc_id", "key"]), same).join(items, "item_id").withColumns({"at": F.col("shift"), "item_at": F.lit(0)})
+        found = found.select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), "item_key", "shift")
+        hits = found.join(keyed.dropDuplicates(["doc_id", "key"]), same).join(items, "item_key").withColumns({"at": F.col("shift"), "item_at": F.lit(0)})
     best = _best_stretch(F.col("w"), F.col("item"), F.col("at") - F.col("item_at"))
     need = F.least(F.lit(least_score), F.floor(F.size("item") * 0.8).cast("int"))
-    scored = hits.select("doc_id", "item_id", best.alias("best"), need.alias("need")).where(F.col("best.score") >= F.col("need"))
+    share = F.size("item") - F.floor(F.size("item") / 5)
+    scored = hits.select("doc_id", "item_id", best.alias("best"), need.alias("need"), share.alias("share")).where((F.col("best.score") >= F.col("need")) | (F.col("best.all") >= F.col("share")))
     top = scored.groupBy("doc_id", "item_id").agg(F.max(F.struct("best.score", (-F.col("best.first")).alias("back"), "best.end", "best.same")).alias("top"))
     return top.select("doc_id", "item_id", F.col("top.score").alias("score"), (-F.col("top.back")).alias("first_word"), F.col("top.end").alias("end_word"), F.col("top.same").alias("same_words"))
 

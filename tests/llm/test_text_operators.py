@@ -290,3 +290,23 @@ def test_decontamination_finds_substituted_passages_only(spark, odd, empty, monk
     kept = drop_contaminated(odd.union(odd.sparkSession.createDataFrame([(77, items[3][1] + " " + items[11][1] + " " + items[5][1], None, 1, 1, "a", None)], odd.schema)), bench)
     assert kept.columns == odd.columns and kept.where("doc_id = 77").count() == 0 and kept.count() == odd.count()
     assert contaminated(empty, bench).count() == 0 and contaminated(odd, bench.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_whole_items_with_a_fifth_of_their_words_replaced_are_found(spark, monkeypatch, broadcast):
+    from terravela.llm import decontaminate
+
+    if not broadcast:
+        monkeypatch.setattr(decontaminate, "BROADCAST_WORDS", -1)
+    sizes = [*range(9, 31), 40, 61]
+    items = {n: [f"i{n}w{k}" for k in range(n)] for n in sizes}
+    docs = []
+    for n in sizes:
+        for k in (n // 5, n // 5 + 3):  # as many as may differ, spread evenly; more
+            at = {(2 * i + 1) * n // (2 * k) for i in range(k)}
+            docs.append((n * 10 + (k > n // 5), " ".join(["before", "it", *("other" if i in at else w for i, w in enumerate(items[n])), "after"])))
+    docs.append((1, " ".join(items[10][1:9])))  # 8 of 10 words, and no more
+    bench = [(None if n == 9 else n, " ".join(w)) for n, w in items.items()] + [(25, " ".join(f"z{k}" for k in range(12)))]
+    got = {tuple(r) for r in contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string")).select("doc_id", "item_id").collect()}
+    assert {(n * 10, None if n == 9 else n) for n in sizes} | {(1, 10)} <= got
+    assert not {(n * 10 + 1, n) for n in range(10, 25)} & got
