@@ -64,7 +64,7 @@ def _seeds(edits: int, min_chars: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in tb.slices(batch, "text"):
-                lines = [x for x in {line for text in part.column(1).to_pylist() if text for line in text.split("\n")} if len(x) >= min_chars and not x.isspace()]
+                lines = [x for x in {line for text in part.column(1).to_pylist() if text for line in text.split("\n")} if len(x) >= min_chars and x.strip(" ")]
                 if not lines:
                     continue
                 key = np.array([line_key(x) for x in lines], np.int64)
@@ -224,8 +224,9 @@ def _verified(edits: int):
     return run
 
 
-def near_lines(docs: DataFrame, edits: int = 2, min_chars: int = 16) -> DataFrame:
-    """docs(text) -> (a, b): keys of different lines of min_chars or more within `edits` edits of one another."""
+def near_lines(docs: DataFrame, edits: int = 2, min_chars: int | None = None) -> DataFrame:
+    """docs(text) -> (a, b): keys of different lines of min_chars (edits + 1 by default) or more within `edits` edits of one another."""
+    min_chars = max(min_chars or 0, edits + 1)
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     seeds = docs.select(F.lit(0).alias("_"), "text").mapInArrow(_seeds(edits, min_chars), "seed long, key long, signature long, role byte")
     pairs = seeds.repartition(parts, "seed").sortWithinPartitions("seed").mapInArrow(_pairs(edits), "a long, b long").distinct()
@@ -237,11 +238,12 @@ def near_lines(docs: DataFrame, edits: int = 2, min_chars: int = 16) -> DataFram
     return cut(pairs.join(a, "a").join(b, "b").select("a", "b", "line_a", "line_b").mapInArrow(_verified(edits), "a long, b long"))
 
 
-def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = 2, min_chars: int = 16) -> DataFrame:
+def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = 2, min_chars: int | None = None) -> DataFrame:
     """(doc_id, line_no, n_chars, class_doc_id, class_line_no, n_links, kept): one row for each line that isn't blank.
 
     Lines end at \\n and count from 0. A class holds equal lines and, transitively, lines of min_chars or more
-    within `edits` edits; shorter lines only have equal ones. Its first line, by (doc_id, line_no) with a null id
+    within `edits` edits; shorter lines only have equal ones. min_chars is edits + 1 by default and at least, as a
+    line needs a character for each segment. Its first line, by (doc_id, line_no) with a null id
     first, is kept and named in all its rows. n_links counts the different texts within `edits` edits of the
     line. Null and empty texts have no rows; rows of docs with equal ids have their lines ranked together.
     Two lines that share a 64-bit key would count as equal. Other columns are ignored.

@@ -217,3 +217,12 @@ def test_words_end_at_rows():
     data, offsets = textbytes.utf8(pa.array(["ab c", None, "", " d", "e"]))
     start, end, row = textbytes.words(data, offsets)
     assert [bytes(data[a:b]).decode() for a, b in zip(start, end)] == ["ab", "c", "d", "e"] and row.tolist() == [0, 0, 3, 4]
+
+
+def test_short_lines_are_linked(spark):
+    rng = random.Random(12)
+    bases = ["Home", "Read more >", "About us", "Contact", "a line of 15 ch", "Menu", "FAQ", "x", "ab"]
+    rows = [(i, "\n".join(mutated(rng, rng.choice(bases), rng.randint(0, 2), "ab>") for _ in range(4))) for i in range(30)]
+    rows += [(50, "Read more >>\na line of 15 char"), (51, "\t\t\t\n   "), (52, "\t\t\t\t")]
+    got = sorted(map(tuple, line_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str)
+    assert got == lines_expected(rows, 2, 3)
