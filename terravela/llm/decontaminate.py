@@ -36,27 +36,36 @@ def _gram(span: int) -> int:
     return min(n // (_may_differ(n) + 1) for n in range(span, span + 50))
 
 
-def _seeds(words: DataFrame, stride: int, masks: tuple[str, ...], parts: bool = False) -> DataFrame:
-    """words(..., w array<long>) -> a row for each window and mask, and for each place (parts: each part's beginning): (..., at, seed)."""
-    span = len(masks[0])
-    gram = _gram(span)
-    at = F.col("at")
-    windows = words.where(F.size("w") >= gram).withColumn("at", F.explode(F.sequence(F.lit(0), F.size("w") - gram)))
-    hashes = [F.when((at % stride == 0) & (at <= F.size("w") - span), F.xxhash64(F.lit(k), *[F.get("w", at + i) for i, bit in enumerate(mask) if bit == "1"])) for k, mask in enumerate(masks)]
-    part = F.xxhash64(F.lit(len(masks)), *[F.get("w", at + i) for i in range(gram)])
-    if parts:
-        n = F.floor(F.size("w") / 5) + 1
-        part = F.when(F.array_contains(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.floor(i * F.size("w") / n)), at.cast("long")), part)
-    return windows.withColumn("seed", F.explode(F.array(*hashes, part))).where("seed IS NOT NULL")
-
-
-def _best_stretch(w: Column, item: Column, shift: Column) -> Column:
-    """Best-scoring stretch of the diagonal on which item[k] meets w[k + shift]: score, first and end (in the document), equal words; all equal words of the diagonal."""
-    low, high = F.greatest(F.lit(0), -shift), F.least(F.size(item), F.size(w) - shift) - 1
+def _part_length(n: int, span: int) -> int:
+    """Words hashed of each part of an item of n words: the shortest part of any item as long as a mask, or the item's own."""
+    return _gram(span) if n >= span else n // (_may_differ(n) + 1)
+
+
+def _seeds(words: DataFrame, stride: int, masks: tuple[str, ...], lengths: list[int], parts: bool = False) -> DataFrame:
+    """words(..., w array<long>) -> a row for each window and mask, and for each place and part length (parts: each part's beginning): (..., at, seed)."""
+    span, at, n = len(masks[0]), F.col("at"), F.size("w")
+    # An outer explode, as the optimiser would filter by the array's size for a plain one and so split the text twice.
+    windows = words.withColumn("at", F.explode_outer(F.when(n >= min(lengths), F.sequence(F.lit(0), n - min(lengths))))).where("at IS NOT NULL")
+    hashes = [F.when((at % stride == 0) & (at <= n - span), F.xxhash64(F.lit(k), *[F.get("w", at + i) for i, bit in enumerate(mask) if bit == "1"])) for k, mask in enumerate(masks)]
+    for length in lengths:
+        part = F.when(at <= n - length, F.xxhash64(F.lit(len(masks)), F.lit(length), *[F.get("w", at + i) for i in range(length)]))
+        if parts:
+            own = [k for k in range(1, span) if _part_length(k, span) == length]
+            n_parts = F.floor(n / 5) + 1
+            begins = F.array_contains(F.transform(F.sequence(F.lit(0), n_parts - 1), lambda i: F.floor(i * n / n_parts)), at.cast("long"))
+            part = F.when((n.isin(own) | ((n >= span) & F.lit(length == _gram(span)))) & begins, part)
+        hashes.append(part)
+    return windows.withColumn("seed", F.explode(F.array(*hashes))).where("seed IS NOT NULL")
+
+
+def _best_stretch(part: Column, item: Column, shift: Column) -> Column:
+    """Best-scoring stretch of the diagonal on which item[k] meets word k + shift of a document, part its words from shift on: score, first and end (in the document), equal words; all equal words of the diagonal."""
+    low = F.greatest(F.lit(0), -shift)
+    high = low + F.least(F.size(part), F.size(item) - low) - 1
     start = F.struct(*[F.lit(0).alias(x) for x in ("now", "since", "equal", "score", "first", "end", "same", "all")])
 
     def step(a, k):
-        equal = F.get(item, k) == F.get(w, k + shift)
+        equal = F.get(item, k) == F.get(part, k - low)
         fresh = a["now"] <= 0
         now = F.when(fresh, 0).otherwise(a["now"]) + F.when(equal, 1).otherwise(-2)
         since = F.when(fresh, k + shift).otherwise(a["since"])
@@ -64,31 +73,40 @@ def _best_stretch(w: Column, item: Column, shift: Column) -> Column:
         better = now > a["score"]
         return F.struct(now.alias("now"), since.alias("since"), n.alias("equal"), F.when(better, now).otherwise(a["score"]).alias("score"), F.when(better, since).otherwise(a["first"]).alias("first"), F.when(better, k + shift + 1).otherwise(a["end"]).alias("end"), F.when(better, n).otherwise(a["same"]).alias("same"), (a["all"] + equal.cast("int")).alias("all"))
 
-    return F.aggregate(F.sequence(low, high), start, step)
+    return F.aggregate(F.when(high >= low, F.sequence(low, high)).otherwise(F.array().cast("array<int>")), start, step)
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", masks: tuple[str, ...] = MASKS, stride: int = 1, least_score: int = 12) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", masks: tuple[str, ...] = MASKS, stride: int = 1, least_score: int = 12, least_words: int = len(MASKS[0])) -> DataFrame:
     """(doc_id, item_id, score, first_word, end_word, same_words): documents that hold a passage of a test item.
 
     A row for each pair whose best stretch scores least_score, or 0.8 of the item's words if that is less, and for
     each pair of which 0.8 of the item's words are equal at their places, whatever they score; the columns tell of
-    the best stretch. Items of fewer words than a mask spans are too short to tell and match nothing, as do null and
-    empty texts. Rows of docs or benchmark with equal or null ids are judged one by one and reported once. Other
-    columns are ignored.
+    the best stretch. Of items of fewer than five words all must be equal. Items of fewer than least_words words match
+    nothing, as do null and empty texts; with 1 every item is searched for. Rows of docs or benchmark with equal or null
+    ids are judged one by one and reported once. Ids may have any type; other columns are ignored.
     """
-    items = benchmark.select(F.col(item_col).alias("item_id"), word_array(F.col(item_text_col)).alias("item")).where(F.size("item") >= len(masks[0]))
+    span = len(masks[0])
+    items = benchmark.select(F.col(item_col).alias("item_id"), word_array(F.col(item_text_col)).alias("item")).where(F.size("item") >= max(1, least_words))
     items = cut(items.withColumn("item_key", F.monotonically_increasing_id()))
-    index = _seeds(items.withColumnRenamed("item", "w"), 1, masks, parts=True).select("seed", "item_key", F.col("at").alias("item_at"))
-    words = docs.select(F.col(id_col).cast("long").alias("doc_id"), word_array(F.col(text_col)).alias("w"))
-    if (items.agg(F.sum(F.size("item"))).first()[0] or 0) <= BROADCAST_WORDS:
-        hits = _seeds(words, stride, masks).join(F.broadcast(index), "seed").join(F.broadcast(items), "item_key")
+    facts = items.agg(F.sum(F.size("item")).alias("words"), F.collect_set(F.least(F.size("item"), F.lit(span))).alias("sizes")).first()  # span sizes at most
+    lengths = sorted({_part_length(n, span) for n in facts["sizes"]}) or [_gram(span)]
+    index = _seeds(items.withColumnRenamed("item", "w"), 1, masks, lengths, parts=True).select("seed", "item_key", F.col("at").alias("item_at"))
+    words = docs.select(F.col(id_col).alias("doc_id"), word_array(F.col(text_col)).alias("w"))
+    shift = F.col("at") - F.col("item_at")
+    small = (facts["words"] or 0) <= BROADCAST_WORDS
+    if small:
+        hits = _seeds(words, stride, masks, lengths).join(F.broadcast(index), "seed").join(F.broadcast(items), "item_key").withColumn("shift", shift)
     else:
         keyed = words.withColumn("key", F.xxhash64("w"))
-        found = _seeds(keyed, stride, masks).select("doc_id", "key", "at", "seed").join(index, "seed").select("doc_id", "key", "item_key", (F.col("at") - F.col("item_at")).alias("shift")).distinct()
+        found = _seeds(keyed, stride, masks, lengths).select("doc_id", "key", "at", "seed").join(index, "seed").select("doc_id", "key", "item_key", shift.alias("shift")).distinct()
         same = keyed["doc_id"].eqNullSafe(F.col("_id")) & (keyed["key"] == F.col("_key"))
         found = found.select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), "item_key", "shift")
-        hits = found.join(keyed.dropDuplicates(["doc_id", "key"]), same).join(items, "item_key").withColumns({"at": F.col("shift"), "item_at": F.lit(0)})
-    best = _best_stretch(F.col("w"), F.col("item"), F.col("at") - F.col("item_at"))
+        hits = found.join(keyed.dropDuplicates(["doc_id", "key"]), same).join(items, "item_key")
+    # A diagonal is scored once, however many seeds hit it, and only its own words travel.
+    part = F.slice("w", F.greatest(F.lit(0), F.col("shift")) + 1, F.size("item") + F.least(F.lit(0), F.col("shift")))
+    diagonals = hits.select("doc_id", "item_key", "shift", part.alias("part")).distinct()
+    hits = diagonals.join(F.broadcast(items) if small else items, "item_key")
+    best = _best_stretch(F.col("part"), F.col("item"), F.col("shift"))
     need = F.least(F.lit(least_score), F.floor(F.size("item") * 0.8).cast("int"))
     share = F.size("item") - F.floor(F.size("item") / 5)
     scored = hits.select("doc_id", "item_id", best.alias("best"), need.alias("need"), share.alias("share")).where((F.col("best.score") >= F.col("need")) | (F.col("best.all") >= F.col("share")))

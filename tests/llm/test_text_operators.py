@@ -384,3 +384,25 @@ def test_whole_items_with_a_fifth_of_their_words_replaced_are_found(spark, monke
     got = {tuple(r) for r in contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string")).select("doc_id", "item_id").collect()}
     assert {(n * 10, None if n == 9 else n) for n in sizes} | {(1, 10)} <= got
     assert not {(n * 10 + 1, n) for n in range(10, 25)} & got
+
+
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_short_items_are_found_whole(spark, monkeypatch, broadcast):
+    from terravela.llm import decontaminate
+
+    if not broadcast:
+        monkeypatch.setattr(decontaminate, "BROADCAST_WORDS", -1)
+    rng = random.Random(31)
+    word = lambda: f"v{rng.randrange(30)}"
+    items = [(n * 10 + k, " ".join(word() for _ in range(n))) for n in range(1, 13) for k in range(2)]
+    docs = [(i, " ".join(word() for _ in range(rng.randint(0, 60)))) for i in range(150)] + [(900 + i, t) for i, t in items]
+    got = {(r["doc_id"], r["item_id"]) for r in contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), least_words=1).collect()}
+    expected = set()
+    for d, text in docs:
+        a = text.split()
+        for j, item in items:
+            b = item.split()
+            n = len(b)
+            if n < 9 and any(sum(x == y for x, y in zip(a[s:], b)) >= n - n // 5 for s in range(len(a))):
+                expected.add((d, j))
+    assert {k for k in got if k[1] < 90} >= expected and all(k in expected or overlap(dict(docs)[k[0]], dict(items)[k[1]])[0] >= int(0.8 * (k[1] // 10)) for k in got)
