@@ -13,7 +13,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from terravela.llm import textbytes as tb
@@ -29,7 +29,7 @@ BUCKETS = 1 << 17
 #: Documents per language that fit_language_model reads at most, about.
 SAMPLE_PER_LANG = 600
 BLOCK = 128
-#: Bytes of text that are labelled at a time.
+#: Bytes of text that are labelled at a time for up to eight languages; fewer for more, as matrices grow with their square.
 LABEL_BYTES = 1 << 20
 
 _SEPARATOR = np.ones(256, bool)
@@ -85,27 +85,46 @@ def _letters(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.n
     return found, kind
 
 
-def fit_language_model(labelled: DataFrame, per_lang: int = SAMPLE_PER_LANG) -> LanguageModel:
-    """From rows (text, lang), of which a hash-chosen sample of about per_lang a language is read on the driver.
+def _count_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(lang, feature, n) of each batch's texts: trigram buckets, and scripts as BUCKETS + their number."""
+    for batch in batches:
+        for part in tb.slices(batch, "text"):
+            names = pa.compute.dictionary_encode(part.column(1))
+            data, offsets = tb.utf8(part.column(0))
+            data = tb.lower_ascii(data)
+            start, end, row = tb.words(data, offsets, _SEPARATOR)
+            lang = names.indices.to_numpy()[row].astype(np.int64)
+            tri, _ = _trigrams(data, start, end)
+            key = np.concatenate([np.repeat(lang, end - start) * 2 * BUCKETS + tri, lang * 2 * BUCKETS + BUCKETS + _letters(data, start, end)[1]])
+            key, n = np.unique(key, return_counts=True)
+            yield pa.RecordBatch.from_arrays([names.dictionary.take(pa.array(key // (2 * BUCKETS))), pa.array(key % (2 * BUCKETS)), pa.array(n)], ["lang", "feature", "n"])
 
-    Rows with a null text or lang are left out. Without any row the model has no language and labels all `und`.
+
+def fit_language_model(labelled: DataFrame, per_lang: int = SAMPLE_PER_LANG, id_col: str = "doc_id") -> LanguageModel:
+    """From rows (text, lang), of which the per_lang of each language that come first by hash are counted in tasks.
+
+    The hash is of the text and, if there is such a column, the id, so that copies enter one by one and equal rows are
+    interchangeable. Only the counts, at most BUCKETS and the scripts of each language, reach the driver. Rows with a null
+    text or lang are left out. Without any row the model has no language and labels all `und`.
     """
-    labelled = labelled.where("text IS NOT NULL AND lang IS NOT NULL").select("text", "lang")
+    drawn = [F.col(id_col)] if id_col in labelled.columns else []
+    labelled = labelled.where("text IS NOT NULL AND lang IS NOT NULL").select("text", "lang", F.xxhash64("text", *drawn).alias("draw"))
     counts = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}
     langs = sorted(counts)
     if not langs:
         return LanguageModel([], np.zeros((BUCKETS, 0), np.float32), np.zeros((len(SCRIPTS), 0), bool))
-    share = F.create_map(*[F.lit(x) for lang in langs for x in (lang, min(1.0, per_lang / counts[lang]))])
-    sample = labelled.where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < share[F.col("lang")] * (1 << 20)).limit(2 * per_lang * len(langs)).toArrow()
-    table, scripts = np.ones((BUCKETS, len(langs))) * 0.05, np.zeros((len(SCRIPTS), len(langs)))
-    for k, lang in enumerate(langs):
-        own = sample.filter(pa.compute.equal(sample.column("lang"), lang)).column("text").combine_chunks()
-        data, offsets = tb.utf8(own.chunk(0) if isinstance(own, pa.ChunkedArray) else own)
-        data = tb.lower_ascii(data)
-        start, end, _ = tb.words(data, offsets, _SEPARATOR)
-        tri, _ = _trigrams(data, start, end)
-        table[:, k] += np.bincount(tri, minlength=BUCKETS)
-        scripts[:, k] += np.bincount(_letters(data, start, end)[1], minlength=len(SCRIPTS))
+    # Twice the rows wanted, so that only a bounded number is ranked.
+    share = F.create_map(*[F.lit(x) for lang in langs for x in (lang, min(1.0, 2 * per_lang / counts[lang]))])
+    sample = labelled.where(F.pmod("draw", F.lit(1 << 20)) < share[F.col("lang")] * (1 << 20))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.pmod("draw", F.lit(1 << 20)), "draw", "text"))
+    sample = sample.withColumn("rank", rank).where(F.col("rank") <= per_lang).select("text", "lang")
+    found = sample.mapInArrow(_count_features, "lang string, feature long, n long").groupBy("lang", "feature").agg(F.sum("n").alias("n")).toArrow()
+    table, scripts = np.full((BUCKETS, len(langs)), 0.05), np.zeros((len(SCRIPTS), len(langs)))
+    of = np.array([langs.index(x) for x in found.column("lang").to_pylist()], np.int64)
+    feature, n = found.column("feature").to_numpy(), found.column("n").to_numpy()
+    tri = feature < BUCKETS
+    table[feature[tri], of[tri]] += n[tri]
+    scripts[feature[~tri] - BUCKETS, of[~tri]] += n[~tri]
     log = np.log(table / table.sum(0))
     return LanguageModel(langs, (log - log.mean(1, keepdims=True)).astype(np.float32), scripts >= 0.01 * scripts.sum(0))
 
@@ -137,12 +156,13 @@ def _best_path(score: np.ndarray, begin: np.ndarray, penalty: float) -> np.ndarr
         entry[b] = (entry[b - 1][:, :, None] + v[b - 1]).max(1)
         entry[b] -= entry[b].max(1, keepdims=True)
 
-    came = np.empty((BLOCK, total, states), np.int8)
-    own, now = np.arange(states, dtype=np.int8), entry
+    number = np.int8 if states < 128 else np.int32
+    came = np.empty((BLOCK, total, states), number)
+    own, now = np.arange(states, dtype=number), entry
     for t in range(BLOCK):
         top = now.argmax(1)
         jump = now[np.arange(total), top][:, None] - penalty
-        came[t] = np.where(now >= jump, own, top[:, None].astype(np.int8))
+        came[t] = np.where(now >= jump, own, top[:, None].astype(number))
         now = padded[t] + np.maximum(now, jump)
     ends = now.argmax(1)
     source = np.tile(own, (total, 1))
@@ -151,7 +171,7 @@ def _best_path(score: np.ndarray, begin: np.ndarray, penalty: float) -> np.ndarr
     for k in range(len(level) - 2, 0, -1):
         b = order[level[k] : level[k + 1]]
         ends[b - 1] = source[b, ends[b]]
-    path = np.empty((BLOCK, total), np.int8)
+    path = np.empty((BLOCK, total), number)
     for t in range(BLOCK - 1, -1, -1):
         path[t] = ends
         ends = came[t][np.arange(total), ends].astype(np.int64)
@@ -194,22 +214,27 @@ def _label(model: LanguageModel, part: pa.RecordBatch) -> pa.RecordBatch:
     )
 
 
+def _label_bytes(model: LanguageModel) -> int:
+    return max(1 << 12, LABEL_BYTES * 64 // max(8, len(model.langs)) ** 2)
+
+
 def label_languages(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, lang_pred, score, spans), one row for each input row.
 
     Words are runs of letters and of non-ASCII characters; those without a letter belong to no span. spans are
     runs of words with one label; lang_pred is the label of most words, score its share. A text that is null,
-    empty or without a letter is `und` with score 0. Ids may be null or repeat; other columns are ignored.
+    empty or without a letter is `und` with score 0. Ids may have any type, be null or repeat; other columns are ignored.
+    Arrow batches of the session are held to a few thousand rows from here on (short_batches).
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS x languages floats
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in tb.slices(batch, "text", LABEL_BYTES):
+            for part in tb.slices(batch, "text", _label_bytes(shared.value)):
                 yield _label(shared.value, part)
 
-    out = "doc_id long, lang_pred string, score double, spans array<struct<first_word:int,end_word:int,lang:string>>"
-    return tb.short_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, out)
+    out = f"doc_id {tb.type_of(docs, id_col)}, lang_pred string, score double, spans array<struct<first_word:int,end_word:int,lang:string>>"
+    return tb.short_batches(docs).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, out)
 
 
 def filter_languages(docs: DataFrame, model: LanguageModel, text_col: str = "text", least_share: float = 0.4) -> DataFrame:
@@ -224,7 +249,7 @@ def filter_languages(docs: DataFrame, model: LanguageModel, text_col: str = "tex
         for batch in batches:
             texts = pa.RecordBatch.from_arrays([pa.array(range(batch.num_rows), pa.int64()), batch.column(place)], ["row", "text"])
             at = 0
-            for part in tb.slices(texts, "text", LABEL_BYTES):
+            for part in tb.slices(texts, "text", _label_bytes(shared.value)):
                 found = _label(shared.value, part)
                 keep = [lang != "und" and share >= least_share for lang, share in zip(found.column(1).to_pylist(), found.column(2).to_pylist())]
                 yield batch.slice(at, part.num_rows).filter(pa.array(keep, pa.bool_()))

@@ -32,6 +32,11 @@ def short_batches(df: DataFrame, rows: int = 2000) -> DataFrame:
     return df
 
 
+def type_of(df: DataFrame, column: str) -> str:
+    """The type of a column as it stands in a schema text."""
+    return df.schema[column].dataType.simpleString()
+
+
 def slices(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut a batch into runs of rows whose texts have about `most` bytes together."""
     if not batch.num_rows:

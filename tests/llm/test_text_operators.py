@@ -406,3 +406,79 @@ def test_short_items_are_found_whole(spark, monkeypatch, broadcast):
             if n < 9 and any(sum(x == y for x, y in zip(a[s:], b)) >= n - n // 5 for s in range(len(a))):
                 expected.add((d, j))
     assert {k for k in got if k[1] < 90} >= expected and all(k in expected or overlap(dict(docs)[k[0]], dict(items)[k[1]])[0] >= int(0.8 * (k[1] // 10)) for k in got)
+
+
+def test_more_languages_than_a_byte_counts():
+    import numpy as np
+
+    from terravela.llm.language_id import _best_path
+
+    truth = np.repeat([199, 3, 130], 60)
+    score = np.full((180, 200), -6.0, np.float32)
+    score[np.arange(180), truth] = 0
+    assert (_best_path(score, np.array([0, 180]), 8.0) == truth).all()
+
+
+def test_string_ids_and_copies_in_a_language_sample(spark):
+    rows = [(f"u{i}", "aaa bbb ccc", "xx") for i in range(300)] + [(f"v{i}", f"ddd eee f{i}", "yy") for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id string, text string, lang string")
+    model = fit_language_model(docs, per_lang=10)
+    got = label_languages(docs, model)
+    assert model.langs == ["xx", "yy"] and got.schema["doc_id"].dataType.simpleString() == "string"
+    assert got.join(docs.select("doc_id", "lang"), "doc_id").where("lang = lang_pred").count() == 320
+    again = fit_language_model(docs.repartition(7), per_lang=10)
+    assert (again.weights == model.weights).all() and (again.scripts == model.scripts).all()
+
+
+def test_numbers_are_no_words_and_look_alikes_are():
+    assert fold("455 80085 $500 4.55") == "455 80085 $500 4.55" and fold("m0r0n b4d a55") == "moron bad ass"
+
+
+def plain_matches(lexicon, text):
+    """The best entry at each word's beginning, outside exception phrases, by looking at every place."""
+    folded, out = fold(text), []
+    apart = lambda k: k < 0 or k >= len(folded) or not folded[k].isalpha()
+    safe = [(k, k + len(p)) for p in map(fold, lexicon.exceptions) for k in range(len(folded)) if folded.startswith(p, k) and apart(k - 1) and apart(k + len(p))]
+    for k in range(len(folded)):
+        fits = [(w, k + len(e.rstrip("*"))) for e, w in lexicon.weights.items() if folded.startswith(e.rstrip("*"), k) and apart(k - 1) and (e.endswith("*") or apart(k + len(e)))]
+        if fits:
+            weight, end = max(fits)
+            if not any(a <= k and end <= b for a, b in safe):
+                out.append((k, weight))
+    return out
+
+
+def test_lexicon_matches_equal_a_plain_search():
+    rng = random.Random(41)
+    lexicon = Lexicon({"scum": 2.0, "scum*": 1.0, "idio*": 3.0, "idiot": 2.5, "bad": 1.5}, exceptions=("pond scum", "bad luck"))
+    parts = ["scum", "5cum", "pond", "scummy", "idiot", "1d10tic", "b@d", "bad", "luck", "bad luck", "x", "45", "SCUM", "badly", "pond scum"]
+    for _ in range(300):
+        text = "".join(rng.choice(parts) + rng.choice([" ", " ", ", ", "-", ""]) for _ in range(rng.randint(0, 12)))
+        assert sorted((s, w) for s, _, w in lexicon.weigh(text)[1]) == plain_matches(lexicon, text), text
+
+
+def test_exceptions_are_learned_from_clean_texts(spark):
+    rng = random.Random(43)
+    rows = []
+    for i in range(800):
+        words = [rng.choice(WORDS["en"]) for _ in range(rng.randint(5, 30))]
+        if i % 4 == 0:
+            words.insert(rng.randrange(len(words)), "scum")
+        elif i % 50 == 1:
+            words[2:2] = ["pond", "scum"] if i % 100 == 1 else ["scum", "filter"]
+        rows.append((i, " ".join(words), int(i % 4 == 0)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    lexicon = fit_lexicon(docs, docs)
+    assert {"pond scum", "scum filter"} <= set(lexicon.exceptions) and lexicon.weigh("the pond scum")[0] == 0 < lexicon.weigh("you scum")[0]
+    got = score_toxicity(docs, lexicon).join(docs.select("doc_id", "toxic"), "doc_id").collect()
+    assert all(r["predicted"] == r["toxic"] for r in got)
+
+
+def test_a_megabyte_of_near_notices_is_scanned_in_linear_time():
+    import time
+
+    scanner = license_scan.Scanner(license_scan.NOTICES)
+    began = time.time()
+    assert scanner.scan(b" " + b"license " * 60_000 + b" ") == []
+    assert len(scanner.scan(b" " + b"gnu general public licens " * 20_000 + b" ")) == 20_000
+    assert time.time() - began < 60  # a quadratic search takes minutes
