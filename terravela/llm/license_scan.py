@@ -6,6 +6,7 @@ around such a seed does the regex library look for the phrase with at most e err
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -82,24 +83,27 @@ class Scanner:
                 found += [(s, e, i, n) for s, e, n in self._verify(text, a, b, notice, pattern) if not any((k, i) in exact for k in range(s, e))]
         return sorted(set(found))
 
-
     @staticmethod
     def _verify(text: bytes, a: int, b: int, notice: Notice, pattern: regex.Pattern) -> list[tuple[int, int, int]]:
         """The best runs of whole words in a window that match with errors, none overlapping another."""
         starts = [k for k in range(max(a, 1), min(b, len(text))) if text[k] != 32 and text[k - 1] == 32]
         ends = [k for k in range(a + 1, min(b, len(text) - 1) + 1) if text[k] == 32 and text[k - 1] != 32]
-        runs = []
+        runs, least, most = [], len(notice.phrase) - notice.errors, len(notice.phrase) + notice.errors
         for s in starts:
-            for e in (k for k in ends if k > s):
+            # A run of `least` characters has as many bytes or more.
+            for k in range(bisect_left(ends, s + max(least, 1)), len(ends)):
+                e = ends[k]
                 run = text[s:e].decode("utf-8", "replace")
-                if len(run) > len(notice.phrase) + notice.errors:
+                if len(run) > most:
                     break
-                if len(run) >= len(notice.phrase) - notice.errors and (m := pattern.fullmatch(run)):
+                if len(run) >= least and (m := pattern.fullmatch(run)):
                     runs.append((sum(m.fuzzy_counts), s, e))
         best: list[tuple[int, int, int]] = []
         for n, s, e in sorted(runs):
-            if n and all(e <= s2 or s >= e2 for s2, e2, _ in best):
-                best.append((s, e, n))
+            # Runs kept don't overlap, so that only their neighbours by place can meet this one.
+            at = bisect_left(best, (s, e, n))
+            if n and (not at or best[at - 1][1] <= s) and (at == len(best) or best[at][0] >= e):
+                best.insert(at, (s, e, n))
         return best
 
 
@@ -124,7 +128,7 @@ def scan_licenses(docs: DataFrame, notices: tuple[Notice, ...] = NOTICES, id_col
     A-Z is lower-cased; words are runs of a-z, 0-9 and non-ASCII characters. spans are (label, phrase, first_word,
     n_words, errors, similarity) in order of place, with 0 errors for a phrase whose words stand consecutively, else
     the edits of the best match that begins and ends at words. A null or empty text has no words or
-    spans. Ids may be null or repeat; other columns are ignored.
+    spans. Ids may have any type, be null or repeat; other columns are ignored.
     """
     kind = pa.list_(pa.struct([("label", pa.string()), ("phrase", pa.string()), ("first_word", pa.int64()), ("n_words", pa.int64()), ("errors", pa.int32()), ("similarity", pa.float64())]))
 
@@ -134,7 +138,7 @@ def scan_licenses(docs: DataFrame, notices: tuple[Notice, ...] = NOTICES, id_col
             for part in tb.slices(batch, "text"):
                 data, offsets = tb.utf8(part.column(1))
                 text, at, n = _normalise(tb.lower_ascii(data), offsets)
-                raw = text.tobytes()
+                raw, space = text.tobytes(), np.flatnonzero(text == 0x20)
                 spans: list[list[dict]] = [[] for _ in range(part.num_rows)]
                 # Rows meet at two spaces, which no phrase holds; a match with an error there is no word's end.
                 for start, end, i, errors in scanner.scan(raw):
@@ -142,11 +146,12 @@ def scan_licenses(docs: DataFrame, notices: tuple[Notice, ...] = NOTICES, id_col
                     if end >= at[d + 1]:
                         continue
                     notice = scanner.notices[i]
-                    spans[d].append({"label": notice.label, "phrase": notice.phrase, "first_word": raw.count(b" ", at[d], start) - 1, "n_words": raw.count(b" ", start, end) + 1, "errors": errors, "similarity": 1 - errors / len(notice.phrase)})
+                    row, first, last = np.searchsorted(space, [at[d], start, end]).tolist()
+                    spans[d].append({"label": notice.label, "phrase": notice.phrase, "first_word": first - row - 1, "n_words": last - first + 1, "errors": errors, "similarity": 1 - errors / len(notice.phrase)})
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(spans, kind)], ["doc_id", "n_words", "spans"])
 
-    out = "doc_id long, n_words long, spans array<struct<label:string,phrase:string,first_word:long,n_words:long,errors:int,similarity:double>>"
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, out)
+    out = f"doc_id {tb.type_of(docs, id_col)}, n_words long, spans array<struct<label:string,phrase:string,first_word:long,n_words:long,errors:int,similarity:double>>"
+    return tb.short_batches(docs).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, out)
 
 
 def summarise(scanned: DataFrame) -> DataFrame:
