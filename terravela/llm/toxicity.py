@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from terravela.llm import textbytes as tb
 from terravela.plans.lineage import cut
 
 #: Letters of other scripts, signs and digits that stand in for Latin letters.
@@ -26,24 +27,28 @@ LOOKALIKES = {
     "А": "a", "Е": "e", "О": "o", "Р": "p", "С": "c", "У": "y", "Х": "x", "І": "i", "Ј": "j", "Ѕ": "s", "К": "k", "М": "m", "Т": "t", "В": "b", "Н": "h",
     "α": "a", "β": "b", "ε": "e", "η": "n", "ι": "i", "κ": "k", "ν": "v", "ο": "o", "ρ": "p", "τ": "t", "υ": "u", "χ": "x", "ω": "w",
     "Α": "a", "Β": "b", "Ε": "e", "Η": "h", "Ι": "i", "Κ": "k", "Μ": "m", "Ν": "n", "Ο": "o", "Ρ": "p", "Τ": "t", "Υ": "y", "Χ": "x", "Ζ": "z",
-    "0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b",
 }
-#: Signs that stand in for letters, but only before a letter or digit (! and | only between two).
+#: Digits that stand in for letters, but only in a run that holds a letter, so that numbers stay numbers.
+DIGITS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b"}
+#: Signs that stand in for letters, but only before a letter (! and | only between two).
 SIGNS = {"@": "a", "$": "s", "!": "i", "|": "i"}
 #: Zero-width characters and the soft hyphen, which split words invisibly.
 INVISIBLE = "­​‌‍⁠﻿"
-#: Phrases in which a word that may be in the lexicon is harmless.
+#: Phrases in which a word that may be in the lexicon is harmless; fit_lexicon learns more from the labels.
 EXCEPTIONS = ("trash can", "trash bin", "clown fish", "pond scum", "soap scum", "sore loser clause", "worthless currency")
 
 _FULLWIDTH = {0xFF01 + i: 0x21 + i for i in range(94)}
 _FOLD = {k: ord(LOOKALIKES.get(chr(v), chr(v).lower())) for k, v in _FULLWIDTH.items()} | {ord(c): ord(c) + 32 for c in map(chr, range(0x41, 0x5B))} | {ord(k): ord(v) for k, v in LOOKALIKES.items()} | dict.fromkeys(map(ord, INVISIBLE))
-_SIGN = re.compile(r"[@$](?=\w)|(?<=\w)[!|](?=\w)")
+_SIGN = re.compile(r"[@$](?=[^\W\d_])|(?<=[^\W\d_])[!|](?=[^\W\d_])")
 _WORD = re.compile(r"[^\W\d_]+")
+_MIXED = re.compile(r"[^\W_]*[013-578][^\W_]*+")
+_DIGITS = str.maketrans(DIGITS)
 
 
 def fold(text: str) -> str:
-    """Lower case, without look-alikes: digits and signs count as the letters they stand for."""
-    return _SIGN.sub(lambda m: SIGNS[m[0]], text.translate(_FOLD).lower())
+    """Lower case, without look-alikes: digits beside letters and signs count as the letters they stand for."""
+    plain = _MIXED.sub(lambda m: m[0].translate(_DIGITS) if _WORD.search(m[0]) else m[0], text.translate(_FOLD).lower())
+    return _SIGN.sub(lambda m: SIGNS[m[0]], plain)
 
 
 @dataclass
@@ -101,43 +106,75 @@ class Lexicon:
 
 
 def _features(text: str) -> set[str]:
-    words = {w for w in _WORD.findall(fold(text)) if 3 <= len(w) <= 40}
+    words = set(_WORD.findall(fold(text)))
     return words | {f"{w[:n]}*" for w in words for n in (4, 5, 6) if len(w) > n}
 
 
-def _count_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        toxic, clean = Counter(), Counter()
-        for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            (toxic if label else clean).update(_features(text))
-        names = list(toxic | clean)
-        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([toxic[x] for x in names], pa.int64()), pa.array([clean[x] for x in names], pa.int64())], ["feature", "toxic", "clean"])
+def _counted(features):
+    """(feature, toxic, clean): in how many texts of either label features(text) holds a feature, batch by batch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in tb.slices(batch, "text"):
+                toxic, clean = Counter(), Counter()
+                for text, label in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+                    (toxic if label else clean).update(features(text))
+                names = list(toxic | clean)
+                yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([toxic[x] for x in names], pa.int64()), pa.array([clean[x] for x in names], pa.int64())], ["feature", "toxic", "clean"])
+
+    return run
+
+
+def _counts(sample: DataFrame, features) -> DataFrame:
+    return sample.mapInArrow(_counted(features), "feature string, toxic long, clean long").groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+
+
+_NEXT, _BEFORE = re.compile(r" [^\W\d_]+"), re.compile(r"[^\W\d_]+ \Z")
+
+
+def _phrases(lexicon: Lexicon):
+    """The two-word phrases of a text in which a lexicon word stands."""
+
+    def run(text: str) -> set[str]:
+        folded, out = fold(text), set()
+        for start, end, _ in lexicon.weigh(text)[1]:
+            tail = _WORD.match(folded, end)  # the rest of a word of which only the beginning is in the lexicon
+            end = tail.end() if tail else end
+            if after := _NEXT.match(folded, end):
+                out.add(folded[start : after.end()])
+            line = folded[max(0, start - 60) : start]
+            if before := _BEFORE.search(line):
+                out.add(before[0] + folded[start:end])
+        return out
+
+    return run
 
 
-def fit_lexicon(docs: DataFrame, labels: DataFrame, max_docs: int = 6000, min_docs: int = 4, max_entries: int = 5000) -> Lexicon:
-    """From docs(doc_id, text) and labels(doc_id, toxic 0/1), a hash-chosen sample of about max_docs of each label at most.
+def fit_lexicon(docs: DataFrame, labels: DataFrame, max_docs: int = 6000, min_docs: int = 4) -> Lexicon:
+    """From docs(doc_id, text) and labels(doc_id, toxic 0/1), of which the max_docs of each label that come first by hash are read.
 
     The sample is drawn from the labels, so that only its few ids (2 * max_docs) meet the documents. An entry occurs
-    in min_docs toxic texts or more and is at least 20 times likelier there; its weight is the log of that ratio. The
-    scale is the normalised weight that best parts the sample's labels. Rows with a null id, text or label are
+    in min_docs toxic texts or more and is at least 20 times likelier there; its weight is the log of that ratio. A phrase of
+    an entry and the word before or after it is an exception if it occurs in min_docs clean texts or more and is
+    likelier there. The scale is the normalised weight that best parts the sample's labels. What reaches the driver, entries,
+    phrases and weights, is bounded by the sample. Rows with a null id, text or label are
     left out; without both labels the lexicon is empty and every score 0.
     """
     labels = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").select("doc_id", F.col("toxic").cast("int").alias("toxic"))
-    counts = {r["toxic"]: r["count"] for r in labels.groupBy("toxic").count().collect()}
+    first = [labels.where(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_docs) for k in (0, 1)]
+    chosen_ids = cut(first[0].unionByName(first[1]))
+    # A bounded sample needs few partitions.
+    sample = cut(docs.where("text IS NOT NULL").select("doc_id", "text").join(F.broadcast(chosen_ids), "doc_id").select("text", "toxic").repartition(8))
+    counts = {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}
     n_toxic, n_clean = counts.get(1, 0), counts.get(0, 0)
     if not n_toxic or not n_clean:
         return Lexicon({})
-    share = F.when(F.col("toxic") == 1, min(1.0, max_docs / n_toxic)).otherwise(min(1.0, max_docs / n_clean))
-    chosen_ids = cut(labels.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < share * (1 << 20)).limit(3 * max_docs))
-    sample = cut(docs.where("text IS NOT NULL").select("doc_id", "text").join(F.broadcast(chosen_ids), "doc_id").select("text", "toxic"))
-    n_toxic, n_clean = min(n_toxic, max_docs), min(n_clean, max_docs)
-    found = sample.repartition(8).mapInArrow(_count_features, "feature string, toxic long, clean long").groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     ratio = (F.col("toxic") + 0.1) / n_toxic / ((F.col("clean") + 0.5) / n_clean)
-    chosen = found.where(F.col("toxic") >= min_docs).withColumn("ratio", ratio).where("ratio >= 20").orderBy(F.desc("toxic"), "feature").limit(max_entries).collect()
+    chosen = _counts(sample, _features).where(F.col("toxic") >= min_docs).withColumn("ratio", ratio).where("ratio >= 20").collect()
     lexicon_of = {r["feature"]: (r["toxic"], math.log(r["ratio"])) for r in chosen}
     names = sorted(lexicon_of)
     weights = {x: w for x, (_, w) in lexicon_of.items()}
-    for entry in sorted((x for x in names if x.endswith("*")), key=len, reverse=True):
+    for entry in sorted((x for x in names if x.endswith("*")), key=lambda x: (-len(x), x)):
         stem, count = entry[:-1], lexicon_of[entry][0]
         longer = [x for x in names[bisect_left(names, stem) : bisect_left(names, stem + "\U0010ffff")] if x in weights and len(x.rstrip("*")) > len(stem)]
         if longer and max(lexicon_of[x][0] for x in longer) >= 0.9 * count:
@@ -146,9 +183,10 @@ def fit_lexicon(docs: DataFrame, labels: DataFrame, max_docs: int = 6000, min_do
             for x in longer:
                 if lexicon_of[x][1] <= lexicon_of[entry][1]:
                     del weights[x]
-    lexicon = Lexicon(weights)
+    harmless = _counts(sample, _phrases(Lexicon(weights, ()))).where((F.col("clean") >= min_docs) & (F.col("clean") * n_toxic > F.col("toxic") * n_clean)).collect()
+    lexicon = Lexicon(weights, EXCEPTIONS + tuple(sorted(r["feature"] for r in harmless)))
     scored = sample.mapInArrow(_weigh(lexicon), "x double, toxic int").groupBy("x").agg(F.sum("toxic").alias("toxic"), F.count(F.lit(1)).alias("n"))
-    points = sorted(((r["x"], r["toxic"], r["n"]) for r in scored.orderBy(F.desc("x")).limit(50_000).collect()), reverse=True)
+    points = sorted(((r["x"], r["toxic"], r["n"]) for r in scored.collect()), reverse=True)
     best, scale, right, taken = -1.0, 1.0, 0, 0
     for i, (x, toxic, n) in enumerate(points):
         if x <= 0:
@@ -164,8 +202,9 @@ def fit_lexicon(docs: DataFrame, labels: DataFrame, max_docs: int = 6000, min_do
 def _weigh(lexicon: Lexicon):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = [round(lexicon.normalised(lexicon.weigh(t)[0], len(t)), 4) for t in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.float64()), batch.column(1)], ["x", "toxic"])
+            for part in tb.slices(batch, "text"):
+                x = [round(lexicon.normalised(lexicon.weigh(t)[0], len(t)), 4) for t in part.column(0).to_pylist()]
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.float64()), part.column(1)], ["x", "toxic"])
 
     return run
 
@@ -174,16 +213,15 @@ def score_toxicity(docs: DataFrame, lexicon: Lexicon, id_col: str = "doc_id", te
     """(doc_id, score, predicted, n_matches, matches), one row for each input row, over whole texts.
 
     score is in [0, 1), 0 for a text that is null, empty or without a lexicon word; predicted is 1 at threshold
-    or more. matches are spans (start, end, weight) in the folded text. Ids may be null or repeat; other
+    or more. matches are spans (start, end, weight) in the folded text. Ids may have any type, be null or repeat; other
     columns are ignored.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(lexicon)  # at most max_entries entries
+    shared = docs.sparkSession.sparkContext.broadcast(lexicon)  # bounded by its sample
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         for batch in batches:
-            for i in range(0, batch.num_rows, 256):
-                part = batch.slice(i, 256)
+            for part in tb.slices(batch, "text"):
                 scores, spans = [], []
                 for text in part.column(1).to_pylist():
                     weight, hits = own.weigh(text or "")
@@ -193,5 +231,5 @@ def score_toxicity(docs: DataFrame, lexicon: Lexicon, id_col: str = "doc_id", te
                 kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("weight", pa.float64())]))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(scores, pa.float64()), pa.array([int(s >= threshold) for s in scores], pa.int32()), pa.array([len(s) for s in spans], pa.int64()), pa.array(spans, kind)], ["doc_id", "score", "predicted", "n_matches", "matches"])
 
-    out = "doc_id long, score double, predicted int, n_matches long, matches array<struct<start:int,end:int,weight:double>>"
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, out)
+    out = f"doc_id {tb.type_of(docs, id_col)}, score double, predicted int, n_matches long, matches array<struct<start:int,end:int,weight:double>>"
+    return tb.short_batches(docs).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, out)
