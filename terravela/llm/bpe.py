@@ -1,13 +1,13 @@
 """Byte-level BPE encoding and decoding with numpy: length-bucketed padded matrices of distinct pieces.
 
 Every row of a matrix is a piece of text that the pattern split off. In each round every row merges its
-leftmost pair of minimum rank, found in a hash table of pairs; finished rows are compacted away.
+leftmost pair of minimum rank, found in a hash table of pairs; finished rows are compacted away. A very long piece
+is a matrix of its own, folded to rows of one width, of which a round touches only those beside its merge.
 """
 
 from __future__ import annotations
 
 import base64
-import heapq
 from collections.abc import Iterator
 from itertools import chain
 
@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 from terravela.llm import textbytes as tb
 
 _NONE = np.int64(1) << 40
-#: Pieces beyond this many bytes (unbroken runs) are merged with a heap instead of a matrix row.
-MATRIX_BYTES = 4096
+#: Cells of a matrix, the bytes from which a piece makes a matrix of its own, and that matrix's width.
+MATRIX_CELLS, LONG, FOLD = 1 << 19, 2048, 1024
 #: Distinct pieces that a worker remembers; a larger memory is emptied, which changes no result.
 REMEMBERED = 100_000
 
@@ -46,14 +46,15 @@ class PairTable:
     def _slot(self, keys: np.ndarray) -> np.ndarray:
         return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
 
-    def find_one(self, left: int, right: int) -> int | None:
+    def find_one(self, left: int, right: int) -> int:
+        """As find, for a single pair of ids."""
         key = (left << 32) | right
         slot = (key * 0x9E3779B97F4A7C15 % (1 << 64)) >> (64 - self.bits)
         while (seen := int(self.keys[slot])) != -1:
             if seen == key:
                 return int(self.values[slot])
             slot = (slot + 1) & (len(self.keys) - 1)
-        return None
+        return int(_NONE)
 
     def find(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Ranks, _NONE where there is no such pair; negative ids are padding."""
@@ -105,13 +106,13 @@ class Encoder:
         for i, piece in enumerate(pieces):
             if (whole := self.ranks.get(piece)) is not None:
                 out[i] = (whole,)
-            elif len(piece) > MATRIX_BYTES:
+            elif len(piece) >= LONG:
                 out[i] = self._merge_long(piece)
             else:
                 buckets.setdefault(len(piece).bit_length() * 2 + (len(piece) >> max(0, len(piece).bit_length() - 2) & 1), []).append(i)
         for rows in buckets.values():
             width = max(len(pieces[i]) for i in rows)
-            most = max(1, (1 << 19) // width)
+            most = max(1, MATRIX_CELLS // width)
             for a in range(0, len(rows), most):
                 self._merge_matrix([pieces[i] for i in rows[a : a + most]], width, rows[a : a + most], out)
         return out
@@ -144,24 +145,27 @@ class Encoder:
             ranks[later, at[later] - 1] = self.table.find(ids[later, at[later] - 1], best[later])
 
     def _merge_long(self, piece: bytes) -> tuple[int, ...]:
-        ids = self.byte[np.frombuffer(piece, np.uint8)].tolist()
-        n = len(ids)
-        after, before, alive = list(range(1, n + 1)), list(range(-1, n - 1)), [True] * n
-        first = self.table.find(np.array(ids[:-1]), np.array(ids[1:])).tolist()
-        heap = [(r, i, ids[i], ids[i + 1]) for i, r in enumerate(first) if r != _NONE]
-        heapq.heapify(heap)
-        while heap:
-            rank, i, a, b = heapq.heappop(heap)
-            j = after[i] if alive[i] else n
-            if j >= n or ids[i] != a or ids[j] != b:
-                continue
-            ids[i], alive[j], after[i] = rank, False, after[j]
-            if after[j] < n:
-                before[after[j]] = i
-            for x, y in ((before[i], i), (i, after[i])):
-                if x >= 0 and y < n and (r := self.table.find_one(ids[x], ids[y])) is not None:
-                    heapq.heappush(heap, (r, x, ids[x], ids[y]))
-        return tuple(x for x, there in zip(ids, alive) if there)
+        """One piece folded to a matrix; merged ids keep their cells, and each row knows its minimum."""
+        codes = self.byte[np.frombuffer(piece, np.uint8)]
+        n = len(codes)
+        ranks = np.full((-(-n // FOLD), FOLD), _NONE, np.int64)
+        flat = ranks.reshape(-1)
+        flat[: n - 1] = self.table.find(codes[:-1], codes[1:])
+        low = ranks.min(1)
+        ids, after, before = codes.tolist(), list(range(1, n + 1)), list(range(-1, n - 1))
+        while (best := int(low[row := int(low.argmin())])) != _NONE:
+            i = row * FOLD + int(ranks[row].argmin())
+            gone = after[i]
+            ids[i], ids[gone], after[i] = best, -1, after[gone]
+            flat[gone], flat[i], left, right = _NONE, _NONE, before[i], after[i]
+            if right < n:
+                before[right] = i
+                flat[i] = self.table.find_one(best, ids[right])
+            if left >= 0:
+                flat[left] = self.table.find_one(ids[left], best)
+            for k in {row, gone // FOLD, max(left, 0) // FOLD}:
+                low[k] = ranks[k].min()
+        return tuple(x for x in ids if x >= 0)
 
 
 class Decoder:
@@ -223,13 +227,13 @@ def _decoded(decoder: Decoder, ids: np.ndarray, offsets: np.ndarray) -> pa.Array
 
 
 def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return tb.short_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    return tb.short_batches(docs).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
 
 
 def bpe_encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, ids array<int>): each match of pattern encoded separately; no special tokens.
 
-    A null or empty text has no ids. Ids of rows may be null or repeat; other columns are ignored.
+    A null or empty text has no ids. Ids of rows may have any type, be null or repeat; other columns are ignored.
     """
     shared = _share(docs, path, pattern)
 
@@ -240,7 +244,7 @@ def bpe_encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
                 yield pa.RecordBatch.from_arrays([part.column(0), _listed(*_encoded(encoder, part.column(1)))], ["doc_id", "ids"])
         encoder.known.clear()
 
-    return _texts(docs, id_col, text_col).mapInArrow(run, "doc_id long, ids array<int>")
+    return _texts(docs, id_col, text_col).mapInArrow(run, f"doc_id {tb.type_of(docs, id_col)}, ids array<int>")
 
 
 def bpe_decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -256,7 +260,7 @@ def bpe_decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
                 offsets = np.concatenate([[0], np.cumsum(np.asarray(pa.compute.list_value_length(ids).fill_null(0), np.int64))])
                 yield pa.RecordBatch.from_arrays([part.column(0), ids, _decoded(decoder, ids.flatten().to_numpy(zero_copy_only=False), offsets)], ["doc_id", "ids", "decoded"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids array<int>, decoded binary")
+    return encoded.select("doc_id", "ids").mapInArrow(run, f"doc_id {tb.type_of(encoded, 'doc_id')}, ids array<int>, decoded binary")
 
 
 def bpe_round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -271,7 +275,7 @@ def bpe_round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_
                 yield pa.RecordBatch.from_arrays([part.column(0), _listed(ids, offsets), _decoded(decoder, ids, offsets)], ["doc_id", "ids", "decoded"])
         encoder.known.clear()
 
-    return _texts(docs, id_col, text_col).mapInArrow(run, "doc_id long, ids array<int>, decoded binary")
+    return _texts(docs, id_col, text_col).mapInArrow(run, f"doc_id {tb.type_of(docs, id_col)}, ids array<int>, decoded binary")
 
 
 def digests(decoded: DataFrame) -> DataFrame:

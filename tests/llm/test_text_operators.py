@@ -40,6 +40,16 @@ def test_bpe_equals_tiktoken_and_comes_back(spark, odd, empty):
     assert bpe_encode(empty, path, tokenizers.PATTERN).count() == 0
 
 
+def test_long_pieces_equal_tiktoken():
+    path, own = encoding()
+    encoder = bpe.Encoder(open(path, "rb").read(), tokenizers.PATTERN)
+    rng = random.Random(5)
+    runs = ["a" * 70_000, "ab" * 30_000, "aab" * 9_001, "=" * 2049, "你好" * 3000, "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(30_000)), "".join(rng.choice("est") for _ in range(20_000)), "".join(rng.choice("ACGT") for _ in range(50_000)), "".join(rng.choice("aeéн你") for _ in range(8_000))]
+    for run in runs:
+        for text in (run, run[:2050]):
+            assert encoder.encode([text]) == [own.encode_ordinary(text)]
+
+
 def test_pair_table_finds_all_pairs_and_no_others():
     import numpy as np
 
