@@ -53,7 +53,7 @@ def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return round_trip(_table(spark, sf_dir, "pages")).where("damage IS NULL").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return round_trip(_table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

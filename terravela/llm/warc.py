@@ -1,7 +1,8 @@
 """WARC: archives of per-record gzip members in the shared folder, and a reader that salvages damaged ones.
 
 After a failed check the reader searches for the next gzip member or version line that holds a valid record,
-goes on from there, and reports the bytes between as quarantined.
+goes on from there, and reports the bytes between as quarantined. Members are inflated as streams, so that the same
+holds inside a member of many records, and what was inflated before a fault isn't lost.
 """
 
 from __future__ import annotations
@@ -24,6 +25,8 @@ from terravela.plans.lineage import broadcast_below, cut, fresh_dir
 ROLL_BYTES = 16 << 20
 BROADCAST_ROWS = 250_000
 _GZIP, _VERSION, _CHUNK = b"\x1f\x8b\x08", b"WARC/1.", 1 << 18
+#: No header block, and no record within a member, is longer; a length beyond is damage.
+HEADER_BYTES, RECORD_BYTES = 1 << 20, 1 << 30
 
 
 def sha1_base32(data: bytes) -> str:
@@ -83,6 +86,14 @@ def parse_record(data: bytes, at: int = 0) -> tuple[dict[str, str], bytes, int]:
     return headers, block, end + 4
 
 
+def _needed(data: bytes) -> int:
+    """The bytes that the record at the beginning has by its headers; 0 where they don't tell."""
+    split = data.find(b"\r\n\r\n")
+    name = data[: split + 1].lower().rfind(b"content-length:")
+    length = data[name + 15 : split + 2].split(b"\r\n")[0].strip() if split >= 0 and name >= 0 else b""
+    return split + 8 + int(length) if length.isdigit() else 0
+
+
 class Archive:
     """Random access to a file by offsets; only a record and a chunk are in memory at once."""
 
@@ -104,51 +115,129 @@ class Archive:
             at += _CHUNK
         return self.size
 
-    def member(self, at: int) -> tuple[bytes, int]:
-        """The content and end of the gzip member at `at`."""
-        inflate, parts, place = zlib.decompressobj(31), [], at
-        while not inflate.eof:
-            chunk = self.read(place, _CHUNK)
-            if not chunk:
-                raise Damaged("the member doesn't end")
-            try:
-                parts.append(inflate.decompress(chunk))
-            except zlib.error as error:
-                raise Damaged(str(error)) from None
-            place += len(chunk)
-        return b"".join(parts), place - len(inflate.unused_data)
-
-    def record(self, at: int) -> list[Record]:
-        """The records of the member, or the plain record, at `at`."""
-        if self.read(at, 3) == _GZIP:
-            content, end = self.member(at)
-            found, place = [], 0
-            while place < len(content):
-                headers, block, place = parse_record(content, place)
-                found.append(Record(at, end, headers, block))
-            return found
+    def record(self, at: int) -> Record:
+        """The plain record at `at`."""
         window = 1 << 16
         while True:
             data = self.read(at, window)
             try:
                 headers, block, end = parse_record(data)
-                return [Record(at, at + end, headers, block)]
+                return Record(at, at + end, headers, block)
             except Damaged:
-                split = data.find(b"\r\n\r\n")
-                name = data[: split + 1].lower().rfind(b"content-length:")
-                length = data[name + 15 : split + 2].split(b"\r\n")[0].strip() if split >= 0 and name >= 0 else b""
-                needed = split + 8 + int(length) if length.isdigit() else 0
+                needed = _needed(data)
                 if needed <= len(data) or at + needed > self.size:
                     raise
                 window = needed
 
 
+class Member:
+    """The inflated bytes of the gzip member at `at`, from `base` on; reading moves on and forgets."""
+
+    def __init__(self, archive: Archive, at: int):
+        self.archive, self.place, self.inflate = archive, at, zlib.decompressobj(31)
+        self.base, self.buffer, self.done, self.fault = 0, bytearray(), False, ""
+
+    def fill(self, n: int) -> None:
+        """Inflate until n bytes are at hand, the member ends or a fault is met."""
+        while len(self.buffer) < n and not self.done:
+            chunk = self.archive.read(self.place, _CHUNK)
+            before = self.inflate.copy()
+            try:
+                self.buffer += self.inflate.decompress(chunk)
+            except zlib.error as error:
+                self.done, self.fault = True, str(error)
+                try:  # what comes before the fault
+                    for i in range(0, len(chunk), 64):
+                        self.buffer += before.decompress(chunk[i : i + 64])
+                except zlib.error:
+                    pass
+                return
+            self.place += len(chunk)
+            if self.inflate.eof:
+                self.done, self.place = True, self.place - len(self.inflate.unused_data)
+            elif not chunk:
+                self.done, self.fault = True, "the member doesn't end"
+
+    def drop(self, n: int) -> None:
+        del self.buffer[:n]
+        self.base += n
+
+    def record(self) -> tuple[dict[str, str], bytes]:
+        """Read the record at the beginning."""
+        window = 1 << 16
+        while True:
+            self.fill(window)
+            data = bytes(self.buffer)
+            try:
+                headers, block, end = parse_record(data)
+                self.drop(end)
+                return headers, block
+            except Damaged:
+                needed = _needed(data) or (4 * window if b"\r\n\r\n" not in data and window < HEADER_BYTES else 0)
+                if needed <= len(data) or self.done or needed > RECORD_BYTES:
+                    raise
+                window = needed
+
+    def skip(self) -> None:
+        """Go on to the next version line, or the end."""
+        self.drop(1)
+        while True:
+            self.fill(_CHUNK)
+            at = self.buffer.find(_VERSION)
+            if at >= 0 or self.done:
+                self.drop(at if at >= 0 else len(self.buffer))
+                return
+            self.drop(len(self.buffer) - len(_VERSION) + 1)
+
+
+def member_records(archive: Archive, at: int) -> Iterator[Record | tuple[int, int, str]]:
+    """Records of the member at `at`, and stretches without one; Damaged where the member has a fault, returns its end.
+
+    The last record has the member's place, the others and the stretches none of its bytes. Before a fault the last
+    record isn't given out, as a check of the whole member that fails doesn't tell where; of the others the blocks'
+    digests hold.
+    """
+    member, held, gap = Member(archive, at), None, None
+    while True:
+        member.fill(1)
+        if not member.buffer:
+            break
+        begin = member.base
+        try:
+            headers, block = member.record()
+        except Damaged as error:
+            gap = gap or (begin, str(error))
+            member.skip()
+            continue
+        if held is not None:
+            yield held
+        if gap is not None:
+            yield at, at, f"inflated bytes {gap[0]} to {begin}: {gap[1]}"
+            gap = None
+        held = Record(at, at, headers, block)
+    if member.fault:
+        raise Damaged(member.fault)
+    if held is not None:
+        held.end = member.place
+        yield held
+    if gap is not None:
+        yield at if held is None else member.place, member.place, f"inflated bytes {gap[0]} to {member.base}: {gap[1]}"
+    return member.place
+
+
 def salvage(archive: Archive) -> Iterator[Record | tuple[int, int, str]]:
     """Records in order of place, and (first byte, end byte, reason) for each stretch without a valid one."""
     at, gap, reason = 0, None, ""
     while at < archive.size:
+        packed = archive.read(at, 3) == _GZIP
+        inner = member_records(archive, at) if packed else None
         try:
-            found = archive.record(at)
+            if inner is None:
+                found, end = archive.record(at), None
+            else:
+                found, end = next(inner), None
+        except StopIteration as stop:
+            found, end = None, stop.value
         except Damaged as error:
             if gap is None:
                 gap, reason = at, str(error)
@@ -157,8 +246,20 @@ def salvage(archive: Archive) -> Iterator[Record | tuple[int, int, str]]:
         if gap is not None:
             yield gap, at, reason
             gap = None
-        yield from found
-        at = found[-1].end if found else archive.member(at)[1]
+        if inner is None:
+            yield found
+            at = found.end
+            continue
+        try:
+            while end is None:
+                yield found
+                found = next(inner)
+            at = end
+        except StopIteration as stop:
+            at = stop.value
+        except Damaged as error:
+            gap, reason = at, str(error)
+            at = archive.find((_GZIP, _VERSION), at + 1)
     if gap is not None:
         yield gap, archive.size, reason
 
@@ -245,10 +346,18 @@ def _reader(with_payload: bool):
                         length = int(said[0]) if said and said[0].isdigit() else None
                     yield path, x.offset, x.end, kind, _page(h.get("warc-record-id")), _page(h.get("warc-refers-to")), h.get("warc-target-uri"), length, digest or None, payload if with_payload else None, None
 
+        def checked(path: str, records: int | None) -> Iterator[tuple]:
+            n = 0
+            for row in rows(path):
+                n += row[-1] is None
+                yield row
+            if records is not None and n != records:
+                yield path, None, None, None, None, None, None, None, None, None, f"{n} records of {records}"
+
         for batch in batches:
-            for path in batch.column(0).to_pylist():
+            for path, records in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 held, size = [], 0
-                for row in rows(path):
+                for row in checked(path, records):
                     held.append(row)
                     size += len(row[9] or b"")
                     if len(held) >= 2000 or size >= 8 << 20:
@@ -264,16 +373,19 @@ def read_archives(paths: DataFrame, with_payload: bool = True) -> DataFrame:
     """paths(path) -> a row for each record and each quarantined stretch of the archives, gzipped or plain.
 
     (path, first_byte, end_byte, record_type, page_id, refers_to, url, payload_bytes, payload_digest, payload, damage):
-    damage is null for a record, else why the bytes from first_byte to end_byte were set aside. A null path
-    or one that doesn't exist fails. Empty archives have no rows.
+    damage is null for a record, else why the bytes from first_byte to end_byte were set aside. Where paths has a column
+    records, as write_archives returns, an archive with another number of records has a row of damage without a place. A
+    null path or one that doesn't exist fails. Empty archives have no rows.
     """
     out = "path string, first_byte long, end_byte long, record_type string, page_id long, refers_to long, url string, payload_bytes long, payload_digest string, payload binary, damage string"
-    files = paths.select("path")
+    files = paths.select("path", (F.col("records") if "records" in paths.columns else F.lit(None)).cast("long").alias("records"))
     return files.repartition(max(1, int(paths.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "path").mapInArrow(_reader(with_payload), out)
 
 
 def round_trip(pages: DataFrame) -> DataFrame:
-    """Archive pages in the shared folder and read the archives back: records and quarantined stretches."""
+    """Archive pages in the shared folder and read the archives back: a row for each record; fails if any byte or record is lost."""
     folder = fresh_dir(pages.sparkSession, "warc")
     folder = folder if "://" in folder or folder.startswith("file:") else f"file://{folder}"
-    return read_archives(write_archives(plan_records(pages), folder), with_payload=False)
+    back = read_archives(write_archives(plan_records(pages), folder), with_payload=False)
+    lost = F.raise_error(F.concat_ws(": ", "path", "damage"))
+    return back.where(F.when(F.col("damage").isNotNull(), lost.cast("boolean")).otherwise(True))

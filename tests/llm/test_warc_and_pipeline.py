@@ -50,6 +50,40 @@ def test_damage_costs_the_damaged_records_only(gz):
         assert places[0][0] == 0 and places[-1][1] == len(data) and all(a[1] == b[0] for a, b in zip(places, places[1:]))
 
 
+def test_members_of_many_records_are_salvaged_inside():
+    rng = random.Random(7)
+    raws = [member(k, False, rng.randbytes(40_000)) for k in range(12)]
+    uri = lambda got: [x.headers["warc-target-uri"] for x in got if isinstance(x, Record)]
+    every = [f"http://x/{k}" for k in range(12)]
+    whole = gzip.compress(b"".join(raws), 1)
+    assert uri(read(whole)) == every and all(isinstance(x, Record) for x in read(whole))
+    # A record damaged before it was packed costs itself.
+    hurt = bytearray(raws[5])
+    hurt[len(hurt) // 2] ^= 1
+    got = read(gzip.compress(b"".join(raws[:5]) + bytes(hurt) + b"".join(raws[6:]), 1) + member(20, True))
+    assert uri(got) == [u for u in every if u != every[5]] + ["http://x/20"]
+    assert [x[2].startswith("inflated bytes") for x in got if not isinstance(x, Record)] == [True]
+    # A damaged or cut member gives out what came before, but for the last record; the next member is found.
+    for cut_short in (True, False):
+        bad = bytearray(whole)
+        if cut_short:
+            bad = bad[: len(bad) // 2]
+        else:
+            bad[len(bad) // 2 : len(bad) // 2 + 40] = bytes(40)
+        got = read(bytes(bad) + member(20, True))
+        names = uri(got)
+        assert names[-1] == "http://x/20" and names[:-1] == every[: len(names) - 1] and len(names) >= 5
+        places = sorted((x.offset, x.end) if isinstance(x, Record) else x[:2] for x in got)
+        assert all(a[1] == b[0] for a, b in zip(places, places[1:])) and places[-1][1] == len(bad) + len(member(20, True))
+
+
+def test_lost_records_are_told(spark, tmp_path):
+    path = tmp_path / "y.warc.gz"
+    path.write_bytes(member(1, True) + member(2, True))
+    rows = read_archives(spark.createDataFrame([(str(path), 3)], "path string, records long")).collect()
+    assert sorted(r["damage"] or "" for r in rows) == ["", "", "2 records of 3"]
+
+
 def expected(rows, least=0):
     groups = {}
     for i, _, html in rows:
