@@ -248,7 +248,7 @@ def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     line. Null and empty texts have no rows; rows of docs with equal ids have their lines ranked together.
     Two lines that share a 64-bit key would count as equal. Other columns are ignored.
     """
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     links = near_lines(docs, edits, min_chars)
     lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).where(F.length(F.trim("line")) > 0)
     lines = lines.select("doc_id", "line_no", F.length("line").alias("n_chars"), F.xxhash64("line").alias("key"))
@@ -265,7 +265,10 @@ def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """docs with each text reduced to its blank lines and the lines that line_classes keeps; ids must be unique and not null."""
+    """docs with each text reduced to its blank lines and the lines that line_classes keeps; fails if ids are null or repeat."""
+    ids = docs.groupBy(F.col(id_col).alias("id")).agg(F.count(F.lit(1)).alias("n"))
+    if bad := ids.where("id IS NULL OR n > 1").limit(1).collect():
+        raise ValueError(f"the id {bad[0]['id']} is null or not unique")
     gone = line_classes(docs, id_col, text_col, **options).where("NOT kept").groupBy("doc_id").agg(F.collect_set("line_no").alias("_gone"))
     gone = cut(gone)
     joined = docs.join(gone, docs[id_col] == gone["doc_id"], "left")

@@ -181,11 +181,11 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     Returns (doc_id, n_shingles, component_id, linked), one row for each input row. Text is lower-cased in A-Z;
     words are runs of characters other than ASCII white space; fewer than `words` words make one n-gram.
     A null, empty or blank text has no n-grams and no links. component_id is the smallest non-null id
-    reachable, null only where no document of the component has an id. Repeated ids are separate
+    reachable, null only where no document of the component has an id. Ids may have any orderable type; repeated ones are separate
     documents that happen to share an id. Other columns of docs are ignored, whatever their names.
     """
-    docs = tb.short_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    signatures = cut(docs.mapInArrow(_signatures(words), "doc_id long, n long, node long"))
+    docs = tb.short_batches(docs).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    signatures = cut(docs.mapInArrow(_signatures(words), f"doc_id {tb.type_of(docs, 'doc_id')}, n long, node long"))
 
     postings = docs.mapInArrow(_prefix_postings(words, percent), "hash long, node long, n long, shared long")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
