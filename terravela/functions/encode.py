@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 #: Ramps as (position, red, green, blue).
 ELEVATION_RAMP = ((0.0, 250, 226, 192), (0.35, 229, 142, 58), (0.65, 180, 83, 9), (1.0, 74, 42, 16))
 WEB_ELEVATION_RAMP = ((0.0, 12, 44, 92), (0.3, 22, 120, 160), (0.55, 40, 175, 110), (0.75, 220, 200, 70), (1.0, 210, 90, 55))
+NDVI_RAMP = ((0.0, 140, 40, 35), (0.35, 200, 150, 50), (0.6, 150, 190, 60), (1.0, 30, 130, 50))
 #: Fixed value: the namespace of stable ids.
 NAMESPACE = "9f2b7c4e-1d3a-4b6f-8e21-5c7a9d0b4e13"
 

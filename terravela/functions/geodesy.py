@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from terravela.functions.geometry import path_length, polygon_area
+
 #: The WGS84 ellipsoid, UTM's scale and offsets, and the sphere of Web Mercator.
 A, FLATTENING, K0, FALSE_EASTING, FALSE_NORTHING_SOUTH, SPHERE = 6378137.0, 1 / 298.257223563, 0.9996, 500000.0, 10000000.0, 6378137.0
 E2 = FLATTENING * (2 - FLATTENING)
@@ -112,3 +114,46 @@ def box_hectares(west: Column, south: Column, east: Column, north: Column) -> Co
     """Area of a box by a local metric approximation at its middle latitude."""
     wide = (east - west) * METRES_PER_DEGREE_X * F.cos(F.radians((south + north) / 2))
     return wide * (north - south) * METRES_PER_DEGREE_Y / 10000
+
+
+def scale_world(px_width: Column, px_height: Column, origin_x: Column, origin_y: Column, from_size: tuple[Column, Column], to_size: tuple[Column, Column]) -> Column:
+    """A world file's values for a raster resized to other columns and rows, its outer edges where they were."""
+    w, h = px_width * from_size[0] / to_size[0], px_height * from_size[1] / to_size[1]
+    return F.struct(w.alias("px_width"), h.alias("px_height"), (origin_x - px_width / 2 + w / 2).alias("origin_x"), (origin_y - px_height / 2 + h / 2).alias("origin_y"))
+
+
+def raster_corners(px_width: Column, px_height: Column, origin_x: Column, origin_y: Column, width: Column, height: Column, zone: Column, northern: Column) -> Column:
+    """array<struct<lon, lat>>: top left, top right, bottom right and bottom left of a raster whose origin is its first pixel's centre; px_height is negative."""
+    west, north = origin_x - px_width / 2, origin_y - px_height / 2
+    east, south = west + width * px_width, north + height * px_height
+
+    def at(e, n):
+        lon, lat = utm_to_lon_lat(e, n, zone, northern)
+        return F.struct(lon.alias("lon"), lat.alias("lat"))
+
+    return F.array(at(west, north), at(east, north), at(east, south), at(west, south))
+
+
+def _projected(points: Column, zone: Column, northern: Column) -> Column:
+    def place(p):
+        east, north = lon_lat_to_utm(p["lon"], p["lat"], zone, northern)
+        return F.struct(east.alias("x"), north.alias("y"))
+
+    return F.transform(points, place)
+
+
+def lon_lat_length(points: Column, zone: Column, northern: Column) -> Column:
+    """Metres along array<struct<lon, lat>>, in the UTM zone; 0 with fewer than two points."""
+    return path_length(_projected(points, zone, northern))
+
+
+def lon_lat_area(points: Column, zone: Column, northern: Column) -> Column:
+    """Square metres of a ring of array<struct<lon, lat>>, closed or not, in the UTM zone; 0 with fewer than three points."""
+    return F.when(F.size(points) < 3, 0.0).otherwise(polygon_area(_projected(points, zone, northern)))
+
+
+def measured(points: Column, area: bool, zone: Column, northern: Column) -> Column:
+    """struct<length, area> of a drawn line or, with area, of the ring it closes to; null with fewer than two points."""
+    line = F.when(F.lit(area) & (F.size(points) > 2), F.concat(points, F.slice(points, 1, 1))).otherwise(points)
+    found = F.struct(lon_lat_length(line, zone, northern).alias("length"), (lon_lat_area(points, zone, northern) if area else F.lit(0.0)).alias("area"))
+    return F.when(F.size(points) >= 2, found)

@@ -49,3 +49,8 @@ def bounds(ring: Column) -> Column:
     """Struct of a ring's extent."""
     xs, ys = F.transform(ring, lambda p: p["x"]), F.transform(ring, lambda p: p["y"])
     return F.struct(F.array_min(xs).alias("min_x"), F.array_min(ys).alias("min_y"), F.array_max(xs).alias("max_x"), F.array_max(ys).alias("max_y"))
+
+
+def outer_first(rings: Column, area: str = "signed_area") -> Column:
+    """A polygon's rings, an array of structs, by signed area, largest first, so that outer rings come before holes."""
+    return F.array_sort(rings, lambda a, b: F.when(a[area] > b[area], -1).when(a[area] < b[area], 1).otherwise(0))

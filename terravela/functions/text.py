@@ -123,3 +123,30 @@ def parse_coordinates(text: Column) -> Column:
 
 def percent(share: Column) -> Column:
     return F.concat(_fixed(share * 100, 1), F.lit("%"))
+
+
+def valid_slug(value: Column) -> Column:
+    return F.coalesce(value.rlike("^[a-z0-9]+(?:-[a-z0-9]+)*$"), F.lit(False))
+
+
+def valid_email(value: Column) -> Column:
+    return F.coalesce(value.rlike(r"^[^\s@]+@[^\s@]+\.[^\s@]+$"), F.lit(False))
+
+
+def valid_uuid(value: Column) -> Column:
+    return F.coalesce(F.lower(value).rlike(UUID_PATTERN), F.lit(False))
+
+
+def grouped_digits(n: Column) -> Column:
+    """A whole number with its digits in the Indian groups: the last three, then twos."""
+    return F.regexp_replace(n.cast("string"), r"(\d)(?=(\d\d)*\d{3}$)", "$1,")
+
+
+def iso_date(value: Column) -> Column:
+    """A date as YYYY-MM-DD, null for null."""
+    return F.date_format(value, "yyyy-MM-dd")
+
+
+def iso_instant(value: Column) -> Column:
+    """A timestamp in UTC as YYYY-MM-DDThh:mm:ss.mmmZ; the session's time zone must be UTC."""
+    return F.date_format(value, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")

@@ -11,6 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from terravela.functions.text import valid_uuid
 from terravela.plans.lineage import broadcast_below
 
 #: What a catalogue accepts.
@@ -76,6 +77,49 @@ def visible_videos(videos: DataFrame, sites: DataFrame, grants: DataFrame, viewe
     return videos.join(broadcast_below(visible_sites(sites, grants, viewer).select(F.col("id").alias("site_id")), SITE_ROWS), "site_id", "left_semi")
 
 
+def visible_asset(assets: DataFrame, sites: DataFrame, grants: DataFrame, viewer: Viewer, asset_id) -> DataFrame:
+    """The one asset with an id that a viewer may see, or no row."""
+    return visible_assets(assets.where(F.col("id") == F.lit(asset_id)), sites, grants, viewer).limit(1)
+
+
+def queryable(seen: DataFrame, viewer: Viewer) -> DataFrame:
+    """What a viewer sees, or nothing for a viewer whose id is no UUID: a malformed identity fails closed."""
+    return seen.where(valid_uuid(F.lit(str(viewer.user_id))))
+
+
+def ordered_sites(sites: DataFrame) -> DataFrame:
+    return sites.orderBy("name", "id")
+
+
+def ordered_assets(assets: DataFrame) -> DataFrame:
+    return assets.orderBy("sort_order", "title", "id")
+
+
+def ordered_surveys(surveys: DataFrame) -> DataFrame:
+    """Latest flight first, those without a date last."""
+    return surveys.orderBy(F.desc_nulls_last("flown_on"), "id")
+
+
+def page(ordered: DataFrame, number: int, size: int = 100) -> DataFrame:
+    """Page `number`, from 0, of an ordered frame."""
+    return ordered.offset(number * size).limit(size)
+
+
+def of_industry(sites: DataFrame, industry: str) -> DataFrame:
+    """Sites of an industry; "All" is no filter."""
+    return sites if industry == "All" else sites.where(F.col("industry") == industry)
+
+
+def with_defaults(rows: DataFrame, texts: tuple[str, ...] = ("location", "summary")) -> DataFrame:
+    """Rows as pages show them: a null among `texts` is an empty text, other nulls stay absent."""
+    return rows.withColumns({c: F.coalesce(c, F.lit("")) for c in texts if c in rows.columns})
+
+
+def audit(changes: DataFrame, actor, action: str, subject: Column, details: Column, at: Column) -> DataFrame:
+    """A row of the change log (actor_id, action, subject, detail JSON, created_at) for each changed row."""
+    return changes.select(F.lit(actor).alias("actor_id"), F.lit(action).alias("action"), subject.cast("string").alias("subject"), F.to_json(details).alias("detail"), at.alias("created_at"))
+
+
 def asset_counts(assets: DataFrame, sites: DataFrame, viewer: Viewer, site_id=None) -> DataFrame:
     """(category, n): a site's assets by category under the client and published rules. Grants don't narrow the counts."""
     seen = sites if viewer.is_owner else sites.where((F.col("client_id") == F.lit(viewer.client_id)) & F.col("is_published"))

@@ -76,3 +76,8 @@ def best_match(candidates: DataFrame, key: str, other: str, score: str) -> DataF
 
 def rate(top: Column, bottom: Column, empty: float) -> Column:
     return F.when(bottom == 0, empty).otherwise(top / bottom)
+
+
+def distinct_values(rows: DataFrame, column: str) -> DataFrame:
+    """(value, n): the values of a column, such as the orders of a network, and how many rows have each."""
+    return rows.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).agg(F.count(F.lit(1)).alias("n"))

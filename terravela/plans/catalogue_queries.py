@@ -252,11 +252,12 @@ def leading_number(spark, sf_dir):
     return p.select("p_partkey", text.leading_number(F.col("t")).alias("height"))
 
 
-@query("""WITH v AS (SELECT o_orderkey, o_orderkey % 40 * o_orderkey % 9000 / 8.0::DOUBLE AS m, o_orderkey * 25.0::DOUBLE AS a FROM orders)
-    SELECT o_orderkey, CASE WHEN m < 1 THEN printf('%.0f cm', round(m * 100)) WHEN m < 100 THEN printf('%.2f m', round(m, 2)) WHEN m < 1000 THEN printf('%.1f m', round(m, 1)) ELSE printf('%.3f km', round(m / 1000, 3)) END AS distance,
-    CASE WHEN a < 100 THEN printf('%.2f m²', round(a, 2)) WHEN a < 10000 THEN printf('%.1f m²', round(a, 1)) WHEN a < 1000000 THEN printf('%.3f ha', round(a / 10000, 3)) ELSE printf('%.4f km²', round(a / 1000000, 4)) END AS area FROM v WHERE o_orderkey % 8 = 0""")
+# Rounded half up in whole numbers: eighths of a metre, and square metres.
+@query("""WITH v AS (SELECT o_orderkey, o_orderkey % 40 * o_orderkey % 9000 AS k, o_orderkey * 25 AS a FROM orders)
+    SELECT o_orderkey, CASE WHEN k < 8 THEN ((k * 25 + 1) // 2) || ' cm' WHEN k < 800 THEN printf('%d.%02d m', (k * 100 + 4) // 8 // 100, (k * 100 + 4) // 8 % 100) WHEN k < 8000 THEN printf('%d.%d m', (k * 10 + 4) // 8 // 10, (k * 10 + 4) // 8 % 10) ELSE printf('%d.%03d km', (k + 4) // 8 // 1000, (k + 4) // 8 % 1000) END AS distance,
+    CASE WHEN a < 100 THEN printf('%d.00 m²', a) WHEN a < 10000 THEN printf('%d.0 m²', a) WHEN a < 1000000 THEN printf('%d.%03d ha', (a + 5) // 10 // 1000, (a + 5) // 10 % 1000) ELSE printf('%d.%04d km²', (a + 50) // 100 // 10000, (a + 50) // 100 % 10000) END AS area FROM v""")
 def format_units(spark, sf_dir):
-    v = table(spark, sf_dir, "orders").where("o_orderkey % 8 = 0").selectExpr("o_orderkey", "o_orderkey % 40 * o_orderkey % 9000 / 8.0D AS m", "o_orderkey * 25.0D AS a")
+    v = table(spark, sf_dir, "orders").selectExpr("o_orderkey", "o_orderkey % 40 * o_orderkey % 9000 / 8.0D AS m", "o_orderkey * 25.0D AS a")
     return v.select("o_orderkey", text.format_distance(F.col("m")).alias("distance"), text.format_area(F.col("a")).alias("area"))
 
 
@@ -291,7 +292,7 @@ def failure_limiter(spark, sf_dir):
     return limits.fold_failures(table(spark, sf_dir, "events"), "user_id", "ts", "event_id", kind, 2, 86400)
 
 
-@query()
+@query(ORACLE_SQL["rate_limit_hit"])
 def rate_limit_stream(spark, sf_dir):
     """The same limit over a stream that replays the events; by batches of files, so only the counts' order may differ."""
     import uuid
@@ -333,7 +334,9 @@ def exports_dxf(spark, sf_dir):
     return exports.points_dxf(_points(spark, sf_dir)).select("seq", "part", "line")
 
 
-@query()
+@query("""WITH c AS (SELECT CAST(CASE WHEN i < 60 THEN 32601 + i ELSE 32701 + i - 60 END AS INT) AS epsg, i % 60 + 1 AS zone, i < 60 AS north FROM range(120) t(i))
+    SELECT epsg, 'PROJCS["WGS_1984_UTM_Zone_' || zone || CASE WHEN north THEN 'N' ELSE 'S' END || '",GEOGCS["GCS_WGS_1984",DATUM["D_WGS_1984",SPHEROID["WGS_1984",6378137.0,298.257223563]],PRIMEM["Greenwich",0.0],UNIT["Degree",0.0174532925199433]],PROJECTION["Transverse_Mercator"],PARAMETER["False_Easting",500000.0],PARAMETER["False_Northing",'
+        || CASE WHEN north THEN '0.0' ELSE '10000000.0' END || '],PARAMETER["Central_Meridian",' || (zone * 6 - 183) || '.0],PARAMETER["Scale_Factor",0.9996],PARAMETER["Latitude_Of_Origin",0.0],UNIT["Meter",1.0]]' AS wkt FROM c""")
 def projection_wkt(spark, sf_dir):
     codes = spark.range(120).selectExpr("cast(if(id < 60, 32601 + id, 32701 + id - 60) as int) AS epsg")
     return codes.select("epsg", exports.prj(F.col("epsg")).alias("wkt"))

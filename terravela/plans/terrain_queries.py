@@ -233,10 +233,10 @@ def _bilinear_sql(places: str) -> str:
         spot AS (SELECT id, CASE WHEN count(z) = 4 THEN sum(z * w) END AS z FROM corner LEFT JOIN rag USING (r, c) GROUP BY id)"""
 
 
-@query(f"WITH {dem_sql()}, {RAGGED_SQL}, p AS (SELECT l_orderkey * 8 + l_linenumber AS id, l_partkey % 6400 / 100.0::DOUBLE AS x, l_suppkey * 37 % 6400 / 100.0::DOUBLE AS y FROM lineitem WHERE l_linenumber = 1), pp AS (SELECT id, any_value(x) AS x, any_value(y) AS y FROM p GROUP BY id HAVING count(*) = 1), {_bilinear_sql('pp')} SELECT id, round(z, 6) AS elevation FROM spot")
+@query(f"WITH {dem_sql()}, {RAGGED_SQL}, pp AS (SELECT DISTINCT l_partkey % 6400 * 6400 + l_suppkey * 37 % 6400 AS id, l_partkey % 6400 / 100.0::DOUBLE AS x, l_suppkey * 37 % 6400 / 100.0::DOUBLE AS y FROM lineitem), {_bilinear_sql('pp')} SELECT id, round(z, 6) AS elevation FROM spot")
 def spot_level(spark, sf_dir):
-    places = table(spark, sf_dir, "lineitem").where("l_linenumber = 1").selectExpr("l_orderkey * 8 + l_linenumber AS id", "l_partkey % 6400 / 100.0D AS x", "l_suppkey * 37 % 6400 / 100.0D AS y")
-    places = places.groupBy("id").agg(F.any_value("x").alias("x"), F.any_value("y").alias("y"), F.count(F.lit(1)).alias("n")).where("n = 1").drop("n")
+    """Levels at all places that lines name; a place's id is its own."""
+    places = table(spark, sf_dir, "lineitem").selectExpr("l_partkey % 6400 * 6400 + l_suppkey * 37 % 6400 AS id", "l_partkey % 6400 / 100.0D AS x", "l_suppkey * 37 % 6400 / 100.0D AS y").distinct()
     return rounded(sample.spot_levels(places, ragged(dem(spark, sf_dir)), META).select("id", "elevation"))
 
 
@@ -269,12 +269,24 @@ def profile_summary(spark, sf_dir):
     return rounded(sample.profile_summary(_profile(spark, sf_dir)))
 
 
-@query()
+@query(f"""WITH {_PROFILE_SQL}, held AS (SELECT id, z, z - lag(z) OVER (ORDER BY id) AS d FROM prof WHERE z IS NOT NULL)
+    SELECT round(min(z), 6) AS min_elevation, round(max(z), 6) AS max_elevation, round(coalesce(sum(d) FILTER (d > 0), 0), 6) AS gain, round(coalesce(-sum(d) FILTER (d < 0), 0), 6) AS loss, round((SELECT max(chainage) FROM prof), 6) AS length, round((max(z) - min(z)) / (SELECT max(chainage) FROM prof) * 100, 6) AS grade_percent FROM held""")
 def measured_summary(spark, sf_dir):
     return rounded(sample.measured_summary(_profile(spark, sf_dir)))
 
 
-@query()
+def _densified_sql(spacing: float) -> str:
+    """(seq, distance, x, y) at even distances along the line."""
+    ends, rows = [0.0], []
+    for (x0, y0), (x1, y1) in zip(LINE, LINE[1:]):
+        ends.append(ends[-1] + ((x1 - x0) ** 2 + (y1 - y0) ** 2) ** 0.5)
+        rows.append(f"({ends[-2]!r}::DOUBLE, {ends[-1]!r}::DOUBLE, {x0}::DOUBLE, {y0}::DOUBLE, {x1}::DOUBLE, {y1}::DOUBLE)")
+    n = int(ends[-1] / spacing) + 1
+    return f"""WITH s(a, b, x0, y0, x1, y1) AS (VALUES {', '.join(rows)}), k AS (SELECT i AS seq, i / {n - 1} * {ends[-1]!r}::DOUBLE AS distance FROM range({n}) t(i))
+        SELECT seq, round(distance, 6) AS distance, round(x0 + (distance - a) / (b - a) * (x1 - x0), 6) AS x, round(y0 + (distance - a) / (b - a) * (y1 - y0), 6) AS y FROM k JOIN s ON distance >= a AND (distance < b OR b = (SELECT max(b) FROM s))"""
+
+
+@query(_densified_sql(1.5))
 def densified_line(spark, sf_dir):
     return rounded(sample.densify(spark, LINE, 1.5))
 
@@ -345,14 +357,27 @@ def network_agreement(spark, sf_dir):
     return rounded(compare.network_agreement(dem(spark, sf_dir, where=_NEW).where("v % 100 < 3").select("row", "col"), dem(spark, sf_dir, where=_OLD).where("v % 100 < 3").select("row", "col"), 2.0))
 
 
-@query()
+_SWEEP = "(3 * greatest(abs(a.r - b.r), abs(a.c - b.c)) + least(abs(a.r - b.r), abs(a.c - b.c))) / 3.0 <= 2"
+
+
+@query(f"""WITH RECURSIVE {dem_sql()}, {D8_SQL}, {WALK_SQL}, acc AS (SELECT CAST(cur // {SIDE} AS INT) AS r, CAST(cur % {SIDE} AS INT) AS c, count(*) AS acc FROM walk GROUP BY cur), ref AS (SELECT r, c FROM acc WHERE acc >= 12 AND (r + c) % 5 <> 0), t AS (SELECT unnest([2, 4, 8, 12, 16, 24])::INT AS threshold),
+    ours AS (SELECT threshold, r, c FROM t JOIN acc ON acc >= threshold),
+    p AS (SELECT threshold, count(*) FILTER (EXISTS (SELECT 1 FROM ref b WHERE {_SWEEP})) / count(*) AS precision FROM ours a GROUP BY 1),
+    h AS (SELECT threshold, count(*) AS n FROM (SELECT DISTINCT a.threshold, b.r, b.c FROM ours a JOIN ref b ON {_SWEEP}) GROUP BY 1),
+    s AS (SELECT t.threshold, coalesce(p.precision, 0) AS precision, coalesce(h.n, 0) / (SELECT greatest(count(*), 1) FROM ref) AS recall FROM t LEFT JOIN p USING (threshold) LEFT JOIN h USING (threshold)),
+    f AS (SELECT *, CASE WHEN precision + recall = 0 THEN 0 ELSE 2 * precision * recall / (precision + recall) END AS f1 FROM s)
+    SELECT threshold, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1, threshold = (SELECT threshold FROM f ORDER BY f1 DESC, threshold LIMIT 1) AS best FROM f""")
 def threshold_sweep(spark, sf_dir):
     accumulation = cut(_accumulation(spark, sf_dir))
     reference = accumulation.where("acc >= 12 AND (row + col) % 5 <> 0").select("row", "col")
     return rounded(compare.threshold_sweep(accumulation, reference, [2, 4, 8, 12, 16, 24], 2.0))
 
 
-@query()
+@query(f"""WITH {dem_sql()}, {RAGGED_SQL}, {dem_sql('p', SIDE, _NEW)}, {dem_sql('q', SIDE, _OLD)}, {OFFSETS_SQL},
+    a AS (SELECT r, c FROM p WHERE (r - 32) * (r - 32) + (c - 32) * (c - 32) <= 900 AND z > 1300), b AS (SELECT r, c FROM q WHERE (r - 32) * (r - 32) + (c - 32) * (c - 32) <= 900 AND z > 1300),
+    e AS (SELECT x.r, x.c, count(y.z) < 8 AS edge, (x.r, x.c) IN (SELECT (r, c) FROM a) <> ((x.r, x.c) IN (SELECT (r, c) FROM b)) AS d FROM rag x CROSS JOIN off o LEFT JOIN rag y ON y.r = x.r + o.dr AND y.c = x.c + o.dc GROUP BY ALL),
+    s AS (SELECT count(*) FILTER (edge AND d) / count(*) FILTER (d) AS disputed_share, count(*) FILTER (edge) / count(*) AS base_share FROM e)
+    SELECT round(disputed_share, 6) AS disputed_share, round(base_share, 6) AS base_share, round(disputed_share / base_share, 6) AS enrichment FROM s""")
 def boundary_enrichment(spark, sf_dir):
     a, b = ragged(dem(spark, sf_dir, where=_NEW)).where("v > 1300").select("row", "col"), ragged(dem(spark, sf_dir, where=_OLD)).where("v > 1300").select("row", "col")
     return rounded(compare.boundary_enrichment(a, b, ragged(dem(spark, sf_dir))))
@@ -441,19 +466,20 @@ def mercator(spark, sf_dir):
 _FX, _FY = "(lon + 180) / 360 * 16384", "(1 - asinh(tan(radians(lat))) / pi()) / 2 * 16384"
 
 
-@query(f"SELECT id, CAST(floor({_FX}) AS BIGINT) AS x, CAST(floor({_FY}) AS BIGINT) AS y, CAST(floor(({_FX} - floor({_FX})) * 256) AS INT) AS px, CAST(floor(({_FY} - floor({_FY})) * 256) AS INT) AS py FROM ({_GEO_SQL}) WHERE id % 600 <> 0 AND id % 1201 <> 600")
+@query(f"SELECT id, CAST(floor({_FX}) AS BIGINT) AS x, CAST(floor({_FY}) AS BIGINT) AS y, CAST(floor(({_FX} - floor({_FX})) * 256) AS INT) AS px, CAST(floor(({_FY} - floor({_FY})) * 256) AS INT) AS py FROM ({_GEO_SQL})")
 def tile_for(spark, sf_dir):
-    return _places(spark, sf_dir).where("id % 600 <> 0 AND id % 1201 <> 600").withColumn("t", geodesy.tile_for(F.col("lon"), F.col("lat"), F.lit(14))).select("id", "t.x", "t.y", "t.px", "t.py")
+    return _places(spark, sf_dir).withColumn("t", geodesy.tile_for(F.col("lon"), F.col("lat"), F.lit(14))).select("id", "t.x", "t.y", "t.px", "t.py")
 
 
 @query(f"""SELECT id, CAST(floor((lon + 180) / 360 * 4096) AS BIGINT) AS x0, CAST(floor((lon + 0.301 + 180) / 360 * 4096) AS BIGINT) AS x1, CAST(floor((1 - asinh(tan(radians(lat + 0.203))) / pi()) / 2 * 4096) AS BIGINT) AS y0, CAST(floor((1 - asinh(tan(radians(lat))) / pi()) / 2 * 4096) AS BIGINT) AS y1,
-    coalesce((SELECT max(z) FROM range(25) t(z) WHERE 0.301 / 360 * 256 * pow(2, z) <= 500 + id), 0)::INT AS zoom FROM ({_GEO_SQL}) WHERE id % 1201 <> 600""")
+    coalesce((SELECT max(z) FROM range(25) t(z) WHERE 0.301 / 360 * 256 * pow(2, z) <= 500 + id), 0)::INT AS zoom FROM ({_GEO_SQL})""")
 def tile_range(spark, sf_dir):
-    p = _places(spark, sf_dir).where("id % 1201 <> 600").withColumn("s", geodesy.tile_range(F.col("lon"), F.col("lat"), F.col("lon") + 0.301, F.col("lat") + 0.203, F.lit(12)))
+    p = _places(spark, sf_dir).withColumn("s", geodesy.tile_range(F.col("lon"), F.col("lat"), F.col("lon") + 0.301, F.col("lat") + 0.203, F.lit(12)))
     return p.select("id", "s.x0", "s.x1", "s.y0", "s.y1", geodesy.native_zoom(F.lit(0.0), F.lit(0.301), 500 + F.col("id")).alias("zoom"))
 
 
-@query()
+@query(f"""WITH t AS (SELECT id, lon, lat, floor((lon + 180) / 360 * 16384) AS x, floor((1 - asinh(tan(radians(lat))) / pi()) / 2 * 16384) AS y FROM ({_GEO_SQL}))
+    SELECT id, round(x / 16384 * 360 - 180, 6) AS west, round(degrees(atan(sinh(pi() * (1 - 2 * (y + 1) / 16384)))), 6) AS south, round((x + 1) / 16384 * 360 - 180, 6) AS east, round(degrees(atan(sinh(pi() * (1 - 2 * y / 16384)))), 6) AS north FROM t""")
 def tile_bounds(spark, sf_dir):
     p = _places(spark, sf_dir).withColumn("t", geodesy.tile_for(F.col("lon"), F.col("lat"), F.lit(14)))
     b = geodesy.tile_bounds(F.col("t.x"), F.col("t.y"), F.lit(14))
@@ -491,9 +517,9 @@ def dem_sampler(spark, sf_dir):
     return rounded(tiles.elevation_at(places.select("id", lon.alias("lon"), lat.alias("lat")), pixels, 15).select("id", "elevation"), 3)
 
 
-@query("WITH v AS (SELECT DISTINCT round(l_discount * 100) AS v FROM lineitem WHERE l_quantity > 5), g AS (SELECT round(v - lag(v) OVER (ORDER BY v), 3) AS gap FROM v) SELECT gap, count(*) AS n FROM g WHERE gap IS NOT NULL GROUP BY 1 ORDER BY n DESC, gap LIMIT 1")
+@query("WITH v AS (SELECT DISTINCT round(l_discount * 100) AS v FROM lineitem), g AS (SELECT round(v - lag(v) OVER (ORDER BY v), 3) AS gap FROM v) SELECT gap, count(*) AS n FROM g WHERE gap IS NOT NULL GROUP BY 1 ORDER BY n DESC, gap LIMIT 1")
 def modal_gap(spark, sf_dir):
-    return sample.modal_gap(table(spark, sf_dir, "lineitem").where("l_quantity > 5").selectExpr("round(l_discount * 100) AS v"), "v")
+    return sample.modal_gap(table(spark, sf_dir, "lineitem").selectExpr("round(l_discount * 100) AS v"), "v")
 
 
 @query("WITH v AS (SELECT DISTINCT l_quantity AS v FROM lineitem ORDER BY v LIMIT 2) SELECT max(v) - min(v) AS gap FROM v")
@@ -512,11 +538,11 @@ def csv_profile(spark, sf_dir):
     return rounded(sample.column_profile(rows, ["l_quantity", "l_discount", "l_returnflag", "l_shipmark"]), 4)
 
 
-@query("WITH n AS (SELECT l_linenumber % 8 AS cls, count(*) AS n FROM lineitem WHERE l_orderkey % 3 = 0 GROUP BY 1) SELECT CAST(cls AS INT) AS cls, n, round(n / sum(n) OVER (), 6) AS share FROM n")
+@query("WITH n AS (SELECT l_linenumber % 8 AS cls, count(*) AS n FROM lineitem GROUP BY 1) SELECT CAST(cls AS INT) AS cls, n, round(n / sum(n) OVER (), 6) AS share FROM n")
 def las_class_histogram(spark, sf_dir):
     from terravela.sources.survey_files import class_histogram
 
-    return rounded(class_histogram(table(spark, sf_dir, "lineitem").where("l_orderkey % 3 = 0").selectExpr("l_linenumber % 8 AS cls")))
+    return rounded(class_histogram(table(spark, sf_dir, "lineitem").selectExpr("l_linenumber % 8 AS cls")))
 
 
 @query("WITH p AS (SELECT c_nationkey AS k, c_custkey AS id, c_custkey % 97 * 1.5::DOUBLE AS x, c_custkey % 89 * 2.5::DOUBLE AS y FROM customer), a AS (SELECT *, coalesce(lead(x) OVER w, first_value(x) OVER w) AS nx, coalesce(lead(y) OVER w, first_value(y) OVER w) AS ny, lead(x) OVER w IS NULL AS closing FROM p WINDOW w AS (PARTITION BY k ORDER BY id)) SELECT k, round(abs(sum(x * ny - nx * y)) / 2, 4) AS area, round(sum(sqrt((nx - x) ** 2 + (ny - y) ** 2)), 4) AS perimeter, round(coalesce(sum(sqrt((nx - x) ** 2 + (ny - y) ** 2)) FILTER (NOT closing), 0), 4) AS length FROM a GROUP BY k")

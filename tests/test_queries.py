@@ -5,13 +5,13 @@ import os
 
 import pytest
 
-from terravela.plans import catalogue_queries, terrain_queries
+from terravela.plans import catalogue_queries, site_queries, terrain_queries
 
 duckdb = pytest.importorskip("duckdb")
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="the test tables aren't here")
-QUERIES = terrain_queries.QUERIES | catalogue_queries.QUERIES
-SQL = terrain_queries.ORACLE_SQL | catalogue_queries.ORACLE_SQL
+QUERIES = terrain_queries.QUERIES | catalogue_queries.QUERIES | site_queries.QUERIES
+SQL = terrain_queries.ORACLE_SQL | catalogue_queries.ORACLE_SQL | site_queries.ORACLE_SQL
 
 
 @pytest.fixture(scope="module")
