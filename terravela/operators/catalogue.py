@@ -44,17 +44,33 @@ def visible_sites(sites: DataFrame, grants: DataFrame, viewer: Viewer) -> DataFr
     return marked.where(F.col("_narrowed").isNull() | F.col("_granted")).select(*sites.columns)
 
 
-def visible_by_user(sites: DataFrame, grants: DataFrame, users: DataFrame) -> DataFrame:
-    """(user_id, site_id) for every user at once, as equi-joins: the set form of visible_sites."""
+def visible_by_client(sites: DataFrame, grants: DataFrame, users: DataFrame) -> DataFrame:
+    """(user_id, site_id) for every client's user at once, as equi-joins. An owner sees all sites and has no rows."""
     active = users.where("is_active")
-    owners = active.where(F.col("role") != "client").select(F.col("id").alias("user_id"))
-    everything = owners.join(sites.select(F.col("id").alias("site_id")), F.lit(True))
     narrowed = grants.select("user_id").distinct().withColumn("narrowed", F.lit(True))
     mine = active.where(F.col("role") == "client").select(F.col("id").alias("user_id"), "client_id").join(narrowed, "user_id", "left")
     published = sites.where("is_published").select(F.col("id").alias("site_id"), "client_id")
     free = mine.where("narrowed IS NULL").join(published, "client_id").select("user_id", "site_id")
     granted = mine.where("narrowed").join(grants.select("user_id", "site_id").distinct(), "user_id").join(published, ["site_id", "client_id"]).select("user_id", "site_id")
-    return free.unionByName(granted).unionByName(everything)
+    return free.unionByName(granted)
+
+
+def visible_by_user(sites: DataFrame, grants: DataFrame, users: DataFrame) -> DataFrame:
+    """(user_id, site_id) for every user at once: the set form of visible_sites, with a row for each site of each owner.
+
+    Owners are few by the nature of the role; where only counts are wanted, visible_totals needs no such rows.
+    """
+    owners = users.where(F.col("is_active") & (F.col("role") != "client")).select(F.col("id").alias("user_id"))
+    return visible_by_client(sites, grants, users).unionByName(owners.join(sites.select(F.col("id").alias("site_id")), F.lit(True)))
+
+
+def visible_totals(sites: DataFrame, grants: DataFrame, users: DataFrame) -> DataFrame:
+    """(user_id, n_sites, ids): how many sites each user sees and the sum of their ids; owners have the table's totals."""
+    totals = [F.count(F.lit(1)).alias("n_sites"), F.sum("site_id").alias("ids")]
+    seen = visible_by_client(sites, grants, users).groupBy("user_id").agg(*totals)
+    all_ = sites.select(F.col("id").alias("site_id")).agg(*totals).where("n_sites > 0")
+    owners = users.where(F.col("is_active") & (F.col("role") != "client")).select(F.col("id").alias("user_id"))
+    return seen.unionByName(owners.crossJoin(F.broadcast(all_)))  # one row
 
 
 def visible_site(sites: DataFrame, grants: DataFrame, viewer: Viewer, slug: str) -> DataFrame:

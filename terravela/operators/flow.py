@@ -12,12 +12,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terravela.operators.focal import DIRECTIONS, d8_direction, downstream, neighbours, slope_degrees
+from terravela.operators.focal import DIRECTIONS, d8_direction, downstream, neighbours, open_sides, slope_degrees
 from terravela.operators.grid import GridMeta
 from terravela.plans.graph import connected_components, jump_to_roots
-from terravela.plans.lineage import cut
+from terravela.plans.lineage import broadcast_below, cut, stored
 
 BLOCK = 256
+#: Blocks whose places may be broadcast, a few MB.
+BROADCAST_BLOCKS = 250_000
 
 
 def accumulate(forest: DataFrame) -> DataFrame:
@@ -87,27 +89,49 @@ def stream_segments(links: DataFrame) -> DataFrame:
             return back
 
 
-def strahler(links: DataFrame) -> DataFrame:
+def strahler(links: DataFrame, segments: DataFrame | None = None) -> DataFrame:
     """(node, ord): 1 at a head; one more where several streams of the highest order meet, else the highest.
 
-    An order is constant along a segment, so that only the tree of segments is peeled from its heads.
+    An order is constant along a segment, so that only the tree of segments is solved, by contraction: segments whose
+    inputs are all known get their order, and one with a single unknown input is a function of it, an array by
+    order, which is composed with that of the input if it has a single unknown one too. Rounds grow with
+    the logarithm of the tree, however long its main stem is.
     """
-    segments = stream_segments(links)
+    segments = stream_segments(links) if segments is None else segments
     ends = segments.join(links, "node").select("head", "node", "to", "place")
-    last = ends.groupBy("head").agg(F.max(F.struct("place", "to")).alias("end")).select("head", F.col("end.to").alias("next"))
-    tree = cut(last)
-    waiting = tree.where("next IS NOT NULL").groupBy(F.col("next").alias("head")).agg(F.count(F.lit(1)).alias("inputs"))
-    orders = cut(tree.join(waiting, "head", "left_anti").select("head", F.lit(1).alias("ord")))
-    fresh, total = orders, tree.count()
-    while orders.count() < total:
-        arrived = orders.join(tree, "head").where("next IS NOT NULL").groupBy(F.col("next").alias("head")).agg(F.count(F.lit(1)).alias("n"), F.max("ord").alias("top"), F.collect_list("ord").alias("all"))
-        ready = arrived.join(waiting, "head").where("n = inputs").join(orders, "head", "left_anti")
-        top = F.size(F.filter("all", lambda o: o == F.col("top")))
-        fresh = cut(ready.select("head", (F.col("top") + F.when(top > 1, 1).otherwise(0)).cast("int").alias("ord")))
-        if not fresh.limit(1).count():
+    tree = ends.groupBy("head").agg(F.max(F.struct("place", "to")).alias("end")).select(F.col("head").alias("node"), F.col("end.to").alias("next"))
+    inputs = tree.where("next IS NOT NULL").groupBy(F.col("next").alias("node")).agg(F.count(F.lit(1)).cast("int").alias("pend"))
+    tree = cut(tree.join(inputs, "node", "left").withColumn("pend", F.coalesce("pend", F.lit(0))))
+    most = tree.where("pend = 0").count().bit_length() + 1  # an order more needs twice the heads
+    one = F.when(F.col("pend") == 0, 1)
+    state = stored(tree.select("node", "next", "pend", F.lit(0).alias("top"), F.lit(0).alias("n_top"), F.lit(None).cast(tree.schema["node"].dataType).alias("child"), F.lit(None).cast("array<int>").alias("f"), one.cast("int").alias("ord"), one.isNotNull().alias("fresh")))
+    while state.where("ord IS NULL").limit(1).count():
+        if not state.where("fresh").limit(1).count():
             raise ValueError("the streams hold a cycle")
-        orders = cut(orders.unionByName(fresh))
-    return segments.join(orders, "head").select("node", "ord")
+        given = state.where("fresh AND next IS NOT NULL").groupBy(F.col("next").alias("node"), "ord").agg(F.count(F.lit(1)).cast("int").alias("n"))
+        given = given.groupBy("node").agg(F.sum("n").cast("int").alias("n"), F.max(F.struct("ord", "n")).alias("g"))
+        known = state.where("fresh").select(F.col("node").alias("child"), F.col("ord").alias("child_ord"))
+        open_ = F.col("ord").isNull() & F.col("n").isNotNull()
+        n_top = F.when(F.col("g.ord") > F.col("top"), F.col("g.n")).when(F.col("g.ord") == F.col("top"), F.col("g.n") + F.col("n_top")).otherwise(F.col("n_top"))
+        heard = state.join(given, "node", "left").join(known, "child", "left")
+        heard = heard.select("node", "next", "child", "f", "ord", "child_ord", F.when(open_, F.col("pend") - F.col("n")).otherwise(F.col("pend")).alias("pend"), F.when(open_, F.greatest("top", "g.ord")).otherwise(F.col("top")).alias("top"), F.when(open_, n_top).otherwise(F.col("n_top")).alias("n_top"))
+        found = F.when(F.col("ord").isNotNull(), F.col("ord")).when(F.col("pend") == 0, F.col("top") + (F.col("n_top") > 1).cast("int")).when(F.col("child_ord").isNotNull(), F.element_at("f", F.col("child_ord")))
+        heard = stored(heard.select("node", "next", "pend", "top", "n_top", "child", "f", found.alias("ord"), (F.col("ord").isNull() & found.isNotNull()).alias("fresh")))
+        unknown = heard.where("ord IS NULL")
+        lone = unknown.where("next IS NOT NULL").groupBy(F.col("next").alias("node")).agg(F.min("node").alias("lone"))
+        of = F.transform(F.sequence(F.lit(1), F.lit(most)), lambda x: F.when(x > F.col("top"), x).when(x == F.col("top"), x + 1).otherwise(F.col("top") + (F.col("n_top") > 1).cast("int")).cast("int"))
+        new = (F.col("pend") == 1) & F.col("child").isNull() & F.col("ord").isNull()
+        chained = stored(heard.join(lone, "node", "left").withColumns({"child": F.when(new, F.col("lone")).otherwise(F.col("child")), "f": F.when(new, of).otherwise(F.col("f"))}).drop("lone"))
+        hop = chained.where("ord IS NULL AND f IS NOT NULL").select(F.col("node").alias("child"), F.col("child").alias("beyond"), F.col("f").alias("inner"))
+        composed = F.transform("inner", lambda y: F.element_at("f", F.least(y, F.lit(most))))
+        both = F.col("ord").isNull() & F.col("beyond").isNotNull()
+        state = stored(chained.join(hop, "child", "left").select("node", "next", "pend", "top", "n_top", F.when(both, F.col("beyond")).otherwise(F.col("child")).alias("child"), F.when(both, composed).otherwise(F.col("f")).alias("f"), "ord", "fresh"))
+    return segments.join(state.select(F.col("node").alias("head"), "ord"), "head").select("node", "ord")
+
+
+def channel_totals(lines: DataFrame) -> DataFrame:
+    """One row (n_segments, length) of stream_lines' lines."""
+    return lines.agg(F.count(F.lit(1)).alias("n_segments"), F.coalesce(F.sum("length"), F.lit(0.0)).alias("length"))
 
 
 def stream_lines(links: DataFrame, meta: GridMeta) -> DataFrame:
@@ -115,7 +139,7 @@ def stream_lines(links: DataFrame, meta: GridMeta) -> DataFrame:
 
     A line ends in the cell that the next segment begins with. A head without a cell below has no line.
     """
-    segments = stream_segments(links)
+    segments = cut(stream_segments(links))
     own = segments.join(links, "node").select("head", "place", "node", "to")
     closing = own.groupBy("head").agg(F.max(F.struct("place", "to")).alias("e")).where("e.to IS NOT NULL").select("head", (F.col("e.place") + 1).alias("place"), F.col("e.to").alias("node"))
     at = own.select("head", "place", "node").unionByName(closing)
@@ -123,20 +147,15 @@ def stream_lines(links: DataFrame, meta: GridMeta) -> DataFrame:
     lines = at.groupBy("head").agg(F.array_sort(F.collect_list(F.struct("place", "x", "y"))).alias("points")).where("size(points) > 1")
     n = F.size("points")
     length = F.aggregate(F.sequence(F.lit(2), n), F.lit(0.0), lambda acc, i: acc + F.hypot(F.element_at("points", i)["x"] - F.element_at("points", i - 1)["x"], F.element_at("points", i)["y"] - F.element_at("points", i - 1)["y"]))
-    return lines.join(strahler(links).withColumnRenamed("node", "head"), "head").select("head", "ord", length.alias("length"), n.alias("n_points"), "points")
+    return lines.join(strahler(links, segments).withColumnRenamed("node", "head"), "head").select("head", "ord", length.alias("length"), n.alias("n_points"), "points")
 
 
-def _relax(epsilon: float, size: int):
+def _relax(epsilons: tuple[float, ...], size: int):
     """Solve a block for given levels around it: the level of a cell is the larger of its height and its lowest way out."""
 
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        br, bc = key
-        r, c = pdf["row"].to_numpy() - br * size + 1, pdf["col"].to_numpy() - bc * size + 1
-        z, w = np.full((size + 2, size + 2), np.nan), np.full((size + 2, size + 2), np.inf)
-        z[r, c], w[r, c] = pdf["v"], pdf["w"]
-        own = np.zeros_like(z, bool)
-        own[r, c] = pdf["own"]
-        heap = [(w[i, j], i, j) for i, j in zip(r.tolist(), c.tolist()) if w[i, j] < np.inf]
+    def solve(z: np.ndarray, w: np.ndarray, own: np.ndarray, epsilon: float) -> None:
+        known = np.isfinite(w)
+        heap = list(zip(w[known].tolist(), *(x.tolist() for x in np.nonzero(known))))
         heapq.heapify(heap)
         while heap:
             level, i, j = heapq.heappop(heap)
@@ -149,28 +168,56 @@ def _relax(epsilon: float, size: int):
                     if better < w[y, x]:
                         w[y, x] = better
                         heapq.heappush(heap, (better, y, x))
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        br, bc = key
+        r, c = pdf["row"].to_numpy() - br * size + 1, pdf["col"].to_numpy() - bc * size + 1
+        z, own = np.full((size + 2, size + 2), np.nan), np.zeros((size + 2, size + 2), bool)
+        z[r, c], own[r, c] = pdf["v"], pdf["own"]
         mine = pdf[pdf["own"]]
-        new = w[mine["row"].to_numpy() - br * size + 1, mine["col"].to_numpy() - bc * size + 1]
-        return pd.DataFrame({"row": mine["row"], "col": mine["col"], "v": mine["v"], "w": new, "changed": new < mine["w"].to_numpy()})
+        at = mine["row"].to_numpy() - br * size + 1, mine["col"].to_numpy() - bc * size + 1
+        out, changed = {"row": mine["row"], "col": mine["col"], "v": mine["v"]}, np.zeros(len(mine), bool)
+        for k, epsilon in enumerate(epsilons):
+            w = np.full((size + 2, size + 2), np.inf)
+            w[r, c] = pdf[f"w{k}"]
+            solve(z, w, own, epsilon)
+            out[f"w{k}"] = w[at]
+            changed |= w[at] < mine[f"w{k}"].to_numpy()
+        return pd.DataFrame({**out, "changed": changed})
 
     return run
 
 
 def fill_levels(cells: DataFrame, epsilon: float, block: int = BLOCK) -> DataFrame:
-    """(row, col, v, w): the lowest level w >= v at which each cell drains over ways that rise by epsilon a step.
+    """(row, col, v, w): the lowest level w >= v at which each cell drains over ways that rise by epsilon a step."""
+    return _levels(cells, (epsilon,), block).withColumnRenamed("w0", "w")
+
+
+def _levels(cells: DataFrame, epsilons: tuple[float, ...], block: int) -> DataFrame:
+    """(row, col, v, w0, w1, ...): for each epsilon the lowest level at which a cell drains over ways that rise by epsilon a step.
 
-    Water leaves at the grid's edge and beside nodata. Each round solves all blocks of block x block cells for the
-    levels around them; rounds go on until no level falls, as many as the longest way out crosses blocks.
+    Water leaves at the grid's edge and beside nodata. Blocks of block x block cells are solved for the levels
+    around them, again whenever a level beside them falls; only blocks to be solved and their surroundings move. Rounds go on
+    until no level falls, as many as the longest way out crosses blocks.
     """
     missing = sum((F.col(n).isNull().cast("int") for n, _, _ in DIRECTIONS), F.lit(0))
-    state = cut(neighbours(cells).select("row", "col", F.col("v").cast("double").alias("v"), F.when(missing > 0, F.col("v").cast("double")).otherwise(float("inf")).alias("w")))
+    height, levels = F.col("v").cast("double"), [f"w{k}" for k in range(len(epsilons))]
+    state = cut(neighbours(cells).select("row", "col", height.alias("v"), *[F.when(missing > 0, height).otherwise(float("inf")).alias(w) for w in levels]))
     part = lambda x, d: F.floor((F.col(x) + d) / block).cast("int")
+    own = F.struct(part("row", 0).alias("br"), part("col", 0).alias("bc"))
+    near = F.array_distinct(F.array(*[F.struct(part("row", dr).alias("br"), part("col", dc).alias("bc")) for dr in (-1, 0, 1) for dc in (-1, 0, 1)]))
+    todo = None
     while True:
-        places = F.array_distinct(F.array(*[F.struct(part("row", dr).alias("br"), part("col", dc).alias("bc")) for dr in (-1, 0, 1) for dc in (-1, 0, 1)]))
-        spread = state.withColumn("b", F.explode(places)).select("row", "col", "v", "w", "b.br", "b.bc", ((F.col("b.br") == part("row", 0)) & (F.col("b.bc") == part("col", 0))).alias("own"))
-        solved = cut(spread.groupBy("br", "bc").applyInPandas(_relax(epsilon, block), "row int, col int, v double, w double, changed boolean"))
-        state = solved.select("row", "col", "v", "w")
-        if not solved.where("changed").limit(1).count():
+        spread = state.withColumn("b", F.explode(near)).select("row", "col", "v", *levels, "b.br", "b.bc", (F.col("b") == own).alias("own"))
+        rest = state.withColumns({"br": own["br"], "bc": own["bc"]})
+        if todo is not None:
+            spread, rest = spread.join(todo, ["br", "bc"], "left_semi"), rest.join(todo, ["br", "bc"], "left_anti")
+        shape = "row int, col int, v double, " + "".join(f"{w} double, " for w in levels) + "changed boolean"
+        solved = cut(spread.groupBy("br", "bc").applyInPandas(_relax(epsilons, block), shape))
+        state = solved.drop("changed") if todo is None else cut(rest.select("row", "col", "v", *levels).unionByName(solved.drop("changed")))
+        beside = solved.where("changed").select(F.explode(F.filter(near, lambda b: b != own)).alias("b")).select("b.br", "b.bc").distinct()
+        todo = broadcast_below(cut(beside), BROADCAST_BLOCKS)
+        if not todo.limit(1).count():
             return state
 
 
@@ -179,9 +226,8 @@ def fill_depressions(cells: DataFrame, epsilon: float = 1e-5, block: int = BLOCK
 
     Depth is against the level without a rise. Levels are doubles throughout, so that plateaus on high ground keep draining.
     """
-    raised = fill_levels(cells, epsilon, block).select("row", "col", "v", F.col("w").alias("filled"))
-    level = fill_levels(cells, 0.0, block).select("row", "col", F.col("w").alias("level"))
-    return raised.join(level, ["row", "col"]).select("row", "col", "v", "filled", F.when(F.col("level") > F.col("v"), F.col("level") - F.col("v")).alias("depth"))
+    both = _levels(cells, (epsilon, 0.0), block)
+    return both.select("row", "col", "v", F.col("w0").alias("filled"), F.when(F.col("w1") > F.col("v"), F.col("w1") - F.col("v")).alias("depth"))
 
 
 def cell_components(cells: DataFrame, meta: GridMeta, eight: bool = True) -> DataFrame:
@@ -254,14 +300,32 @@ def run_hydrology(cells: DataFrame, meta: GridMeta, threshold: int = 500, epsilo
 def walk_upstream(forest: DataFrame, accumulation: DataFrame, start: int, steps: int) -> DataFrame:
     """(step, node): from a cell, again and again the cell flowing in with the largest accumulation, the smallest id of equals.
 
-    One small look-up on the driver for each step; steps is the bound.
+    Each cell's main inflow is chosen once; each round doubles the steps that are known.
     """
-    inflow = cut(forest.where("node <> root").join(accumulation, "node").select("root", "node", "acc"))
-    path, here = [(0, start)], start
-    for k in range(1, steps + 1):
-        best = inflow.where(F.col("root") == here).orderBy(F.desc("acc"), "node").limit(1).collect()
-        if not best:
-            break
-        here = best[0]["node"]
-        path.append((k, here))
-    return forest.sparkSession.createDataFrame(path, "step int, node long")
+    inflow = forest.where("node <> root").join(accumulation, "node").groupBy("root").agg(F.max(F.struct("acc", (-F.col("node")).alias("back"))).alias("m"))
+    jump = cut(inflow.select(F.col("root").alias("node"), (-F.col("m.back")).alias("up")))
+    path, known = forest.sparkSession.createDataFrame([(0, start)], "step int, node long"), 1
+    while known <= steps:
+        further = F.broadcast(path).join(jump, "node").select((F.col("step") + known).alias("step"), F.col("up").alias("node"))  # steps + 1 rows at most
+        path = cut(path.unionByName(further).where(F.col("step") <= steps))
+        known *= 2
+        if known <= steps:
+            beyond = jump.select(F.col("node").alias("up"), F.col("up").alias("next"))
+            jump = cut(jump.join(beyond, "up").select("node", F.col("next").alias("up")))
+    return path
+
+
+def outlets(basin_sizes: DataFrame, cells: DataFrame, meta: GridMeta) -> DataFrame:
+    """basin_sizes(root, n) with the outlet's row, col and place, the basin's area, and whether water leaves the survey there."""
+    open_ = open_sides(cells).select(meta.cell_id().alias("root"), (F.col("n_open") > 0).alias("truncated"))
+    placed = basin_sizes.join(open_, "root", "left").withColumns({"row": F.expr(f"cast(root div {meta.width} as int)"), "col": (F.col("root") % meta.width).cast("int")})
+    return placed.select("root", "n", (F.col("n") * meta.cell_size**2).alias("area"), meta.x(F.col("col")).alias("easting"), meta.y(F.col("row")).alias("northing"), F.coalesce("truncated", F.lit(True)).alias("truncated"))
+
+
+def flood_product(cells: DataFrame, meta: GridMeta, level: float, seed: tuple[int, int] | None = None) -> tuple[DataFrame, DataFrame]:
+    """The depths of connected_flood and their summary; without a seed water stands from the lowest cell."""
+    if seed is None:
+        low = lowest_cell(cells).first()
+        seed = (low["row"], low["col"]) if low else None
+    flood = cut(connected_flood(cells, meta, level, [seed] if seed else []))
+    return flood, flood_summary(flood, meta)

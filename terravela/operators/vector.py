@@ -2,47 +2,35 @@
 
 from __future__ import annotations
 
-from collections import defaultdict
-
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf, udtf
+from pyspark.sql.functions import pandas_udf
 
 from terravela.functions.geodesy import utm_is_north, utm_to_lon_lat, utm_zone
+from terravela.functions.geometry import signed_area
 from terravela.operators.flow import cell_components
 from terravela.operators.grid import GridMeta
 from terravela.plans.lineage import cut
 
 
-@udtf(returnType="col int, row int")
-class Bresenham:
-    """The cells of a straight line between two cells, both ends included."""
-
-    def eval(self, x0: int, y0: int, x1: int, y1: int):
-        dx, dy, sx, sy = abs(x1 - x0), -abs(y1 - y0), (x1 > x0) - (x1 < x0), (y1 > y0) - (y1 < y0)
-        balance = dx + dy
-        while True:
-            yield x0, y0
-            if (x0, y0) == (x1, y1):
-                return
-            twice = 2 * balance
-            if twice >= dy:
-                balance, x0 = balance + dy, x0 + sx
-            if twice <= dx:
-                balance, y0 = balance + dx, y0 + sy
+def line_cells(c0: Column, r0: Column, c1: Column, r1: Column) -> Column:
+    """array<struct<col, row>> of the cells of a straight line, both ends included: along the longer axis cell by cell, the other rounded half up from the start."""
+    across, down = F.abs(c1 - c0), F.abs(r1 - r0)
+    long = F.greatest(across, down)
+    along = lambda start, end, span: lambda k: (start + F.signum(end - start).cast("int") * F.when(long == 0, 0).otherwise(F.floor((2 * k * span + long) / (2 * long)))).cast("int")
+    x, y = along(c0, c1, across), along(r0, r1, down)
+    return F.transform(F.sequence(F.lit(0), long), lambda k: F.struct(x(k).alias("col"), y(k).alias("row")))
 
 
 def rasterize_lines(vertices: DataFrame, meta: GridMeta) -> DataFrame:
     """(row, col) of the cells that lines(line, seq, x, y) pass; ends may lie outside, cells outside are left out."""
-    from pyspark.sql import Window
-
     at = vertices.select("line", "seq", meta.col(F.col("x")).alias("c"), meta.row(F.col("y")).alias("r"))
     w = Window.partitionBy("line").orderBy("seq")
     pairs = at.withColumns({"c1": F.lead("c").over(w), "r1": F.lead("r").over(w)}).where("c1 IS NOT NULL").select("c", "r", "c1", "r1").distinct()
-    drawn = pairs.lateralJoin(Bresenham(F.col("c").outer(), F.col("r").outer(), F.col("c1").outer(), F.col("r1").outer()))
-    return drawn.select("row", "col").where(F.col("row").between(0, meta.height - 1) & F.col("col").between(0, meta.width - 1)).distinct()
+    drawn = pairs.select(F.explode(line_cells(F.col("c"), F.col("r"), F.col("c1"), F.col("r1"))).alias("cell")).select("cell.row", "cell.col")
+    return drawn.where(F.col("row").between(0, meta.height - 1) & F.col("col").between(0, meta.width - 1)).distinct()
 
 
 def thin(points: np.ndarray, tolerance: float) -> np.ndarray:
@@ -93,48 +81,47 @@ def mask_edges(mask: DataFrame) -> DataFrame:
     return own.join(there, ["nr", "nc"], "left_anti").select("row", "col", "side", "r0", "c0", "r1", "c1")
 
 
-def _chain(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Chain one component's edges to rings, turning left where two rings touch, and drop vertices on straight stretches."""
-    after: dict[tuple[int, int], list[tuple[int, int]]] = defaultdict(list)
-    for r0, c0, r1, c1 in pdf[["r0", "c0", "r1", "c1"]].itertuples(index=False):
-        after[r0, c0].append((r1, c1))
-    rings, root = [], int(pdf["root"].iloc[0])
-    for start in sorted(after):
-        while after[start]:
-            ring, here = [start], after[start].pop()
-            while here != start:
-                back, options = ring[-1], after[here]
-                ring.append(here)
-                if len(options) > 1:
-                    dr, dc = here[0] - back[0], here[1] - back[1]
-                    left = (here[0] - dc, here[1] + dr)
-                    options.remove(nxt := left if left in options else options[0])
-                else:
-                    nxt = options.pop()
-                here = nxt
-            n = len(ring)
-            rings.append([p for i, p in enumerate(ring) if not _straight(ring[i - 1], p, ring[(i + 1) % n])])
-    return pd.DataFrame({"root": [root] * len(rings), "ring": range(len(rings)), "corners": [[{"row": r, "col": c} for r, c in ring] for ring in rings]})
-
-
-def _straight(a, b, c) -> bool:
-    return (b[0] - a[0]) * (c[1] - b[1]) == (b[1] - a[1]) * (c[0] - b[0])
+def ring_edges(edges: DataFrame, width: int) -> DataFrame:
+    """edges(side, r0, c0, r1, c1) -> (id, ring, ahead, r0, c0, corner): their rings, each named by its smallest edge.
+
+    An edge is followed by one that begins where it ends, the left one where two rings touch. Each round doubles the
+    stretch over which an edge knows the smallest edge ahead and how far it is, so that rounds grow with the logarithm
+    of the longest ring and no ring is gathered. corner tells whether the outline turns where the edge begins.
+    """
+    name = ((F.col("r0").cast("long") * (width + 1) + F.col("c0")) * 4 + F.col("side")).alias("id")
+    own = edges.select(name, "side", "r0", "c0", "r1", "c1")
+    onward = own.select(F.col("id").alias("next"), F.col("side").alias("next_side"), F.col("r0").alias("r1"), F.col("c0").alias("c1"), F.col("r1").alias("r2"), F.col("c1").alias("c2"))
+    left = (F.col("r2") == F.col("r1") - (F.col("c1") - F.col("c0"))) & (F.col("c2") == F.col("c1") + (F.col("r1") - F.col("r0")))
+    followed = own.join(onward, ["r1", "c1"]).groupBy("id").agg(F.min(F.struct(F.when(left, 0).otherwise(1).alias("turn"), "next", "next_side")).alias("n"), F.first("side").alias("side"))
+    followed = cut(followed.select("id", F.col("n.next").alias("next"), (F.col("side") != F.col("n.next_side")).alias("turns")))
+    state, span = cut(followed.select("id", F.col("next").alias("ptr"), F.col("id").alias("ring"), F.lit(0).cast("long").alias("ahead"))), 1
+    while True:
+        there = state.select(F.col("id").alias("ptr"), F.col("ptr").alias("ptr2"), F.col("ring").alias("ring2"), F.col("ahead").alias("ahead2"))
+        lower = F.col("ring2") < F.col("ring")
+        state = cut(state.join(there, "ptr").select("id", F.col("ptr2").alias("ptr"), F.least("ring", "ring2").alias("ring"), F.when(lower, F.col("ahead2") + span).otherwise(F.col("ahead")).alias("ahead"), lower.alias("moved")))
+        span *= 2
+        if not state.where("moved").limit(1).count():
+            break
+        state = state.drop("moved")
+    corner = followed.select(F.col("next").alias("id"), F.col("turns").alias("corner"))
+    return state.select("id", "ring", "ahead").join(corner, "id").join(own.select("id", "r0", "c0"), "id")
 
 
 def polygonize(mask: DataFrame, meta: GridMeta) -> DataFrame:
     """(root, ring, signed_area, n_corners, points): rings on cell edges, outer ones counter-clockwise, holes clockwise.
 
-    Cells connect eight ways; a component's rings belong to one (multi-part) polygon. A component's edges meet
-    in one group, whose size is that of its outline.
+    Cells connect eight ways; a component's rings belong to one (multi-part) polygon. A ring is named by its smallest
+    edge; only its own corners are gathered, as its points.
     """
     held = cut(mask.select("row", "col").distinct())
     parts = cell_components(held, meta)
-    edges = mask_edges(held).withColumn("node", meta.cell_id()).join(parts, "node").select("root", "r0", "c0", "r1", "c1")
-    rings = edges.groupBy("root").applyInPandas(_chain, "root long, ring int, corners array<struct<row:int,col:int>>")
-    points = F.transform("corners", lambda p: F.struct(meta.x(p["col"], 0).alias("x"), meta.y(p["row"], 0).alias("y")))
-    from terravela.functions.geometry import signed_area
-
-    return rings.withColumn("points", points).select("root", "ring", signed_area(F.col("points")).alias("signed_area"), F.size("points").alias("n_corners"), "points")
+    edges = cut(mask_edges(held).withColumn("node", meta.cell_id()))
+    rings = ring_edges(edges, meta.width)
+    # The smallest edge's own cell tells the component.
+    first = edges.select(((F.col("r0").cast("long") * (meta.width + 1) + F.col("c0")) * 4 + F.col("side")).alias("ring"), "node").join(parts, "node").select("ring", "root")
+    corners = rings.where("corner").groupBy("ring").agg(F.array_sort(F.collect_list(F.struct((F.col("ahead") > 0).alias("later"), (-F.col("ahead")).alias("place"), "r0", "c0"))).alias("at"))
+    points = F.transform("at", lambda p: F.struct(meta.x(p["c0"], 0).alias("x"), meta.y(p["r0"], 0).alias("y")))
+    return corners.join(first, "ring").withColumn("points", points).select("root", "ring", signed_area(F.col("points")).alias("signed_area"), F.size("points").alias("n_corners"), "points")
 
 
 def to_geojson(features: DataFrame, epsg: int, digits: int = 8) -> DataFrame:

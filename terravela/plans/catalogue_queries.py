@@ -13,6 +13,7 @@ from terravela.operators import quality
 from terravela.plans import inputs as i
 from terravela.plans.inputs import CATALOGUE_SQL as CTE
 from terravela.plans.inputs import table
+from terravela.plans.lineage import fresh_dir
 from terravela.sources import exports
 from terravela.streaming import limits
 
@@ -53,8 +54,7 @@ def visible_sites_without_grants(spark, sf_dir):
 @query(f"""WITH {CTE}, seen AS (SELECT u.id AS user_id, s.id AS site_id FROM users u JOIN sites s ON u.is_active AND (u.role <> 'client' OR (s.client_id = u.client_id AND s.is_published AND (NOT EXISTS (SELECT 1 FROM grants g WHERE g.user_id = u.id) OR EXISTS (SELECT 1 FROM grants g WHERE g.user_id = u.id AND g.site_id = s.id)))))
     SELECT user_id, count(*) AS n_sites, CAST(sum(site_id) AS BIGINT) AS ids FROM seen GROUP BY 1""")
 def visible_by_user(spark, sf_dir):
-    seen = c.visible_by_user(i.sites(spark, sf_dir), i.grants(spark, sf_dir), i.users(spark, sf_dir))
-    return seen.groupBy("user_id").agg(F.count(F.lit(1)).alias("n_sites"), F.sum("site_id").alias("ids"))
+    return c.visible_totals(i.sites(spark, sf_dir), i.grants(spark, sf_dir), i.users(spark, sf_dir))
 
 
 @query(f"WITH {CTE} SELECT * FROM ({_VISIBLE.format(FREE)}) WHERE slug = (SELECT 'site-' || min(id) FROM ({_VISIBLE.format(FREE)}))")
@@ -295,14 +295,13 @@ def failure_limiter(spark, sf_dir):
 @query(ORACLE_SQL["rate_limit_hit"])
 def rate_limit_stream(spark, sf_dir):
     """The same limit over a stream that replays the events; by batches of files, so only the counts' order may differ."""
-    import uuid
-
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
     source = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
     events = source.selectExpr("cast(user_id as string) AS key", "cast(ts as timestamp) AS at", "event_id AS order").withWatermark("at", "1 hour")
-    name = f"hits_{uuid.uuid4().hex}"
-    limits.stream_hits(events, 2, 6 * 3600).writeStream.format("memory").queryName(name).outputMode("append").trigger(availableNow=True).start().awaitTermination()
-    return spark.table(name).select(F.col("key").cast("long").alias("user_id"), F.col("order").alias("event_id"), "n", "limited")
+    out, state = fresh_dir(spark, "hits"), fresh_dir(spark, "hits-state")
+    limits.stream_hits(events, 2, 6 * 3600).writeStream.format("parquet").option("path", out).option("checkpointLocation", state).outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    held = spark.read.schema("key string, order long, n long, limited boolean").parquet(out)
+    return held.select(F.col("key").cast("long").alias("user_id"), F.col("order").alias("event_id"), "n", "limited")
 
 
 @query("SELECT event_type, CAST(CAST(ts AS DATE) AS VARCHAR) AS day, count(*) AS n FROM events GROUP BY 1, 2")

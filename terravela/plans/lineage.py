@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -10,9 +11,11 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; a temporary one where that is unset, as in local tests."""
+    """The folder named in spark.checkpoint.dir. Where that is unset, a temporary one on a local master, as in tests; a cluster must name one."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         named = tempfile.mkdtemp(prefix="spark-shared-")
         spark.conf.set("spark.checkpoint.dir", named)
     if spark.sparkContext.getCheckpointDir() is None:
@@ -31,6 +34,18 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """df as a table written in the shared folder and read back.
+
+    As cut, but the planner knows nothing of what it held: in long loops the constraints that a checkpoint
+    carries multiply with each round's expressions until planning takes longer than the work.
+    """
+    spark = df.sparkSession
+    path = fresh_dir(spark, "stored")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def broadcast_below(df: DataFrame, max_rows: int) -> DataFrame:
     """Hint a broadcast only if df has at most max_rows rows; beyond that the planner shuffles.
 

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -13,24 +15,50 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 LOGIN_BY_ADDRESS, LOGIN_FAILURES, CONTACT = (30, 900), (5, 900), (5, 600)
 
 
+def _folded(events: DataFrame, key: str, columns: list[Column], schema: str, run) -> DataFrame:
+    """Each key's events in order of time, batch by batch, so that a task holds one batch and a key's state is two numbers."""
+    parts = int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keyed = events.select(F.col(key).alias("k"), *columns).repartition(parts, "k").sortWithinPartitions("k", "t", "o")
+    return keyed.mapInArrow(run, schema)
+
+
+def _runs(keys: pa.Array) -> Iterator[tuple[int, int]]:
+    """First and end of each run of equal keys."""
+    codes = keys.dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
+    edges = np.flatnonzero(np.diff(codes)) + 1
+    yield from zip([0, *edges.tolist()], [*edges.tolist(), len(codes)])
+
+
 def fold_hits(events: DataFrame, key: str, at: str, order: str, most: int, seconds: float) -> DataFrame:
     """(key, order, at, n, limited) for each event: n is its number in its window, limited if beyond `most`.
 
     A window opens at a key's first event and at the first one later than `seconds` after the last window opened.
-    One key's events meet in a group; where a key may be very hot, fold per batch with the stream below.
+    Events of a key are read in order and forgotten; a search finds each window's end.
     """
-    t = F.unix_micros(F.col(at).cast("timestamp"))
-    grouped = events.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(t.alias("t"), F.col(order).alias("o"), F.col(at).alias("at")))).alias("all"))
-    one = "struct<t:bigint,o:bigint,at:timestamp,n:bigint>"
-    start = F.struct(F.lit(None).cast("long").alias("open"), F.lit(0).cast("long").alias("n"), F.array().cast(f"array<{one}>").alias("out"))
-
-    def step(acc, e):
-        over = acc["open"].isNull() | (e["t"] - acc["open"] > int(seconds * 1e6))
-        n = F.when(over, F.lit(1).cast("long")).otherwise(acc["n"] + 1)
-        return F.struct(F.when(over, e["t"]).otherwise(acc["open"]).alias("open"), n.alias("n"), F.concat(acc["out"], F.array(F.struct(e["t"].alias("t"), e["o"].cast("long").alias("o"), e["at"].cast("timestamp").alias("at"), n.alias("n")))).alias("out"))
-
-    rows = grouped.select(key, F.explode(F.aggregate("all", start, step, lambda acc: acc["out"])).alias("e"))
-    return rows.select(key, F.col("e.o").alias(order), F.col("e.at").alias(at), F.col("e.n").alias("n"), (F.col("e.n") > most).alias("limited"))
+    width = int(seconds * 1e6)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, opened, n = object(), 0, 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            t, numbers = batch.column(1).to_numpy(), np.empty(batch.num_rows, np.int64)
+            for a, b in _runs(batch.column(0)):
+                name = batch.column(0)[a].as_py()
+                if name != last:
+                    last, opened, n = name, int(t[a]), 0
+                while a < b:
+                    end = a + int(np.searchsorted(t[a:b], opened + width, side="right"))
+                    numbers[a:end] = np.arange(n + 1, n + 1 + end - a)
+                    n, a = n + end - a, end
+                    if a < b:
+                        opened, n = int(t[a]), 0
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), pa.array(numbers)], ["k", "o", "at", "n"])
+
+    kind = lambda c: events.schema[c].dataType.simpleString()
+    columns = [F.unix_micros(F.col(at).cast("timestamp")).alias("t"), F.col(order).alias("o"), F.col(at).alias("at")]
+    out = _folded(events.where(F.col(at).isNotNull()), key, columns, f"k {kind(key)}, o {kind(order)}, at {kind(at)}, n long", run)
+    return out.select(F.col("k").alias(key), F.col("o").alias(order), F.col("at").alias(at), "n", (F.col("n") > most).alias("limited"))
 
 
 def fold_failures(events: DataFrame, key: str, at: str, order: str, kind: Column, most: int, seconds: float) -> DataFrame:
@@ -38,19 +66,30 @@ def fold_failures(events: DataFrame, key: str, at: str, order: str, kind: Column
 
     A failure counts, a success clears, others only look; limited if n is `most` or more.
     """
-    t = F.unix_micros(F.col(at).cast("timestamp"))
-    grouped = events.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(t.alias("t"), F.col(order).cast("long").alias("o"), kind.alias("kind")))).alias("all"))
-    start = F.struct(F.lit(None).cast("long").alias("open"), F.lit(0).cast("long").alias("n"), F.array().cast("array<struct<o:bigint,n:bigint>>").alias("out"))
-
-    def step(acc, e):
-        over = acc["open"].isNull() | (e["t"] - acc["open"] > int(seconds * 1e6))
-        held = F.when(over, F.lit(0).cast("long")).otherwise(acc["n"])
-        n = F.when(e["kind"] == "clear", F.lit(0).cast("long")).when(e["kind"] == "failure", held + 1).otherwise(held)
-        opened = F.when(e["kind"] == "clear", F.lit(None).cast("long")).when((e["kind"] == "failure") & over, e["t"]).when(over, F.lit(None).cast("long")).otherwise(acc["open"])
-        return F.struct(opened.alias("open"), n.alias("n"), F.concat(acc["out"], F.array(F.struct(e["o"].alias("o"), n.alias("n")))).alias("out"))
-
-    rows = grouped.select(key, F.explode(F.aggregate("all", start, step, lambda acc: acc["out"])).alias("e"))
-    return rows.select(key, F.col("e.o").alias(order), F.col("e.n").alias("n"), (F.col("e.n") >= most).alias("limited"))
+    width = int(seconds * 1e6)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, opened, n = object(), None, 0
+        for batch in batches:
+            times, kinds, numbers = batch.column(1).to_pylist(), batch.column(3).to_pylist(), []
+            for a, b in _runs(batch.column(0)) if batch.num_rows else ():
+                name = batch.column(0)[a].as_py()
+                if name != last:
+                    last, opened, n = name, None, 0
+                for t, what in zip(times[a:b], kinds[a:b]):
+                    if opened is None or t - opened > width:
+                        opened, n = None, 0
+                    if what == "failure":
+                        opened, n = t if opened is None else opened, n + 1
+                    elif what == "clear":
+                        opened, n = None, 0
+                    numbers.append(n)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(numbers, pa.int64())], ["k", "o", "n"])
+
+    type_of = lambda c: events.schema[c].dataType.simpleString()
+    columns = [F.unix_micros(F.col(at).cast("timestamp")).alias("t"), F.col(order).alias("o"), kind.alias("kind")]
+    out = _folded(events.where(F.col(at).isNotNull()), key, columns, f"k {type_of(key)}, o {type_of(order)}, n long", run)
+    return out.select(F.col("k").alias(key), F.col("o").alias(order), "n", (F.col("n") >= most).alias("limited"))
 
 
 def stream_hits(events: DataFrame, most: int, seconds: float) -> DataFrame:
