@@ -15,9 +15,9 @@ from terravela.plans.lineage import fresh_dir
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of which some language holds most words; learned as in op7 from the rows it isn't tested on."""
+    """Documents with a letter in any language; learned as in op7 from the rows it isn't tested on. Mixed ones stay."""
     learned_from = docs.where(F.crc32(F.col("doc_id").cast("string")) % 5 != 0)
-    return filter_languages(docs, fit_language_model(learned_from))
+    return filter_languages(docs, fit_language_model(learned_from), least_share=0.0)
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,7 +32,7 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a passage of a benchmark item."""
-    return drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), least_words=1)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
