@@ -41,7 +41,7 @@ _FULLWIDTH = {0xFF01 + i: 0x21 + i for i in range(94)}
 _FOLD = {k: ord(LOOKALIKES.get(chr(v), chr(v).lower())) for k, v in _FULLWIDTH.items()} | {ord(c): ord(c) + 32 for c in map(chr, range(0x41, 0x5B))} | {ord(k): ord(v) for k, v in LOOKALIKES.items()} | dict.fromkeys(map(ord, INVISIBLE))
 _SIGN = re.compile(r"[@$](?=[^\W\d_])|(?<=[^\W\d_])[!|](?=[^\W\d_])")
 _WORD = re.compile(r"[^\W\d_]+")
-_MIXED = re.compile(r"[^\W_]*[013-578][^\W_]*+")
+_MIXED = re.compile(r"(?<![^\W_])[^\W\d_]*+\d[^\W_]*+")  # a run with a digit; linear in the text
 _DIGITS = str.maketrans(DIGITS)
 
 
