@@ -328,7 +328,10 @@ def exports_txt_csv_xml(spark, sf_dir):
     return out
 
 
-@query()
+@query("""WITH p AS (SELECT s_suppkey AS seq, 300000 + s_suppkey * 7.25::DOUBLE AS e, 2500000 + s_suppkey * 3.5::DOUBLE AS n, s_suppkey / 4.0::DOUBLE AS z FROM supplier WHERE s_suppkey % 9 <> 0),
+    l AS (SELECT seq, ['0', 'POINT', '8', 'SPOT_LEVELS', '10', printf('%.4f', e), '20', printf('%.4f', n), '30', printf('%.4f', z), '0', 'TEXT', '8', 'SPOT_LEVELS_TEXT', '10', printf('%.4f', e + 0.2), '20', printf('%.4f', n), '30', printf('%.4f', z), '40', '0.5', '1', printf('%.2f', z)] AS lines FROM p),
+    f AS (SELECT unnest([-4, -3, -2, -1, 4611686018427387904, 4611686018427387905, 4611686018427387906, 4611686018427387907])::BIGINT AS seq, 0 AS part, unnest(['0', 'SECTION', '2', 'ENTITIES', '0', 'ENDSEC', '0', 'EOF']) AS line)
+    SELECT seq, CAST(i AS INT) AS part, lines[i + 1] AS line FROM l, range(24) t(i) UNION ALL SELECT seq, part, line FROM f""")
 def exports_dxf(spark, sf_dir):
     return exports.points_dxf(_points(spark, sf_dir)).select("seq", "part", "line")
 

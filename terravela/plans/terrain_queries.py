@@ -122,7 +122,15 @@ def flow_conservation(spark, sf_dir):
     return flow.accumulate(forest).join(forest, "node").agg(F.sum(F.when(F.col("root") == F.col("node"), F.col("acc"))).alias("at_outlets"), F.count(F.lit(1)).alias("n_cells"))
 
 
-@query()
+def _orders_sql(threshold: int = 8) -> str:
+    """CTEs up to orders(node, ord): orders rise from 1 until none changes, each row replaced by its key."""
+    return f"""{dem_sql()}, {D8_SQL}, {WALK_SQL}, acc AS (SELECT cur AS node, count(*) AS acc FROM walk GROUP BY cur), st AS (SELECT node FROM acc WHERE acc >= {threshold}),
+        links AS (SELECT d.node, CASE WHEN d.root <> d.node AND d.root IN (SELECT node FROM st) THEN d.root END AS nxt FROM down d JOIN st USING (node)),
+        orders(node, ord) USING KEY (node) AS (SELECT node, 1 FROM st UNION
+            SELECT n.node, n.ord FROM (SELECT nxt AS node, CASE WHEN count(*) FILTER (o = m) > 1 THEN any_value(m) + 1 ELSE any_value(m) END AS ord FROM (SELECT l.nxt, q.ord AS o, max(q.ord) OVER (PARTITION BY l.nxt) AS m FROM links l JOIN recurring.orders q ON q.node = l.node WHERE l.nxt IN (SELECT k.nxt FROM orders e JOIN links k ON k.node = e.node)) GROUP BY nxt) n JOIN recurring.orders p ON p.node = n.node WHERE n.ord > p.ord)"""
+
+
+@query(f"WITH RECURSIVE {_orders_sql()} SELECT CAST(node AS BIGINT) AS node, CAST(ord AS INT) AS ord FROM orders")
 def strahler_order(spark, sf_dir):
     return flow.strahler(_streams(spark, sf_dir))
 
@@ -132,7 +140,9 @@ def stream_segments(spark, sf_dir):
     return rounded(flow.stream_lines(_streams(spark, sf_dir), META).select("head", "ord", "length", "n_points"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {dem_sql()}, {D8_SQL}, {WALK_SQL}, acc AS (SELECT cur AS node, count(*) AS acc FROM walk GROUP BY cur),
+    main AS (SELECT d.root, d.node FROM down d JOIN acc USING (node) WHERE d.node <> d.root QUALIFY row_number() OVER (PARTITION BY d.root ORDER BY acc DESC, d.node) = 1),
+    up(step, node) AS (SELECT 0, (SELECT node FROM acc ORDER BY acc DESC, node LIMIT 1) UNION ALL SELECT step + 1, m.node FROM up u JOIN main m ON m.root = u.node WHERE step < 12) SELECT step, CAST(node AS BIGINT) AS node FROM up""")
 def upstream_walk(spark, sf_dir):
     forest = _forest(spark, sf_dir)
     accumulation = cut(flow.accumulate(forest))
@@ -140,12 +150,22 @@ def upstream_walk(spark, sf_dir):
     return flow.walk_upstream(forest, accumulation, start, 12)
 
 
-@query()
+def _levels_sql(epsilon: float, name: str) -> str:
+    """CTE name(r, c, w): levels fall from infinity until none does."""
+    around = "(VALUES (0, 1), (1, 1), (1, 0), (1, -1), (0, -1), (-1, -1), (-1, 0), (-1, 1)) o(dr, dc)"
+    return f"""{name}(r, c, w) USING KEY (r, c) AS (SELECT a.r, a.c, CASE WHEN count(b.z) < 8 THEN any_value(a.z) ELSE 'inf'::DOUBLE END FROM dem a CROSS JOIN {around} LEFT JOIN dem b ON b.r = a.r + o.dr AND b.c = a.c + o.dc GROUP BY a.r, a.c UNION
+        SELECT n.r, n.c, n.w FROM (SELECT d.r, d.c, min(greatest(d.z, p.w + {epsilon!r}::DOUBLE)) AS w FROM {name} p CROSS JOIN {around} JOIN dem d ON d.r = p.r + o.dr AND d.c = p.c + o.dc WHERE p.w < 'inf'::DOUBLE GROUP BY d.r, d.c) n JOIN recurring.{name} q ON q.r = n.r AND q.c = n.c WHERE n.w < q.w)"""
+
+
+_FILL_SQL = f"{dem_sql()}, {_levels_sql(1e-5, 'up')}, {_levels_sql(0.0, 'flat')}, filled AS (SELECT dem.r, dem.c, z, up.w AS filled, CASE WHEN flat.w > z THEN flat.w - z END AS depth FROM dem JOIN up USING (r, c) JOIN flat USING (r, c))"
+
+
+@query(f"WITH RECURSIVE {_FILL_SQL} SELECT r AS row, c AS col, round(z, 4) AS v, round(filled, 4) AS filled, round(depth, 4) AS depth FROM filled")
 def fill_depressions(spark, sf_dir):
     return rounded(flow.fill_depressions(dem(spark, sf_dir), block=32), 4)
 
 
-@query()
+@query(f"WITH RECURSIVE {_FILL_SQL} SELECT count(depth) AS n_sinks, max(depth) AS max_depth, sum(depth) AS volume FROM filled")
 def sink_depth(spark, sf_dir):
     return flow.fill_depressions(dem(spark, sf_dir), block=32).agg(F.count("depth").alias("n_sinks"), F.max("depth").alias("max_depth"), F.sum("depth").alias("volume"))
 
@@ -187,7 +207,9 @@ def hillshade(spark, sf_dir):
     return rounded(focal.hillshade(ragged(dem(spark, sf_dir)), META))
 
 
-@query()
+@query(f"""WITH {dem_sql()}, {RAGGED_SQL}, {_gradient_sql('rag')}, {OFFSETS_SQL}, k AS (SELECT a.r, a.c, count(b.z) AS n FROM rag a CROSS JOIN off o LEFT JOIN rag b ON b.r = a.r + o.dr AND b.c = a.c + o.dc GROUP BY ALL),
+    s AS (SELECT r, c, n, atan(sqrt(gx * gx + gy * gy)) AS slope, atan2(gy, -gx) AS aspect FROM grad JOIN k USING (r, c))
+    SELECT r AS row, c AS col, round(0.55 + 0.6 * CASE WHEN n < 8 THEN 1 ELSE greatest(0, cos(pi() / 4) * cos(slope) + sin(pi() / 4) * sin(slope) * cos(radians(315) - aspect)) END, 6) AS shade FROM s""")
 def hillshade_inner(spark, sf_dir):
     return rounded(focal.hillshade_inner(ragged(dem(spark, sf_dir)), META))
 
@@ -383,7 +405,10 @@ def boundary_enrichment(spark, sf_dir):
     return rounded(compare.boundary_enrichment(a, b, ragged(dem(spark, sf_dir))))
 
 
-@query()
+@query(f"""WITH p AS (SELECT l_orderkey AS line, l_linenumber AS seq, CAST(floor(l_partkey % 700 / 10.0::DOUBLE - 3) AS INT) AS c, CAST(floor({SIDE} - (l_suppkey % 700 / 10.0::DOUBLE - 3)) AS INT) AS r FROM lineitem),
+    w AS (SELECT c, r, lead(c) OVER o AS c1, lead(r) OVER o AS r1 FROM p WINDOW o AS (PARTITION BY line ORDER BY seq)), d AS (SELECT DISTINCT *, abs(c1 - c) AS a, abs(r1 - r) AS b, greatest(abs(c1 - c), abs(r1 - r)) AS n FROM w WHERE c1 IS NOT NULL),
+    k AS (SELECT *, unnest(range(n + 1)) AS k FROM d), x AS (SELECT r + sign(r1 - r) * CASE WHEN n = 0 THEN 0 ELSE (2 * k * b + n) // (2 * n) END AS row, c + sign(c1 - c) * CASE WHEN n = 0 THEN 0 ELSE (2 * k * a + n) // (2 * n) END AS col FROM k)
+    SELECT DISTINCT CAST(row AS INT) AS row, CAST(col AS INT) AS col FROM x WHERE row BETWEEN 0 AND {SIDE - 1} AND col BETWEEN 0 AND {SIDE - 1}""")
 def rasterize_lines(spark, sf_dir):
     points = table(spark, sf_dir, "lineitem").selectExpr("l_orderkey AS line", "l_linenumber AS seq", "l_partkey % 700 / 10.0D - 3 AS x", "l_suppkey % 700 / 10.0D - 3 AS y")
     return vector.rasterize_lines(points, META)
