@@ -329,3 +329,38 @@ def flood_product(cells: DataFrame, meta: GridMeta, level: float, seed: tuple[in
         seed = (low["row"], low["col"]) if low else None
     flood = cut(connected_flood(cells, meta, level, [seed] if seed else []))
     return flood, flood_summary(flood, meta)
+
+
+def write_products(products: dict[str, DataFrame], cells: DataFrame, meta: GridMeta, folder: str, threshold: int = 500) -> DataFrame:
+    """Write run_hydrology's products below folder; (key, file, n) of what was written, which is also stored as manifest.
+
+    Rasters as GeoTIFF, streams and basins as folders of GeoJSON lines in longitude and latitude: streams with their order and
+    length; a ring for each outline of the basins of threshold cells or more, with area, outlet and whether they run out of the survey.
+    """
+    from terravela.operators.vector import outline, to_geojson
+    from terravela.sources.geotiff import write_geotiff
+
+    place = {"row": F.expr(f"cast(node div {meta.width} as int)"), "col": (F.col("node") % meta.width).cast("int")}
+    by_cell = lambda df, value: df.withColumns(place).select("row", "col", F.col(value).cast("double").alias("v"))
+    rasters = {
+        "filled": products["filled"].select("row", "col", F.col("filled").alias("v")), "sinks": products["filled"].select("row", "col", F.col("depth").alias("v")), "directions": products["directions"].select("row", "col", F.col("dir").cast("double").alias("v")),
+        "accumulation": by_cell(products["accumulation"], "acc"), "orders": by_cell(products["orders"], "ord"), "slope": products["slope"].select("row", "col", F.col("slope").alias("v")),
+    }
+    made = []
+    for name, raster in rasters.items():
+        write_geotiff(raster, meta, f"{folder}/{name}.tif")
+        made.append((name, f"{name}.tif", raster.where("v IS NOT NULL").count()))
+    lines = stream_lines(products["links"], meta).select(F.transform("points", lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y"))).alias("points"), F.lit("LineString").alias("kind"), F.struct("ord", F.round("length", 3).alias("length_m")).alias("properties"))
+    sizes = products["basins"].groupBy("root").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= threshold)
+    facts = outlets(sizes, cells, meta)
+    drained = products["basins"].join(facts.select("root"), "root", "left_semi").withColumns(place).select("row", "col", F.col("root").alias("label"))
+    rings = outline(drained, meta).join(facts.withColumnRenamed("root", "label"), "label")
+    about = F.struct(F.col("label").alias("basin"), "signed_area", F.col("area").alias("area_m2"), F.round(F.col("area") / 10000, 3).alias("area_ha"), F.round("easting", 3).alias("outlet_easting"), F.round("northing", 3).alias("outlet_northing"), F.col("truncated").alias("truncated_by_survey_edge"))
+    shapes = rings.select("points", F.lit("Polygon").alias("kind"), about.alias("properties"))
+    for name, features in (("streams", lines), ("basins", shapes)):
+        held = cut(to_geojson(features, meta.epsg))
+        held.write.text(f"{folder}/{name}.geojsonl")
+        made.append((name, f"{name}.geojsonl", held.count()))
+    manifest = cells.sparkSession.createDataFrame(made, "key string, file string, n long")
+    manifest.write.json(f"{folder}/manifest")
+    return manifest

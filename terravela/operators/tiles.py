@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from terravela.functions import geodesy as g
 from terravela.functions.encode import decode_mapbox, decode_terrarium, encode_elevation
 from terravela.operators.grid import GridMeta
+from terravela.plans.lineage import cut
 
 
 def lon_lat_box(spark: SparkSession, meta: GridMeta) -> tuple[float, float, float, float]:
@@ -93,6 +94,70 @@ def elevation_at(places: DataFrame, pixels: DataFrame, zoom: int, encoding: str
     return keyed.join(here, ["x", "y", "px", "py"], "left").select(*places.columns, "elevation")
 
 
+def write_tiles(tiles: DataFrame, folder: str, keep_empty: bool = True) -> DataFrame:
+    """Write tiles(z, x, y, png, n_pixels) as folder/z/x/y.png, from the tasks; (z, x, y, bytes) of those written.
+
+    With keep_empty a pyramid stays gapless; without it tiles that hold no pixel aren't written. A tile written twice is the same file.
+    """
+    from terravela.sources.files import write_bytes
+
+    def run(batches):
+        for pdf in batches:
+            for z, x, y, data in pdf[["z", "x", "y", "png"]].itertuples(index=False):
+                write_bytes(f"{folder}/{z}/{x}/{y}.png", bytes(data))
+            yield pd.DataFrame({"z": pdf["z"], "x": pdf["x"], "y": pdf["y"], "bytes": [len(d) for d in pdf["png"]]})
+
+    return cut((tiles if keep_empty else tiles.where("n_pixels > 0")).select("z", "x", "y", "png").mapInPandas(run, "z int, x long, y long, bytes long"))
+
+
+def read_png(data: bytes) -> np.ndarray | None:
+    """Height x width x 4 bytes of an 8-bit RGB or RGBA PNG that isn't interlaced; None for anything else."""
+    if data[:8] != b"\x89PNG\r\n\x1a\n":
+        return None
+    at, head, body = 8, b"", b""
+    while at + 8 <= len(data):
+        n, kind = struct.unpack(">I", data[at : at + 4])[0], data[at + 4 : at + 8]
+        head, body = (data[at + 8 : at + 8 + n], body) if kind == b"IHDR" else (head, body + data[at + 8 : at + 8 + n] if kind == b"IDAT" else body)
+        at += 12 + n
+    width, height, depth, colour, _, _, interlaced = struct.unpack(">IIBBBBB", head)
+    if depth != 8 or colour not in (2, 6) or interlaced:
+        return None
+    step = 3 if colour == 2 else 4
+    rows = np.frombuffer(zlib.decompress(body), np.uint8).reshape(height, 1 + width * step)
+    out, above = np.empty((height, width * step), np.uint8), np.zeros(width * step, np.uint8)
+    for y, (kind, line) in enumerate(zip(rows[:, 0].tolist(), rows[:, 1:])):
+        if kind == 0:
+            now = line
+        elif kind == 1:
+            now = np.cumsum(line.reshape(width, step), axis=0, dtype=np.uint8).ravel()
+        elif kind == 2:
+            now = line + above
+        else:  # average and Paeth need each pixel's left neighbour
+            now = np.zeros_like(line)
+            for i in range(len(line)):
+                a, b, c = (int(now[i - step]) if i >= step else 0), int(above[i]), (int(above[i - step]) if i >= step else 0)
+                guess = (a + b) // 2 if kind == 3 else min((abs(b - c), 0, a), (abs(a - c), 1, b), (abs(a + b - 2 * c), 2, c))[2]
+                now[i] = (int(line[i]) + guess) & 255
+        out[y], above = now, now
+    image = out.reshape(height, width, step)
+    return image if step == 4 else np.concatenate([image, np.full((height, width, 1), 255, np.uint8)], 2)
+
+
+def decode_tiles(tiles: DataFrame) -> DataFrame:
+    """tiles(z, x, y, png) -> (z, x, y, px, py, r, g, b, a): every pixel with alpha; a tile that can't be read has none."""
+
+    def run(batches):
+        for pdf in batches:
+            for z, x, y, data in pdf.itertuples(index=False):
+                image = read_png(bytes(data)) if data is not None else None
+                if image is not None:
+                    py, px = np.nonzero(image[..., 3])
+                    r, g, b, a = image[py, px].T.astype(np.int32)
+                    yield pd.DataFrame({"z": z, "x": x, "y": y, "px": px, "py": py, "r": r, "g": g, "b": b, "a": a})
+
+    return tiles.select("z", "x", "y", "png").mapInPandas(run, "z int, x long, y long, px int, py int, r int, g int, b int, a int")
+
+
 def zoom_range(deepest: int, levels: int = 6) -> range:
     return range(max(0, deepest - levels), deepest + 1)
 

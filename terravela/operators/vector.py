@@ -71,28 +71,32 @@ def simplify(line: Column, tolerance: float = 0.15) -> Column:
 
 
 def mask_edges(mask: DataFrame) -> DataFrame:
-    """(row, col, side, r0, c0, r1, c1): edges between a mask's cells and the rest, with the mask on the left."""
+    """(row, col, side, r0, c0, r1, c1): edges between a mask's cells and the rest, with the mask on the left.
+
+    With a column label, which stays, the rest are the cells of other labels too.
+    """
+    label = [c for c in mask.columns if c == "label"]
     sides = ((0, -1, 0, 0, 0, 1, 0), (1, 1, 0, 1, 1, 1, 0), (2, 0, -1, 0, 0, 1, 0), (3, 0, 1, 1, 1, 0, 1))
     # In grid corners with rows growing southwards: north edge westwards, south edge eastwards, west edge southwards, east edge northwards.
     corners = {0: ((0, 1), (0, 0)), 1: ((1, 0), (1, 1)), 2: ((0, 0), (1, 0)), 3: ((1, 1), (0, 1))}
     options = F.explode(F.array(*[F.struct(F.lit(k).alias("side"), (F.col("row") + s[1]).alias("nr"), (F.col("col") + s[2]).alias("nc"), (F.col("row") + corners[k][0][0]).alias("r0"), (F.col("col") + corners[k][0][1]).alias("c0"), (F.col("row") + corners[k][1][0]).alias("r1"), (F.col("col") + corners[k][1][1]).alias("c1")) for k, s in enumerate(sides)]))
-    own = mask.select("row", "col", options.alias("o")).select("row", "col", "o.*")
-    there = mask.select(F.col("row").alias("nr"), F.col("col").alias("nc"))
-    return own.join(there, ["nr", "nc"], "left_anti").select("row", "col", "side", "r0", "c0", "r1", "c1")
+    own = mask.select("row", "col", *label, options.alias("o")).select("row", "col", *label, "o.*")
+    there = mask.select(F.col("row").alias("nr"), F.col("col").alias("nc"), *label)
+    return own.join(there, ["nr", "nc", *label], "left_anti").select("row", "col", *label, "side", "r0", "c0", "r1", "c1")
 
 
 def ring_edges(edges: DataFrame, width: int) -> DataFrame:
-    """edges(side, r0, c0, r1, c1) -> (id, ring, ahead, r0, c0, corner): their rings, each named by its smallest edge.
+    """edges(label, side, r0, c0, r1, c1) -> (id, ring, ahead, r0, c0, corner): their rings, each named by its smallest edge.
 
-    An edge is followed by one that begins where it ends, the left one where two rings touch. Each round doubles the
+    An edge is followed by one of its label that begins where it ends, the left one where two rings touch. Each round doubles the
     stretch over which an edge knows the smallest edge ahead and how far it is, so that rounds grow with the logarithm
     of the longest ring and no ring is gathered. corner tells whether the outline turns where the edge begins.
     """
     name = ((F.col("r0").cast("long") * (width + 1) + F.col("c0")) * 4 + F.col("side")).alias("id")
-    own = edges.select(name, "side", "r0", "c0", "r1", "c1")
-    onward = own.select(F.col("id").alias("next"), F.col("side").alias("next_side"), F.col("r0").alias("r1"), F.col("c0").alias("c1"), F.col("r1").alias("r2"), F.col("c1").alias("c2"))
+    own = edges.select(name, "label", "side", "r0", "c0", "r1", "c1")
+    onward = own.select("label", F.col("id").alias("next"), F.col("side").alias("next_side"), F.col("r0").alias("r1"), F.col("c0").alias("c1"), F.col("r1").alias("r2"), F.col("c1").alias("c2"))
     left = (F.col("r2") == F.col("r1") - (F.col("c1") - F.col("c0"))) & (F.col("c2") == F.col("c1") + (F.col("r1") - F.col("r0")))
-    followed = own.join(onward, ["r1", "c1"]).groupBy("id").agg(F.min(F.struct(F.when(left, 0).otherwise(1).alias("turn"), "next", "next_side")).alias("n"), F.first("side").alias("side"))
+    followed = own.join(onward, ["label", "r1", "c1"]).groupBy("id").agg(F.min(F.struct(F.when(left, 0).otherwise(1).alias("turn"), "next", "next_side")).alias("n"), F.first("side").alias("side"))
     followed = cut(followed.select("id", F.col("n.next").alias("next"), (F.col("side") != F.col("n.next_side")).alias("turns")))
     state, span = cut(followed.select("id", F.col("next").alias("ptr"), F.col("id").alias("ring"), F.lit(0).cast("long").alias("ahead"))), 1
     while True:
@@ -114,14 +118,19 @@ def polygonize(mask: DataFrame, meta: GridMeta) -> DataFrame:
     edge; only its own corners are gathered, as its points.
     """
     held = cut(mask.select("row", "col").distinct())
-    parts = cell_components(held, meta)
-    edges = cut(mask_edges(held).withColumn("node", meta.cell_id()))
+    parts = cell_components(held, meta).withColumnRenamed("root", "label")
+    return outline(held.withColumn("node", meta.cell_id()).join(parts, "node").select("row", "col", "label"), meta).withColumnRenamed("label", "root")
+
+
+def outline(cells: DataFrame, meta: GridMeta) -> DataFrame:
+    """(label, ring, signed_area, n_corners, points): the rings around the cells(row, col, label) of each label, such as basins by their root."""
+    edges = cut(mask_edges(cells))
     rings = ring_edges(edges, meta.width)
-    # The smallest edge's own cell tells the component.
-    first = edges.select(((F.col("r0").cast("long") * (meta.width + 1) + F.col("c0")) * 4 + F.col("side")).alias("ring"), "node").join(parts, "node").select("ring", "root")
+    # The smallest edge tells the label.
+    first = edges.select(((F.col("r0").cast("long") * (meta.width + 1) + F.col("c0")) * 4 + F.col("side")).alias("ring"), "label")
     corners = rings.where("corner").groupBy("ring").agg(F.array_sort(F.collect_list(F.struct((F.col("ahead") > 0).alias("later"), (-F.col("ahead")).alias("place"), "r0", "c0"))).alias("at"))
     points = F.transform("at", lambda p: F.struct(meta.x(p["c0"], 0).alias("x"), meta.y(p["r0"], 0).alias("y")))
-    return corners.join(first, "ring").withColumn("points", points).select("root", "ring", signed_area(F.col("points")).alias("signed_area"), F.size("points").alias("n_corners"), "points")
+    return corners.join(first, "ring").withColumn("points", points).select("label", "ring", signed_area(F.col("points")).alias("signed_area"), F.size("points").alias("n_corners"), "points")
 
 
 def to_geojson(features: DataFrame, epsg: int, digits: int = 8) -> DataFrame:

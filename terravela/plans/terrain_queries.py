@@ -140,6 +140,21 @@ def stream_segments(spark, sf_dir):
     return rounded(flow.stream_lines(_streams(spark, sf_dir), META).select("head", "ord", "length", "n_points"))
 
 
+@query(f"""WITH RECURSIVE {dem_sql()}, {D8_SQL}, {WALK_SQL}, acc AS (SELECT cur AS node, count(*) AS acc FROM walk GROUP BY cur), st AS (SELECT node FROM acc WHERE acc >= 8),
+    links AS (SELECT d.node, CASE WHEN d.root <> d.node AND d.root IN (SELECT node FROM st) THEN d.root END AS nxt FROM down d JOIN st USING (node)), n_in AS (SELECT nxt AS node, count(*) AS n FROM links WHERE nxt IS NOT NULL GROUP BY 1)
+    SELECT count(*) FILTER (coalesce(n, 0) <> 1 AND nxt IS NOT NULL) AS n_segments, round(sum(CASE WHEN nxt IS NULL THEN 0 ELSE sqrt((l.node // {SIDE} - nxt // {SIDE}) ** 2 + (l.node % {SIDE} - nxt % {SIDE}) ** 2) END), 6) AS length FROM links l LEFT JOIN n_in USING (node)""")
+def channel_totals(spark, sf_dir):
+    return rounded(flow.channel_totals(flow.stream_lines(_streams(spark, sf_dir), META)))
+
+
+@query(f"""WITH RECURSIVE {dem_sql()}, {D8_SQL}, {WALK_SQL}, b AS (SELECT w.cur AS root, count(*) AS n FROM walk w JOIN down d ON d.node = w.cur WHERE d.root = d.node GROUP BY 1 HAVING count(*) >= 20),
+    k AS (SELECT a.r * {SIDE} + a.c AS root, count(z.z) < 8 AS truncated FROM dem a CROSS JOIN off o LEFT JOIN dem z ON z.r = a.r + o.dr AND z.c = a.c + o.dc GROUP BY 1)
+    SELECT CAST(root AS BIGINT) AS root, n, CAST(n AS DOUBLE) AS area, root % {SIDE} + 0.5::DOUBLE AS easting, {SIDE} - root // {SIDE} - 0.5::DOUBLE AS northing, truncated FROM b JOIN k USING (root)""")
+def basin_outlets(spark, sf_dir):
+    sizes = flow.basins(_forest(spark, sf_dir)).groupBy("root").agg(F.count(F.lit(1)).alias("n")).where("n >= 20")
+    return flow.outlets(sizes, dem(spark, sf_dir), META)
+
+
 @query(f"""WITH RECURSIVE {dem_sql()}, {D8_SQL}, {WALK_SQL}, acc AS (SELECT cur AS node, count(*) AS acc FROM walk GROUP BY cur),
     main AS (SELECT d.root, d.node FROM down d JOIN acc USING (node) WHERE d.node <> d.root QUALIFY row_number() OVER (PARTITION BY d.root ORDER BY acc DESC, d.node) = 1),
     up(step, node) AS (SELECT 0, (SELECT node FROM acc ORDER BY acc DESC, node LIMIT 1) UNION ALL SELECT step + 1, m.node FROM up u JOIN main m ON m.root = u.node WHERE step < 12) SELECT step, CAST(node AS BIGINT) AS node FROM up""")
@@ -182,9 +197,7 @@ def hydrology_products(spark, sf_dir):
         UNION SELECT w.r, w.c FROM reach p, {OFFSETS_SQL.split(' AS (')[0].replace('off(k, dr, dc)', '(VALUES (0, 0, 1), (1, 1, 1), (2, 1, 0), (3, 1, -1), (4, 0, -1), (5, -1, -1), (6, -1, 0), (7, -1, 1)) off(k, dr, dc)')} JOIN wet w ON w.r = p.r + dr AND w.c = p.c + dc)
     SELECT count(*) AS n_cells, CAST(count(*) AS DOUBLE) AS area, sum(1500 - z) AS volume, max(1500 - z) AS max_depth FROM reach JOIN dem USING (r, c)""")
 def connected_flood(spark, sf_dir):
-    cells = cut(dem(spark, sf_dir))
-    low = flow.lowest_cell(cells).first()
-    return flow.flood_summary(flow.connected_flood(cells, META, 1500.0, [(low["row"], low["col"])]), META)
+    return flow.flood_product(cut(dem(spark, sf_dir)), META, 1500.0)[1]
 
 
 def _gradient_sql(source: str) -> str:
