@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from terravela.operators.grid import GridMeta
-from terravela.sources.files import read_bytes, size
+from terravela.sources.files import read_bytes, resolve, size
 
 #: numpy's names of a SAGA grid's data formats; shape types.
 SAGA_TYPES = {"FLOAT": "f4", "DOUBLE": "f8", "SHORTINT": "i2", "INTEGER": "i4", "BYTE": "u1"}
@@ -138,10 +138,16 @@ class _ShpReader(DataSourceReader):
         return [_Range(0, size(self.path))]  # records can only be found one after another
 
     def read(self, partition: _Range) -> Iterator[tuple]:
-        at, rec, total = 100, 0, size(self.path)
+        store, inner = resolve(self.path)
+        with store.open_input_file(inner) as f:
+            yield from self._records(f)
+
+    def _records(self, f) -> Iterator[tuple]:
+        at, rec, total = 100, 0, f.size()
         while at + 8 <= total:
-            length = struct.unpack(">I", read_bytes(self.path, at + 4, 4))[0] * 2
-            data = read_bytes(self.path, at + 8, length)
+            f.seek(at)
+            length = struct.unpack(">I", f.read(8)[4:])[0] * 2
+            data = f.read(length)
             kind = struct.unpack("<i", data[:4])[0]
             if self.points:
                 yield (rec, 0, [struct.unpack("<dd", data[4:20])]) if kind in POINT_TYPES else (rec, None, None)
@@ -198,9 +204,11 @@ class _LasReader(DataSourceReader):
             return
         step = max(1, h["count"] // self.most)
         first = -(-partition.first // step) * step
-        for i in range(first, partition.end, step):
-            raw = read_bytes(self.path, h["offset"] + i * h["length"], 16)
-            yield i, raw[15] & 31
+        store, inner = resolve(self.path)
+        with store.open_input_file(inner) as f:
+            for i in range(first, partition.end, step):
+                f.seek(h["offset"] + i * h["length"] + 15)
+                yield i, f.read(1)[0] & 31
 
 
 class Las(DataSource):
