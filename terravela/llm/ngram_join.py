@@ -11,6 +11,7 @@ bound excludes are never accumulated, in four steps that all keep every link:
    columns of both rows can reach the bound, t now the overlap that the two sizes need and columns of one row
    left out. Of each such column and size class, first the entries with its most central row are accumulated;
    that joins a large group of near copies with about as many entries as it has rows.
+   Columns that hold more than their share of the entries are dealt over several tasks.
 4. Then all entries between rows that step 3 left in different components are accumulated.
 
 Overlaps are counted exactly, over whole n-gram sets. Hashes have 64 bits: among n distinct n-grams of two
@@ -152,6 +153,27 @@ def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(np.repeat(node, n)), pa.array(np.repeat(n, n))], ["hash", "node", "n"])
 
 
+def _salts(counted: DataFrame, total: int) -> DataFrame:
+    """(hash, salts): into how many parts to deal the columns that hold over a quarter of a fair task's entries.
+
+    counted(hash, held) has a column's entries of total. There are fewer such columns than four times the shuffle
+    partitions, whatever the input, so that the result may be broadcast.
+    """
+    parts = 4 * int(counted.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    hot = counted.where(F.col("held") * parts > total).select("hash", F.ceil(F.col("held") * parts / F.lit(max(total, 1))).cast("int").alias("salts"))
+    return F.broadcast(cut(hot))
+
+
+def _dealt(entries: DataFrame, salts: DataFrame) -> DataFrame:
+    """entries(hash, node, ...) with a salt: the part of its column that an entry is in."""
+    return entries.join(salts, "hash", "left").withColumn("salt", F.pmod(F.hash("node"), F.coalesce("salts", F.lit(1)))).drop("salts")
+
+
+def _to_all(rows: DataFrame, salts: DataFrame) -> DataFrame:
+    """rows(hash, ...) once for each part of their column."""
+    return rows.join(salts, "hash", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1))).drop("salts")
+
+
 def _overlaps(percent: int, block: int = 1 << 20):
     """Accumulate the product's entries for blocks of row pairs, and keep the linked ones."""
 
@@ -201,17 +223,20 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     sets = cut(sets.join(kept.select("node"), "node", "left_semi").dropDuplicates(["node"]))
 
     entries = sets.mapInArrow(_entries, "hash long, node long, n long")
-    frequent = entries.groupBy("hash").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    frequent = cut(entries.groupBy("hash").agg(F.count(F.lit(1)).alias("df")).where("df > 1"))
+    salts = _salts(frequent.withColumnRenamed("df", "held"), frequent.agg(F.coalesce(F.sum("df"), F.lit(0))).first()[0])
     by_node = Window.partitionBy("node")
-    ranked = entries.join(frequent, "hash").withColumns({"rank": F.row_number().over(by_node.orderBy("df", "hash")), "m": F.count(F.lit(1)).over(by_node), "centre": F.sum(F.log2("df")).over(by_node) / F.col("n")})
+    ranked = _dealt(entries, salts).join(_to_all(frequent, salts), ["hash", "salt"]).withColumns({"rank": F.row_number().over(by_node.orderBy("df", "hash")), "m": F.count(F.lit(1)).over(by_node), "centre": F.sum(F.log2("df")).over(by_node) / F.col("n")})
     prefix = cut(ranked.where(F.col("rank") <= F.col("m") - need + 1).select("hash", "node", "n", "m", "rank", "centre"))
+    salts = _salts(prefix.groupBy("hash").agg(F.count(F.lit(1)).alias("held")), prefix.count())
+    prefix = _dealt(prefix, salts)
 
     # The first common column of a linked pair is among the first m - overlap + 1 shared columns of either.
     overlap = F.ceil((F.col("na") + F.col("nb")) * percent / F.lit(100 + percent) - 1e-9)
     fits = (F.col("rank_a") + overlap <= F.col("ma") + 1) & (F.col("rank_b") + overlap <= F.col("mb") + 1) & (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
 
     def side(df: DataFrame, x: str) -> DataFrame:
-        return df.select("hash", *[c for c in ("size", "root") if c in df.columns], F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("m").alias(f"m{x}"), F.col("rank").alias(f"rank_{x}")).withColumnsRenamed({"root": f"r{x}"})
+        return df.select("hash", *[c for c in ("salt", "size", "root") if c in df.columns], F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("m").alias(f"m{x}"), F.col("rank").alias(f"rank_{x}")).withColumnsRenamed({"root": f"r{x}"})
 
     def linked(pairs: DataFrame) -> DataFrame:
         a = sets.select(F.col("node").alias("a"), F.col("grams").alias("ga"))
@@ -220,14 +245,15 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     sized = prefix.withColumn("size", F.floor(F.log("n") / F.log(F.lit(100 / percent)) + 1e-9).cast("int"))
     head = sized.groupBy("hash", "size").agg(F.max(F.struct("centre", "node", "n", "m", "rank")).alias("h")).select("hash", F.explode(F.array(F.col("size") - 1, F.col("size"), F.col("size") + 1)).alias("size"), "h.*")
-    star = side(sized, "b").join(side(head, "a"), ["hash", "size"]).where((F.col("a") != F.col("b")) & fits)
+    star = side(sized, "b").join(side(_to_all(head, salts), "a"), ["hash", "salt", "size"]).where((F.col("a") != F.col("b")) & fits)
     near = linked(star.select("a", "b", "na", "nb").distinct())
     roots = connected_components(near)
 
     placed = cut(prefix.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
     top = placed.groupBy("hash", "root").agg(F.count(F.lit(1)).alias("held")).groupBy("hash").agg(F.max(F.struct("held", "root")).alias("top"), F.count(F.lit(1)).alias("roots")).where("roots > 1")
-    outside = placed.join(top.select("hash", F.col("top.root").alias("top")), "hash").where("root <> top")
-    rest = side(outside, "a").join(side(placed, "b"), "hash").where((F.col("ra") != F.col("rb")) & fits)
+    top = _to_all(top.select("hash", F.col("top.root").alias("top")), salts)
+    outside = placed.join(top, ["hash", "salt"]).where("root <> top").drop("salt")
+    rest = side(_to_all(outside, salts), "a").join(side(placed, "b"), ["hash", "salt"]).where((F.col("ra") != F.col("rb")) & fits)
     bridges = linked(rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.when(F.col("a") < F.col("b"), F.col("na")).otherwise(F.col("nb")).alias("na"), F.when(F.col("a") < F.col("b"), F.col("nb")).otherwise(F.col("na")).alias("nb")).distinct())
     if bridges.limit(1).count():
         roots = connected_components(near.unionByName(bridges))
