@@ -12,7 +12,7 @@ from terravela.functions.geodesy import utm_is_north, utm_to_lon_lat, utm_zone
 from terravela.functions.geometry import signed_area
 from terravela.operators.flow import cell_components
 from terravela.operators.grid import GridMeta
-from terravela.plans.lineage import cut
+from terravela.plans.lineage import cut, stored
 
 
 def line_cells(c0: Column, r0: Column, c1: Column, r1: Column) -> Column:
@@ -102,7 +102,7 @@ def ring_edges(edges: DataFrame, width: int) -> DataFrame:
     while True:
         there = state.select(F.col("id").alias("ptr"), F.col("ptr").alias("ptr2"), F.col("ring").alias("ring2"), F.col("ahead").alias("ahead2"))
         lower = F.col("ring2") < F.col("ring")
-        state = cut(state.join(there, "ptr").select("id", F.col("ptr2").alias("ptr"), F.least("ring", "ring2").alias("ring"), F.when(lower, F.col("ahead2") + span).otherwise(F.col("ahead")).alias("ahead"), lower.alias("moved")))
+        state = stored(state.join(there, "ptr").select("id", F.col("ptr2").alias("ptr"), F.least("ring", "ring2").alias("ring"), F.when(lower, F.col("ahead2") + span).otherwise(F.col("ahead")).alias("ahead"), lower.alias("moved")))
         span *= 2
         if not state.where("moved").limit(1).count():
             break
