@@ -11,12 +11,15 @@ from pyspark.sql import functions as F
 from terravela.llm.bpe import bpe_round_trip, digests
 from terravela.llm.decontaminate import contaminated
 from terravela.llm.exact_dedup import exact_dedup
+from terravela.llm.hard_negatives import hard_negatives
 from terravela.llm.language_id import fit_language_model, label_languages
 from terravela.llm.license_scan import scan_licenses, summarise
 from terravela.llm.line_dedup import line_classes
 from terravela.llm.ngram_join import jaccard_components
 from terravela.llm.pii import find_pii
 from terravela.llm.pii import summarise as summarise_pii
+from terravela.llm.prefix_trie import conversation_trie
+from terravela.llm.token_files import token_round_trip
 from terravela.llm.toxicity import fit_lexicon, score_toxicity
 from terravela.llm.warc import round_trip
 
@@ -75,6 +78,18 @@ def op10_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(bpe_round_trip(_table(spark, sf_dir, "documents"), path, pattern))
 
 
+def op11_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_round_trip(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives(_table(spark, sf_dir, "embeddings"))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie(_table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
@@ -86,6 +101,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pii": op8_pii,
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
     "op10_byte_level_bpe": op10_byte_level_bpe,
+    "op11_token_files": op11_token_files,
+    "op12_hard_negatives": op12_hard_negatives,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -111,4 +129,23 @@ ORACLE_SQL = {
              g AS (SELECT t, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY t)
         SELECT d.doc_id, g.keep_id, g.group_size, d.doc_id = g.keep_id AS kept, sha256(d.t) AS text_sha256
         FROM d JOIN g ON d.t = g.t""",
+    "op12_hard_negatives": """
+        WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS q FROM embeddings
+                WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+            s AS (SELECT a.vec_id AS anchor_id, b.vec_id AS other, a.label = b.label AS same, CAST(list_dot_product(a.q, b.q) AS BIGINT) AS score FROM v a JOIN v b ON b.vec_id <> a.vec_id WHERE a.vec_id % 50 = 0),
+            p AS (SELECT anchor_id, other AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other) <= 5),
+            n AS (SELECT p.*, s.other AS negative_id, s.score AS negative_score, CAST(row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY s.score DESC, s.other) AS INTEGER) AS rank
+                FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.same AND 50 * positive_score <= 100 * s.score AND 100 * s.score <= 95 * positive_score)
+        SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 3""",
+    "op13_prefix_trie": """
+        WITH c AS (SELECT conv_id, list({'r': coalesce(role, ''), 't': coalesce(text, '')} ORDER BY turn NULLS FIRST, role, text) AS own FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+            h AS (SELECT *, xor(list_reduce(list_prepend(4294967295, list_transform(range(1, length(CAST(conv_id AS VARCHAR)) + 1), lambda i: CAST(ascii(substr(CAST(conv_id AS VARCHAR), i, 1)) AS BIGINT))),
+                lambda a, b: list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295) % 9 AS h FROM c),
+            r AS (SELECT h.conv_id, list_concat(coalesce(b.own[1:h.h], []), h.own[h.h + 1:]) AS turns FROM h LEFT JOIN c b ON b.conv_id = h.conv_id - h.conv_id % 5),
+            n AS (SELECT d, turns[1:d] AS path, min(conv_id) AS conv_id, count(*) AS n_convs, list(conv_id ORDER BY conv_id) FILTER (WHERE len(turns) = d) AS ends FROM (SELECT *, unnest(range(len(turns) + 1)) AS d FROM r) GROUP BY 1, 2),
+            k AS (SELECT n.*, p.conv_id AS parent_conv_id, (n.n_convs - 1) * CASE WHEN n.d = 0 THEN 0 ELSE octet_length(encode(n.path[n.d].t)) END AS cost FROM n LEFT JOIN n p ON p.d = n.d - 1 AND p.path = n.path[1:n.d - 1]),
+            m AS (SELECT k.conv_id, k.d, count(x.d) AS n_children FROM k LEFT JOIN k x ON x.d = k.d + 1 AND x.parent_conv_id = k.conv_id AND x.path[1:k.d] = k.path GROUP BY 1, 2),
+            w AS (SELECT path[1:a] AS path, a, sum(CASE WHEN n_children = 0 THEN 1 ELSE 0 END) AS n_leaves, sum(cost) AS saved FROM (SELECT k.path, k.cost, m.n_children, unnest(range(k.d + 1)) AS a FROM k JOIN m USING (conv_id, d)) GROUP BY 1, 2)
+        SELECT k.conv_id, k.d AS depth, k.parent_conv_id, k.n_convs, m.n_children, CAST(w.n_leaves AS BIGINT) AS n_leaves, CAST(w.saved AS BIGINT) AS saved_tokens, sha256(coalesce(array_to_string(k.ends, ','), '')) AS ends_sha256
+        FROM k JOIN m ON m.conv_id = k.conv_id AND m.d = k.d JOIN w ON w.a = k.d AND w.path = k.path""",
 }

@@ -172,4 +172,4 @@ def test_stages_take_odd_rows(spark, odd, tmp_path):
 def test_every_operator_has_a_query():
     from terravela.llm.queries import QUERIES
 
-    assert {int(name[2:].split("_")[0]) for name in QUERIES} == set(range(1, 11))
+    assert {int(name[2:].split("_")[0]) for name in QUERIES} == set(range(1, 14))
