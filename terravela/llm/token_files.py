@@ -24,10 +24,12 @@ from terravela.llm import textbytes as tb
 from terravela.plans.lineage import broadcast_below, fresh_dir
 
 #: Words whose ids a worker remembers; beyond that it forgets all and begins again.
-REMEMBERED = 1_000_000
+REMEMBERED = 500_000
 #: Files whose places may be broadcast, a few MB.
 BROADCAST_FILES = 250_000
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
+#: Words or texts that the library is given at once; what it returns for each is far larger than its ids.
+ENCODED = 5_000
 
 # Bytes by what stands beside a cut: spaces go, and a cut lies between a letter or digit and a mark. Apostrophes begin contractions, so that no cut touches them.
 _SPACE, _LETTER, _MARK, _OTHER = range(4)
@@ -82,7 +84,7 @@ class WordEncoder:
         self.known.update(zip(new, range(first, first + len(new))))
 
     def _whole(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return [e.ids for i in range(0, len(texts), ENCODED) for e in self.tokenizer.encode_batch_fast(texts[i : i + ENCODED], add_special_tokens=False)]
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All texts' ids one after another (null: empty), and the n + 1 offsets of the texts in them."""
@@ -115,10 +117,12 @@ class WordEncoder:
         edges = np.append(place[start], place[-1]).astype(np.int64)
         words = pa.Array.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(edges), pa.py_buffer(np.ascontiguousarray(data[inside]))]).dictionary_encode()
         values = words.dictionary.to_pylist()
-        missing = [w for w in values if w not in self.known]
-        if missing:
+        found = list(map(self.known.get, values))
+        if None in found:
+            missing = [w for w, k in zip(values, found) if k is None]
             self._learn(values if len(self.known) + len(missing) > REMEMBERED else missing)
-        entry = np.fromiter((self.known[w] for w in values), np.int64, len(values))[words.indices.to_numpy(zero_copy_only=False)] if len(values) else np.zeros(0, np.int64)
+            found = list(map(self.known.get, values))
+        entry = np.array(found, np.int64)[words.indices.to_numpy(zero_copy_only=False)] if found else np.zeros(0, np.int64)
         n = self.length[entry]
         ends = np.concatenate([[0], np.cumsum(n)])
         ids = self.pool[np.repeat(self.begin[entry] - ends[:-1], n) + np.arange(ends[-1])]
