@@ -5,21 +5,14 @@ Trees are followed by pointer doubling, so that the number of rounds grows with
 
 from __future__ import annotations
 
-import heapq
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terravela.operators.focal import DIRECTIONS, d8_direction, downstream, neighbours, open_sides, slope_degrees
+from terravela.operators.blocks import BLOCK, component_blocks, drain_blocks, fill_blocks, from_blocks, to_blocks
+from terravela.operators.focal import downstream, open_sides
 from terravela.operators.grid import GridMeta
-from terravela.plans.graph import connected_components, jump_to_roots
-from terravela.plans.lineage import broadcast_below, cut, stored
-
-BLOCK = 256
-#: Blocks whose places may be broadcast, a few MB.
-BROADCAST_BLOCKS = 250_000
+from terravela.plans.graph import jump_to_roots
+from terravela.plans.lineage import cut, stored
 
 
 def accumulate(forest: DataFrame) -> DataFrame:
@@ -150,75 +143,12 @@ def stream_lines(links: DataFrame, meta: GridMeta) -> DataFrame:
     return lines.join(strahler(links, segments).withColumnRenamed("node", "head"), "head").select("head", "ord", length.alias("length"), n.alias("n_points"), "points")
 
 
-def _relax(epsilons: tuple[float, ...], size: int):
-    """Solve a block for given levels around it: the level of a cell is the larger of its height and its lowest way out."""
-
-    def solve(z: np.ndarray, w: np.ndarray, own: np.ndarray, epsilon: float) -> None:
-        known = np.isfinite(w)
-        heap = list(zip(w[known].tolist(), *(x.tolist() for x in np.nonzero(known))))
-        heapq.heapify(heap)
-        while heap:
-            level, i, j = heapq.heappop(heap)
-            if level > w[i, j]:
-                continue
-            for _, dr, dc in DIRECTIONS:
-                y, x = i + dr, j + dc
-                if 0 <= y < size + 2 and 0 <= x < size + 2 and own[y, x]:
-                    better = max(z[y, x], level + epsilon)
-                    if better < w[y, x]:
-                        w[y, x] = better
-                        heapq.heappush(heap, (better, y, x))
-
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        br, bc = key
-        r, c = pdf["row"].to_numpy() - br * size + 1, pdf["col"].to_numpy() - bc * size + 1
-        z, own = np.full((size + 2, size + 2), np.nan), np.zeros((size + 2, size + 2), bool)
-        z[r, c], own[r, c] = pdf["v"], pdf["own"]
-        mine = pdf[pdf["own"]]
-        at = mine["row"].to_numpy() - br * size + 1, mine["col"].to_numpy() - bc * size + 1
-        out, changed = {"row": mine["row"], "col": mine["col"], "v": mine["v"]}, np.zeros(len(mine), bool)
-        for k, epsilon in enumerate(epsilons):
-            w = np.full((size + 2, size + 2), np.inf)
-            w[r, c] = pdf[f"w{k}"]
-            solve(z, w, own, epsilon)
-            out[f"w{k}"] = w[at]
-            changed |= w[at] < mine[f"w{k}"].to_numpy()
-        return pd.DataFrame({**out, "changed": changed})
-
-    return run
-
-
 def fill_levels(cells: DataFrame, epsilon: float, block: int = BLOCK) -> DataFrame:
-    """(row, col, v, w): the lowest level w >= v at which each cell drains over ways that rise by epsilon a step."""
-    return _levels(cells, (epsilon,), block).withColumnRenamed("w0", "w")
-
+    """(row, col, v, w): the lowest level w >= v at which each cell drains over ways that rise by epsilon a step.
 
-def _levels(cells: DataFrame, epsilons: tuple[float, ...], block: int) -> DataFrame:
-    """(row, col, v, w0, w1, ...): for each epsilon the lowest level at which a cell drains over ways that rise by epsilon a step.
-
-    Water leaves at the grid's edge and beside nodata. Blocks of block x block cells are solved for the levels
-    around them, again whenever a level beside them falls; only blocks to be solved and their surroundings move. Rounds go on
-    until no level falls, as many as the longest way out crosses blocks.
+    Water leaves at the grid's edge and beside nodata. Blocks of block x block cells are solved as arrays.
     """
-    missing = sum((F.col(n).isNull().cast("int") for n, _, _ in DIRECTIONS), F.lit(0))
-    height, levels = F.col("v").cast("double"), [f"w{k}" for k in range(len(epsilons))]
-    state = cut(neighbours(cells).select("row", "col", height.alias("v"), *[F.when(missing > 0, height).otherwise(float("inf")).alias(w) for w in levels]))
-    part = lambda x, d: F.floor((F.col(x) + d) / block).cast("int")
-    own = F.struct(part("row", 0).alias("br"), part("col", 0).alias("bc"))
-    near = F.array_distinct(F.array(*[F.struct(part("row", dr).alias("br"), part("col", dc).alias("bc")) for dr in (-1, 0, 1) for dc in (-1, 0, 1)]))
-    todo = None
-    while True:
-        spread = state.withColumn("b", F.explode(near)).select("row", "col", "v", *levels, "b.br", "b.bc", (F.col("b") == own).alias("own"))
-        rest = state.withColumns({"br": own["br"], "bc": own["bc"]})
-        if todo is not None:
-            spread, rest = spread.join(todo, ["br", "bc"], "left_semi"), rest.join(todo, ["br", "bc"], "left_anti")
-        shape = "row int, col int, v double, " + "".join(f"{w} double, " for w in levels) + "changed boolean"
-        solved = cut(spread.groupBy("br", "bc").applyInPandas(_relax(epsilons, block), shape))
-        state = solved.drop("changed") if todo is None else cut(rest.select("row", "col", "v", *levels).unionByName(solved.drop("changed")))
-        beside = solved.where("changed").select(F.explode(F.filter(near, lambda b: b != own)).alias("b")).select("b.br", "b.bc").distinct()
-        todo = broadcast_below(cut(beside), BROADCAST_BLOCKS)
-        if not todo.limit(1).count():
-            return state
+    return from_blocks(fill_blocks(stored(to_blocks(cells, block)), (epsilon,), block), {"v": "z", "w": "filled"}, block)
 
 
 def fill_depressions(cells: DataFrame, epsilon: float = 1e-5, block: int = BLOCK) -> DataFrame:
@@ -226,18 +156,19 @@ def fill_depressions(cells: DataFrame, epsilon: float = 1e-5, block: int = BLOCK
 
     Depth is against the level without a rise. Levels are doubles throughout, so that plateaus on high ground keep draining.
     """
-    both = _levels(cells, (epsilon, 0.0), block)
-    return both.select("row", "col", "v", F.col("w0").alias("filled"), F.when(F.col("w1") > F.col("v"), F.col("w1") - F.col("v")).alias("depth"))
+    return _with_depth(fill_blocks(stored(to_blocks(cells, block)), (epsilon, 0.0), block), block)
+
 
+def _with_depth(filled: DataFrame, block: int) -> DataFrame:
+    both = from_blocks(filled, {"v": "z", "filled": "filled", "flat": "flat"}, block)
+    return both.select("row", "col", "v", "filled", F.when(F.col("flat") > F.col("v"), F.col("flat") - F.col("v")).alias("depth"))
 
-def cell_components(cells: DataFrame, meta: GridMeta, eight: bool = True) -> DataFrame:
+
+def cell_components(cells: DataFrame, meta: GridMeta, eight: bool = True, block: int = BLOCK) -> DataFrame:
     """(node, root): connected cells of (row, col), eight ways or four; a cell on its own is its own root."""
-    here = cells.select("row", "col", meta.cell_id().alias("node"))
-    steps = [(0, 1), (1, 0)] + ([(1, 1), (1, -1)] if eight else [])
-    sides = F.explode(F.array(*[F.struct((F.col("row") + dr).alias("row"), (F.col("col") + dc).alias("col")) for dr, dc in steps]))
-    edges = here.select(F.col("node").alias("a"), sides.alias("to")).select("a", "to.row", "to.col").join(here.withColumnRenamed("node", "b"), ["row", "col"]).select("a", "b")
-    roots = connected_components(edges)
-    return here.select("node").join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
+    held = stored(to_blocks(cells.select("row", "col", F.lit(1.0).alias("v")), block))
+    found = from_blocks(component_blocks(held, meta, eight, block), {"root": "label"}, block, present="label")
+    return found.select(meta.cell_id().alias("node"), "root")
 
 
 def connected_flood(cells: DataFrame, meta: GridMeta, level: float, seeds: list[tuple[int, int]]) -> DataFrame:
@@ -283,18 +214,21 @@ def detect_background(pixels: DataFrame, meta: GridMeta, tolerance: int = 6) ->
     return None
 
 
-def run_hydrology(cells: DataFrame, meta: GridMeta, threshold: int = 500, epsilon: float = 1e-5) -> dict[str, DataFrame]:
+def run_hydrology(cells: DataFrame, meta: GridMeta, threshold: int = 500, epsilon: float = 1e-5, block: int = BLOCK) -> dict[str, DataFrame]:
     """All products of a terrain: levels and sinks, directions, accumulation, streams with orders, slope, basins.
 
-    Directions and slope are taken from the filled terrain, nodata from the given one.
+    Directions and slope are taken from the filled terrain, nodata from the given one. The layers are kept as blocks, from
+    which the products by cell are read; streams are cells with an accumulation of threshold or more.
     """
-    filled = cut(fill_depressions(cells, epsilon))
-    level = filled.select("row", "col", F.col("filled").alias("v"))
-    directions = cut(d8_direction(level, meta.cell_size))
-    forest = cut(downstream(directions, meta))
-    accumulation = cut(accumulate(forest))
-    links = stream_links(forest, accumulation, threshold)
-    return {"filled": filled, "directions": directions, "forest": forest, "accumulation": accumulation, "links": links, "orders": strahler(links), "slope": slope_degrees(level, meta), "basins": basins(forest)}
+    blocks = drain_blocks(stored(to_blocks(cells, block)), meta, epsilon, block)
+    flow = downstream(from_blocks(blocks, {"dir": "dir", "acc": "acc"}, block, least=("acc", threshold)), meta)
+    streams = from_blocks(blocks, {"acc": "acc"}, block, least=("acc", threshold)).select(meta.cell_id().alias("node"), "acc")
+    links = stream_links(flow, streams, threshold)
+    return {
+        "blocks": blocks, "filled": _with_depth(blocks, block), "directions": from_blocks(blocks, {"dir": "dir"}, block).withColumn("dir", F.col("dir").cast("int")), "accumulation": from_blocks(blocks, {"acc": "acc"}, block).select(meta.cell_id().alias("node"), "acc"),
+        "links": links, "orders": strahler(links), "slope": from_blocks(blocks, {"slope": "slope"}, block), "basins": from_blocks(blocks, {"root": "root"}, block).select(meta.cell_id().alias("node"), "root"),
+        "forest": downstream(from_blocks(blocks, {"dir": "dir"}, block), meta),
+    }
 
 
 def walk_upstream(forest: DataFrame, accumulation: DataFrame, start: int, steps: int) -> DataFrame:
