@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 from terravela.functions.geodesy import utm_is_north, utm_to_lon_lat, utm_zone
-from terravela.functions.geometry import signed_area
-from terravela.operators.flow import cell_components
+from terravela.operators.blocks import BLOCK, component_blocks, to_blocks
 from terravela.operators.grid import GridMeta
-from terravela.plans.lineage import cut, stored
+from terravela.operators.rings import outline_blocks
+from terravela.plans.lineage import stored
 
 
 def line_cells(c0: Column, r0: Column, c1: Column, r1: Column) -> Column:
@@ -85,52 +85,19 @@ def mask_edges(mask: DataFrame) -> DataFrame:
     return own.join(there, ["nr", "nc", *label], "left_anti").select("row", "col", *label, "side", "r0", "c0", "r1", "c1")
 
 
-def ring_edges(edges: DataFrame, width: int) -> DataFrame:
-    """edges(label, side, r0, c0, r1, c1) -> (id, ring, ahead, r0, c0, corner): their rings, each named by its smallest edge.
-
-    An edge is followed by one of its label that begins where it ends, the left one where two rings touch. Each round doubles the
-    stretch over which an edge knows the smallest edge ahead and how far it is, so that rounds grow with the logarithm
-    of the longest ring and no ring is gathered. corner tells whether the outline turns where the edge begins.
-    """
-    name = ((F.col("r0").cast("long") * (width + 1) + F.col("c0")) * 4 + F.col("side")).alias("id")
-    own = edges.select(name, "label", "side", "r0", "c0", "r1", "c1")
-    onward = own.select("label", F.col("id").alias("next"), F.col("side").alias("next_side"), F.col("r0").alias("r1"), F.col("c0").alias("c1"), F.col("r1").alias("r2"), F.col("c1").alias("c2"))
-    left = (F.col("r2") == F.col("r1") - (F.col("c1") - F.col("c0"))) & (F.col("c2") == F.col("c1") + (F.col("r1") - F.col("r0")))
-    followed = own.join(onward, ["label", "r1", "c1"]).groupBy("id").agg(F.min(F.struct(F.when(left, 0).otherwise(1).alias("turn"), "next", "next_side")).alias("n"), F.first("side").alias("side"))
-    followed = cut(followed.select("id", F.col("n.next").alias("next"), (F.col("side") != F.col("n.next_side")).alias("turns")))
-    state, span = cut(followed.select("id", F.col("next").alias("ptr"), F.col("id").alias("ring"), F.lit(0).cast("long").alias("ahead"))), 1
-    while True:
-        there = state.select(F.col("id").alias("ptr"), F.col("ptr").alias("ptr2"), F.col("ring").alias("ring2"), F.col("ahead").alias("ahead2"))
-        lower = F.col("ring2") < F.col("ring")
-        state = stored(state.join(there, "ptr").select("id", F.col("ptr2").alias("ptr"), F.least("ring", "ring2").alias("ring"), F.when(lower, F.col("ahead2") + span).otherwise(F.col("ahead")).alias("ahead"), lower.alias("moved")))
-        span *= 2
-        if not state.where("moved").limit(1).count():
-            break
-        state = state.drop("moved")
-    corner = followed.select(F.col("next").alias("id"), F.col("turns").alias("corner"))
-    return state.select("id", "ring", "ahead").join(corner, "id").join(own.select("id", "r0", "c0"), "id")
-
-
-def polygonize(mask: DataFrame, meta: GridMeta) -> DataFrame:
+def polygonize(mask: DataFrame, meta: GridMeta, block: int = BLOCK) -> DataFrame:
     """(root, ring, signed_area, n_corners, points): rings on cell edges, outer ones counter-clockwise, holes clockwise.
 
     Cells connect eight ways; a component's rings belong to one (multi-part) polygon. A ring is named by its smallest
     edge; only its own corners are gathered, as its points.
     """
-    held = cut(mask.select("row", "col").distinct())
-    parts = cell_components(held, meta).withColumnRenamed("root", "label")
-    return outline(held.withColumn("node", meta.cell_id()).join(parts, "node").select("row", "col", "label"), meta).withColumnRenamed("label", "root")
+    held = stored(to_blocks(mask.select("row", "col", F.lit(1.0).alias("v")), block))
+    return outline_blocks(component_blocks(held, meta, True, block), meta, block).withColumnRenamed("label", "root")
 
 
-def outline(cells: DataFrame, meta: GridMeta) -> DataFrame:
+def outline(cells: DataFrame, meta: GridMeta, block: int = BLOCK) -> DataFrame:
     """(label, ring, signed_area, n_corners, points): the rings around the cells(row, col, label) of each label, such as basins by their root."""
-    edges = cut(mask_edges(cells))
-    rings = ring_edges(edges, meta.width)
-    # The smallest edge tells the label.
-    first = edges.select(((F.col("r0").cast("long") * (meta.width + 1) + F.col("c0")) * 4 + F.col("side")).alias("ring"), "label")
-    corners = rings.where("corner").groupBy("ring").agg(F.array_sort(F.collect_list(F.struct((F.col("ahead") > 0).alias("later"), (-F.col("ahead")).alias("place"), "r0", "c0"))).alias("at"))
-    points = F.transform("at", lambda p: F.struct(meta.x(p["c0"], 0).alias("x"), meta.y(p["r0"], 0).alias("y")))
-    return corners.join(first, "ring").withColumn("points", points).select("label", "ring", signed_area(F.col("points")).alias("signed_area"), F.size("points").alias("n_corners"), "points")
+    return outline_blocks(to_blocks(cells, block, "label", "label"), meta, block)
 
 
 def to_geojson(features: DataFrame, epsg: int, digits: int = 8) -> DataFrame:
