@@ -28,15 +28,20 @@ def utm_is_north(epsg: Column) -> Column:
     return F.when(epsg.between(32601, 32660), True).when(epsg.between(32701, 32760), False)
 
 
+def transverse(fn, lon, lat, zone):
+    """Easting, and northing from the equator, by the transverse Mercator series; fn is pyspark.sql.functions for columns or numpy for arrays."""
+    phi, lam = fn.radians(lat), fn.radians(lon - central_meridian(zone))
+    sin, cos, tan = fn.sin(phi), fn.cos(phi), fn.tan(phi)
+    n = A / fn.sqrt(1 - E2 * sin * sin)
+    t, c, a = tan * tan, EP2 * cos * cos, lam * cos
+    m = A * ((1 - E2 / 4 - 3 * E2**2 / 64 - 5 * E2**3 / 256) * phi - (3 * E2 / 8 + 3 * E2**2 / 32 + 45 * E2**3 / 1024) * fn.sin(2 * phi) + (15 * E2**2 / 256 + 45 * E2**3 / 1024) * fn.sin(4 * phi) - (35 * E2**3 / 3072) * fn.sin(6 * phi))
+    east = K0 * n * (a + (1 - t + c) * a**3 / 6 + (5 - 18 * t + t * t + 72 * c - 58 * EP2) * a**5 / 120) + FALSE_EASTING
+    return east, K0 * (m + n * tan * (a * a / 2 + (5 - t + 9 * c + 4 * c * c) * a**4 / 24 + (61 - 58 * t + t * t + 600 * c - 330 * EP2) * a**6 / 720))
+
+
 def lon_lat_to_utm(lon: Column, lat: Column, zone: Column, northern: Column) -> tuple[Column, Column]:
     """Easting and northing by the transverse Mercator series."""
-    phi, lam = F.radians(lat), F.radians(lon - central_meridian(zone))
-    sin, cos, tan = F.sin(phi), F.cos(phi), F.tan(phi)
-    n = A / F.sqrt(1 - E2 * sin * sin)
-    t, c, a = tan * tan, EP2 * cos * cos, lam * cos
-    m = A * ((1 - E2 / 4 - 3 * E2**2 / 64 - 5 * E2**3 / 256) * phi - (3 * E2 / 8 + 3 * E2**2 / 32 + 45 * E2**3 / 1024) * F.sin(2 * phi) + (15 * E2**2 / 256 + 45 * E2**3 / 1024) * F.sin(4 * phi) - (35 * E2**3 / 3072) * F.sin(6 * phi))
-    east = K0 * n * (a + (1 - t + c) * F.pow(a, 3) / 6 + (5 - 18 * t + t * t + 72 * c - 58 * EP2) * F.pow(a, 5) / 120) + FALSE_EASTING
-    north = K0 * (m + n * tan * (a * a / 2 + (5 - t + 9 * c + 4 * c * c) * F.pow(a, 4) / 24 + (61 - 58 * t + t * t + 600 * c - 330 * EP2) * F.pow(a, 6) / 720))
+    east, north = transverse(F, lon, lat, zone)
     return east, north + F.when(northern, 0.0).otherwise(FALSE_NORTHING_SOUTH)
 
 

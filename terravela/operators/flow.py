@@ -265,36 +265,56 @@ def flood_product(cells: DataFrame, meta: GridMeta, level: float, seed: tuple[in
     return flood, flood_summary(flood, meta)
 
 
-def write_products(products: dict[str, DataFrame], cells: DataFrame, meta: GridMeta, folder: str, threshold: int = 500) -> DataFrame:
-    """Write run_hydrology's products below folder; (key, file, n) of what was written, which is also stored as manifest.
+def catchment(forest: DataFrame, meta: GridMeta, outlet: int) -> DataFrame:
+    """(label, ring, signed_area, n_corners, points): the outline of the cells that drain to a cell, label being that cell."""
+    from terravela.operators.vector import outline
+
+    place = {"row": F.expr(f"cast(node div {meta.width} as int)"), "col": (F.col("node") % meta.width).cast("int")}
+    return outline(watershed(forest, outlet).withColumns(place).select("row", "col", F.lit(outlet).cast("long").alias("label")), meta)
+
+
+def write_products(products: dict[str, DataFrame], cells: DataFrame, meta: GridMeta, folder: str, threshold: int = 500, pour_point: tuple[int, int] | None = None, block: int = BLOCK) -> DataFrame:
+    """Write run_hydrology's products below folder; (key, file, n, bytes, sha256) of what was written, which is also stored as manifest.
 
     Rasters as GeoTIFF, streams and basins as folders of GeoJSON lines in longitude and latitude: streams with their order and
-    length; a ring for each outline of the basins of threshold cells or more, with area, outlet and whether they run out of the survey.
+    length; a ring for each outline of the basins of threshold cells or more, with area, outlet and whether they run out of the survey. With a
+    pour point (row, col), its catchment too, from the channel within five cells of it. A folder's digest is that of its files' digests in order of name.
     """
-    from terravela.operators.vector import outline, to_geojson
+    from terravela.operators.rings import outline_blocks
+    from terravela.operators.vector import to_geojson
     from terravela.sources.geotiff import write_geotiff
 
+    spark, blocks = cells.sparkSession, products["blocks"]
     place = {"row": F.expr(f"cast(node div {meta.width} as int)"), "col": (F.col("node") % meta.width).cast("int")}
-    by_cell = lambda df, value: df.withColumns(place).select("row", "col", F.col(value).cast("double").alias("v"))
-    rasters = {
-        "filled": products["filled"].select("row", "col", F.col("filled").alias("v")), "sinks": products["filled"].select("row", "col", F.col("depth").alias("v")), "directions": products["directions"].select("row", "col", F.col("dir").cast("double").alias("v")),
-        "accumulation": by_cell(products["accumulation"], "acc"), "orders": by_cell(products["orders"], "ord"), "slope": products["slope"].select("row", "col", F.col("slope").alias("v")),
-    }
-    made = []
+    layer = lambda name: from_blocks(blocks, {"v": name}, block).select("row", "col", F.col("v").cast("double").alias("v"))
+    orders = stored(products["orders"].withColumns(place).select("row", "col", F.col("ord").cast("double").alias("v")))
+    rasters = {"filled": layer("filled"), "sinks": products["filled"].select("row", "col", F.col("depth").alias("v")), "directions": layer("dir"), "accumulation": layer("acc"), "orders": orders, "slope": layer("slope")}
     for name, raster in rasters.items():
         write_geotiff(raster, meta, f"{folder}/{name}.tif")
-        made.append((name, f"{name}.tif", raster.where("v IS NOT NULL").count()))
+    whole = products["filled"].agg(F.count(F.lit(1)).alias("n"), F.count("depth").alias("sunk")).first()
+    counts = {name: whole["n"] for name in rasters} | {"sinks": whole["sunk"], "orders": orders.count()}
     lines = stream_lines(products["links"], meta).select(F.transform("points", lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y"))).alias("points"), F.lit("LineString").alias("kind"), F.struct("ord", F.round("length", 3).alias("length_m")).alias("properties"))
-    sizes = products["basins"].groupBy("root").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= threshold)
-    facts = outlets(sizes, cells, meta)
-    drained = products["basins"].join(facts.select("root"), "root", "left_semi").withColumns(place).select("row", "col", F.col("root").alias("label"))
-    rings = outline(drained, meta).join(facts.withColumnRenamed("root", "label"), "label")
+    sizes = stored(products["basins"].groupBy("root").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= threshold))
+    facts = stored(outlets(sizes, cells, meta))
+    rings = outline_blocks(blocks.select("br", "bc", F.col("root").alias("label")), meta, block).join(facts.withColumnRenamed("root", "label"), "label")
     about = F.struct(F.col("label").alias("basin"), "signed_area", F.col("area").alias("area_m2"), F.round(F.col("area") / 10000, 3).alias("area_ha"), F.round("easting", 3).alias("outlet_easting"), F.round("northing", 3).alias("outlet_northing"), F.col("truncated").alias("truncated_by_survey_edge"))
-    shapes = rings.select("points", F.lit("Polygon").alias("kind"), about.alias("properties"))
-    for name, features in (("streams", lines), ("basins", shapes)):
-        held = cut(to_geojson(features, meta.epsg))
+    shapes = {"streams": lines, "basins": rings.select("points", F.lit("Polygon").alias("kind"), about.alias("properties"))}
+    if pour_point is not None:
+        accumulation = from_blocks(blocks, {"acc": "acc"}, block)
+        snapped = snap_to_channel(accumulation, *pour_point).first()
+        if snapped:
+            found = catchment(products["forest"], meta, snapped["row"] * meta.width + snapped["col"])
+            about = F.struct(F.col("label").alias("outlet"), "signed_area", F.lit(snapped["acc"]).alias("n_cells"), F.lit(snapped["acc"] * meta.cell_size**2).alias("area_m2"))
+            shapes["catchment"] = found.select("points", F.lit("Polygon").alias("kind"), about.alias("properties"))
+    for name, features in shapes.items():
+        held = stored(to_geojson(features, meta.epsg))
         held.write.text(f"{folder}/{name}.geojsonl")
-        made.append((name, f"{name}.geojsonl", held.count()))
-    manifest = cells.sparkSession.createDataFrame(made, "key string, file string, n long")
+        counts[name] = held.count()
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select("path", "length", F.sha2("content", 256).alias("sha"))
+    key = F.regexp_extract("path", r"/([a-z]+)[.](tif|geojsonl)(/|$)", 1)
+    digests = files.select(key.alias("key"), "path", "length", "sha").where("key <> ''").groupBy("key").agg(F.sum("length").alias("bytes"), F.array_sort(F.collect_list(F.struct("path", "sha"))).alias("s"))
+    sha = F.when(F.col("kind") == "tif", F.col("s")[0]["sha"]).otherwise(F.sha2(F.array_join(F.transform("s", lambda x: x["sha"]), ",").cast("binary"), 256))
+    made = spark.createDataFrame([(name, f"{name}.{'tif' if name in rasters else 'geojsonl'}", n, "tif" if name in rasters else "geojsonl") for name, n in counts.items()], "key string, file string, n long, kind string")
+    manifest = stored(made.join(digests, "key").select("key", "file", "n", "bytes", sha.alias("sha256")))
     manifest.write.json(f"{folder}/manifest")
     return manifest

@@ -7,11 +7,13 @@ import zlib
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terravela.functions import geodesy as g
 from terravela.functions.encode import decode_mapbox, decode_terrarium, encode_elevation
+from terravela.operators.blocks import BLOCK, array
 from terravela.operators.grid import GridMeta
 from terravela.plans.lineage import cut
 
@@ -77,6 +79,70 @@ def encode_tiles(pixels: DataFrame, tiles: DataFrame | None = None, size: int =
     return source.groupBy("z", "x", "y").applyInPandas(draw, "z int, x long, y long, png binary, n_pixels long")
 
 
+def _pixel_cells(z: int, x: int, y: int, meta: GridMeta, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of a tile's pixels over the grid, numbered row by row, their places and the rows and columns of the cells under their centres."""
+    n, at = 2.0**z, (np.arange(size) + 0.5) / size
+    lon = (x + at) / n * 360 - 180
+    lat = np.degrees(np.arctan(np.sinh(np.pi * (1 - 2 * (y + at) / n))))
+    zone, south = (meta.epsg - 32600, False) if meta.epsg <= 32660 else (meta.epsg - 32700, True)
+    east, north = g.transverse(np, lon[None, :], lat[:, None], zone)
+    row = np.floor((meta.origin_y - (north + g.FALSE_NORTHING_SOUTH * south)) / meta.cell_size)
+    col = np.floor((east - meta.origin_x) / meta.cell_size)
+    held = np.flatnonzero(((row >= 0) & (row < meta.height) & (col >= 0) & (col < meta.width)).ravel())
+    return held, row.ravel()[held].astype(np.int64), col.ravel()[held].astype(np.int64)
+
+
+def draw_tiles(blocks: DataFrame, tiles: DataFrame, meta: GridMeta, size: int = 256, block: int = BLOCK, hole: tuple[int, int, int] = (0, 0, 0), keep_empty: bool = True) -> DataFrame:
+    """(z, x, y, png, n_pixels): Terrain-RGB images of blocks(br, bc, z), each pixel the nearest cell's, as terrain_tiles and encode_tiles make them pixel by pixel.
+
+    Each tile finds the blocks under it; a block's samples for its tiles are taken where it lies, so that only the pixels
+    that it fills move, packed, to their tile. Pixels without data have the colour hole and alpha 0. With keep_empty every tile has an image.
+    """
+    if meta.epsg is None or not (32601 <= meta.epsg <= 32660 or 32701 <= meta.epsg <= 32760):
+        raise ValueError(f"EPSG {meta.epsg} is no WGS84 UTM zone")
+
+    def under(batches):
+        for pdf in batches:
+            found = []
+            for z, x, y in pdf.itertuples(index=False):
+                _, row, col = _pixel_cells(z, x, y, meta, size)
+                found += [(z, x, y, int(k) // columns, int(k) % columns) for k in np.unique(row // block * columns + col // block)]
+            yield pd.DataFrame(found, columns=["z", "x", "y", "br", "bc"])
+
+    def sample(batches):
+        for batch in batches:
+            for k in range(batch.num_rows):
+                br, bc = batch.column("br")[k].as_py(), batch.column("bc")[k].as_py()
+                heights = array(batch.column("data")[k].as_py(), "z", block)
+                for t in batch.column("tiles")[k].as_py():
+                    at, row, col = _pixel_cells(t["z"], t["x"], t["y"], meta, size)
+                    mine = (row // block == br) & (col // block == bc)
+                    v = heights[row[mine] - br * block, col[mine] - bc * block]
+                    there = ~np.isnan(v)
+                    code = np.floor((v[there] + 10000) * 10 + 0.5).astype("<u4")
+                    yield pa.RecordBatch.from_arrays([pa.array([t["z"]], pa.int32()), pa.array([t["x"]], pa.int64()), pa.array([t["y"]], pa.int64()), pa.array([at[mine][there].astype("<u4").tobytes()], pa.binary()), pa.array([code.tobytes()], pa.binary())], ["z", "x", "y", "at", "code"])
+
+    def draw(key: tuple, table: pa.Table) -> pa.Table:
+        image = np.zeros((size * size, 4), np.uint8)
+        image[:, :3] = hole
+        n = 0
+        for at, code in zip(table.column("at").to_pylist(), table.column("code").to_pylist()):
+            if at is not None:
+                where, value = np.frombuffer(at, "<u4"), np.frombuffer(code, "<u4")
+                image[where] = np.stack([value >> 16 & 255, value >> 8 & 255, value & 255, np.full(len(value), 255)], 1)
+                n += len(where)
+        names = ["z", "x", "y", "png", "n_pixels"]
+        return pa.Table.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([key[1].as_py()], pa.int64()), pa.array([key[2].as_py()], pa.int64()), pa.array([png(image.reshape(size, size, 4))], pa.binary()), pa.array([n], pa.int64())], names)
+
+    columns = -(-meta.width // block)
+    wanted = tiles.select("z", "x", "y").distinct()
+    pairs = wanted.mapInPandas(under, "z int, x long, y long, br int, bc int").groupBy("br", "bc").agg(F.collect_list(F.struct("z", "x", "y")).alias("tiles"))  # the tiles over one block
+    taken = pairs.join(blocks.select("br", "bc", F.col("z").alias("data")), ["br", "bc"]).mapInArrow(sample, "z int, x long, y long, at binary, code binary")
+    if keep_empty:
+        taken = taken.unionByName(wanted.select("z", "x", "y", F.lit(None).cast("binary").alias("at"), F.lit(None).cast("binary").alias("code")))
+    return taken.groupBy("z", "x", "y").applyInArrow(draw, "z int, x long, y long, png binary, n_pixels long")
+
+
 def summary(tiles: DataFrame) -> DataFrame:
     """One row: tiles written, those without a pixel, bytes in all and on average."""
     return tiles.agg(F.count(F.lit(1)).alias("n_tiles"), F.sum((F.col("n_pixels") == 0).cast("long")).alias("n_empty"), F.sum(F.length("png")).alias("bytes"), F.avg(F.length("png")).alias("mean_bytes"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from terravela.functions import encode, geodesy, geometry
 from terravela.operators import compare, flow, focal, grid, sample, tiles, vector, zonal
+from terravela.operators.blocks import to_blocks
 from terravela.operators.grid import GridMeta
 from terravela.plans.inputs import D8_SQL, META, OFFSETS_SQL, PLACED, RAGGED_SQL, SIDE, WALK_SQL, dem, dem_sql, ragged, table
 from terravela.plans.lineage import cut
@@ -535,16 +536,19 @@ def _pixels(spark, sf_dir, zoom: int = 15) -> tuple[DataFrame, DataFrame]:
     return over, tiles.terrain_tiles(ragged(dem(spark, sf_dir)), over, PLACED)
 
 
+def _drawn(spark, sf_dir, zoom: int = 15, **options) -> DataFrame:
+    over = tiles.tiles_over(spark, tiles.lon_lat_box(spark, PLACED), range(zoom, zoom + 1))
+    return tiles.draw_tiles(to_blocks(ragged(dem(spark, sf_dir))), over, PLACED, **options)
+
+
 @query()
 def tile_pyramid(spark, sf_dir):
-    over, pixels = _pixels(spark, sf_dir)
-    return tiles.encode_tiles(pixels, over, hole=(1, 134, 160)).select("z", "x", "y", "n_pixels")
+    return _drawn(spark, sf_dir, hole=(1, 134, 160)).select("z", "x", "y", "n_pixels")
 
 
 @query()
 def tile_summary(spark, sf_dir):
-    over, pixels = _pixels(spark, sf_dir)
-    return tiles.summary(tiles.encode_tiles(pixels)).select("n_tiles", "n_empty")
+    return tiles.summary(_drawn(spark, sf_dir, keep_empty=False)).select("n_tiles", "n_empty")
 
 
 @query()

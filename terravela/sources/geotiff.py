@@ -7,7 +7,9 @@ Classic strip files in either byte order with one sample, plain or LZW, are read
 from __future__ import annotations
 
 import math
+import os
 import struct
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -15,10 +17,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
 from terravela.operators.grid import NODATA, GridMeta
-from terravela.sources.files import read_bytes, size, write_bytes
+from terravela.sources.files import read_bytes, resolve, write_bytes
 
 #: TIFF tags, the bytes of a field's types, and numpy's name of (sample format, bits).
 WIDTH, HEIGHT, BITS, COMPRESSION, OFFSETS, SAMPLES, ROWS, COUNTS, PREDICTOR, TILE, FORMAT, SCALE, TIE, GEO, NO_DATA = 256, 257, 258, 259, 273, 277, 278, 279, 317, 322, 339, 33550, 33922, 34735, 42113
@@ -127,14 +129,14 @@ class _Strips(InputPartition):
 
 
 class _Reader(DataSourceReader):
-    def __init__(self, path: str, cells_per_part: int):
-        self.path, self.cells = path, cells_per_part
+    def __init__(self, path: str, cells_per_part: int, first_row: int, last_row: int):
+        self.path, self.cells, self.first_row, self.last_row = path, cells_per_part, first_row, last_row
 
     def partitions(self) -> list[InputPartition]:
         layout = read_layout(self.path)
         step = max(1, self.cells // max(1, layout.meta.width * layout.rows_per_strip))
-        n = len(layout.strips)
-        return [_Strips(i, min(n, i + step)) for i in range(0, n, step)]
+        begin, n = self.first_row // layout.rows_per_strip, min(len(layout.strips), self.last_row // layout.rows_per_strip + 1)
+        return [_Strips(i, min(n, i + step)) for i in range(begin, n, step)]
 
     def read(self, partition: _Strips) -> Iterator[pa.RecordBatch]:
         layout = read_layout(self.path)
@@ -142,12 +144,18 @@ class _Reader(DataSourceReader):
             values = read_strip(self.path, layout, k)
             for i in range(0, len(values), max(1, (1 << 20) // max(1, layout.meta.width))):
                 part = values[i : i + max(1, (1 << 20) // max(1, layout.meta.width))]
+                first = k * layout.rows_per_strip + i
+                top, end = max(0, self.first_row - first), self.last_row - first + 1
+                part, first = part[top : max(top, end)], first + top
                 r, c = np.divmod(np.arange(part.size, dtype=np.int32), layout.meta.width)
-                yield pa.RecordBatch.from_arrays([pa.array(r + (k * layout.rows_per_strip + i), pa.int32()), pa.array(c, pa.int32()), pa.array(part.ravel(), mask=np.isnan(part.ravel()))], ["row", "col", "v"])
+                yield pa.RecordBatch.from_arrays([pa.array(r + first, pa.int32()), pa.array(c, pa.int32()), pa.array(part.ravel(), mask=np.isnan(part.ravel()))], ["row", "col", "v"])
 
 
 class GeoTiff(DataSource):
-    """Option cells_per_part: about how many cells a partition reads (default 4 million)."""
+    """Reading: option cells_per_part, about how many cells a partition reads (default 4 million); first_row and last_row read the strips of these rows only.
+
+    Writing: (row, col, v) strip by strip, with the grid's description as options; write_geotiff deals cells out and gives them.
+    """
 
     @classmethod
     def name(cls) -> str:
@@ -157,7 +165,10 @@ class GeoTiff(DataSource):
         return "row int, col int, v double"
 
     def reader(self, schema) -> DataSourceReader:
-        return _Reader(self.options["path"], int(self.options.get("cells_per_part", 4_000_000)))
+        return _Reader(self.options["path"], int(self.options.get("cells_per_part", 4_000_000)), int(self.options.get("first_row", 0)), int(self.options.get("last_row", 1 << 40)))
+
+    def writer(self, schema, overwrite: bool) -> DataSourceArrowWriter:
+        return _Writer(self.options)
 
 
 def tiff_header(meta: GridMeta, strips: int, rows: int) -> tuple[bytes, list[int]]:
@@ -184,39 +195,96 @@ def tiff_header(meta: GridMeta, strips: int, rows: int) -> tuple[bytes, list[int
     return b"II*\0" + struct.pack("<I", 8) + struct.pack("<H", len(fields)) + entries + b"\0" * 4 + extra, offsets
 
 
+@dataclass
+class _Written(WriterCommitMessage):
+    strips: list[int]
+
+
+class _Writer(DataSourceArrowWriter):
+    """Strips have known offsets: on a local or shared disk tasks write them in place into a file that only the commit gives its name.
+
+    A task that runs again writes the same bytes to the same places. In stores without writes in place each strip is a
+    file of its own, and the commit reads these one after another into the file.
+    """
+
+    def __init__(self, options: dict):
+        number = lambda name, default: type(default)(options.get(name, default))
+        self.meta = GridMeta(int(options["width"]), int(options["height"]), number("cell_size", 1.0), number("origin_x", 0.0), number("origin_y", 0.0), number("nodata", NODATA), int(options["epsg"]) if options.get("epsg") else None)
+        self.rows, self.path = number("rows_per_strip", 256), options["path"]
+        self.strips = -(-self.meta.height // self.rows)
+        self.header, self.offsets = tiff_header(self.meta, self.strips, self.rows)
+        self.local = "://" not in self.path or self.path.startswith("file:")
+        self.inner = resolve(self.path)[1]
+        self.temporary = f"{self.inner if self.local else self.path}.{uuid.uuid4().hex}"
+
+    def _empty(self, k: int) -> np.ndarray:
+        return np.full((min(self.rows, self.meta.height - k * self.rows), self.meta.width), self.meta.nodata, "<f4")
+
+    def _place(self, at: int, data: bytes) -> None:
+        os.makedirs(os.path.dirname(self.temporary) or ".", exist_ok=True)
+        with open(os.open(self.temporary, os.O_RDWR | os.O_CREAT, 0o644), "r+b") as f:
+            f.seek(at)
+            f.write(data)
+
+    def _put(self, k: int, grid: np.ndarray) -> None:
+        if self.local:
+            self._place(self.offsets[k], grid.tobytes())
+        else:
+            write_bytes(f"{self.temporary}/{k}", grid.tobytes())
+
+    def write(self, batches: Iterator[pa.RecordBatch]) -> _Written:
+        now, grid, done = None, None, []
+        for batch in batches:
+            row, col, v = (batch.column(n).to_numpy(zero_copy_only=False) for n in ("row", "col", "v"))
+            strip = row // self.rows
+            edges = np.flatnonzero(np.diff(strip)) + 1
+            for a, b in zip([0, *edges.tolist()], [*edges.tolist(), len(row)]):
+                if a == b:
+                    continue
+                if strip[a] != now:
+                    if now is not None:
+                        self._put(now, grid)
+                    now = int(strip[a])
+                    if now in done:
+                        raise ValueError("cells must come strip by strip; use write_geotiff")
+                    grid = self._empty(now)
+                    done.append(now)
+                held = ~np.isnan(v[a:b].astype(np.float64))
+                grid[row[a:b][held] - now * self.rows, col[a:b][held]] = v[a:b][held]
+        if now is not None:
+            self._put(now, grid)
+        return _Written(done)
+
+    def commit(self, messages: list[_Written | None]) -> None:
+        made = [k for m in messages if m for k in m.strips]
+        if len(made) != len(set(made)):
+            raise ValueError("a strip lies in several tasks; use write_geotiff")
+        for k in sorted(set(range(self.strips)) - set(made)):
+            self._put(k, self._empty(k))
+        if self.local:
+            self._place(0, self.header)
+            os.replace(self.temporary, self.inner)
+            return
+        store, inner = resolve(self.path)
+        with store.open_output_stream(inner) as f:
+            f.write(self.header)
+            for k in range(self.strips):
+                f.write(read_bytes(f"{self.temporary}/{k}"))
+        self.abort(messages)
+
+    def abort(self, messages: list[_Written | None]) -> None:
+        if self.local:
+            if os.path.exists(self.temporary):
+                os.remove(self.temporary)
+        else:
+            store, inner = resolve(self.temporary)
+            store.delete_dir(inner)
+
+
 def write_geotiff(cells: DataFrame, meta: GridMeta, path: str, rows_per_strip: int = 256) -> None:
-    """Write cells as an uncompressed float GeoTIFF. A group makes one strip; strips are joined on the driver one by one."""
-    import pandas as pd
-
-    strips = -(-meta.height // rows_per_strip)
-
-    def strip(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        k = int(key[0])
-        grid = np.full((min(rows_per_strip, meta.height - k * rows_per_strip), meta.width), meta.nodata, "<f4")
-        held = pdf[pdf["v"].notna()]
-        grid[held["row"] - k * rows_per_strip, held["col"]] = held["v"]
-        return pd.DataFrame({"k": [k], "data": [grid.tobytes()]})
-
-    inside = cells.where(F.col("row").between(0, meta.height - 1) & F.col("col").between(0, meta.width - 1)).select(F.floor(F.col("row") / rows_per_strip).cast("int").alias("k"), "row", "col", "v")
-    made = inside.groupBy("k").applyInPandas(strip, "k int, data binary").orderBy("k")
-    header, _ = tiff_header(meta, strips, rows_per_strip)
-    from terravela.sources.files import resolve
-
-    store, inner = resolve(path)
-    store.create_dir(inner.rpartition("/")[0], recursive=True)
-    empty = lambda k: np.full(min(rows_per_strip, meta.height - k * rows_per_strip) * meta.width, meta.nodata, "<f4").tobytes()
-    with store.open_output_stream(inner) as f:
-        f.write(header)
-        at = 0
-        for r in made.toLocalIterator():
-            while at < r["k"]:
-                f.write(empty(at))
-                at += 1
-            f.write(bytes(r["data"]))
-            at += 1
-        while at < strips:
-            f.write(empty(at))
-            at += 1
-
-
-__all__ = ["GeoTiff", "read_meta", "write_geotiff", "lzw_decode", "size", "write_bytes"]
+    """Write cells as an uncompressed float GeoTIFF: each strip is put in its place by the task that has its cells; cells outside the grid are left out."""
+    cells.sparkSession.dataSource.register(GeoTiff)
+    inside = cells.where(F.col("row").between(0, meta.height - 1) & F.col("col").between(0, meta.width - 1)).select(F.col("row").cast("int").alias("row"), F.col("col").cast("int").alias("col"), F.col("v").cast("double").alias("v"))
+    options = {"width": meta.width, "height": meta.height, "cell_size": meta.cell_size, "origin_x": meta.origin_x, "origin_y": meta.origin_y, "nodata": meta.nodata, "rows_per_strip": rows_per_strip} | ({"epsg": meta.epsg} if meta.epsg else {})
+    strip = F.floor(F.col("row") / rows_per_strip)
+    inside.repartition(strip).sortWithinPartitions(strip).write.format("geotiff").options(**options).mode("append").save(path)
