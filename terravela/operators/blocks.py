@@ -313,32 +313,64 @@ def drain_blocks(blocks: DataFrame, meta: GridMeta, epsilon: float = 1e-5, size:
         direction = directions(padded, meta.cell_size)
         last = lambda extent, b: extent - 1 - b * size if 0 <= extent - 1 - b * size < size else None
         slope = slopes(padded, meta.cell_size, br == 0, bc == 0, last(meta.height, br), last(meta.width, bc))
-        to, out, r2, c2 = _downstream(direction, there)
-        acc, end = _accumulated(to, there.ravel()), _ends(to)
-        ids = ((np.arange(size)[:, None] + br * size) * meta.width + np.arange(size) + bc * size).ravel()
-        beyond = (r2 + br * size) * meta.width + c2 + bc * size
-        exits = np.flatnonzero(out)
-        rim = np.zeros((size, size), bool)
-        rim[[0, -1]], rim[:, [0, -1]] = True, True
-        rim = np.flatnonzero(rim.ravel() & there.ravel()) if sides else np.zeros(0, np.int64)
-        root = np.where(there.ravel(), ids[end], -1)
-        return [
-            {
-                "br": br, "bc": bc, "z": own, "filled": _packed("filled", filled), "flat": _packed("flat", flat), "dir": _packed("dir", direction), "slope": _packed("slope", slope), "acc": _packed("acc", np.where(there.ravel(), acc, 0)), "root": _packed("root", root),
-                "rim": ids[rim].tolist(), "rim_to": np.where(out[end[rim]], beyond[end[rim]], -1).tolist(), "rim_root": ids[end[rim]].tolist(), "exit_to": beyond[exits].tolist(), "exit_n": acc[exits].tolist(),
-            }
-        ]
+        layers = {"filled": filled, "flat": flat, "slope": slope}
+        return [{"br": br, "bc": bc, "z": own} | {n: _packed(n, v) for n, v in layers.items()} | _flow(br, bc, there, direction, meta, size)]
 
     strips = border_levels(blocks, epsilons, size)
     rows = _whole(blocks) if strips is None else _whole(blocks).unionByName(strips)
-    layers = "br int, bc int, z binary, filled binary, flat binary, dir binary, slope binary, acc binary, root binary"
-    solved = stored(_grouped(rows, solve, f"{layers}, rim array<long>, rim_to array<long>, rim_root array<long>, exit_to array<long>, exit_n array<long>"))
-    names = [x.split(" ")[0] for x in layers.split(", ")]
-    return solved.select(*names) if strips is None else stored(_entered(solved, meta, size, names))
+    solved = stored(_grouped(rows, solve, f"br int, bc int, z binary, filled binary, flat binary, slope binary, {_FLOW}"))
+    return _entered(solved, meta, size)
 
 
-def _entered(solved: DataFrame, meta: GridMeta, size: int, names: list[str]) -> DataFrame:
+def catchment_blocks(blocks: DataFrame, meta: GridMeta, outlet: int, size: int = BLOCK) -> DataFrame:
+    """drained blocks(br, bc, z, dir) -> (br, bc, label): outlet's id in the cells that drain to that cell, itself included, -1 elsewhere."""
+
+    def ended(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        row, col = divmod(outlet, meta.width)
+        for batch in batches:
+            for k in range(batch.num_rows):
+                br, bc, z = (batch.column(n)[k].as_py() for n in ("br", "bc", "z"))
+                direction = array(batch.column("dir")[k].as_py(), "dir", size).copy()
+                if row // size == br and col // size == bc:
+                    direction[row % size, col % size] = -1
+                yield pa.RecordBatch.from_pylist([{"br": br, "bc": bc, "z": z} | _flow(br, bc, ~np.isnan(array(z, "z", size)), direction, meta, size)], schema=types)
+
+    def labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                root = array(batch.column("root")[k].as_py(), "root", size)
+                yield pa.RecordBatch.from_arrays([batch.column("br").slice(k, 1), batch.column("bc").slice(k, 1), pa.array([_packed("label", np.where(root == outlet, outlet, -1))], pa.binary())], ["br", "bc", "label"])
+
+    shape = f"br int, bc int, z binary, {_FLOW}"
+    types = _arrow(shape)
+    solved = stored(blocks.select("br", "bc", "z", "dir").mapInArrow(ended, shape))
+    return _entered(solved, meta, size).select("br", "bc", "root").mapInArrow(labelled, "br int, bc int, label binary")
+
+
+_FLOW = "dir binary, acc binary, root binary, rim array<long>, rim_to array<long>, rim_root array<long>, exit_to array<long>, exit_n array<long>"
+
+
+def _flow(br: int, bc: int, there: np.ndarray, direction: np.ndarray, meta: GridMeta, size: int) -> dict:
+    """A block's flow by itself: sums and ends of its cells, where its rim's water leaves it (-1: nowhere) or ends, and what it gives to the cells around."""
+    to, out, r2, c2 = _downstream(direction, there)
+    acc, end = _accumulated(to, there.ravel()), _ends(to)
+    ids = ((np.arange(size)[:, None] + br * size) * meta.width + np.arange(size) + bc * size).ravel()
+    beyond = (r2 + br * size) * meta.width + c2 + bc * size
+    exits = np.flatnonzero(out)
+    rim = np.zeros((size, size), bool)
+    rim[[0, -1]], rim[:, [0, -1]] = True, True
+    rim = np.flatnonzero(rim.ravel() & there.ravel())
+    return {
+        "dir": _packed("dir", direction), "acc": _packed("acc", np.where(there.ravel(), acc, 0)), "root": _packed("root", np.where(there.ravel(), ids[end], -1)),
+        "rim": ids[rim].tolist(), "rim_to": np.where(out[end[rim]], beyond[end[rim]], -1).tolist(), "rim_root": ids[end[rim]].tolist(), "exit_to": beyond[exits].tolist(), "exit_n": acc[exits].tolist(),
+    }
+
+
+def _entered(solved: DataFrame, meta: GridMeta, size: int) -> DataFrame:
     """Blocks with the flow that enters them added to acc, and with the ends of flow that leaves them in root."""
+    names = [n for n in solved.columns if n not in ("rim", "rim_to", "rim_root", "exit_to", "exit_n")]
+    if not solved.where("size(exit_to) > 0").limit(1).count():
+        return solved.select(*names)
     into = solved.select(F.explode(F.arrays_zip("exit_to", "exit_n")).alias("e")).groupBy(F.col("e.exit_to").alias("node")).agg(F.sum("e.exit_n").alias("n"))
     rim = solved.select(F.explode(F.arrays_zip("rim", "rim_to", "rim_root")).alias("e")).select(F.col("e.rim").alias("node"), F.when(F.col("e.rim_to") >= 0, F.col("e.rim_to")).alias("next"), F.col("e.rim_root").alias("end"))
     entries = stored(rim.join(into, "node", "left").select("node", "next", "end", F.coalesce("n", F.lit(0)).alias("n")))
@@ -373,7 +405,7 @@ def _entered(solved: DataFrame, meta: GridMeta, size: int, names: list[str]) ->
                     root[leaves] = ends_of[np.searchsorted(nodes, beyond[end[leaves]])]
                 yield pa.RecordBatch.from_arrays([pa.array([row[n] if n not in ("acc", "root") else _packed(n, {"acc": np.where(there.ravel(), acc, 0), "root": root}[n])], batch.schema.field(n).type) for n in names], names)
 
-    return joined.mapInArrow(run, "br int, bc int, " + ", ".join(f"{n} binary" for n in names[2:]))
+    return stored(joined.mapInArrow(run, "br int, bc int, " + ", ".join(f"{n} binary" for n in names[2:])))
 
 
 def _sums_along(forest: DataFrame) -> DataFrame:

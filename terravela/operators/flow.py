@@ -8,8 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terravela.operators.blocks import BLOCK, component_blocks, drain_blocks, fill_blocks, from_blocks, to_blocks
-from terravela.operators.focal import downstream, open_sides
+from terravela.operators.blocks import BLOCK, catchment_blocks, component_blocks, drain_blocks, fill_blocks, from_blocks, to_blocks
+from terravela.operators.focal import DIRECTIONS, downstream
 from terravela.operators.grid import GridMeta
 from terravela.plans.graph import jump_to_roots
 from terravela.plans.lineage import cut, stored
@@ -127,8 +127,8 @@ def channel_totals(lines: DataFrame) -> DataFrame:
     return lines.agg(F.count(F.lit(1)).alias("n_segments"), F.coalesce(F.sum("length"), F.lit(0.0)).alias("length"))
 
 
-def stream_lines(links: DataFrame, meta: GridMeta) -> DataFrame:
-    """(head, ord, length, n_points, points): a line for each segment, with its first cell's order.
+def stream_lines(links: DataFrame, meta: GridMeta, orders: DataFrame | None = None) -> DataFrame:
+    """(head, ord, length, n_points, points): a line for each segment, with its first cell's order, from strahler's orders if given.
 
     A line ends in the cell that the next segment begins with. A head without a cell below has no line.
     """
@@ -140,7 +140,8 @@ def stream_lines(links: DataFrame, meta: GridMeta) -> DataFrame:
     lines = at.groupBy("head").agg(F.array_sort(F.collect_list(F.struct("place", "x", "y"))).alias("points")).where("size(points) > 1")
     n = F.size("points")
     length = F.aggregate(F.sequence(F.lit(2), n), F.lit(0.0), lambda acc, i: acc + F.hypot(F.element_at("points", i)["x"] - F.element_at("points", i - 1)["x"], F.element_at("points", i)["y"] - F.element_at("points", i - 1)["y"]))
-    return lines.join(strahler(links, segments).withColumnRenamed("node", "head"), "head").select("head", "ord", length.alias("length"), n.alias("n_points"), "points")
+    orders = strahler(links, segments) if orders is None else orders
+    return lines.join(orders.select(F.col("node").alias("head"), "ord"), "head").select("head", "ord", length.alias("length"), n.alias("n_points"), "points")
 
 
 def fill_levels(cells: DataFrame, epsilon: float, block: int = BLOCK) -> DataFrame:
@@ -251,9 +252,11 @@ def walk_upstream(forest: DataFrame, accumulation: DataFrame, start: int, steps:
 
 def outlets(basin_sizes: DataFrame, cells: DataFrame, meta: GridMeta) -> DataFrame:
     """basin_sizes(root, n) with the outlet's row, col and place, the basin's area, and whether water leaves the survey there."""
-    open_ = open_sides(cells).select(meta.cell_id().alias("root"), (F.col("n_open") > 0).alias("truncated"))
-    placed = basin_sizes.join(open_, "root", "left").withColumns({"row": F.expr(f"cast(root div {meta.width} as int)"), "col": (F.col("root") % meta.width).cast("int")})
-    return placed.select("root", "n", (F.col("n") * meta.cell_size**2).alias("area"), meta.x(F.col("col")).alias("easting"), meta.y(F.col("row")).alias("northing"), F.coalesce("truncated", F.lit(True)).alias("truncated"))
+    placed = basin_sizes.withColumns({"row": F.expr(f"cast(root div {meta.width} as int)"), "col": (F.col("root") % meta.width).cast("int")})
+    beside = placed.select("root", F.explode(F.array(*[F.struct((F.col("row") + dr).alias("row"), (F.col("col") + dc).alias("col")) for _, dr, dc in DIRECTIONS])).alias("at")).select("root", "at.row", "at.col")
+    closed = beside.join(cells.where("v IS NOT NULL").select("row", "col"), ["row", "col"], "left_semi").groupBy("root").agg(F.count(F.lit(1)).alias("n_beside"))
+    known = placed.join(closed, "root", "left")
+    return known.select("root", "n", (F.col("n") * meta.cell_size**2).alias("area"), meta.x(F.col("col")).alias("easting"), meta.y(F.col("row")).alias("northing"), (F.coalesce("n_beside", F.lit(0)) < len(DIRECTIONS)).alias("truncated"))
 
 
 def flood_product(cells: DataFrame, meta: GridMeta, level: float, seed: tuple[int, int] | None = None) -> tuple[DataFrame, DataFrame]:
@@ -265,12 +268,11 @@ def flood_product(cells: DataFrame, meta: GridMeta, level: float, seed: tuple[in
     return flood, flood_summary(flood, meta)
 
 
-def catchment(forest: DataFrame, meta: GridMeta, outlet: int) -> DataFrame:
-    """(label, ring, signed_area, n_corners, points): the outline of the cells that drain to a cell, label being that cell."""
-    from terravela.operators.vector import outline
+def catchment(blocks: DataFrame, meta: GridMeta, outlet: int, block: int = BLOCK) -> DataFrame:
+    """(label, ring, signed_area, n_corners, points): the outline of the cells of drained blocks whose water passes a cell, label being that cell."""
+    from terravela.operators.rings import outline_blocks
 
-    place = {"row": F.expr(f"cast(node div {meta.width} as int)"), "col": (F.col("node") % meta.width).cast("int")}
-    return outline(watershed(forest, outlet).withColumns(place).select("row", "col", F.lit(outlet).cast("long").alias("label")), meta)
+    return outline_blocks(catchment_blocks(blocks, meta, outlet, block), meta, block)
 
 
 def write_products(products: dict[str, DataFrame], cells: DataFrame, meta: GridMeta, folder: str, threshold: int = 500, pour_point: tuple[int, int] | None = None, block: int = BLOCK) -> DataFrame:
@@ -293,7 +295,7 @@ def write_products(products: dict[str, DataFrame], cells: DataFrame, meta: GridM
         write_geotiff(raster, meta, f"{folder}/{name}.tif")
     whole = products["filled"].agg(F.count(F.lit(1)).alias("n"), F.count("depth").alias("sunk")).first()
     counts = {name: whole["n"] for name in rasters} | {"sinks": whole["sunk"], "orders": orders.count()}
-    lines = stream_lines(products["links"], meta).select(F.transform("points", lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y"))).alias("points"), F.lit("LineString").alias("kind"), F.struct("ord", F.round("length", 3).alias("length_m")).alias("properties"))
+    lines = stream_lines(products["links"], meta, products["orders"]).select(F.transform("points", lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y"))).alias("points"), F.lit("LineString").alias("kind"), F.struct("ord", F.round("length", 3).alias("length_m")).alias("properties"))
     sizes = stored(products["basins"].groupBy("root").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= threshold))
     facts = stored(outlets(sizes, cells, meta))
     rings = outline_blocks(blocks.select("br", "bc", F.col("root").alias("label")), meta, block).join(facts.withColumnRenamed("root", "label"), "label")
@@ -303,7 +305,7 @@ def write_products(products: dict[str, DataFrame], cells: DataFrame, meta: GridM
         accumulation = from_blocks(blocks, {"acc": "acc"}, block)
         snapped = snap_to_channel(accumulation, *pour_point).first()
         if snapped:
-            found = catchment(products["forest"], meta, snapped["row"] * meta.width + snapped["col"])
+            found = catchment(blocks, meta, snapped["row"] * meta.width + snapped["col"], block)
             about = F.struct(F.col("label").alias("outlet"), "signed_area", F.lit(snapped["acc"]).alias("n_cells"), F.lit(snapped["acc"] * meta.cell_size**2).alias("area_m2"))
             shapes["catchment"] = found.select("points", F.lit("Polygon").alias("kind"), about.alias("properties"))
     for name, features in shapes.items():

@@ -89,6 +89,11 @@ def test_drained_blocks_equal_a_plain_version(spark, size):
     for r in got:
         at = r["row"], r["col"]
         assert (r["z"], r["filled"], r["flat"], r["dir"], r["acc"], r["root"]) == (z[at], filled[at], flat[at], direction[at], acc[at], root[at])
+    # The catchment of a cell in the middle of the largest stream has that cell's accumulation as its area.
+    inner = np.where(direction >= 0, acc, 0)
+    outlet = int(inner.argmax())
+    found = flow.catchment(drained, m, outlet, size).collect()
+    assert sum(r["signed_area"] for r in found) == inner.max() * 4.0 and {r["label"] for r in found} == {outlet}
 
 
 def test_blocks_of_nothing(spark):
