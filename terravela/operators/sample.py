@@ -95,6 +95,25 @@ def densify(spark: SparkSession, line: list[tuple[float, float]], spacing: float
     return placed.select("seq", "distance", (F.col("x0") + t * (F.col("x1") - F.col("x0"))).alias("x"), (F.col("y0") + t * (F.col("y1") - F.col("y0"))).alias("y"))
 
 
+def densify_lines(vertices: DataFrame, spacing: float, least: int = 2, most: int = 512) -> DataFrame:
+    """(line, seq, distance, x, y): each of lines(line, seq, x, y) at even distances, as densify does for one line; lines of one place or none are left out.
+
+    A stretch draws its own points, so that no line is gathered; a point where two stretches meet belongs to the later one.
+    """
+    w = Window.partitionBy("line").orderBy("seq")
+    stretches = vertices.withColumns({"x1": F.lead("x").over(w), "y1": F.lead("y").over(w)}).where("x1 IS NOT NULL").withColumn("len", F.hypot(F.col("x1") - F.col("x"), F.col("y1") - F.col("y"))).where("len > 0")
+    whole = Window.partitionBy("line")
+    placed = stretches.withColumns({"b": F.sum("len").over(w), "total": F.sum("len").over(whole), "last": F.max("seq").over(whole) == F.col("seq")}).withColumn("a", F.col("b") - F.col("len"))
+    n = F.least(F.lit(most), F.greatest(F.lit(least), (F.floor(F.col("total") / spacing) + 1).cast("int"))).cast("long")
+    step = placed.withColumn("n", n).withColumn("gap", F.col("total") / (F.col("n") - 1))
+    # One more on either side, as rounding may move a point past a vertex; the filter decides.
+    first, last = F.greatest(F.floor(F.col("a") / F.col("gap")) - 1, F.lit(0)), F.least(F.ceil(F.col("b") / F.col("gap")) + 1, F.col("n") - 1)
+    drawn = step.select("*", F.explode(F.sequence(first, last)).alias("k")).withColumn("distance", F.col("k") / (F.col("n") - 1) * F.col("total"))
+    kept = drawn.where((F.col("distance") >= F.col("a")) & ((F.col("distance") < F.col("b")) | (F.col("last") & (F.col("k") == F.col("n") - 1))))
+    t = (F.col("distance") - F.col("a")) / F.col("len")
+    return kept.select("line", F.col("k").alias("seq"), "distance", (F.col("x") + t * (F.col("x1") - F.col("x"))).alias("x"), (F.col("y") + t * (F.col("y1") - F.col("y"))).alias("y"))
+
+
 def gaps(values: DataFrame, column: str, digits: int) -> DataFrame:
     """(v, gap): rounded differences of consecutive distinct values.
 

@@ -336,9 +336,10 @@ def exports_dxf(spark, sf_dir):
     return exports.points_dxf(_points(spark, sf_dir)).select("seq", "part", "line")
 
 
-@query("""WITH c AS (SELECT CAST(CASE WHEN i < 60 THEN 32601 + i ELSE 32701 + i - 60 END AS INT) AS epsg, i % 60 + 1 AS zone, i < 60 AS north FROM range(120) t(i))
+@query("""WITH c AS (SELECT CAST(CASE WHEN north THEN 32600 ELSE 32700 END + zone AS INT) AS epsg, zone, north FROM (SELECT DISTINCT CAST(c_custkey % 60 + 1 AS INT) AS zone, c_nationkey % 2 = 0 AS north FROM customer))
     SELECT epsg, 'PROJCS["WGS_1984_UTM_Zone_' || zone || CASE WHEN north THEN 'N' ELSE 'S' END || '",GEOGCS["GCS_WGS_1984",DATUM["D_WGS_1984",SPHEROID["WGS_1984",6378137.0,298.257223563]],PRIMEM["Greenwich",0.0],UNIT["Degree",0.0174532925199433]],PROJECTION["Transverse_Mercator"],PARAMETER["False_Easting",500000.0],PARAMETER["False_Northing",'
         || CASE WHEN north THEN '0.0' ELSE '10000000.0' END || '],PARAMETER["Central_Meridian",' || (zone * 6 - 183) || '.0],PARAMETER["Scale_Factor",0.9996],PARAMETER["Latitude_Of_Origin",0.0],UNIT["Meter",1.0]]' AS wkt FROM c""")
 def projection_wkt(spark, sf_dir):
-    codes = spark.range(120).selectExpr("cast(if(id < 60, 32601 + id, 32701 + id - 60) as int) AS epsg")
+    """The projection of each zone and hemisphere that customers are in."""
+    codes = table(spark, sf_dir, "customer").selectExpr("cast(if(c_nationkey % 2 = 0, 32600, 32700) + c_custkey % 60 + 1 as int) AS epsg").distinct()
     return codes.select("epsg", exports.prj(F.col("epsg")).alias("wkt"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -123,9 +124,9 @@ def flow_conservation(spark, sf_dir):
     return flow.accumulate(forest).join(forest, "node").agg(F.sum(F.when(F.col("root") == F.col("node"), F.col("acc"))).alias("at_outlets"), F.count(F.lit(1)).alias("n_cells"))
 
 
-def _orders_sql(threshold: int = 8) -> str:
-    """CTEs up to orders(node, ord): orders rise from 1 until none changes, each row replaced by its key."""
-    return f"""{dem_sql()}, {D8_SQL}, {WALK_SQL}, acc AS (SELECT cur AS node, count(*) AS acc FROM walk GROUP BY cur), st AS (SELECT node FROM acc WHERE acc >= {threshold}),
+def _orders_sql(threshold: int = 8, terrain: str = dem_sql(), name: str = "dem") -> str:
+    """CTEs up to orders(node, ord) of the terrain that CTE name of terrain holds: orders rise from 1 until none changes, each row replaced by its key."""
+    return f"""{terrain}, {re.sub(r"\bdem\b", name, D8_SQL)}, {WALK_SQL}, acc AS (SELECT cur AS node, count(*) AS acc FROM walk GROUP BY cur), st AS (SELECT node FROM acc WHERE acc >= {threshold}),
         links AS (SELECT d.node, CASE WHEN d.root <> d.node AND d.root IN (SELECT node FROM st) THEN d.root END AS nxt FROM down d JOIN st USING (node)),
         orders(node, ord) USING KEY (node) AS (SELECT node, 1 FROM st UNION
             SELECT n.node, n.ord FROM (SELECT nxt AS node, CASE WHEN count(*) FILTER (o = m) > 1 THEN any_value(m) + 1 ELSE any_value(m) END AS ord FROM (SELECT l.nxt, q.ord AS o, max(q.ord) OVER (PARTITION BY l.nxt) AS m FROM links l JOIN recurring.orders q ON q.node = l.node WHERE l.nxt IN (SELECT k.nxt FROM orders e JOIN links k ON k.node = e.node)) GROUP BY nxt) n JOIN recurring.orders p ON p.node = n.node WHERE n.ord > p.ord)"""
@@ -136,7 +137,10 @@ def strahler_order(spark, sf_dir):
     return flow.strahler(_streams(spark, sf_dir))
 
 
-@query()
+@query(f"""WITH RECURSIVE {_orders_sql()}, n_in AS (SELECT nxt AS node, count(*) AS n FROM links WHERE nxt IS NOT NULL GROUP BY 1),
+    run(head, node, k, length) AS (SELECT l.node, l.node, 1, 0.0::DOUBLE FROM links l LEFT JOIN n_in USING (node) WHERE coalesce(n, 0) <> 1
+        UNION ALL SELECT r.head, l.nxt, r.k + 1, r.length + sqrt((l.node // {SIDE} - l.nxt // {SIDE}) ** 2 + (l.node % {SIDE} - l.nxt % {SIDE}) ** 2) FROM run r JOIN links l ON l.node = r.node LEFT JOIN n_in ON n_in.node = r.node WHERE l.nxt IS NOT NULL AND (r.k = 1 OR n_in.n = 1))
+    SELECT CAST(head AS BIGINT) AS head, CAST(any_value(o.ord) AS INT) AS ord, round(max(length), 6) AS length, CAST(max(k) AS INT) AS n_points FROM run JOIN orders o ON o.node = head GROUP BY head HAVING max(k) > 1""")
 def stream_segments(spark, sf_dir):
     return rounded(flow.stream_lines(_streams(spark, sf_dir), META).select("head", "ord", "length", "n_points"))
 
@@ -186,7 +190,7 @@ def sink_depth(spark, sf_dir):
     return flow.fill_depressions(dem(spark, sf_dir), block=32).agg(F.count("depth").alias("n_sinks"), F.max("depth").alias("max_depth"), F.sum("depth").alias("volume"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {_orders_sql(40, f"{_FILL_SQL}, lev AS (SELECT r, c, filled AS z FROM filled)", "lev")} SELECT CAST(ord AS INT) AS ord, count(*) AS n_cells FROM orders GROUP BY 1""")
 def hydrology_products(spark, sf_dir):
     products = flow.run_hydrology(dem(spark, sf_dir), META, threshold=40)
     return products["orders"].groupBy("ord").agg(F.count(F.lit(1)).alias("n_cells"))
@@ -311,20 +315,21 @@ def measured_summary(spark, sf_dir):
     return rounded(sample.measured_summary(_profile(spark, sf_dir)))
 
 
-def _densified_sql(spacing: float) -> str:
-    """(seq, distance, x, y) at even distances along the line."""
-    ends, rows = [0.0], []
-    for (x0, y0), (x1, y1) in zip(LINE, LINE[1:]):
-        ends.append(ends[-1] + ((x1 - x0) ** 2 + (y1 - y0) ** 2) ** 0.5)
-        rows.append(f"({ends[-2]!r}::DOUBLE, {ends[-1]!r}::DOUBLE, {x0}::DOUBLE, {y0}::DOUBLE, {x1}::DOUBLE, {y1}::DOUBLE)")
-    n = int(ends[-1] / spacing) + 1
-    return f"""WITH s(a, b, x0, y0, x1, y1) AS (VALUES {', '.join(rows)}), k AS (SELECT i AS seq, i / {n - 1} * {ends[-1]!r}::DOUBLE AS distance FROM range({n}) t(i))
-        SELECT seq, round(distance, 6) AS distance, round(x0 + (distance - a) / (b - a) * (x1 - x0), 6) AS x, round(y0 + (distance - a) / (b - a) * (y1 - y0), 6) AS y FROM k JOIN s ON distance >= a AND (distance < b OR b = (SELECT max(b) FROM s))"""
+def _supplier_line(spark, sf_dir):
+    """(line, seq, x, y): for each supplier the places of its nation, its balance and its number."""
+    s = table(spark, sf_dir, "supplier").selectExpr("s_suppkey AS line", "cast(s_nationkey as double) AS n", "cast(round(s_acctbal) % 50 as double) AS b")
+    return s.select("line", F.posexplode(F.array(*[F.struct(x.alias("x"), y.alias("y")) for x, y in ((F.lit(0.0), F.col("n")), (F.col("n") + 7, F.lit(3.5)), (F.col("n") + 20, F.col("b")))])).alias("seq", "p")).select("line", "seq", "p.x", "p.y")
 
 
-@query(_densified_sql(1.5))
+@query("""WITH s AS (SELECT s_suppkey AS line, s_nationkey::DOUBLE AS n, (round(s_acctbal) % 50)::DOUBLE AS b FROM supplier),
+    v AS (SELECT line, 0 AS seq, 0.0::DOUBLE AS x, n AS y FROM s UNION ALL SELECT line, 1, n + 7, 3.5 FROM s UNION ALL SELECT line, 2, n + 20, b FROM s),
+    e AS (SELECT line, seq, x AS x0, y AS y0, lead(x) OVER w AS x1, lead(y) OVER w AS y1 FROM v WINDOW w AS (PARTITION BY line ORDER BY seq)),
+    m AS (SELECT *, sum(sqrt((x1 - x0) ** 2 + (y1 - y0) ** 2)) OVER (PARTITION BY line ORDER BY seq) AS b, sqrt((x1 - x0) ** 2 + (y1 - y0) ** 2) AS len FROM e WHERE x1 IS NOT NULL), t AS (SELECT line, max(b) AS total FROM m GROUP BY 1),
+    k AS (SELECT line, total, i AS seq, i / (n - 1) * total AS distance FROM (SELECT *, CAST(least(512, greatest(2, floor(total / 1.5) + 1)) AS BIGINT) AS n FROM t), LATERAL (SELECT unnest(range(n)) AS i)),
+    p AS (SELECT k.line, k.seq, distance, x0, y0, x1, y1, (distance - (b - len)) / len AS t FROM k JOIN m ON m.line = k.line AND distance >= m.b - m.len AND (distance < m.b OR m.seq = 1) QUALIFY row_number() OVER (PARTITION BY k.line, k.seq ORDER BY m.seq DESC) = 1)
+    SELECT line, CAST(seq AS BIGINT) AS seq, round(distance, 6) AS distance, round(x0 + t * (x1 - x0), 6) AS x, round(y0 + t * (y1 - y0), 6) AS y FROM p""")
 def densified_line(spark, sf_dir):
-    return rounded(sample.densify(spark, LINE, 1.5))
+    return rounded(sample.densify_lines(_supplier_line(spark, sf_dir), 1.5))
 
 
 @query(f"""WITH {dem_sql()}, {RAGGED_SQL}, {ring_sql(SKEW)}, g AS (SELECT x * 2.5::DOUBLE AS x, y * 2.5::DOUBLE AS y FROM (SELECT unnest(range(5, 20)) AS x), (SELECT unnest(range(6, 21)) AS y)),
