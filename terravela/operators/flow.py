@@ -5,6 +5,7 @@ Trees are followed by pointer doubling, so that the number of rounds grows with
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,6 +15,9 @@ from terravela.operators.grid import GridMeta
 from terravela.plans.graph import jump_to_roots
 from terravela.plans.lineage import cut, stored
 
+#: Segments of streams that one task solves, some 50 MB; larger trees are contracted.
+AT_ONCE = 200_000
+
 
 def accumulate(forest: DataFrame) -> DataFrame:
     """(node, acc): cells that drain through each cell, itself included; fails on a cycle.
@@ -82,19 +86,46 @@ def stream_segments(links: DataFrame) -> DataFrame:
             return back
 
 
+def _orders_at_once(tree: DataFrame) -> DataFrame:
+    """tree(node, next, pend) -> (node, ord), solved from the heads down in one task."""
+
+    def solve(table: pa.Table) -> pa.Table:
+        node, below, pend = (table.column(n).to_pylist() for n in ("node", "next", "pend"))
+        at, to = {k: i for i, k in enumerate(node)}, below
+        top, n_top, ord_ = [0] * len(node), [0] * len(node), [0] * len(node)
+        ready, done = [i for i, n in enumerate(pend) if n == 0], 0
+        while ready:
+            i = ready.pop()
+            done += 1
+            ord_[i] = 1 if not top[i] else top[i] + (n_top[i] > 1)
+            j = at[to[i]] if to[i] is not None else -1
+            if j >= 0:
+                top[j], n_top[j] = (ord_[i], 1) if ord_[i] > top[j] else (top[j], n_top[j] + (ord_[i] == top[j]))
+                pend[j] -= 1
+                if not pend[j]:
+                    ready.append(j)
+        if done < len(node):
+            raise ValueError("the streams hold a cycle")
+        return pa.table({"node": pa.array(node, pa.int64()), "ord": pa.array(ord_, pa.int32())})
+
+    return tree.select("node", "next", "pend").groupBy(F.lit("all")).applyInArrow(solve, "node long, ord int")
+
+
 def strahler(links: DataFrame, segments: DataFrame | None = None) -> DataFrame:
     """(node, ord): 1 at a head; one more where several streams of the highest order meet, else the highest.
 
     An order is constant along a segment, so that only the tree of segments is solved, by contraction: segments whose
     inputs are all known get their order, and one with a single unknown input is a function of it, an array by
     order, which is composed with that of the input if it has a single unknown one too. Rounds grow with
-    the logarithm of the tree, however long its main stem is.
+    the logarithm of the tree, however long its main stem is. A tree of AT_ONCE segments at most is solved in one task.
     """
     segments = stream_segments(links) if segments is None else segments
     ends = segments.join(links, "node").select("head", "node", "to", "place")
     tree = ends.groupBy("head").agg(F.max(F.struct("place", "to")).alias("end")).select(F.col("head").alias("node"), F.col("end.to").alias("next"))
     inputs = tree.where("next IS NOT NULL").groupBy(F.col("next").alias("node")).agg(F.count(F.lit(1)).cast("int").alias("pend"))
     tree = cut(tree.join(inputs, "node", "left").withColumn("pend", F.coalesce("pend", F.lit(0))))
+    if tree.limit(AT_ONCE + 1).count() <= AT_ONCE:
+        return segments.join(stored(_orders_at_once(tree)).withColumnRenamed("node", "head"), "head").select("node", "ord")
     most = tree.where("pend = 0").count().bit_length() + 1  # an order more needs twice the heads
     one = F.when(F.col("pend") == 0, 1)
     state = stored(tree.select("node", "next", "pend", F.lit(0).alias("top"), F.lit(0).alias("n_top"), F.lit(None).cast(tree.schema["node"].dataType).alias("child"), F.lit(None).cast("array<int>").alias("f"), one.cast("int").alias("ord"), one.isNotNull().alias("fresh")))

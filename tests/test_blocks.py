@@ -189,3 +189,20 @@ def test_a_survey_of_many_cells_is_drained_in_time(spark):
     began = time.time()
     ends = blocks.from_blocks(blocks.drain_blocks(made, m), {"acc": "acc", "dir": "dir"}).where("dir = -1").agg(F.sum("acc")).first()[0]
     assert ends == 120_000 and time.time() - began < 60
+
+
+def test_orders_by_contraction_equal_those_at_once(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    to = {k: int(rng.integers(max(0, k // 2 - 3), k)) if k and rng.random() < 0.97 else None for k in range(160)}
+    n_in = {k: sum(t == k for t in to.values()) for k in to}
+    links = stored(spark.createDataFrame([(k, t, n_in[k]) for k, t in to.items()], "node long, to long, n_in long"))
+    found = []
+    for most in (200_000, 0):
+        monkeypatch.setattr(flow, "AT_ONCE", most)
+        found.append(sorted(map(tuple, flow.strahler(links).collect())))
+    assert found[0] == found[1] and len(found[0]) == 160 and max(o for _, o in found[0]) > 2
+    ring = spark.createDataFrame([(1, 2, 1), (2, 1, 2), (3, 2, 0)], "node long, to long, n_in long")
+    for most in (200_000, 0):
+        monkeypatch.setattr(flow, "AT_ONCE", most)
+        with pytest.raises(Exception, match="cycle"):
+            flow.strahler(ring).collect()
