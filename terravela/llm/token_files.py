@@ -23,7 +23,7 @@ from pyspark.sql.window import Window
 from terravela.llm import textbytes as tb
 from terravela.plans.lineage import broadcast_below, fresh_dir
 
-#: Words whose ids a worker remembers; beyond that it forgets all and begins again.
+#: Words whose ids a worker remembers; beyond that it forgets those that the texts at hand don't hold.
 REMEMBERED = 500_000
 #: Files whose places may be broadcast, a few MB.
 BROADCAST_FILES = 250_000
@@ -68,10 +68,15 @@ class WordEncoder:
         self.known: dict[bytes, int] = {}
         self.begin, self.length, self.pool, self.used = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), np.zeros(1 << 18, np.int32), 0
 
-    def _learn(self, words: list[bytes]) -> None:
-        if len(self.known) + len(words) > REMEMBERED:
-            self._forget()
-        new = [w for w in words if w not in self.known]
+    def _keep(self, words: list[bytes], entries: np.ndarray) -> None:
+        """Forget all words but these."""
+        n = self.length[entries]
+        ends = np.concatenate([[0], np.cumsum(n)])
+        self.pool = self.pool[np.repeat(self.begin[entries] - ends[:-1], n) + np.arange(ends[-1])]
+        self.begin, self.length, self.used = ends[:-1], n, int(ends[-1])
+        self.known = dict(zip(words, range(len(words))))
+
+    def _learn(self, new: list[bytes]) -> None:
         ids = self._whole([w.decode() for w in new])
         first, n = len(self.known), np.fromiter(map(len, ids), np.int64, len(ids))
         grown = lambda a, size: a if len(a) >= size else np.concatenate([a, np.zeros(max(size - len(a), len(a)), a.dtype)])
@@ -113,14 +118,17 @@ class WordEncoder:
         cut[1:-1] = (before == _SPACE) | (before == _LETTER) & (after == _MARK) | (before == _MARK) & (after == _LETTER)
         cut[offsets] = True
         start = np.flatnonzero(cut[:-1] & inside)
-        place = np.concatenate([[0], np.cumsum(inside)])
-        edges = np.append(place[start], place[-1]).astype(np.int64)
-        words = pa.Array.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(edges), pa.py_buffer(np.ascontiguousarray(data[inside]))]).dictionary_encode()
+        place = np.zeros(len(data) + 1, np.int32)
+        np.cumsum(inside, out=place[1:])
+        edges = np.append(place[start], place[-1])
+        words = pa.Array.from_buffers(pa.binary(), len(start), [None, pa.py_buffer(edges), pa.py_buffer(np.ascontiguousarray(data[inside]))]).dictionary_encode()
         values = words.dictionary.to_pylist()
         found = list(map(self.known.get, values))
         if None in found:
             missing = [w for w, k in zip(values, found) if k is None]
-            self._learn(values if len(self.known) + len(missing) > REMEMBERED else missing)
+            if len(self.known) + len(missing) > REMEMBERED:
+                self._keep([w for w, k in zip(values, found) if k is not None], np.array([k for k in found if k is not None], np.int64))
+            self._learn(missing)
             found = list(map(self.known.get, values))
         entry = np.array(found, np.int64)[words.indices.to_numpy(zero_copy_only=False)] if found else np.zeros(0, np.int64)
         n = self.length[entry]
