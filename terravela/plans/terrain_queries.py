@@ -597,3 +597,10 @@ def ring_measures(spark, sf_dir):
     p = table(spark, sf_dir, "customer").selectExpr("c_nationkey AS k", "struct(c_custkey AS id, c_custkey % 97 * 1.5D AS x, c_custkey % 89 * 2.5D AS y) AS p")
     ring = p.groupBy("k").agg(F.array_sort(F.collect_list("p")).alias("r"))
     return rounded(ring.select("k", geometry.polygon_area(F.col("r")).alias("area"), geometry.polygon_perimeter(F.col("r")).alias("perimeter"), geometry.path_length(F.col("r")).alias("length")), 4)
+
+
+@query("""WITH v AS (SELECT abs(round(l_extendedprice / l_quantity - 1000 - l_partkey % 100, 2)) AS v FROM lineitem), s AS (SELECT count(*) AS n, max(v) AS worst, count(*) FILTER (v <= 50) AS n_within, list_sort(list(v)) AS l FROM v)
+    SELECT n, round(worst, 6) AS worst, round(l[n // 2 + 1], 6) AS median, n_within FROM s""")
+def delta_summary(spark, sf_dir):
+    deltas = table(spark, sf_dir, "lineitem").selectExpr("abs(round(l_extendedprice / l_quantity - 1000 - l_partkey % 100, 2)) AS v")
+    return rounded(compare.delta_summary(deltas, "v", 50.0))

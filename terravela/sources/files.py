@@ -21,6 +21,11 @@ def size(path: str) -> int:
     return store.get_file_info(inner).size
 
 
+def exists(path: str) -> bool:
+    store, inner = resolve(path)
+    return store.get_file_info(inner).type == fs.FileType.File
+
+
 def write_bytes(path: str, data: bytes) -> None:
     store, inner = resolve(path)
     store.create_dir(inner.rpartition("/")[0], recursive=True)

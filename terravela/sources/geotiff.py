@@ -1,7 +1,7 @@
 """GeoTIFF: a data source of cells, a partition for each run of strips, and a writer.
 
 spark.read.format("geotiff").load(path) gives (row, col, v); the description comes from read_meta(path).
-Classic strip files in either byte order with one sample, plain or LZW, are read; others are refused by name.
+Classic strip files in either byte order, plain or LZW, with samples of one kind are read, one sample at a time; others are refused by name.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from terravela.operators.grid import NODATA, GridMeta
 from terravela.sources.files import read_bytes, resolve, write_bytes
 
 #: TIFF tags, the bytes of a field's types, and numpy's name of (sample format, bits).
-WIDTH, HEIGHT, BITS, COMPRESSION, OFFSETS, SAMPLES, ROWS, COUNTS, PREDICTOR, TILE, FORMAT, SCALE, TIE, GEO, NO_DATA = 256, 257, 258, 259, 273, 277, 278, 279, 317, 322, 339, 33550, 33922, 34735, 42113
+WIDTH, HEIGHT, BITS, COMPRESSION, OFFSETS, SAMPLES, ROWS, COUNTS, PLANAR, PREDICTOR, TILE, FORMAT, SCALE, TIE, GEO, NO_DATA = 256, 257, 258, 259, 273, 277, 278, 279, 284, 317, 322, 339, 33550, 33922, 34735, 42113
 FIELDS = {1: (1, "B"), 2: (1, "s"), 3: (2, "H"), 4: (4, "I"), 5: (8, "II"), 11: (4, "f"), 12: (8, "d"), 16: (8, "Q")}
 DTYPES = {(3, 32): "f4", (3, 64): "f8", (2, 16): "i2", (2, 32): "i4", (1, 16): "u2", (1, 8): "u1"}
 
@@ -37,6 +37,8 @@ class Layout:
     predictor: int
     rows_per_strip: int
     strips: list[tuple[int, int]]
+    samples: int = 1
+    planar: bool = False
 
 
 def lzw_decode(data: bytes, expected: int) -> bytes:
@@ -67,7 +69,8 @@ def lzw_decode(data: bytes, expected: int) -> bytes:
     return bytes(out[:expected])
 
 
-def read_layout(path: str) -> Layout:
+def read_tags(path: str) -> tuple[str, dict]:
+    """The byte order of a classic TIFF, and its first image's fields by tag."""
     head = read_bytes(path, 0, 8)
     order = {b"II": "<", b"MM": ">"}.get(head[:2])
     if order is None or struct.unpack(order + "H", head[2:4])[0] != 42:
@@ -82,9 +85,42 @@ def read_layout(path: str) -> Layout:
         length = FIELDS[kind][0] * count
         value = raw[12 * i + 8 : 12 * i + 8 + length] if length <= 4 else read_bytes(path, struct.unpack(order + "I", raw[12 * i + 8 : 12 * i + 12])[0], length)
         tags[tag] = value.split(b"\0")[0].decode() if kind == 2 else struct.unpack(order + FIELDS[kind][1] * count, value)
+    return order, tags
+
+
+def raster_class(files: DataFrame) -> DataFrame:
+    """files(path) -> (path, width, height, samples, bits, kind), from the files' first bytes and fields only.
+
+    kind is elevation for a TIFF of one floating-point sample, imagery for other TIFF and for PNG images, and null for what is neither.
+    """
+
+    def look(path: str) -> tuple:
+        try:
+            if (head := read_bytes(path, 0, 26))[:8] == b"\x89PNG\r\n\x1a\n":
+                width, height, bits, colour = struct.unpack(">IIBB", head[16:26])
+                return path, width, height, {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}.get(colour), bits, "imagery"
+            _, tags = read_tags(path)
+            samples, bits = tags.get(SAMPLES, (1,))[0], tags.get(BITS, (1,))[0]
+            kind = "elevation" if samples == 1 and tags.get(FORMAT, (1,))[0] == 3 else "imagery"
+            return path, tags[WIDTH][0], tags[HEIGHT][0], samples, bits, kind
+        except (OSError, ValueError, KeyError, struct.error):
+            return path, None, None, None, None, None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["path", "width", "height", "samples", "bits", "kind"]
+        types = [pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.string()]
+        for batch in batches:
+            rows = [look(p) for p in batch.column(0).to_pylist() if p is not None]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], names)
+
+    return files.select("path").mapInArrow(run, "path string, width int, height int, samples int, bits int, kind string")
+
+
+def read_layout(path: str) -> Layout:
+    order, tags = read_tags(path)
     one = lambda tag, default=None: tags[tag][0] if tag in tags else default
     refusals = [
-        ("tiled", TILE in tags), ("more than one sample", one(SAMPLES, 1) != 1), ("its compression", one(COMPRESSION, 1) not in (1, 5)), ("its predictor", one(PREDICTOR, 1) not in (1, 2)),
+        ("tiled", TILE in tags), ("samples of several kinds", len({*tags.get(BITS, ()), 0}) > 2 or len({*tags.get(FORMAT, ()), 0}) > 2), ("its compression", one(COMPRESSION, 1) not in (1, 5)), ("its predictor", one(PREDICTOR, 1) not in (1, 2)),
         ("no georeference", SCALE not in tags or TIE not in tags), ("cells that aren't square", SCALE in tags and abs(tags[SCALE][0] - tags[SCALE][1]) > 1e-9 * tags[SCALE][0]),
         ("its samples", (one(FORMAT, 1), one(BITS, 8)) not in DTYPES), ("a predictor on samples of several bytes", one(PREDICTOR, 1) == 2 and one(BITS, 8) != 8),
     ]
@@ -98,25 +134,26 @@ def read_layout(path: str) -> Layout:
         nodata = math.nan
     cell, tie = tags[SCALE][0], tags[TIE]
     meta = GridMeta(one(WIDTH), one(HEIGHT), cell, tie[3] - tie[0] * cell, tie[4] + tie[1] * cell, nodata if math.isfinite(nodata) else math.nan, epsg)
-    return Layout(meta, order, DTYPES[one(FORMAT, 1), one(BITS, 8)], one(COMPRESSION, 1), one(PREDICTOR, 1), min(one(ROWS, one(HEIGHT)), one(HEIGHT)), list(zip(tags[OFFSETS], tags[COUNTS])))
+    return Layout(meta, order, DTYPES[one(FORMAT, 1), one(BITS, 8)], one(COMPRESSION, 1), one(PREDICTOR, 1), min(one(ROWS, one(HEIGHT)), one(HEIGHT)), list(zip(tags[OFFSETS], tags[COUNTS])), one(SAMPLES, 1), one(PLANAR, 1) == 2)
 
 
 def read_meta(path: str) -> GridMeta:
     return read_layout(path).meta
 
 
-def read_strip(path: str, layout: Layout, k: int) -> np.ndarray:
-    """The rows of a strip as doubles, NaN for nodata."""
-    offset, length = layout.strips[k]
+def read_strip(path: str, layout: Layout, k: int, sample: int = 0) -> np.ndarray:
+    """The rows of a strip's sample as doubles, NaN for nodata. Samples lie side by side in a strip or, if planar, in strips of their own."""
+    held = 1 if layout.planar else layout.samples
+    offset, length = layout.strips[k + (sample * -(-layout.meta.height // layout.rows_per_strip) if layout.planar else 0)]
     rows = min(layout.rows_per_strip, layout.meta.height - k * layout.rows_per_strip)
     dtype = np.dtype(layout.dtype).newbyteorder(layout.order)
-    data, expected = read_bytes(path, offset, length), rows * layout.meta.width * dtype.itemsize
+    data, expected = read_bytes(path, offset, length), rows * layout.meta.width * dtype.itemsize * held
     if layout.compression == 5:
         data = lzw_decode(data, expected)
-    grid = np.frombuffer(data[:expected], dtype).reshape(rows, layout.meta.width)
+    grid = np.frombuffer(data[:expected], dtype).reshape(rows, layout.meta.width, held)
     if layout.predictor == 2:
         grid = np.cumsum(grid, axis=1, dtype=np.uint8)
-    values = grid.astype(np.float64)
+    values = grid[..., 0 if layout.planar else sample].astype(np.float64)
     nodata = np.float32(layout.meta.nodata) if layout.dtype == "f4" else layout.meta.nodata
     values[values == nodata] = np.nan
     return values
@@ -129,19 +166,21 @@ class _Strips(InputPartition):
 
 
 class _Reader(DataSourceReader):
-    def __init__(self, path: str, cells_per_part: int, first_row: int, last_row: int):
-        self.path, self.cells, self.first_row, self.last_row = path, cells_per_part, first_row, last_row
+    def __init__(self, path: str, cells_per_part: int, first_row: int, last_row: int, sample: int):
+        self.path, self.cells, self.first_row, self.last_row, self.sample = path, cells_per_part, first_row, last_row, sample
 
     def partitions(self) -> list[InputPartition]:
         layout = read_layout(self.path)
+        if not 0 <= self.sample < layout.samples:
+            raise ValueError(f"{self.path}: has {layout.samples} samples")
         step = max(1, self.cells // max(1, layout.meta.width * layout.rows_per_strip))
-        begin, n = self.first_row // layout.rows_per_strip, min(len(layout.strips), self.last_row // layout.rows_per_strip + 1)
+        begin, n = self.first_row // layout.rows_per_strip, min(-(-layout.meta.height // layout.rows_per_strip), self.last_row // layout.rows_per_strip + 1)
         return [_Strips(i, min(n, i + step)) for i in range(begin, n, step)]
 
     def read(self, partition: _Strips) -> Iterator[pa.RecordBatch]:
         layout = read_layout(self.path)
         for k in range(partition.first, partition.end):
-            values = read_strip(self.path, layout, k)
+            values = read_strip(self.path, layout, k, self.sample)
             for i in range(0, len(values), max(1, (1 << 20) // max(1, layout.meta.width))):
                 part = values[i : i + max(1, (1 << 20) // max(1, layout.meta.width))]
                 first = k * layout.rows_per_strip + i
@@ -152,7 +191,8 @@ class _Reader(DataSourceReader):
 
 
 class GeoTiff(DataSource):
-    """Reading: option cells_per_part, about how many cells a partition reads (default 4 million); first_row and last_row read the strips of these rows only.
+    """Reading: option cells_per_part, about how many cells a partition reads (default 4 million); first_row and last_row read the strips of these rows only;
+    sample is the sample to read of several (default 0).
 
     Writing: (row, col, v) strip by strip, with the grid's description as options; write_geotiff deals cells out and gives them.
     """
@@ -165,7 +205,7 @@ class GeoTiff(DataSource):
         return "row int, col int, v double"
 
     def reader(self, schema) -> DataSourceReader:
-        return _Reader(self.options["path"], int(self.options.get("cells_per_part", 4_000_000)), int(self.options.get("first_row", 0)), int(self.options.get("last_row", 1 << 40)))
+        return _Reader(self.options["path"], int(self.options.get("cells_per_part", 4_000_000)), int(self.options.get("first_row", 0)), int(self.options.get("last_row", 1 << 40)), int(self.options.get("sample", 0)))
 
     def writer(self, schema, overwrite: bool) -> DataSourceArrowWriter:
         return _Writer(self.options)

@@ -8,20 +8,30 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from terravela.operators.grid import GridMeta
-from terravela.sources.files import read_bytes, resolve, size
+from terravela.sources.files import exists, read_bytes, resolve, size
 
 #: numpy's names of a SAGA grid's data formats; shape types.
 SAGA_TYPES = {"FLOAT": "f4", "DOUBLE": "f8", "SHORTINT": "i2", "INTEGER": "i4", "BYTE": "u1"}
 LINE_TYPES, POINT_TYPES = (3, 13, 23, 5, 15, 25), (1, 11, 21)
+#: Points of a LAS batch; points nearer than so many bytes are read with what lies between.
+LAS_POINTS, NEAR_BYTES = 50_000, 512
 #: A whole projected file is one partition below this many bytes.
 PART_BYTES = 64 << 20
 
 
+class _Records(InputPartition):
+    """Records of a shapefile, with the index that tells their places; end -1 for all, without one."""
+
+    def __init__(self, first: int, end: int, index: str):
+        super().__init__((first, end))
+        self.first, self.end, self.index = first, end, index
+
+
 class _Range(InputPartition):
     def __init__(self, first: int, end: int):
         super().__init__((first, end))
@@ -131,39 +141,70 @@ class Dbf(DataSource):
 
 
 class _ShpReader(DataSourceReader):
-    def __init__(self, path: str, points: bool):
-        self.path, self.points = path, points
+    def __init__(self, path: str, points: bool, part_bytes: int):
+        self.path, self.points, self.part_bytes = path, points, part_bytes
 
     def partitions(self) -> list[InputPartition]:
-        return [_Range(0, size(self.path))]  # records can only be found one after another
-
-    def read(self, partition: _Range) -> Iterator[tuple]:
+        """Ranges of records by the index beside the file; without one the records can only be found one after another."""
+        index = re.sub(r"(?i)[.]shp$", lambda m: ".SHX" if m[0].isupper() else ".shx", self.path)
+        if index == self.path or not exists(index):
+            return [_Records(0, -1, "")]
+        n = (size(index) - 100) // 8
+        step = max(1, -(-n // max(1, -(-size(self.path) // self.part_bytes))))
+        return [_Records(i, min(n, i + step), index) for i in range(0, n, step)]
+
+    def read(self, partition: _Records) -> Iterator[pa.RecordBatch]:
         store, inner = resolve(self.path)
         with store.open_input_file(inner) as f:
-            yield from self._records(f)
-
-    def _records(self, f) -> Iterator[tuple]:
+            at = self._one_by_one(f) if partition.end < 0 else self._indexed(f, partition)
+            rows, held = [], 0
+            for rec, content in at:
+                rows += self._shapes(rec, content)
+                held += len(content)
+                if held > 4 << 20:
+                    yield self._batch(rows)
+                    rows, held = [], 0
+            yield self._batch(rows)
+
+    def _one_by_one(self, f) -> Iterator[tuple[int, bytes]]:
         at, rec, total = 100, 0, f.size()
         while at + 8 <= total:
             f.seek(at)
             length = struct.unpack(">I", f.read(8)[4:])[0] * 2
-            data = f.read(length)
-            kind = struct.unpack("<i", data[:4])[0]
-            if self.points:
-                yield (rec, 0, [struct.unpack("<dd", data[4:20])]) if kind in POINT_TYPES else (rec, None, None)
-            elif kind in LINE_TYPES:
-                parts, n = struct.unpack("<ii", data[36:44])
-                begin = [*struct.unpack(f"<{parts}i", data[44 : 44 + 4 * parts]), n]
-                xy = np.frombuffer(data, "<f8", 2 * n, 44 + 4 * parts).reshape(n, 2)
-                for p in range(parts):
-                    yield rec, p, [tuple(map(float, q)) for q in xy[begin[p] : begin[p + 1]]]
-            else:
-                yield rec, None, None
+            yield rec, f.read(length)
             at, rec = at + 8 + length, rec + 1
 
+    def _indexed(self, f, partition: _Records) -> Iterator[tuple[int, bytes]]:
+        places = np.frombuffer(read_bytes(partition.index, 100 + 8 * partition.first, 8 * (partition.end - partition.first)), ">i4").reshape(-1, 2).astype(np.int64) * 2
+        for rec, (at, length) in enumerate(places.tolist(), partition.first):
+            f.seek(at + 8)
+            yield rec, f.read(length)
+
+    def _shapes(self, rec: int, data: bytes) -> list[tuple[int, int | None, np.ndarray | None]]:
+        kind = struct.unpack("<i", data[:4])[0]
+        if self.points:
+            return [(rec, 0, np.frombuffer(data, "<f8", 2, 4).reshape(1, 2))] if kind in POINT_TYPES else [(rec, None, None)]
+        if kind not in LINE_TYPES:
+            return [(rec, None, None)]
+        parts, n = struct.unpack("<ii", data[36:44])
+        begin = [*struct.unpack(f"<{parts}i", data[44 : 44 + 4 * parts]), n]
+        xy = np.frombuffer(data, "<f8", 2 * n, 44 + 4 * parts).reshape(n, 2)
+        return [(rec, p, xy[begin[p] : begin[p + 1]]) for p in range(parts)]
+
+    def _batch(self, rows: list[tuple]) -> pa.RecordBatch:
+        shapes = [r[2] for r in rows]
+        xy = np.concatenate([np.zeros((0, 2)), *[x for x in shapes if x is not None]])
+        points = pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(xy[:, 0])), pa.array(np.ascontiguousarray(xy[:, 1]))], ["x", "y"])
+        ends = np.cumsum([0 if x is None else len(x) for x in shapes])
+        offsets = pa.array([0, *ends.tolist()], pa.int32(), mask=np.array([x is None for x in shapes] + [False])) if rows else pa.array([0], pa.int32())
+        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int32()), pa.ListArray.from_arrays(offsets, points)], ["rec", "part", "points"])
+
 
 class Shapefile(DataSource):
-    """Rows (rec, part, points): lines and polygons by part, or option geometry=point; null for another type, so that rec keeps its place."""
+    """Rows (rec, part, points): lines and polygons by part, or option geometry=point; null for another type, so that rec keeps its place.
+
+    With an index (.shx) beside it the file is read in several tasks, of about option part_bytes (32 MB) each.
+    """
 
     @classmethod
     def name(cls) -> str:
@@ -173,7 +214,7 @@ class Shapefile(DataSource):
         return "rec int, part int, points array<struct<x:double,y:double>>"
 
     def reader(self, schema) -> DataSourceReader:
-        return _ShpReader(self.options["path"], self.options.get("geometry") == "point")
+        return _ShpReader(self.options["path"], self.options.get("geometry") == "point", int(self.options.get("part_bytes", 32 << 20)))
 
 
 def las_header(path: str) -> dict:
@@ -203,12 +244,21 @@ class _LasReader(DataSourceReader):
             yield tuple(h[k] for k in ("version", "software", "format", "count", "min_x", "max_x", "min_y", "max_y", "min_z", "max_z"))
             return
         step = max(1, h["count"] // self.most)
-        first = -(-partition.first // step) * step
+        first, width = -(-partition.first // step) * step, h["length"]
         store, inner = resolve(self.path)
         with store.open_input_file(inner) as f:
-            for i in range(first, partition.end, step):
-                f.seek(h["offset"] + i * h["length"] + 15)
-                yield i, f.read(1)[0] & 31
+            for i in range(first, partition.end, step * LAS_POINTS):
+                idx = np.arange(i, min(partition.end, i + step * LAS_POINTS), step)
+                if step * width <= NEAR_BYTES:  # points so near that reading what lies between costs less than seeking
+                    f.seek(h["offset"] + i * width)
+                    cls = np.frombuffer(f.read((int(idx[-1]) - i) * width + 16), np.uint8)[15 :: step * width]
+                else:
+                    cls = np.array([self._at(f, h["offset"] + int(k) * width + 15) for k in idx], np.uint8)
+                yield pa.RecordBatch.from_arrays([pa.array(idx), pa.array((cls & 31).astype(np.int32))], ["idx", "cls"])
+
+    def _at(self, f, place: int) -> int:
+        f.seek(place)
+        return f.read(1)[0]
 
 
 class Las(DataSource):
@@ -234,6 +284,22 @@ def register(spark: SparkSession) -> None:
         spark.dataSource.register(source)
 
 
+#: What LAS classes stand for.
+LAS_CLASSES = {0: "Created, never classified", 1: "Unclassified", 2: "Ground", 3: "Low vegetation", 4: "Medium vegetation", 5: "High vegetation", 6: "Building", 7: "Low point (noise)", 9: "Water", 10: "Rail", 11: "Road surface", 12: "Overlap", 18: "High noise"}
+
+
+def point_density(headers: DataFrame) -> DataFrame:
+    """LAS headers with the area of their boxes and the points on a square unit of it, null for a box without area."""
+    area = (F.col("max_x") - F.col("min_x")) * (F.col("max_y") - F.col("min_y"))
+    return headers.withColumn("area", area).withColumn("density", F.when(F.col("area") > 0, F.col("count") / F.col("area")))
+
+
+def class_name(cls: Column) -> Column:
+    """A class's name, `Reserved (n)` for others."""
+    names = F.create_map(*[F.lit(x) for pair in LAS_CLASSES.items() for x in pair])
+    return F.coalesce(names[cls], F.concat(F.lit("Reserved ("), cls.cast("string"), F.lit(")")))
+
+
 def class_histogram(points: DataFrame) -> DataFrame:
     """(cls, n, share) of point classes, most frequent first."""
     counts = points.groupBy("cls").agg(F.count(F.lit(1)).alias("n"))

@@ -166,3 +166,88 @@ def test_exports(spark):
     with pytest.raises(Exception, match="UTM"):
         spark.range(1).select(exports.prj(F.lit(4326))).collect()
     assert geotiff.NODATA == -99999.0
+
+
+def test_a_shapefile_with_an_index_is_read_in_parts(spark, tmp_path):
+    rng, contents = np.random.default_rng(3), []
+    for k in range(40):
+        n = int(rng.integers(2, 30))
+        xy = rng.normal(size=(n, 2))
+        contents.append(struct.pack("<i", 0) if k % 9 == 4 else struct.pack("<i4dii", 3, 0, 0, 9, 9, 1, n) + struct.pack("<i", 0) + xy.astype("<f8").tobytes())
+    at, body, index = 100, b"", b""
+    for k, c in enumerate(contents):
+        index += struct.pack(">ii", at // 2, len(c) // 2)
+        body += struct.pack(">ii", k + 1, len(c) // 2) + c
+        at += 8 + len(c)
+    (tmp_path / "alone.shp").write_bytes(b"\0" * 100 + body)
+    (tmp_path / "s.shp").write_bytes(b"\0" * 100 + body)
+    (tmp_path / "s.shx").write_bytes(b"\0" * 100 + index)
+    read = lambda name: spark.read.format("shp").option("part_bytes", 2000).load(str(tmp_path / name))
+    assert read("s.shp").rdd.getNumPartitions() > 2 and read("alone.shp").rdd.getNumPartitions() == 1
+    rows = [sorted(map(tuple, read(n).collect())) for n in ("s.shp", "alone.shp")]
+    assert rows[0] == rows[1] and len(rows[0]) == 40 and sum(r[2] is None for r in rows[0]) == 4
+
+
+@pytest.mark.parametrize("sample", [1000, 10])
+def test_las_points_near_and_far(spark, tmp_path, monkeypatch, sample):
+    monkeypatch.setattr(survey_files, "NEAR_BYTES", 100)
+    head = bytearray(227)
+    head[:4], head[24], head[25] = b"LASF", 1, 2
+    struct.pack_into("<I", head, 96, 227)
+    struct.pack_into("<BHI", head, 104, 1, 28, 997)
+    struct.pack_into("<6d", head, 179, 11, 1, 8, 3, 7, 3)
+    (tmp_path / "p.las").write_bytes(bytes(head) + b"".join(b"\0" * 15 + bytes([i % 13 | 64]) + b"\0" * 12 for i in range(997)))
+    got = spark.read.format("las").option("mode", "points").option("sample", sample).load(str(tmp_path / "p.las")).collect()
+    assert sorted((r["idx"], r["cls"]) for r in got) == [(i, i % 13) for i in range(0, 997, max(1, 997 // sample))]
+    row = survey_files.point_density(spark.read.format("las").load(str(tmp_path / "p.las"))).first()
+    assert row["area"] == 50.0 and row["density"] == 997 / 50
+    names = {r["cls"]: r["name"] for r in spark.createDataFrame(got).select("cls", survey_files.class_name(F.col("cls")).alias("name")).collect()}
+    assert names[0] == "Created, never classified" and sample == 10 or names[2] == "Ground" and names[8] == "Reserved (8)"
+
+
+def rgb_tiff(planar):
+    """A 5 x 4 image of three 8-bit samples in strips of two rows, with a place."""
+    pixels = np.arange(60, dtype=np.uint8).reshape(4, 5, 3)
+    strips = [pixels[i : i + 2, :, k].tobytes() for k in range(3) for i in (0, 2)] if planar else [pixels[i : i + 2].tobytes() for i in (0, 2)]
+    fields = [(256, 3, (5,)), (257, 3, (4,)), (258, 3, (8, 8, 8)), (259, 3, (1,)), (262, 3, (2,)), (273, 4, [0] * len(strips)), (277, 3, (3,)), (278, 3, (2,)), (279, 4, [len(x) for x in strips]), (284, 3, (2 if planar else 1,)), (33550, 12, (1.0, 1.0, 0.0)), (33922, 12, (0.0, 0.0, 0.0, 10.0, 20.0, 0.0))]
+    sizes = {3: (2, "H"), 4: (4, "I"), 12: (8, "d")}
+    at = 8 + 2 + 12 * len(fields) + 4
+    begin = at + sum(sizes[k][0] * len(v) for _, k, v in fields if sizes[k][0] * len(v) > 4)
+    entries, extra = b"", b""
+    for tag, kind, values in fields:
+        values = [begin + sum(map(len, strips[:k])) for k in range(len(strips))] if tag == 273 else values
+        data = struct.pack("<" + sizes[kind][1] * len(values), *values)
+        held = data.ljust(4, b"\0") if len(data) <= 4 else struct.pack("<I", at + len(extra))
+        extra += data if len(data) > 4 else b""
+        entries += struct.pack("<HHI", tag, kind, len(values)) + held
+    return b"II*\0" + struct.pack("<IH", 8, len(fields)) + entries + b"\0" * 4 + extra + b"".join(strips), pixels
+
+
+@pytest.mark.parametrize("planar", [True, False])
+def test_samples_are_read_one_by_one_and_told_from_elevations(spark, tmp_path, planar):
+    data, pixels = rgb_tiff(planar)
+    (tmp_path / "rgb.tif").write_bytes(data)
+    for k in range(3):
+        got = spark.read.format("geotiff").option("sample", k).load(str(tmp_path / "rgb.tif")).collect()
+        assert {(r["row"], r["col"]): r["v"] for r in got} == {(r, c): float(pixels[r, c, k]) for r in range(4) for c in range(5)}
+    with pytest.raises(Exception, match="has 3 samples"):
+        spark.read.format("geotiff").option("sample", 3).load(str(tmp_path / "rgb.tif")).collect()
+    write_geotiff(spark.createDataFrame([(0, 0, 5.0)], "row int, col int, v double"), GridMeta(3, 2, 1.0, epsg=32643), str(tmp_path / "dem.tif"))
+    (tmp_path / "i.png").write_bytes(b"\x89PNG\r\n\x1a\n" + struct.pack(">I", 13) + b"IHDR" + struct.pack(">IIBBBBB", 7, 9, 8, 6, 0, 0, 0))
+    (tmp_path / "x.txt").write_bytes(b"no image")
+    files = spark.createDataFrame([(f"{tmp_path}/{n}",) for n in ("rgb.tif", "dem.tif", "i.png", "x.txt", "none.tif")] + [(None,)], "path string")
+    kinds = {r["path"].rpartition("/")[2]: tuple(r)[1:] for r in geotiff.raster_class(files).collect()}
+    assert kinds == {"rgb.tif": (5, 4, 3, 8, "imagery"), "dem.tif": (3, 2, 1, 32, "elevation"), "i.png": (7, 9, 4, 8, "imagery"), "x.txt": (None,) * 5, "none.tif": (None,) * 5}
+
+
+def test_a_database_table_is_read_in_ranges(spark, tmp_path):
+    from terravela.sources import tables
+
+    url = f"jdbc:derby:{tmp_path}/db;create=true"
+    rows = spark.range(100).selectExpr("id AS site_id", "concat('site-', id) AS slug")
+    driver = {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
+    rows.write.format("jdbc").options(url=url, dbtable="sites", **driver).save()
+    got = tables.jdbc_table(spark, url, "sites", "site_id", (0, 100), parts=4, **driver)
+    assert got.rdd.getNumPartitions() == 4 and sorted(r["slug"] for r in got.collect()) == sorted(f"site-{k}" for k in range(100))
+    whole = tables.jdbc_table(spark, url, "(SELECT \"slug\" FROM sites WHERE \"site_id\" < 3) s", **driver)
+    assert sorted(r[0] for r in whole.collect()) == ["site-0", "site-1", "site-2"]
