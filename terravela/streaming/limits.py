@@ -118,6 +118,40 @@ def stream_hits(events: DataFrame, most: int, seconds: float) -> DataFrame:
     return events.groupBy("key").applyInPandasWithState(run, "key string, order long, n long, limited boolean", "opened long, n long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
+def stream_failures(events: DataFrame, most: int, seconds: float) -> DataFrame:
+    """events(key string, at timestamp, order long, kind string), a stream with a watermark on `at` -> (key, order, n, limited) in append mode.
+
+    As fold_failures: a failure counts, a clear forgets, others only look. A key without a failure in its window has no
+    state; otherwise that is the window's start and count, and goes when the watermark has passed the window's end. Events of a
+    micro-batch are taken in order of time; batches that follow one another in time give what the fold gives.
+    """
+    width = int(seconds * 1e6)
+
+    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        pdf = pd.concat(list(batches)).sort_values(["at", "order"], kind="stable")
+        opened, n = state.get if state.exists else (None, 0)
+        counts = []
+        for t, what in zip(pdf["at"].astype("datetime64[us]").astype("int64").tolist(), pdf["kind"].tolist()):
+            if opened is not None and t - opened > width:
+                opened, n = None, 0
+            if what == "failure":
+                opened, n = t if opened is None else opened, n + 1
+            elif what == "clear":
+                opened, n = None, 0
+            counts.append(n)
+        if opened is not None:
+            state.update((opened, n))
+            state.setTimeoutTimestamp(max((opened + width) // 1000 + 1, state.getCurrentWatermarkMs() + 1))
+        elif state.exists:
+            state.remove()
+        yield pd.DataFrame({"key": key[0], "order": pdf["order"].to_numpy(), "n": counts, "limited": [c >= most for c in counts]})
+
+    return events.groupBy("key").applyInPandasWithState(run, "key string, order long, n long, limited boolean", "opened long, n long", "append", GroupStateTimeout.EventTimeTimeout)
+
+
 def access_log(events: DataFrame, path: str, checkpoint: str, columns: list[str] | None = None):
     """Append a stream of access events to JSON lines; each is written once. Returns the query."""
     return events.select(*(columns or events.columns)).writeStream.format("json").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()

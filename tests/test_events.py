@@ -55,6 +55,26 @@ def test_failures_are_cleared(spark):
     assert [(r["n"], r["limited"]) for r in got] == [(1, False), (2, True), (2, True), (0, False), (1, False), (0, False), (1, False)]
 
 
+def test_streams_of_several_batches_count_as_the_folds(spark, tmp_path):
+    kinds = ["failure", "failure", "other", "failure", "clear", "failure", None]
+    rows = [(f"k{i % 3}", T0 + timedelta(seconds=130 * i + i * i % 7), i, kinds[(i * i + i // 5) % 7]) for i in range(90)]
+    for k in range(5):  # a file is a batch; the last holds the latest events
+        spark.createDataFrame(rows[18 * k : 18 * (k + 1)], "key string, at timestamp, order long, kind string").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    whole = spark.createDataFrame(rows, "key string, at timestamp, order long, kind string")
+
+    def streamed(run, name):
+        source = spark.readStream.schema(whole.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in")).withWatermark("at", "10 minutes")
+        query = run(source).writeStream.format("memory").queryName(name).outputMode("append").trigger(availableNow=True).start()
+        query.awaitTermination()
+        assert sum(p["numInputRows"] > 0 for p in query.recentProgress) == 5
+        return sorted(map(tuple, spark.table(name).select("key", "order", "n", "limited").collect()))
+
+    failures = limits.fold_failures(whole, "key", "at", "order", F.col("kind"), 2, 900).select("key", "order", "n", "limited").collect()
+    assert streamed(lambda e: limits.stream_failures(e, 2, 900), "failures") == sorted(map(tuple, failures)) and any(r["limited"] for r in failures)
+    hits = limits.fold_hits(whole, "key", "at", "order", 2, 900).select("key", "order", "n", "limited").collect()
+    assert streamed(lambda e: limits.stream_hits(e.drop("kind"), 2, 900), "several_hits") == sorted(map(tuple, hits))
+
+
 @pytest.fixture(scope="module")
 def tables(spark):
     make = spark.createDataFrame
