@@ -236,7 +236,7 @@ def slugify(spark, sf_dir):
 @query("""SELECT p_partkey, array_to_string(list_transform(string_split(trim(regexp_replace(CASE WHEN p_partkey % 50 = 0 THEN 'survey_LOG--2' ELSE p_name END, '[_\\-\\s]+', ' ', 'g')), ' '), lambda w: upper(w[1]) || w[2:]), ' ') AS title,
     CASE WHEN p_partkey % 4 = 0 THEN 'Surface model (DSM)' WHEN p_partkey % 4 = 1 THEN 'Contours' WHEN p_partkey % 4 = 2 THEN 'Ground control' ELSE 'plain name' END AS layer FROM part""")
 def titles(spark, sf_dir):
-    p = table(spark, sf_dir, "part").selectExpr("p_partkey", "if(p_partkey % 50 = 0, 'survey_LOG--2', p_name) AS stem", "array('Kotba_DEM', 'contour-1m', 'gcp_points', 'plain_name')[p_partkey % 4] AS layer")
+    p = table(spark, sf_dir, "part").selectExpr("p_partkey", "if(p_partkey % 50 = 0, 'survey_LOG--2', p_name) AS stem", "array('Ridge_DEM', 'contour-1m', 'gcp_points', 'plain_name')[p_partkey % 4] AS layer")
     return p.select("p_partkey", text.title_for(F.col("stem")).alias("title"), text.layer_title(F.col("layer")).alias("layer"))
 
 

@@ -137,7 +137,7 @@ def unexpired_grants(spark, sf_dir):
 
 # Ingestion
 
-_STEMS, _EXTS = "'Site_DTM', 'site_dsm', 'Kotba_DEM', 'orthoA', 'plan', 'cloud', 'grid', '.hidden'", "'tif', 'jpg', 'shp', 'csv', 'las', 'PNG', 'txt'"
+_STEMS, _EXTS = "'Site_DTM', 'site_dsm', 'Ridge_DEM', 'orthoA', 'plan', 'cloud', 'grid', '.hidden'", "'tif', 'jpg', 'shp', 'csv', 'las', 'PNG', 'txt'"
 _FILES = f"""made AS (SELECT 's' || p_partkey % 40 AS site, 's' || p_partkey % 40 || '/' || ([{_STEMS}])[p_partkey % 8 + 1] || p_size AS stem, ([{_EXTS}])[p_size * 3 % 7 + 1] AS ext, p_partkey FROM part),
     files AS (SELECT site, stem || '.' || ext AS path FROM made UNION SELECT site, stem || '.tfw' FROM made WHERE p_partkey % 3 <> 0 UNION SELECT site, stem || '.prj' FROM made WHERE p_partkey % 5 <> 0),
     kinds AS (SELECT site, path, length(path) * 10 AS size, CASE WHEN ext IN ('tif', 'tiff') THEN CASE WHEN placed THEN 'elevation' ELSE 'skipped' END WHEN ext IN ('jpg', 'jpeg', 'png') THEN CASE WHEN placed THEN 'picture' ELSE 'skipped' END WHEN ext = 'shp' THEN 'shapefile' WHEN ext = 'csv' THEN 'grid' ELSE 'cloud' END AS kind

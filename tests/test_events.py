@@ -79,7 +79,7 @@ def test_streams_of_several_batches_count_as_the_folds(spark, tmp_path):
 def tables(spark):
     make = spark.createDataFrame
     return {
-        "sites": make([(1, 1, "kotba", "Kotba", True), (2, 1, "vadnagar", "Vadnagar", True), (3, 1, "staging", "Staging", False), (4, 2, "yard", "Yard", True)], "id long, client_id long, slug string, name string, is_published boolean"),
+        "sites": make([(1, 1, "quarry", "Quarry", True), (2, 1, "ridge", "Ridge", True), (3, 1, "staging", "Staging", False), (4, 2, "yard", "Yard", True)], "id long, client_id long, slug string, name string, is_published boolean"),
         "grants": make([(12, 1), (12, 4)], "user_id long, site_id long"),
         "users": make([(10, "o@x", "owner", None, True), (11, "a@x", "client", 1, True), (12, "n@x", "client", 1, True), (13, "b@x", "client", 2, True), (14, "off@x", "client", 1, False)], "id long, email string, role string, client_id long, is_active boolean"),
         "assets": make([(1, 1, "report", True), (2, 1, "photo", False), (3, 4, "report", True)], "id long, site_id long, category string, is_published boolean"),
@@ -90,7 +90,7 @@ def test_tenants_see_their_own(tables):
     def seen(v):
         return {r["slug"] for r in c.visible_sites(tables["sites"], tables["grants"], v).collect()}
 
-    assert seen(c.Viewer(11, "client", 1)) == {"kotba", "vadnagar"} and seen(c.Viewer(12, "client", 1)) == {"kotba"}
+    assert seen(c.Viewer(11, "client", 1)) == {"quarry", "ridge"} and seen(c.Viewer(12, "client", 1)) == {"quarry"}
     assert seen(c.Viewer(13, "client", 2)) == {"yard"} and len(seen(c.Viewer(10, "owner"))) == 4 and seen(c.Viewer(15, "client", None)) == set()
     by_user = c.visible_by_user(tables["sites"], tables["grants"], tables["users"]).groupBy("user_id").count().collect()
     assert {r["user_id"]: r["count"] for r in by_user} == {10: 4, 11: 2, 12: 1, 13: 1}
