@@ -551,7 +551,12 @@ def tile_pyramid(spark, sf_dir):
     return _drawn(spark, sf_dir, hole=(1, 134, 160)).select("z", "x", "y", "n_pixels")
 
 
-@query()
+#: Tiles at zoom 15 around the placed grid; those off it have no pixel.
+_TILES_SQL = "SELECT x, y, px, py, (x + (px + 0.5::DOUBLE) / 256) / 32768 * 360 - 180 AS lon, degrees(atan((exp(m) - exp(-m)) / 2)) AS lat FROM (SELECT *, pi() * (1 - 2 * (y + (py + 0.5::DOUBLE) / 256) / 32768) AS m FROM (SELECT unnest(range(23031, 23037)) AS x), (SELECT unnest(range(14270, 14276)) AS y), (SELECT unnest(range(256)) AS px), (SELECT unnest(range(256)) AS py))"
+
+
+@query(f"""WITH {dem_sql()}, {RAGGED_SQL}, {utm_forward_sql(_TILES_SQL)}, p AS (SELECT x, y, CAST(floor(({PLACED.origin_y} - north) / {PLACED.cell_size}) AS INT) AS r, CAST(floor((east - {PLACED.origin_x}) / {PLACED.cell_size}) AS INT) AS c FROM utm)
+    SELECT count(DISTINCT (x, y)) AS n_tiles, CAST(0 AS BIGINT) AS n_empty FROM p JOIN rag USING (r, c)""")
 def tile_summary(spark, sf_dir):
     return tiles.summary(_drawn(spark, sf_dir, keep_empty=False)).select("n_tiles", "n_empty")
 
