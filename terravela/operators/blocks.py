@@ -190,8 +190,8 @@ def _first_strips(blocks: DataFrame, size: int, layers: int) -> DataFrame:
 def border_levels(blocks: DataFrame, epsilons: tuple[float, ...], size: int = BLOCK) -> DataFrame | None:
     """(br, bc, side, data): the final levels, for each epsilon, along the blocks around each block; None for a single block.
 
-    Blocks are solved for the levels around them, again while those fall. Heights are written once and stay where they are:
-    a round moves the strips of the blocks whose surroundings changed, a few hundredths of a raster at most.
+    Blocks are solved for the levels around them, again while those fall. Heights are written once; a round reads and shuffles
+    those of the blocks whose surroundings changed, and writes strips only, a few hundredths of a raster.
     """
     if blocks.limit(2).count() < 2:
         return None
