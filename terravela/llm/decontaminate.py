@@ -76,13 +76,13 @@ def _best_stretch(part: Column, item: Column, shift: Column) -> Column:
     return F.aggregate(F.when(high >= low, F.sequence(low, high)).otherwise(F.array().cast("array<int>")), start, step)
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", masks: tuple[str, ...] = MASKS, stride: int = 1, least_score: int = 12, least_words: int = len(MASKS[0])) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", masks: tuple[str, ...] = MASKS, stride: int = 1, least_score: int = 12, least_words: int = 1) -> DataFrame:
     """(doc_id, item_id, score, first_word, end_word, same_words): documents that hold a passage of a test item.
 
     A row for each pair whose best stretch scores least_score, or 0.8 of the item's words if that is less, and for
     each pair of which 0.8 of the item's words are equal at their places, whatever they score; the columns tell of
-    the best stretch. Of items of fewer than five words all must be equal. Items of fewer than least_words words match
-    nothing, as do null and empty texts; with 1 every item is searched for. Rows of docs or benchmark with equal or null
+    the best stretch. Of items of fewer than five words all must be equal. Every item with a word is searched for, or with
+    least_words only those of so many words; null and empty texts match nothing. Rows of docs or benchmark with equal or null
     ids are judged one by one and reported once. Ids may have any type; other columns are ignored.
     """
     span = len(masks[0])

@@ -42,10 +42,11 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     models = members.where(F.col("doc_id").eqNullSafe(F.col("model_id"))).dropDuplicates(["hash"])
     models = models.select("hash", F.explode(F.sequence(F.lit(0), F.col("salts"))).alias("salt"), F.col("text").alias("model"))
     salted = members.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.col("salts") + 1).cast("int"))
-    compared = salted.join(models, ["hash", "salt"]).select("doc_id", "hash", F.sha2("text", 256).alias("text_sha256"), F.when(F.col("text") != F.col("model"), F.col("text")).alias("other"))
+    compared = salted.join(models, ["hash", "salt"]).select("doc_id", "hash", "salt", "salts", F.sha2("text", 256).alias("text_sha256"), F.when(F.col("text") != F.col("model"), F.col("text")).alias("other"))
     compared = cut(compared)
-    groups = compared.groupBy("hash", "other").agg(pick("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    same = (compared["hash"] == groups["hash"]) & compared["other"].eqNullSafe(groups["other"])
+    groups = compared.groupBy("hash", "other").agg(pick("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"), F.max("salts").alias("salts"))
+    groups = groups.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts")))).drop("salts")
+    same = (compared["hash"] == groups["hash"]) & (compared["salt"] == groups["salt"]) & compared["other"].eqNullSafe(groups["other"])
     grouped = compared.join(groups, same).select("doc_id", "keep_id", "group_size", "text_sha256")
     return singles.unionByName(grouped).select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
 

@@ -26,14 +26,36 @@ class Notice:
     errors: int = 0
 
 
-#: The notices searched for. Phrases too short to tell from other words have no errors.
+#: The base notices, whose exact places are counted. Phrases too short to tell from other words have no errors.
 NOTICES = (
     Notice("gnu general public license", "gpl", 3),
     Notice("apache license", "apache", 2),
     Notice("cc by", "cc-by", 0),
     Notice("mit license", "mit", 1),
 )
-
+#: Further notices, licences by their names or by the words that open them, and reservations of rights.
+FURTHER = (
+    Notice("gnu lesser general public license", "lgpl", 3),
+    Notice("gnu affero general public license", "agpl", 3),
+    Notice("mozilla public license", "mpl", 2),
+    Notice("eclipse public license", "epl", 2),
+    Notice("boost software license", "boost", 2),
+    Notice("bsd license", "bsd", 1),
+    Notice("bsd 2 clause", "bsd", 1),
+    Notice("bsd 3 clause", "bsd", 1),
+    Notice("redistribution and use in source and binary forms", "bsd", 5),
+    Notice("permission is hereby granted free of charge", "mit", 4),
+    Notice("isc license", "isc", 0),
+    Notice("this is free and unencumbered software released into the public domain", "unlicense", 6),
+    Notice("creative commons attribution", "cc-by", 3),
+    Notice("cc by sa", "cc-by-sa", 0),
+    Notice("cc by nc", "cc-by-nc", 0),
+    Notice("cc by nd", "cc-by-nd", 0),
+    Notice("cc0", "cc0", 0),
+    Notice("public domain dedication", "public-domain", 2),
+    Notice("spdx license identifier", "spdx", 2),
+    Notice("all rights reserved", "reserved", 2),
+)
 _SEPARATOR = np.ones(256, bool)
 _SEPARATOR[0x30:0x3A] = _SEPARATOR[0x61:0x7B] = False
 _SEPARATOR[0x80:] = False
@@ -122,7 +144,7 @@ def _normalise(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return out, at, n
 
 
-def scan_licenses(docs: DataFrame, notices: tuple[Notice, ...] = NOTICES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scan_licenses(docs: DataFrame, notices: tuple[Notice, ...] = NOTICES + FURTHER, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_words, spans), one row for each input row, over whole texts.
 
     A-Z is lower-cased; words are runs of a-z, 0-9 and non-ASCII characters. spans are (label, phrase, first_word,
@@ -154,12 +176,16 @@ def scan_licenses(docs: DataFrame, notices: tuple[Notice, ...] = NOTICES, id_col
     return tb.short_batches(docs).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, out)
 
 
-def summarise(scanned: DataFrame) -> DataFrame:
-    """Per document, the exact places (base) and the labels of all spans."""
-    exact = F.filter("spans", lambda s: s["errors"] == 0)
+def summarise(scanned: DataFrame, base: tuple[Notice, ...] = NOTICES) -> DataFrame:
+    """Per document, the exact places of the base notices, the labels of all spans, and how many spans have errors.
+
+    score is the best similarity of a span, 0 without one.
+    """
+    exact = F.filter("spans", lambda s: (s["errors"] == 0) & s["phrase"].isin([n.phrase for n in base]))
+    fuzzy = F.filter("spans", lambda s: s["errors"] > 0)
     first, label = (lambda s: s["first_word"]), (lambda s: s["label"])
     return scanned.select(
         "doc_id", "n_words", F.size(exact).cast("long").alias("n_base"), F.array_min(F.transform(exact, first)).alias("first_word"), F.array_max(F.transform(exact, first)).alias("last_word"),
         F.array_join(F.array_sort(F.array_distinct(F.transform(exact, label))), ",").alias("base_labels"), F.array_join(F.array_sort(F.array_distinct(F.transform("spans", label))), ",").alias("labels"),
-        F.coalesce(F.array_max(F.transform("spans", lambda s: s["similarity"])), F.lit(0.0)).alias("score"), (F.size("spans") - F.size(exact)).cast("long").alias("n_fuzzy"),
+        F.coalesce(F.array_max(F.transform("spans", lambda s: s["similarity"])), F.lit(0.0)).alias("score"), F.size(fuzzy).cast("long").alias("n_fuzzy"),
     )

@@ -107,7 +107,7 @@ class Lexicon:
 
 def _features(text: str) -> set[str]:
     words = set(_WORD.findall(fold(text)))
-    return words | {f"{w[:n]}*" for w in words for n in (4, 5, 6) if len(w) > n}
+    return words | {f"{w[:n]}*" for w in words for n in (4, 5, 6, 7) if len(w) > n}
 
 
 def _counted(features):
@@ -129,6 +129,22 @@ def _counts(sample: DataFrame, features) -> DataFrame:
     return sample.mapInArrow(_counted(features), "feature string, toxic long, clean long").groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
 
+def _surely_toxic(counts: DataFrame, n_toxic: int, n_clean: int, least: float, alpha: float) -> DataFrame:
+    """The rows of counts(feature, toxic, clean) whose features mark toxic texts, with their ratio.
+
+    Such a feature is `least` times likelier in toxic texts, and its divergence from the sample's share of toxic texts
+    (Chernoff's bound of the binomial tail) passes the log of the features tried over alpha: with labels dealt by
+    chance, less than a share alpha of tables would have any such feature.
+    """
+    tried = counts.count()
+    share, seen = n_toxic / (n_toxic + n_clean), F.col("toxic") + F.col("clean")
+    p = F.col("toxic") / seen
+    part = lambda a, b: F.when(a > 0, a * F.log(a / b)).otherwise(0.0)
+    evidence = seen * (part(p, F.lit(share)) + part(1 - p, F.lit(1 - share)))
+    ratio = (F.col("toxic") + 0.1) / n_toxic / ((F.col("clean") + 0.5) / n_clean)
+    return counts.withColumn("ratio", ratio).where((p > share) & (F.col("ratio") >= least) & (evidence >= math.log(max(tried, 1) / alpha)))
+
+
 _NEXT, _BEFORE = re.compile(r" [^\W\d_]+"), re.compile(r"[^\W\d_]+ \Z")
 
 
@@ -150,11 +166,12 @@ def _phrases(lexicon: Lexicon):
     return run
 
 
-def fit_lexicon(docs: DataFrame, labels: DataFrame, max_docs: int = 6000, min_docs: int = 4) -> Lexicon:
+def fit_lexicon(docs: DataFrame, labels: DataFrame, max_docs: int = 6000, min_docs: int = 4, least: float = 1.5, alpha: float = 0.01) -> Lexicon:
     """From docs(doc_id, text) and labels(doc_id, toxic 0/1), of which the max_docs of each label that come first by hash are read.
 
-    The sample is drawn from the labels, so that only its few ids (2 * max_docs) meet the documents. An entry occurs
-    in min_docs toxic texts or more and is at least 20 times likelier there; its weight is the log of that ratio. A phrase of
+    The sample is drawn from the labels, so that only its few ids (2 * max_docs) meet the documents. Tried are words
+    and beginnings in min_docs texts or more, whatever their labels. An entry is surely likelier in toxic texts, by a bound
+    corrected for the number tried (alpha), and at least `least` times; its weight is the log of that ratio. A phrase of
     an entry and the word before or after it is an exception if it occurs in min_docs clean texts or more and is
     likelier there. The scale is the normalised weight that best parts the sample's labels. What reaches the driver, entries,
     phrases and weights, is bounded by the sample. Rows with a null id, text or label are
@@ -169,8 +186,8 @@ def fit_lexicon(docs: DataFrame, labels: DataFrame, max_docs: int = 6000, min_do
     n_toxic, n_clean = counts.get(1, 0), counts.get(0, 0)
     if not n_toxic or not n_clean:
         return Lexicon({})
-    ratio = (F.col("toxic") + 0.1) / n_toxic / ((F.col("clean") + 0.5) / n_clean)
-    chosen = _counts(sample, _features).where(F.col("toxic") >= min_docs).withColumn("ratio", ratio).where("ratio >= 20").collect()
+    tried = cut(_counts(sample, _features).where(F.col("toxic") + F.col("clean") >= min_docs))
+    chosen = _surely_toxic(tried, n_toxic, n_clean, least, alpha).collect()
     lexicon_of = {r["feature"]: (r["toxic"], math.log(r["ratio"])) for r in chosen}
     names = sorted(lexicon_of)
     weights = {x: w for x, (_, w) in lexicon_of.items()}

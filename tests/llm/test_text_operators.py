@@ -160,6 +160,38 @@ def test_toxicity_of_held_out_documents(spark, odd, empty):
     assert {r["score"] for r in score_toxicity(odd, Lexicon({})).collect()} == {0.0}
 
 
+def test_lexicon_entries_are_surely_toxic(spark):
+    import math
+
+    from terravela.llm import toxicity
+
+    rng = random.Random(51)
+    rows = []
+    for i in range(900):
+        words = [f"{rng.choice('bcdfg')}{rng.randrange(700)}".translate(str.maketrans("0123456789", "aeiouklmnp")) for _ in range(rng.randint(5, 40))]
+        toxic = i % 9 == 0
+        if toxic:
+            words.append(rng.choice(["zzarrgh", "qquib", "wwoo"]))
+        elif i % 90 == 1:
+            words.append("zzarrgh")
+        rows.append((" ".join(words), int(toxic)))
+    sample = spark.createDataFrame(rows, "text string, toxic int")
+    counts = toxicity._counts(sample, toxicity._features).where("toxic + clean >= 4")
+    got = {r["feature"] for r in toxicity._surely_toxic(counts, 100, 800, 1.5, 0.01).collect()}
+    held = [(toxicity._features(t), y) for t, y in rows]
+    tried = {x: (sum(y for f, y in held if x in f), sum(1 - y for f, y in held if x in f)) for x in set().union(*(f for f, _ in held))}
+    tried = {x: kn for x, kn in tried.items() if sum(kn) >= 4}
+    expected = set()
+    for x, (k, c) in tried.items():
+        p, q = k / (k + c), 100 / 900
+        kl = (p * math.log(p / q) if p else 0) + ((1 - p) * math.log((1 - p) / (1 - q)) if p < 1 else 0)
+        if p > q and (k + 0.1) / 100 / ((c + 0.5) / 800) >= 1.5 and (k + c) * kl >= math.log(len(tried) / 0.01):
+            expected.add(x)
+    assert got == expected and {"zzarrgh", "qquib", "wwoo"} <= got and not any(x[0] in "bcdfg" for x in got)
+    docs = spark.createDataFrame([(i, t, y) for i, (t, y) in enumerate(rows)], "doc_id long, text string, toxic int")
+    assert set(fit_lexicon(docs, docs).weights) <= got
+
+
 PHRASES = {n.phrase: n.label for n in license_scan.NOTICES}
 
 
@@ -358,7 +390,7 @@ def test_decontamination_finds_substituted_passages_only(spark, odd, empty, monk
         docs.append((i, " ".join(text)))
     frame = odd.select("doc_id", "text").union(spark.createDataFrame(docs, "doc_id long, text string"))
     bench = spark.createDataFrame(items, "item_id long, text string")
-    got = {(r["doc_id"], r["item_id"]): r["score"] for r in contaminated(frame, bench).collect()}
+    got = {(r["doc_id"], r["item_id"]): r["score"] for r in contaminated(frame, bench, least_words=9).collect()}
     expected = {}
     for r in frame.collect():
         for j, item in items:
@@ -371,7 +403,7 @@ def test_decontamination_finds_substituted_passages_only(spark, odd, empty, monk
     exact = {(d, j) for d, j in expected if runs(texts[d]) & runs(dict(items)[j])}
     long = {k for k, v in expected.items() if v >= 12}
     assert exact <= set(got) and len(long & set(got)) >= 0.9 * len(long) > 3
-    kept = drop_contaminated(odd.union(odd.sparkSession.createDataFrame([(77, items[3][1] + " " + items[11][1] + " " + items[5][1], None, 1, 1, "a", None)], odd.schema)), bench)
+    kept = drop_contaminated(odd.union(odd.sparkSession.createDataFrame([(77, items[3][1] + " " + items[11][1] + " " + items[5][1], None, 1, 1, "a", None)], odd.schema)), bench, least_words=9)
     assert kept.columns == odd.columns and kept.where("doc_id = 77").count() == 0 and kept.count() == odd.count()
     assert contaminated(empty, bench).count() == 0 and contaminated(odd, bench.limit(0)).count() == 0
 
@@ -406,7 +438,7 @@ def test_short_items_are_found_whole(spark, monkeypatch, broadcast):
     word = lambda: f"v{rng.randrange(30)}"
     items = [(n * 10 + k, " ".join(word() for _ in range(n))) for n in range(1, 13) for k in range(2)]
     docs = [(i, " ".join(word() for _ in range(rng.randint(0, 60)))) for i in range(150)] + [(900 + i, t) for i, t in items]
-    got = {(r["doc_id"], r["item_id"]) for r in contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), least_words=1).collect()}
+    got = {(r["doc_id"], r["item_id"]) for r in contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
     expected = set()
     for d, text in docs:
         a = text.split()
@@ -484,10 +516,34 @@ def test_exceptions_are_learned_from_clean_texts(spark):
     assert all(r["predicted"] == r["toxic"] for r in got)
 
 
+def test_further_notices_are_found_with_their_errors_and_leave_the_base_alone(spark, odd):
+    rng = random.Random(47)
+    notices = license_scan.NOTICES + license_scan.FURTHER
+    rows, labels = [], {}
+    for i in range(400):
+        n = notices[i % len(notices)]
+        text = list(n.phrase)
+        for _ in range(n.errors):
+            at = rng.choice([k for k, c in enumerate(text) if c != " "])
+            text[at] = rng.choice(["z", text[at] + "z", "" if text[at - 1 : at + 2].count(" ") < 2 else "z"])
+        labels[i] = n.label
+        rows.append((i, f"Some words before, {''.join(text).upper()}; and some after"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r for r in summarise(scan_licenses(docs)).collect()}
+    assert all(labels[i] in r["labels"].split(",") for i, r in got.items()) and len(got) == 400
+    base = {r["doc_id"]: r for r in summarise(scan_licenses(docs, license_scan.NOTICES)).collect()}
+    same = ("n_words", "n_base", "first_word", "last_word", "base_labels")
+    assert all(got[i][c] == base[i][c] for i in got for c in same) and {r["n_fuzzy"] > 0 for r in got.values()} == {True, False}
+    plain = [(i, " ".join(rng.choice(["all", "rights", "public", "domain", "license", "the", "by", "cc", "use", "free", "of", "charge"]) for _ in range(3))) for i in range(200)]
+    found = {r["doc_id"]: r["labels"] for r in summarise(scan_licenses(spark.createDataFrame(plain, "doc_id long, text string"))).collect()}
+    assert {x for v in found.values() for x in v.split(",") if x} <= {"cc-by"}
+    assert scan_licenses(odd).count() == odd.count()
+
+
 def test_a_megabyte_of_near_notices_is_scanned_in_linear_time():
     import time
 
-    scanner = license_scan.Scanner(license_scan.NOTICES)
+    scanner = license_scan.Scanner(license_scan.NOTICES + license_scan.FURTHER)
     began = time.time()
     assert scanner.scan(b" " + b"license " * 60_000 + b" ") == []
     assert len(scanner.scan(b" " + b"gnu general public licens " * 20_000 + b" ")) == 20_000
