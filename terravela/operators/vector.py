@@ -12,7 +12,10 @@ from terravela.functions.geodesy import utm_is_north, utm_to_lon_lat, utm_zone
 from terravela.operators.blocks import BLOCK, component_blocks, to_blocks
 from terravela.operators.grid import GridMeta
 from terravela.operators.rings import outline_blocks
-from terravela.plans.lineage import stored
+from terravela.plans.lineage import broadcast_below, stored
+
+#: Long lines, or stretches of them, that may be broadcast, about 8 MB; beyond that they are joined by a shuffle.
+LONG_ROWS = 100_000
 
 
 def line_cells(c0: Column, r0: Column, c1: Column, r1: Column) -> Column:
@@ -44,8 +47,10 @@ def thin(points: np.ndarray, tolerance: float) -> np.ndarray:
             continue
         p, d = points[a], points[b] - points[a]
         inner = points[a + 1 : b]
-        t = np.clip(((inner - p) @ d) / (d @ d), 0, 1) if d @ d > 0 else np.zeros(len(inner))
-        far = np.hypot(*(inner - p - t[:, None] * d).T)
+        x, y, length = inner[:, 0] - p[0], inner[:, 1] - p[1], d[0] * d[0] + d[1] * d[1]
+        t = np.clip((x * d[0] + y * d[1]) / length, 0, 1) if length > 0 else np.zeros(len(inner))
+        ex, ey = x - t * d[0], y - t * d[1]
+        far = np.sqrt(ex * ex + ey * ey)
         k = int(far.argmax())
         if far[k] > tolerance:
             keep[a + 1 + k] = True
@@ -70,6 +75,65 @@ def simplify(line: Column, tolerance: float = 0.15) -> Column:
     return run(line)
 
 
+def _distance(x: Column, y: Column, a: Column, b: Column) -> Column:
+    """Of a point to the stretch from a to b, in the operations of thin, so that both give the same doubles."""
+    dx, dy, px, py = b["x"] - a["x"], b["y"] - a["y"], x - a["x"], y - a["y"]
+    length = dx * dx + dy * dy
+    t = F.when(length > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), (px * dx + py * dy) / length))).otherwise(0.0)
+    ex, ey = px - t * dx, py - t * dy
+    return F.sqrt(ex * ex + ey * ey)
+
+
+def _thin_stretch(tolerance: float):
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("seq", kind="stable")
+        held = thin(rows[["x", "y"]].to_numpy(float), tolerance) if len(rows) > 2 else np.ones(len(rows), bool)
+        return rows.loc[held & rows["own"].to_numpy(bool), ["line", "seq", "x", "y"]]
+
+    return run
+
+
+def simplify_lines(points: DataFrame, tolerance: float = 0.15, in_task: int = 1_000_000) -> DataFrame:
+    """(line, seq, x, y): the points(line, seq, x, y) that stay when each line is thinned; seq is an integer, unique in its line.
+
+    A line of in_task points or fewer is thinned in one task. A longer one is never gathered: each round finds the farthest
+    point of every open stretch by one aggregate and splits the stretch there, until stretches are closed or fit a
+    task; rounds grow with the depth of such splits, which is small unless a line repeats one wave many times. Of points equally far the first splits. Both ends stay, as do lines of fewer than three points. Rows with
+    a null are left out.
+    """
+    points = points.select("line", F.col("seq").cast("long").alias("seq"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")).dropna()
+    place = F.struct("seq", "x", "y")
+    sizes = points.groupBy("line").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("a"), F.max(place).alias("b")).where(F.col("n") > in_task)
+    long = stored(sizes.drop("n"))
+    few = broadcast_below(long, LONG_ROWS)
+    whole = points.join(few, "line", "left_anti").select("line", F.lit(None).cast("long").alias("from"), "seq", "x", "y", F.lit(True).alias("own"))
+    fit, stay = [whole], [long.select("line", F.inline(F.array("a", "b")))]
+    state = points.join(few, "line").where((F.col("seq") > F.col("a.seq")) & (F.col("seq") < F.col("b.seq")))
+    while True:
+        state = stored(state)
+        key = [F.col("line"), F.col("a.seq").alias("from")]
+        far = F.max(F.struct(_distance(F.col("x"), F.col("y"), F.col("a"), F.col("b")).alias("d"), (-F.col("seq")).alias("back"), "x", "y")).alias("far")
+        best = stored(state.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), far, F.first("a").alias("a"), F.first("b").alias("b")))
+        if best.isEmpty():
+            break
+        small = best.where(F.col("n") <= in_task - 2)
+        own = state.join(broadcast_below(small.select("line", "from"), LONG_ROWS), (state["line"] == small["line"]) & (state["a.seq"] == small["from"]), "left_semi")
+        fit += [own.select("line", F.col("a.seq").alias("from"), "seq", "x", "y", F.lit(True).alias("own")), small.select("line", "from", F.inline(F.array("a", "b")), F.lit(False).alias("own")).select("line", "from", "seq", "x", "y", "own")]
+        split = stored(best.where((F.col("n") > in_task - 2) & (F.col("far.d") > tolerance)).select("line", "from", F.struct((-F.col("far.back")).alias("seq"), "far.x", "far.y").alias("at")))
+        stay.append(split.select("line", "at.seq", "at.x", "at.y"))
+        cuts = broadcast_below(split.withColumnsRenamed({"line": "_line", "from": "_from"}), LONG_ROWS)
+        state = state.join(cuts, (F.col("line") == F.col("_line")) & (F.col("a.seq") == F.col("_from"))).where(F.col("seq") != F.col("at.seq"))
+        after = F.col("seq") > F.col("at.seq")
+        state = state.select("line", "seq", "x", "y", F.when(after, F.col("at")).otherwise(F.col("a")).alias("a"), F.when(after, F.col("b")).otherwise(F.col("at")).alias("b"))
+    gathered, kept = fit[0], stay[0]
+    for part in fit[1:]:
+        gathered = gathered.unionByName(part)
+    for part in stay[1:]:
+        kept = kept.unionByName(part)
+    line = points.schema["line"].dataType.simpleString()
+    return gathered.groupBy("line", "from").applyInPandas(_thin_stretch(tolerance), f"line {line}, seq long, x double, y double").unionByName(kept)
+
+
 def mask_edges(mask: DataFrame) -> DataFrame:
     """(row, col, side, r0, c0, r1, c1): edges between a mask's cells and the rest, with the mask on the left.
 

@@ -438,9 +438,18 @@ def _lines(spark, sf_dir):
     return p.groupBy("rec").agg(F.array_sort(F.collect_list("p")).alias("p")).select("rec", F.transform("p", lambda q: F.struct(q["x"].alias("x"), q["y"].alias("y"))).alias("points"))
 
 
-@query()
+@query("""WITH RECURSIVE p AS (SELECT DISTINCT l_suppkey AS rec, (l_orderkey * 8 + l_linenumber) * 40 + CAST(round(l_extendedprice) % 40 AS BIGINT) AS seq, CAST(l_orderkey AS DOUBLE) AS x, CAST(round(l_extendedprice) % 40 AS DOUBLE) AS y FROM lineitem),
+    s AS (SELECT rec, min(seq) AS a, max(seq) AS b FROM p GROUP BY rec
+        UNION ALL SELECT rec, unnest([a, k]), unnest([k, b]) FROM (SELECT rec, a, b, list(seq ORDER BY d DESC, seq)[1] AS k, max(d) AS d FROM (
+            SELECT rec, a, b, seq, sqrt((px - t * dx) * (px - t * dx) + (py - t * dy) * (py - t * dy)) AS d FROM (
+                SELECT *, CASE WHEN dx * dx + dy * dy > 0 THEN greatest(0, least(1, (px * dx + py * dy) / (dx * dx + dy * dy))) ELSE 0 END AS t FROM (
+                    SELECT s.rec, s.a, s.b, q.seq, e.x - f.x AS dx, e.y - f.y AS dy, q.x - f.x AS px, q.y - f.y AS py FROM s JOIN p f ON f.rec = s.rec AND f.seq = s.a JOIN p e ON e.rec = s.rec AND e.seq = s.b JOIN p q ON q.rec = s.rec AND q.seq > s.a AND q.seq < s.b))) GROUP BY rec, a, b) WHERE d > 5),
+    k AS (SELECT rec, count(DISTINCT seq) AS n_after FROM (SELECT rec, a AS seq FROM s UNION ALL SELECT rec, b FROM s) GROUP BY rec)
+    SELECT rec, n_before, n_after FROM k JOIN (SELECT l_suppkey AS rec, count(*) AS n_before FROM lineitem GROUP BY 1) USING (rec)""")
 def simplify_rdp(spark, sf_dir):
-    return _lines(spark, sf_dir).select("rec", F.size("points").alias("n_before"), F.size(vector.simplify(F.col("points"), 5.0)).alias("n_after"))
+    points = table(spark, sf_dir, "lineitem").selectExpr("l_suppkey AS line", "(l_orderkey * 8 + l_linenumber) * 40 + cast(round(l_extendedprice) % 40 as bigint) AS seq", "cast(l_orderkey as double) AS x", "cast(round(l_extendedprice) % 40 as double) AS y")
+    kept = vector.simplify_lines(points.distinct(), 5.0).groupBy("line").agg(F.count(F.lit(1)).alias("n_after"))
+    return points.groupBy("line").agg(F.count(F.lit(1)).alias("n_before")).join(kept, "line").select(F.col("line").alias("rec"), "n_before", "n_after")
 
 
 @query()

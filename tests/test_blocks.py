@@ -206,3 +206,18 @@ def test_orders_by_contraction_equal_those_at_once(spark, monkeypatch):
         monkeypatch.setattr(flow, "AT_ONCE", most)
         with pytest.raises(Exception, match="cycle"):
             flow.strahler(ring).collect()
+
+
+@pytest.mark.parametrize("in_task", [3, 10, 1_000_000])
+def test_long_lines_are_thinned_by_rounds_as_in_one_task(spark, in_task):
+    from terravela.operators.vector import simplify_lines, thin
+
+    rng = np.random.default_rng(5)
+    lines = {i: np.round(np.column_stack([np.cumsum(rng.random(n)), rng.normal(size=n).cumsum()]), 1) for i, n in enumerate((1, 2, 3, 60, 200))}
+    lines[9] = np.array([[0, 0], [1, 2], [2, 2], [1, -2], [0, 0]], float)  # closed, with a tie
+    rows = [(i, 3 * k, *map(float, p)) for i, pts in lines.items() for k, p in enumerate(pts)] + [(None, 1, 0.0, 0.0), (3, None, 5.0, 5.0), (3, 1, None, 5.0)]
+    frame = spark.createDataFrame(rows, "line long, seq int, x double, y double")
+    got = sorted(map(tuple, simplify_lines(frame.repartition(5), 0.8, in_task).collect()))
+    want = [(i, 3 * k, *map(float, p)) for i, pts in lines.items() for k, p in enumerate(pts) if len(pts) < 3 or thin(pts, 0.8)[k]]
+    assert got == sorted(want) and len(want) < len(rows) - 20
+    assert simplify_lines(frame.limit(0), 0.8, in_task).count() == 0
