@@ -8,12 +8,14 @@ from __future__ import annotations
 
 import math
 import re
+from array import array
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -37,6 +39,7 @@ INVISIBLE = "­​‌‍⁠﻿"
 #: Phrases in which a word that may be in the lexicon is harmless; fit_lexicon learns more from the labels.
 EXCEPTIONS = ("trash can", "trash bin", "clown fish", "pond scum", "soap scum", "sore loser clause", "worthless currency")
 
+
 _FULLWIDTH = {0xFF01 + i: 0x21 + i for i in range(94)}
 _FOLD = {k: ord(LOOKALIKES.get(chr(v), chr(v).lower())) for k, v in _FULLWIDTH.items()} | {ord(c): ord(c) + 32 for c in map(chr, range(0x41, 0x5B))} | {ord(k): ord(v) for k, v in LOOKALIKES.items()} | dict.fromkeys(map(ord, INVISIBLE))
 _SIGN = re.compile(r"[@$](?=[^\W\d_])|(?<=[^\W\d_])[!|](?=[^\W\d_])")
@@ -239,14 +242,21 @@ def score_toxicity(docs: DataFrame, lexicon: Lexicon, id_col: str = "doc_id", te
         own = shared.value
         for batch in batches:
             for part in tb.slices(batch, "text"):
-                scores, spans = [], []
+                # Spans lie in flat arrays: a text in which every word counts has as many spans as words.
+                scores, ends_at, starts, ends, weights = [], array("i", [0]), array("i"), array("i"), array("d")
                 for text in part.column(1).to_pylist():
                     weight, hits = own.weigh(text or "")
                     x = own.normalised(weight, len(text or ""))
                     scores.append(x / (x + own.scale * (1 - own.at) / own.at))
-                    spans.append([{"start": s, "end": e, "weight": w} for s, e, w in hits])
-                kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("weight", pa.float64())]))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(scores, pa.float64()), pa.array([int(s >= threshold) for s in scores], pa.int32()), pa.array([len(s) for s in spans], pa.int64()), pa.array(spans, kind)], ["doc_id", "score", "predicted", "n_matches", "matches"])
+                    for s, e, w in hits:
+                        starts.append(s)
+                        ends.append(e)
+                        weights.append(w)
+                    ends_at.append(len(starts))
+                places = [pa.array(np.frombuffer(x, np.int32)) if len(x) else pa.array([], pa.int32()) for x in (ends_at, starts, ends)]
+                spans = pa.StructArray.from_arrays([places[1], places[2], pa.array(np.frombuffer(weights, np.float64)) if len(weights) else pa.array([], pa.float64())], ["start", "end", "weight"])
+                counts = np.diff(np.frombuffer(ends_at, np.int32)).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(scores, pa.float64()), pa.array([int(s >= threshold) for s in scores], pa.int32()), pa.array(counts), pa.ListArray.from_arrays(places[0], spans)], ["doc_id", "score", "predicted", "n_matches", "matches"])
 
     out = f"doc_id {tb.type_of(docs, id_col)}, score double, predicted int, n_matches long, matches array<struct<start:int,end:int,weight:double>>"
     return tb.short_batches(docs).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, out)
