@@ -45,21 +45,45 @@ def lon_lat_to_utm(lon: Column, lat: Column, zone: Column, northern: Column) ->
     return east, north + F.when(northern, 0.0).otherwise(FALSE_NORTHING_SOUTH)
 
 
-def utm_to_lon_lat(east: Column, north: Column, zone: Column, northern: Column) -> tuple[Column, Column]:
-    """Longitude and latitude in degrees by the inverse series."""
+def _foot(north: Column, northern: Column) -> Column:
+    """Latitude on the central meridian with the same northing."""
     e1 = (1 - (1 - E2) ** 0.5) / (1 + (1 - E2) ** 0.5)
     m = (north - F.when(northern, 0.0).otherwise(FALSE_NORTHING_SOUTH)) / K0
     mu = m / (A * (1 - E2 / 4 - 3 * E2**2 / 64 - 5 * E2**3 / 256))
-    phi = mu + (3 * e1 / 2 - 27 * e1**3 / 32) * F.sin(2 * mu) + (21 * e1**2 / 16 - 55 * e1**4 / 32) * F.sin(4 * mu) + (151 * e1**3 / 96) * F.sin(6 * mu) + (1097 * e1**4 / 512) * F.sin(8 * mu)
-    sin, cos, tan = F.sin(phi), F.cos(phi), F.tan(phi)
+    return mu + (3 * e1 / 2 - 27 * e1**3 / 32) * F.sin(2 * mu) + (21 * e1**2 / 16 - 55 * e1**4 / 32) * F.sin(4 * mu) + (151 * e1**3 / 96) * F.sin(6 * mu) + (1097 * e1**4 / 512) * F.sin(8 * mu)
+
+
+def _terms(east: Column, sin: Column, cos: Column, tan: Column) -> tuple[Column, Column, Column, Column]:
     root = F.sqrt(1 - E2 * sin * sin)
+    return root, tan * tan, EP2 * cos * cos, (east - FALSE_EASTING) / (A / root * K0)
+
+
+def _beside_foot(phi: Column, cos: Column, tan: Column, root: Column, t: Column, c: Column, d: Column, zone: Column) -> tuple[Column, Column]:
     n, r = A / root, A * (1 - E2) / (root * root * root)
-    t, c, d = tan * tan, EP2 * cos * cos, (east - FALSE_EASTING) / (A / root * K0)
     lat = phi - n * tan / r * (d * d / 2 - (5 + 3 * t + 10 * c - 4 * c * c - 9 * EP2) * F.pow(d, 4) / 24 + (61 + 90 * t + 298 * c + 45 * t * t - 252 * EP2 - 3 * c * c) * F.pow(d, 6) / 720)
     lon = (d - (1 + 2 * t + c) * F.pow(d, 3) / 6 + (5 - 2 * c + 28 * t - 3 * c * c + 8 * EP2 + 24 * t * t) * F.pow(d, 5) / 120) / cos
     return central_meridian(zone) + F.degrees(lon), F.degrees(lat)
 
 
+def utm_to_lon_lat(east: Column, north: Column, zone: Column, northern: Column) -> tuple[Column, Column]:
+    """Longitude and latitude in degrees by the inverse series."""
+    phi = _foot(north, northern)
+    sin, cos, tan = F.sin(phi), F.cos(phi), F.tan(phi)
+    return _beside_foot(phi, cos, tan, *_terms(east, sin, cos, tan), zone)
+
+
+def utm_points_to_lon_lat(points: Column, zone: Column, northern: Column) -> Column:
+    """Array of struct<lon, lat> of an array of struct<x, y>, with the doubles of utm_to_lon_lat.
+
+    Expressions inside a lambda aren't shared, so that each step is a pass of its own: written in one, the latitude on the
+    central meridian would be computed some hundred times a point.
+    """
+    feet = F.transform(points, lambda p: F.struct(p["x"].alias("x"), _foot(p["y"], northern).alias("phi")))
+    angles = F.transform(feet, lambda p: F.struct(p["x"].alias("x"), p["phi"].alias("phi"), F.sin(p["phi"]).alias("sin"), F.cos(p["phi"]).alias("cos"), F.tan(p["phi"]).alias("tan")))
+    terms = F.transform(angles, lambda p: F.struct(*[p[k].alias(k) for k in ("phi", "cos", "tan")], *[v.alias(k) for k, v in zip(("root", "t", "c", "d"), _terms(p["x"], p["sin"], p["cos"], p["tan"]))]))
+    return F.transform(terms, lambda p: F.struct(*[v.alias(k) for k, v in zip(("lon", "lat"), _beside_foot(*[p[k] for k in ("phi", "cos", "tan", "root", "t", "c", "d")], zone))]))
+
+
 def lon_lat_to_mercator(lon: Column, lat: Column) -> tuple[Column, Column]:
     return F.radians(lon) * SPHERE, F.ln(F.tan(F.pi() / 4 + F.radians(lat) / 2)) * SPHERE
 

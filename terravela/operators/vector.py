@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
+from pyspark.sql.functions import arrow_udf
 
-from terravela.functions.geodesy import utm_is_north, utm_to_lon_lat, utm_zone
+from terravela.functions.geodesy import utm_is_north, utm_points_to_lon_lat, utm_zone
 from terravela.operators.blocks import BLOCK, component_blocks, to_blocks
 from terravela.operators.grid import GridMeta
 from terravela.operators.rings import outline_blocks
@@ -16,6 +20,8 @@ from terravela.plans.lineage import broadcast_below, stored
 
 #: Long lines, or stretches of them, that may be broadcast, about 8 MB; beyond that they are joined by a shuffle.
 LONG_ROWS = 100_000
+#: Points that are thinned at once, some 20 MB of arrays; a longer line is thinned by itself.
+THINNED = 200_000
 
 
 def line_cells(c0: Column, r0: Column, c1: Column, r1: Column) -> Column:
@@ -58,19 +64,62 @@ def thin(points: np.ndarray, tolerance: float) -> np.ndarray:
     return keep
 
 
+def thin_lines(x: np.ndarray, y: np.ndarray, offsets: np.ndarray, tolerance: float) -> np.ndarray:
+    """As thin, for many lines one after another: line k holds the points from offsets[k] up to offsets[k + 1].
+
+    Each round splits all open stretches of all lines at once, in the operations of thin, so that both keep the same points.
+    """
+    keep = np.zeros(len(x), bool)
+    a, b = np.asarray(offsets[:-1], np.int64), np.asarray(offsets[1:], np.int64) - 1
+    a, b = a[b >= a], b[b >= a]
+    keep[a] = keep[b] = True
+    a, b = a[b - a > 1], b[b - a > 1]
+    while len(a):
+        inner = b - a - 1
+        ends = np.cumsum(inner)
+        stretch = np.repeat(np.arange(len(a)), inner)
+        at = np.arange(ends[-1]) + (a + 1 - ends + inner)[stretch]
+        dx, dy = x[b] - x[a], y[b] - y[a]
+        length = dx * dx + dy * dy
+        px, py, dx, dy, length = x[at] - x[a][stretch], y[at] - y[a][stretch], dx[stretch], dy[stretch], length[stretch]
+        t = np.clip(np.divide(px * dx + py * dy, length, out=np.zeros(len(at)), where=length > 0), 0, 1)
+        ex, ey = px - t * dx, py - t * dy
+        far = np.sqrt(ex * ex + ey * ey)
+        top = np.maximum.reduceat(far, ends - inner)
+        split = top > tolerance
+        hits = np.flatnonzero((far == top[stretch]) & split[stretch])
+        first = np.ones(len(hits), bool)
+        first[1:] = stretch[hits[1:]] != stretch[hits[:-1]]
+        cut = at[hits[first]]
+        keep[cut] = True
+        a, b = np.concatenate([a[split], cut]), np.concatenate([cut, b[split]])
+        a, b = a[b - a > 1], b[b - a > 1]
+    return keep
+
+
+def _line_runs(offsets: np.ndarray, most: int = THINNED) -> Iterator[tuple[int, int]]:
+    """Runs of whole lines with about `most` points each."""
+    first = 0
+    while first < len(offsets) - 1:
+        last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + most, "right")) - 1)
+        yield first, last
+        first = last
+
+
 def simplify(line: Column, tolerance: float = 0.15) -> Column:
     """Thin a line, an array of struct<x, y>; lines of fewer than three points stay as they are."""
 
-    @pandas_udf("array<struct<x:double,y:double>>")
-    def run(lines: pd.Series) -> pd.Series:
-        out = []
-        for points in lines:
-            if points is None or len(points) < 3:
-                out.append(points)
-                continue
-            held = thin(np.array([(p["x"], p["y"]) for p in points], float), tolerance)
-            out.append([p for p, k in zip(points, held) if k])
-        return pd.Series(out)
+    @arrow_udf("array<struct<x:double,y:double>>")
+    def run(lines: pa.Array) -> pa.Array:
+        kinds = pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64())]))
+        lines = lines.cast(kinds) if lines.type != kinds else lines
+        points, none = lines.flatten(), np.asarray(lines.is_null())
+        x, y = (np.asarray(pc.struct_field(points, k).to_numpy(zero_copy_only=False), float) for k in ("x", "y"))
+        offsets = np.concatenate([[0], np.cumsum(np.asarray(pc.fill_null(pc.list_value_length(lines), 0), np.int64))])
+        held = [thin_lines(x[offsets[i] : offsets[j]], y[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], tolerance) for i, j in _line_runs(offsets)]
+        keep = np.concatenate([np.zeros(0, bool), *held])
+        begins = np.concatenate([[0], np.cumsum(keep)])[offsets].astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(begins, mask=np.append(none, False)), points.filter(pa.array(keep)), type=kinds)
 
     return run(line)
 
@@ -169,12 +218,7 @@ def to_geojson(features: DataFrame, epsg: int, digits: int = 8) -> DataFrame:
     if not (32601 <= epsg <= 32660 or 32701 <= epsg <= 32760):
         raise ValueError(f"EPSG {epsg} is no WGS84 UTM zone")
     code = F.lit(epsg)
-
-    def place(p):
-        lon, lat = utm_to_lon_lat(p["x"], p["y"], utm_zone(code), utm_is_north(code))
-        return F.array(F.round(lon, digits), F.round(lat, digits))
-
-    line = F.transform("points", place)
+    line = F.transform(utm_points_to_lon_lat(F.col("points"), utm_zone(code), utm_is_north(code)), lambda p: F.array(F.round(p["lon"], digits), F.round(p["lat"], digits)))
     closed = F.concat(line, F.slice(line, 1, 1))
     geometry = F.when(F.col("kind") == "Polygon", F.to_json(F.struct(F.lit("Polygon").alias("type"), F.array(closed).alias("coordinates")))).otherwise(F.to_json(F.struct(F.lit("LineString").alias("type"), line.alias("coordinates"))))
     return features.select(F.concat(F.lit('{"type":"Feature","properties":'), F.to_json("properties"), F.lit(',"geometry":'), geometry, F.lit("}")).alias("feature"))
@@ -188,13 +232,10 @@ def contours(shapes: DataFrame, attributes: DataFrame, height: str, epsg: int, t
     from terravela.functions.text import leading_number
 
     joined = shapes.join(attributes, "rec").withColumn("elevation", leading_number(F.col(height).cast("string"))).where("elevation IS NOT NULL")
-    thinned = joined.withColumn("n_before", F.size("points")).withColumn("points", simplify(F.col("points"), tolerance)).where("size(points) >= 2")
+    # Ends stay, so that thinning leaves fewer than two points only of lines that had no more; a filter behind it would thin all lines twice.
+    thinned = joined.where("size(points) >= 2").withColumn("n_before", F.size("points")).withColumn("points", simplify(F.col("points"), tolerance))
     drawn = thinned.select("points", F.lit("LineString").alias("kind"), F.struct("elevation").alias("properties"), "elevation", "n_before", F.size("points").alias("n_after"))
     code = F.lit(epsg)
-
-    def place(p):
-        lon, lat = utm_to_lon_lat(p["x"], p["y"], utm_zone(code), utm_is_north(code))
-        return F.array(F.round(lon, 6), F.round(lat, 6))
-
-    geometry = F.struct(F.lit("LineString").alias("type"), F.transform("points", place).alias("coordinates"))
+    placed = F.transform(utm_points_to_lon_lat(F.col("points"), utm_zone(code), utm_is_north(code)), lambda p: F.array(F.round(p["lon"], 6), F.round(p["lat"], 6)))
+    geometry = F.struct(F.lit("LineString").alias("type"), placed.alias("coordinates"))
     return drawn.select(F.to_json(F.struct(F.lit("Feature").alias("type"), "properties", geometry.alias("geometry"))).alias("feature"), "elevation", "n_before", "n_after")
