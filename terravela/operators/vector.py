@@ -24,13 +24,40 @@ LONG_ROWS = 100_000
 THINNED = 200_000
 
 
-def line_cells(c0: Column, r0: Column, c1: Column, r1: Column) -> Column:
-    """array<struct<col, row>> of the cells of a straight line, both ends included: along the longer axis cell by cell, the other rounded half up from the start."""
-    across, down = F.abs(c1 - c0), F.abs(r1 - r0)
-    long = F.greatest(across, down)
-    along = lambda start, end, span: lambda k: (start + F.signum(end - start).cast("int") * F.when(long == 0, 0).otherwise(F.floor((2 * k * span + long) / (2 * long)))).cast("int")
-    x, y = along(c0, c1, across), along(r0, r1, down)
-    return F.transform(F.sequence(F.lit(0), long), lambda k: F.struct(x(k).alias("col"), y(k).alias("row")))
+def line_cells(c0: np.ndarray, r0: np.ndarray, c1: np.ndarray, r1: np.ndarray, height: int, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, col) of the cells of straight lines that lie in the grid, both ends included: along the longer axis cell by cell, the other rounded half up from the start."""
+    across, down = np.abs(c1 - c0), np.abs(r1 - r0)
+    level, long = across >= down, np.maximum(across, down)
+    start, step = np.where(level, c0, r0), np.sign(np.where(level, c1 - c0, r1 - r0))
+    last = np.where(level, width, height) - 1
+    # Cells outside along the longer axis are never made.
+    low = np.maximum(0, np.where(step < 0, start - last, -start))
+    n = np.maximum(0, np.minimum(long, np.where(step < 0, start, last - start)) - low + 1)
+    n[(step == 0) & ((start < 0) | (start > last))] = 0
+    ends = np.cumsum(n)
+    k = np.arange(ends[-1] if len(n) else 0) - np.repeat(ends - n - low, n)
+    span, twice = np.repeat(np.where(level, down, across), n), np.repeat(np.maximum(2 * long, 1), n)
+    aside = np.repeat(np.where(level, r0, c0), n) + np.repeat(np.sign(np.where(level, r1 - r0, c1 - c0)), n) * ((2 * k * span + twice // 2) // twice)
+    along, level = np.repeat(start, n) + np.repeat(step, n) * k, np.repeat(level, n)
+    row, col = np.where(level, aside, along), np.where(level, along, aside)
+    inside = (row >= 0) & (row < height) & (col >= 0) & (col < width)
+    return row[inside], col[inside]
+
+
+def _drawn(height: int, width: int):
+    """Cells of lines (c, r, c1, r1), each once for some thousand lines."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ends = [np.asarray(batch.column(i)).astype(np.int64) for i in range(4)]
+            # A line has as many cells in the grid as its longer side at most, so that a piece has some million.
+            lines = max(1, 1_000_000 // max(height, width))
+            for i in range(0, batch.num_rows, lines):
+                row, col = line_cells(*[e[i : i + lines] for e in ends], height, width)
+                cells = np.unique(row * width + col)
+                yield pa.RecordBatch.from_arrays([pa.array((cells // width).astype(np.int32)), pa.array((cells % width).astype(np.int32))], ["row", "col"])
+
+    return run
 
 
 def rasterize_lines(vertices: DataFrame, meta: GridMeta) -> DataFrame:
@@ -38,8 +65,7 @@ def rasterize_lines(vertices: DataFrame, meta: GridMeta) -> DataFrame:
     at = vertices.select("line", "seq", meta.col(F.col("x")).alias("c"), meta.row(F.col("y")).alias("r"))
     w = Window.partitionBy("line").orderBy("seq")
     pairs = at.withColumns({"c1": F.lead("c").over(w), "r1": F.lead("r").over(w)}).where("c1 IS NOT NULL").select("c", "r", "c1", "r1").distinct()
-    drawn = pairs.select(F.explode(line_cells(F.col("c"), F.col("r"), F.col("c1"), F.col("r1"))).alias("cell")).select("cell.row", "cell.col")
-    return drawn.where(F.col("row").between(0, meta.height - 1) & F.col("col").between(0, meta.width - 1)).distinct()
+    return pairs.dropna().mapInArrow(_drawn(meta.height, meta.width), "row int, col int").distinct()
 
 
 def thin(points: np.ndarray, tolerance: float) -> np.ndarray:

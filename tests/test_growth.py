@@ -69,3 +69,27 @@ def test_totals_of_visible_sites_need_no_row_for_each(spark):
     got = c.visible_totals(sites, grants, users)
     want = c.visible_by_user(sites, grants, users).groupBy("user_id").agg(F.count(F.lit(1)).alias("n_sites"), F.sum("site_id").alias("ids"))
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.count() == 4
+
+
+def test_lines_are_drawn_in_the_grid_only(spark):
+    from terravela.operators.grid import GridMeta
+
+    rng = np.random.default_rng(5)
+    ends = rng.integers(-12, 25, (300, 4))
+    ends[0], ends[1], ends[2] = (-5, 3, -5, 3), (4, 3, 4, 3), (5, -1_000_000_000, 5, 1_000_000_000)
+    height, width = 9, 13
+    want = set()
+    for c0, r0, c1, r1 in ends.tolist():
+        n = max(abs(c1 - c0), abs(r1 - r0))
+        sign = lambda v: (v > 0) - (v < 0)
+        for k in range(n + 1) if n < 1000 else ():
+            col, row = (a + sign(b - a) * ((2 * k * abs(b - a) + n) // (2 * n) if n else 0) for a, b in ((c0, c1), (r0, r1)))
+            if 0 <= row < height and 0 <= col < width:
+                want.add((row, col))
+    want |= {(row, 5) for row in range(height)}
+    row, col = vector.line_cells(*ends.T.astype(np.int64), height, width)
+    assert set(zip(row.tolist(), col.tolist())) == want
+    rows = [(k, seq, float(a) + 0.5, height - float(b) - 0.5) for k, e in enumerate(ends[3:60].tolist()) for seq, (a, b) in enumerate((e[:2], e[2:]))]
+    drawn = vector.rasterize_lines(spark.createDataFrame(rows, "line long, seq int, x double, y double"), GridMeta(width, height, 1.0, 0.0, float(height)))
+    row, col = vector.line_cells(*ends[3:60].T.astype(np.int64), height, width)
+    assert sorted(map(tuple, drawn.collect())) == sorted(set(zip(row.tolist(), col.tolist())))
