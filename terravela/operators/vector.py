@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
@@ -159,17 +158,49 @@ def _distance(x: Column, y: Column, a: Column, b: Column) -> Column:
     return F.sqrt(ex * ex + ey * ey)
 
 
-def _thin_stretch(tolerance: float):
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("seq", kind="stable")
-        held = thin(rows[["x", "y"]].to_numpy(float), tolerance) if len(rows) > 2 else np.ones(len(rows), bool)
-        return rows.loc[held & rows["own"].to_numpy(bool), ["line", "seq", "x", "y"]]
+def _differs(a: pa.Array, b: pa.Array) -> np.ndarray:
+    return np.asarray(pc.fill_null(pc.not_equal(a, b), pc.xor(a.is_null(), b.is_null())))
+
+
+def _thin_sorted(tolerance: float, most: int = THINNED):
+    """Thin rows (line, from, seq, x, y, own) sorted by all but own, many stretches at once; rows that repeat another one are left out."""
+
+    def thinned(rows: pa.RecordBatch, begins: np.ndarray) -> pa.RecordBatch:
+        x, y, own = (np.asarray(rows.column(i)) for i in (3, 4, 5))
+        held = thin_lines(x, y, np.append(begins, len(x)), tolerance) & own
+        return rows.select(["line", "seq", "x", "y"]).filter(pa.array(held))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting, n = [], 0
+
+        def taken(last: bool) -> Iterator[pa.RecordBatch]:
+            """What is thinned of the waiting rows; the last stretch waits unless no more rows come."""
+            nonlocal waiting, n
+            rows = pa.Table.from_batches(waiting).combine_chunks().to_batches()[0]
+            new = np.ones(len(rows), bool)
+            new[1:] = np.logical_or.reduce([_differs(c.slice(1), c.slice(0, len(rows) - 1)) for c in rows.columns[:5]])
+            rows = rows.filter(pa.array(new))
+            begins = np.flatnonzero(np.append(True, np.logical_or.reduce([_differs(c.slice(1), c.slice(0, len(rows) - 1)) for c in rows.columns[:2]])))
+            end = len(rows) if last else int(begins[-1])
+            waiting, n = [] if last else [rows.slice(end)], len(rows) - end
+            if end:
+                yield thinned(rows.slice(0, end), begins if last else begins[:-1])
+
+        for batch in batches:
+            if batch.num_rows:
+                waiting.append(batch)
+                n += batch.num_rows
+                # A stretch longer than `most` is looked at again only when it has doubled.
+                if n >= most and n >= 2 * waiting[0].num_rows:
+                    yield from taken(False)
+        if n:
+            yield from taken(True)
 
     return run
 
 
 def simplify_lines(points: DataFrame, tolerance: float = 0.15, in_task: int = 1_000_000) -> DataFrame:
-    """(line, seq, x, y): the points(line, seq, x, y) that stay when each line is thinned; seq is an integer, unique in its line.
+    """(line, seq, x, y): the points(line, seq, x, y) that stay when each line is thinned; seq is an integer, unique in its line but for equal rows, which count once.
 
     A line of in_task points or fewer is thinned in one task. A longer one is never gathered: each round finds the farthest
     point of every open stretch by one aggregate and splits the stretch there, until stretches are closed or fit a
@@ -177,9 +208,13 @@ def simplify_lines(points: DataFrame, tolerance: float = 0.15, in_task: int = 1_
     a null are left out.
     """
     points = points.select("line", F.col("seq").cast("long").alias("seq"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")).dropna()
+    line = points.schema["line"].dataType.simpleString()
     place = F.struct("seq", "x", "y")
-    sizes = points.groupBy("line").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("a"), F.max(place).alias("b")).where(F.col("n") > in_task)
-    long = stored(sizes.drop("n"))
+    thinned = lambda rows: rows.repartition("line", "from").sortWithinPartitions("line", "from", "seq", "x", "y").mapInArrow(_thin_sorted(tolerance), f"line {line}, seq long, x double, y double")
+    named = stored(points.groupBy("line").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > in_task).select("line"))
+    if named.isEmpty():
+        return thinned(points.select("line", F.lit(None).cast("long").alias("from"), "seq", "x", "y", F.lit(True).alias("own")))
+    long = stored(points.join(broadcast_below(named, LONG_ROWS), "line").groupBy("line").agg(F.min(place).alias("a"), F.max(place).alias("b")))
     few = broadcast_below(long, LONG_ROWS)
     whole = points.join(few, "line", "left_anti").select("line", F.lit(None).cast("long").alias("from"), "seq", "x", "y", F.lit(True).alias("own"))
     fit, stay = [whole], [long.select("line", F.inline(F.array("a", "b")))]
@@ -205,8 +240,7 @@ def simplify_lines(points: DataFrame, tolerance: float = 0.15, in_task: int = 1_
         gathered = gathered.unionByName(part)
     for part in stay[1:]:
         kept = kept.unionByName(part)
-    line = points.schema["line"].dataType.simpleString()
-    return gathered.groupBy("line", "from").applyInPandas(_thin_stretch(tolerance), f"line {line}, seq long, x double, y double").unionByName(kept)
+    return thinned(gathered).unionByName(kept)
 
 
 def mask_edges(mask: DataFrame) -> DataFrame:

@@ -448,7 +448,7 @@ def _lines(spark, sf_dir):
     SELECT rec, n_before, n_after FROM k JOIN (SELECT l_suppkey AS rec, count(*) AS n_before FROM lineitem GROUP BY 1) USING (rec)""")
 def simplify_rdp(spark, sf_dir):
     points = table(spark, sf_dir, "lineitem").selectExpr("l_suppkey AS line", "(l_orderkey * 8 + l_linenumber) * 40 + cast(round(l_extendedprice) % 40 as bigint) AS seq", "cast(l_orderkey as double) AS x", "cast(round(l_extendedprice) % 40 as double) AS y")
-    kept = vector.simplify_lines(points.distinct(), 5.0).groupBy("line").agg(F.count(F.lit(1)).alias("n_after"))
+    kept = vector.simplify_lines(points, 5.0).groupBy("line").agg(F.count(F.lit(1)).alias("n_after"))
     return points.groupBy("line").agg(F.count(F.lit(1)).alias("n_before")).join(kept, "line").select(F.col("line").alias("rec"), "n_before", "n_after")
 
 

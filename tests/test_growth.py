@@ -93,3 +93,21 @@ def test_lines_are_drawn_in_the_grid_only(spark):
     drawn = vector.rasterize_lines(spark.createDataFrame(rows, "line long, seq int, x double, y double"), GridMeta(width, height, 1.0, 0.0, float(height)))
     row, col = vector.line_cells(*ends[3:60].T.astype(np.int64), height, width)
     assert sorted(map(tuple, drawn.collect())) == sorted(set(zip(row.tolist(), col.tolist())))
+
+
+def test_lines_are_thinned_without_a_call_for_each(spark):
+    rng = np.random.default_rng(8)
+    rows = [(k, 2 * j, float(j), float(v)) for k in range(40) for j, v in enumerate(rng.integers(0, 6, int(rng.integers(1, 90))))]
+    frame = spark.createDataFrame(rows, "line long, seq long, x double, y double")
+    want = []
+    for k in range(40):
+        points = np.array([r[2:] for r in rows if r[0] == k])
+        held = vector.thin(points, 1.5) if len(points) > 2 else np.ones(len(points), bool)
+        want += [r for r, h in zip([r for r in rows if r[0] == k], held) if h]
+    for in_task in (1_000_000, 20):  # rows that repeat count once
+        out = vector.simplify_lines(frame.unionByName(frame.where("seq % 6 = 0")), 1.5, in_task)
+        assert sorted(map(tuple, out.collect())) == sorted(want)
+        assert "FlatMapGroups" not in _plan(out)
+    batches = list(spark.createDataFrame([(*r[:1], None, *r[1:], True) for r in rows], "line long, from long, seq long, x double, y double, own boolean").orderBy("line", "seq").toArrow().to_batches(max_chunksize=7))
+    got = [tuple(r.values()) for b in vector._thin_sorted(1.5, 30)(iter(batches)) for r in b.to_pylist()]
+    assert got == want
